@@ -20,9 +20,9 @@ from pyspark.sql.window import Window
 
 from .embedding_dedup import valid_vectors
 
-TREES = 64
+TREES = 80
 BITS = 32
-SHARE = 0.35
+SHARE = 0.5
 BLOCK = 8192
 QUERIES = 1024
 SEED = 77
