@@ -4,7 +4,9 @@ from .ann import op2_nearest_neighbours
 from .embedding_dedup import op1_embedding_near_dedup
 from .html_extract import op4_html_main_text
 from .packing import op8_packing
+from .pii import op9_personal_data
 from .sharding import op6_sharding
+from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op4_html_main_text, op6_sharding, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op4_html_main_text, op6_sharding, op8_packing, op9_personal_data, op10_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -59,21 +59,28 @@ def shard(documents: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) ->
     # a group's share of all bytes or rows; one above a shard's is cut into pieces of half a shard
     share = F.greatest(F.col("size") * F.col("n") / max(1, total["b"] or 0), F.col("n") / max(1, total["n"]))
     pieces = F.when(share > 1 / shards, F.ceil(share * 2 * shards)).otherwise(1).cast("long")
-    large = groups.where(share > 1 / bundles).select("h", "h2", "size", pieces.alias("pieces"))
+    # rows of a piece are numbered in parts, each at most 1 / bundles of all rows
+    parts = F.ceil(F.col("n") * bundles / max(1, total["n"]) / pieces).cast("long")
+    large = groups.where(share > 1 / bundles).select("h", "h2", "size", pieces.alias("pieces"), parts.alias("parts"))
     # at most 2 * bundles groups can pass a limit, so this side is bounded whatever the table's size
     item = F.when(F.col("pieces").isNull(), F.concat(F.lit("b"), F.pmod(F.xxhash64("h", "h2", "size"), F.lit(bundles)).cast("string"))).otherwise(
         F.concat_ws(":", F.lit("g"), F.col("h").cast("string"), F.col("h2").cast("string"), F.col("size").cast("string"), F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("string")))
-    placed = rows.join(F.broadcast(large), ["h", "h2", "size"], "left").withColumn("item", item).drop("pieces", "h", "h2")
-    sizes = placed.groupBy("item").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).orderBy("item").collect()
-    where = place(np.array([[r["b"], r["t"], r["n"]] for r in sizes], dtype=float).reshape(-1, 3), shards)
+    placed = rows.join(F.broadcast(large), ["h", "h2", "size"], "left").withColumn("item", item)
+    placed = placed.withColumn("part", F.coalesce(F.pmod(F.xxhash64(F.lit(2), "doc_id"), "parts"), F.lit(0))).drop("pieces", "parts", "h", "h2")
+    sizes = placed.groupBy("item", "part").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).orderBy("item", "part").collect()
+    items: dict[str, np.ndarray] = {}
+    for r in sizes:
+        items[r["item"]] = items.get(r["item"], 0) + np.array([r["b"], r["t"], r["n"]], dtype=float)
+    where = dict(zip(items, place(np.array(list(items.values())).reshape(-1, 3), shards)))
     at, table = [0] * shards, []
-    for r, s in zip(sizes, where):
-        table.append((r["item"], int(s), at[s]))
+    for r in sizes:
+        s = int(where[r["item"]])
+        table.append((r["item"], r["part"], s, at[s]))
         at[s] += r["n"]
-    lookup = spark.createDataFrame(table, "item string, shard int, first long")
-    within = F.row_number().over(Window.partitionBy("item").orderBy(F.col("doc_id").asc_nulls_last(), "size", "text_crc32"))
+    lookup = spark.createDataFrame(table, "item string, part long, shard int, first long")
+    within = F.row_number().over(Window.partitionBy("item", "part").orderBy(F.col("doc_id").asc_nulls_last(), "size", "text_crc32"))
     return (
-        placed.withColumn("i", within).join(F.broadcast(lookup), "item")
+        placed.withColumn("i", within).join(F.broadcast(lookup), ["item", "part"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("i") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 
