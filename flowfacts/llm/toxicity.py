@@ -27,7 +27,10 @@ from pyspark.sql.types import DoubleType, StructType
 TRAINING_ROWS = 6000
 BUCKETS = 1 << 17
 WIDTH = 8
-SPAN = 16
+SPAN = 4
+ROUNDS, EPOCHS, RATE = 4, 6, 0.05
+#: Weight decay of embeddings and layer, relative to the step size.
+DECAY = 0.05
 #: Words whose scores a worker remembers; beyond, the memory is emptied and filled anew.
 REMEMBERED = 400_000
 _EDGE = "\"'()[]{}<>.,;:!?…«»“”‘’*_-|"
@@ -76,13 +79,15 @@ class _Trainer:
     N-grams met in fewer than ``least`` training texts keep a zero vector: they could only learn single texts by heart.
     """
 
-    def __init__(self, words: list[str], texts: list[np.ndarray], least: int = 5, seed: int = 1):
+    def __init__(self, words: list[str], texts: list[np.ndarray], labels: np.ndarray, least: int = 5, seed: int = 1):
         sub, at = subwords(words)
         owner = np.repeat(np.arange(len(words)), np.diff(at))
-        seen = np.zeros(BUCKETS, np.int64)
-        for t in texts:
-            seen[np.unique(np.concatenate([sub[at[w] : at[w + 1]] for w in np.unique(t)]))] += 1
-        self.used = np.nonzero(seen >= min(least, max(1, len(texts) // 50)))[0]
+        seen = np.zeros((2, BUCKETS), np.int64)
+        for t, y in zip(texts, labels):
+            t = np.unique(t)
+            size = at[t + 1] - at[t]
+            seen[y, np.unique(sub[np.arange(size.sum()) + np.repeat(at[t] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)])] += 1
+        self.used = np.nonzero(seen.sum(0) >= min(least, max(1, len(texts) // 50)))[0]
         place = np.full(BUCKETS, -1)
         place[self.used] = np.arange(len(self.used))
         share = 1.0 / np.diff(at)[owner]
@@ -91,7 +96,12 @@ class _Trainer:
         self.at = np.searchsorted(owner[keep], np.arange(len(words) + 1))
         r = np.random.RandomState(seed)
         self.random = r
-        self.params = [(r.standard_normal((len(self.used), WIDTH)) * 0.1).astype(np.float32), (r.standard_normal((WIDTH, 2))).astype(np.float32), np.zeros(2, np.float32)]
+        self.params = [(r.standard_normal((len(self.used), WIDTH)) * 0.1).astype(np.float32), (r.standard_normal((WIDTH, 2)) * 0.1).astype(np.float32), np.zeros(2, np.float32)]
+        # training starts from each n-gram's log-odds between the documents of both labels, in standard errors
+        clean, toxic = seen[0, self.used] + 0.5, seen[1, self.used] + 0.5
+        gap = np.log(toxic / (labels.sum() + 1)) - np.log(clean / ((1 - labels).sum() + 1))
+        self.params[0][:, 0] = gap / np.sqrt(1 / toxic + 1 / clean)
+        self.params[1][0] = (-0.5, 0.5)
         self.m = [np.zeros_like(p) for p in self.params]
         self.v = [np.zeros_like(p) for p in self.params]
         self.step = 0
@@ -139,7 +149,7 @@ class _Trainer:
         for i, g in enumerate(grads):
             self.m[i] = 0.9 * self.m[i] + 0.1 * g
             self.v[i] = 0.99 * self.v[i] + 0.01 * g * g
-            self.params[i] = self.params[i] * (1 - (1e-3 * rate if i == 0 else 0)) - rate * (self.m[i] / (1 - 0.9**self.step)) / (np.sqrt(self.v[i] / (1 - 0.99**self.step)) + 1e-7)
+            self.params[i] = self.params[i] * (1 - (DECAY * rate if i < 2 else 0)) - rate * (self.m[i] / (1 - 0.9**self.step)) / (np.sqrt(self.v[i] / (1 - 0.99**self.step)) + 1e-7)
 
     def model(self, prior: float) -> Model:
         table, layer, bias = self.params
@@ -172,22 +182,19 @@ def train(texts: list[str], labels: np.ndarray, span: int = SPAN) -> Model:
         rest, check = list(range(len(coded))), []
     spare, spare_labels = [coded[i] for i in check], labels[check]
     coded, labels = [coded[i] for i in rest], labels[rest]
-    t = _Trainer(list(number), coded)
-    t.fit(coded, labels, 12, 0.05)
+    t = _Trainer(list(number), coded, labels)
     r = np.random.RandomState(2)
-    chosen: list[np.ndarray] = []
-    said: list[int] = []
-    for _ in range(3):
-        odds = t.odds()
+    clean: list[np.ndarray] = []
+    for _ in range(ROUNDS):
+        odds, toxic = t.odds(), []
         for c, y in zip(coded, labels):
             runs = _windows(len(c), span)
             sums = np.concatenate([[0], np.cumsum(odds[c])])
             score = np.array([(sums[b] - sums[a]) / (b - a) for a, b in runs])
-            # a toxic document shows its most toxic window; a clean one its hardest and a random one
+            # a toxic document shows its most toxic window; a clean one its hardest, of all rounds, and a random one
             for k in {int(score.argmax())} | ({int(r.randint(len(runs)))} if y == 0 else set()):
-                chosen.append(c[slice(*runs[k])])
-                said.append(int(y))
-        t.fit(chosen, np.array(said), 6, 0.03)
+                (toxic if y else clean).append(c[slice(*runs[k])])
+        t.fit(clean + toxic, np.array([0] * len(clean) + [1] * len(toxic)), EPOCHS, RATE)
     model, odds = t.model(prior), t.odds()
     if len(set(spare_labels.tolist())) == 2:
         best = []
