@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 END = 2
 #: Words whose ids a worker remembers; beyond, the memory is emptied and filled anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 class WordIds:
@@ -32,39 +33,57 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memory: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of new words. Of a word of letters with a comma or full stop behind it, the two parts are
-        separate tokens to this tokenizer, so the parts are looked up; ASCII words are lower-cased first, as it does."""
-        memory, new = self.memory, {}
-        parts: dict[str, tuple[str, str]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of new words. A word of letters with a comma or full stop behind it is two words to this
+        tokenizer, so both parts are looked up; it also lower-cases, so one spelling of a word is enough."""
+        memory, whole, parts, stems = self.memory, [], [], {}
         for w in words:
-            stem, tail = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha() else (w, "")
-            stem = stem.lower() if stem.isascii() else stem
-            parts[w] = (stem, tail)
-            for p in (stem, tail):
-                if p not in memory:
-                    new[p] = None
-        if new:
-            listed = list(new)
-            for w, e in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)):
-                memory[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, (stem, tail) in parts.items():
-            memory[w] = memory[stem] + memory[tail]
+            tail = w[-1]
+            stem = w[:-1] if tail == "." or tail == "," else w
+            if stem.isalpha() and max(stem) < "\u0130":
+                stem = stem.lower()
+                if stem not in memory:
+                    stems[stem] = None
+                parts.append((w, stem, tail if len(stem) < len(w) else ""))
+            else:
+                whole.append(w)
+        self._letters(list(stems))
+        for t in ".,":
+            if t not in memory:
+                whole.append(t)
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            memory[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, stem, tail in parts:
+            memory[w] = memory[stem] + memory[tail] if tail else memory[stem]
+
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters only are encoded as one text: each ends with its only end-of-word token."""
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.nonzero(self.last[ids])[0] + 1
+            if len(ends) != len(part):
+                self.memory.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+                continue
+            blob, start = ids.tobytes(), 0
+            for w, end in zip(part, (ends * 4).tolist()):
+                self.memory[w] = blob[start:end]
+                start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.memory.__getitem__, words)))
-            except KeyError:
-                if len(self.memory) > REMEMBERED:
-                    self.memory = {"": b""}
-                self.learn([w for w in dict.fromkeys(words) if w not in self.memory])
-                out.append(b"".join(map(self.memory.__getitem__, words)))
-        return out
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.memory) > REMEMBERED:
+            self.memory = {"": b""}
+        new = set(chain.from_iterable(split)).difference(self.memory)
+        if new:
+            self.learn(new)
+        get = self.memory.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 class SumOfSquares:
@@ -100,8 +119,9 @@ class SumOfSquares:
 _ENCODERS: dict[str, WordIds] = {}
 
 
-def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, uint32 LE).
+def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids (binary,
+    uint32 LE).
 
     A document's ids are its text's plus the closing id ``end``; a null text is empty, so every row, repeated rows and
     null ids too, gives at least one piece. Sequences are local to a partition of the scan (sequence_id holds the
@@ -111,6 +131,8 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
     from public_tokenizers import path
 
     file = path(tokenizer)
+    names = NAMES if ids else NAMES[:-1]
+    types = [pa.int64()] * 7 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.setdefault(file, None) or WordIds(file)
@@ -118,20 +140,21 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
         packer, base = SumOfSquares(window), TaskContext.get().partitionId() << 32
         closing = np.array([end], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
+            for at in range(0, len(docs), 256):
                 rows: list[tuple] = []
-                for doc, got in zip(ids[at : at + 256], encoder.encode([x or "" for x in texts.slice(at, 256).to_pylist()])):
+                for doc, got in zip(docs[at : at + 256], encoder.encode([x or "" for x in texts.slice(at, 256).to_pylist()])):
                     got += closing
                     n = len(got) // 4
                     for start in range(0, n, window):
                         length = min(window, n - start)
                         seq, offset = packer.add(length)
                         piece = got[4 * start : 4 * (start + length)]
-                        rows.append((doc, start, length, zlib.crc32(piece), n, base + seq, offset, piece))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 7 + [pa.binary()])], names=NAMES)
+                        rows.append((doc, start, length, zlib.crc32(piece), n, base + seq, offset, piece if ids else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(NAMES, ["long"] * 7 + ["binary"])))
+    schema = ", ".join(f"`{n}` {'binary' if n == 'ids' else 'long'}" for n in names)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -139,4 +162,4 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` as sequences of at most 4096 ids; the ids themselves are left out."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), "word_bpe_49k.json").drop("ids")
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), "word_bpe_49k.json", ids=False)

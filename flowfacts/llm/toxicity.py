@@ -167,14 +167,21 @@ def train(texts: list[str], labels: np.ndarray, span: int = SPAN) -> Model:
     """Fit on labelled texts (0 or 1). Without both labels the model scores the share of ones everywhere."""
     labels = np.asarray(labels, np.int64)
     prior = float(labels.mean()) if len(labels) else 0.0
-    split = [t.split() for t in texts]
-    keep = [i for i, s in enumerate(split) if s]
-    split, labels = [split[i] for i in keep], labels[keep]
+    number: dict[str, int] = {}
+    memory: dict[str, int] = {}
+
+    def code(word: str) -> int:
+        if word not in memory:
+            memory[word] = number.setdefault(word.lower().strip(_EDGE), len(number))
+        return memory[word]
+
+    coded = [np.fromiter(map(code, t.split()), np.int32) for t in texts]
+    labels = labels[[i for i, c in enumerate(coded) if len(c)]]
+    coded = [c for c in coded if len(c)]
+    memory.clear()
     if len(set(labels.tolist())) < 2:
         p = min(max(prior, 1e-3), 1 - 1e-3)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))), p)
-    number: dict[str, int] = {}
-    coded = [np.fromiter((number.setdefault(w.lower().strip(_EDGE), len(number)) for w in s), np.int64, len(s)) for s in split]
     # every fifth row stays out of training and sets the bias at the end
     check = [i for i in range(len(coded)) if i % 5 == 4]
     rest = [i for i in range(len(coded)) if i % 5 != 4]
@@ -258,10 +265,18 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> M
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     usable = usable.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
-    order = np.lexsort((got["text"].to_numpy(), got["doc_id"].to_numpy())) if got.num_rows else []
-    texts, toxic = got["text"].to_pylist(), got["toxic"].to_pylist()
-    return train([texts[i] for i in order], np.array([toxic[i] for i in order], np.int64))
+    got = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted(((d, t or "", y) for batch in batches for d, t, y in zip(*(c.to_pylist() for c in batch.columns))))
+        model = train([t for _, t, _ in held], np.array([y for _, _, y in held], np.int64))
+        yield pa.RecordBatch.from_pydict({"odds": pa.array([model.odds.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([float(model.bias)]), "prior": pa.array([float(model.prior)])})
+
+    # one task on an executor fits the model: its input is bounded by `rows`, and the driver gets the model alone
+    fitted = got.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "odds binary, bias double, prior double").first()
+    if fitted is None:
+        return train([], np.zeros(0, np.int64))
+    return Model(np.frombuffer(fitted["odds"], np.float32), fitted["bias"], fitted["prior"])
 
 
 def with_scores(documents: DataFrame, model: Model, column: str = "text", name: str = "__toxicity") -> DataFrame:
