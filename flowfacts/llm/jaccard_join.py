@@ -36,7 +36,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 _ODD = np.uint64(0xD1342543DE82EF95)
 _TABLE = np.random.RandomState(9).randint(1, 2**63 - 1, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: UTF-8 bytes handled at once.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Shingles of one unit of exact comparison.
 PART = 4_000_000
 PART_DOCS = 8192
@@ -49,6 +49,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 1..n of the multiplier and of its inverse modulo 2^64; remembered up to a portion's usual size."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    inverse = _ODD
+    for _ in range(6):  # Newton's iteration
+        inverse = inverse * (np.uint64(2) - _ODD * inverse)
+    made = [np.cumprod(np.full(max(n, CHUNK + CHUNK // 4), x, np.uint64)) for x in (_ODD, inverse)]
+    if n <= 2 * CHUNK:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
+
+
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text: words are runs of bytes other than space and 9-13, A-Z
     lower-cased; a text with fewer words than a shingle is one shingle; one without words is empty."""
@@ -61,13 +77,8 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     edge = np.diff(np.concatenate([[1], blank.view(np.int8), [1]]))
     start, stop = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(raw), _ODD, np.uint64))
+        power, back = _powers(len(raw))
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[low] * power)])
-        # inverse of an odd number modulo 2^64, by Newton's iteration
-        inverse = _ODD
-        for _ in range(6):
-            inverse = inverse * (np.uint64(2) - _ODD * inverse)
-        back = np.cumprod(np.full(len(raw), inverse, np.uint64))
         word = mix((prefix[stop] - prefix[start]) * back[start] + (stop - start).astype(np.uint64))
         first = np.searchsorted(start, np.concatenate([[0], ends[:-1]]))
         last = np.concatenate([first[1:], [len(start)]])
@@ -259,8 +270,8 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
-    blanks = (F.length("text") - F.length(F.translate(F.col("text").cast("string"), " \n\t", "")) + 1)
-    size = F.greatest(F.lit(1), F.coalesce(blanks, F.lit(1)) - (words - 1)).cast("long")
+    # about six bytes a word: only the choice between two exact ways and the number of buckets depend on it
+    size = F.greatest(F.lit(1), F.coalesce(F.octet_length("text"), F.lit(1)) / 6 - (words - 1)).cast("long")
     histogram = docs.select(size.alias("n")).groupBy(F.least("n", F.lit(400)).alias("n")).agg(F.count("*").alias("sets"), F.sum("n").alias("total")).collect()
     scheme = Scheme(per_cent)
     scheme.boundary = scheme.choose({r["n"]: r["sets"] for r in histogram})
@@ -371,3 +382,14 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of ``documents`` that share 85 of 100 distinct 4-word shingles."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)
+
+
+def keep_one_of_each_group(documents: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
+    """The documents, all columns, but of each linked group only the one with the smallest doc_id.
+
+    Null ids and empty texts stay. Only the ids to drop take part in the last join, broadcast if they are few.
+    """
+    found = jaccard_components(documents, words, per_cent)
+    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    return documents.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")

@@ -132,7 +132,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
 
     file = path(tokenizer)
     names = NAMES if ids else NAMES[:-1]
-    types = [pa.int64()] * 7 + [pa.binary()]
+    types = ([pa.int64()] * 7 + [pa.binary()])[: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.setdefault(file, None) or WordIds(file)
@@ -151,7 +151,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
                         seq, offset = packer.add(length)
                         piece = got[4 * start : 4 * (start + length)]
                         rows.append((doc, start, length, zlib.crc32(piece), n, base + seq, offset, piece if ids else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in zip(types, zip(*rows))], names=names)
 
     schema = ", ".join(f"`{n}` {'binary' if n == 'ids' else 'long'}" for n in names)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -367,3 +367,26 @@ def find_personal_data(documents: DataFrame, model: tuple[np.ndarray, np.ndarray
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text of ``documents``."""
     return find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("redacted")
+
+
+def redact_documents(documents: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """The documents, all columns, with each span of ``text`` replaced by its kind; n_chars, if there, follows. Null texts
+    stay null."""
+    weights = model or train()
+    place, names = documents.columns.index("text"), documents.columns
+    chars = names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(place).to_pylist()
+                columns = list(part.columns)
+                out = [t if t is None or not spans else redact(t, spans) for t, (_, spans) in zip(texts, all_spans(weights, [t or "" for t in texts]))]
+                columns[place] = pa.array(out, part.schema.field(place).type)
+                if chars is not None:
+                    kept = part.column(chars).to_pylist()
+                    columns[chars] = pa.array([k if a is b or a == b else len(a) for k, a, b in zip(kept, out, texts)], part.schema.field(chars).type)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    return documents.mapInArrow(run, documents.schema)

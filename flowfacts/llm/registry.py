@@ -8,8 +8,9 @@ from .line_dedup import ORACLE as LINE_DEDUP_ORACLE
 from .line_dedup import op3_line_dedup
 from .packing import op8_packing
 from .pii import op9_personal_data
+from .sentencepiece_viterbi import op7_sentencepiece
 from .sharding import op6_sharding
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op3_line_dedup, op4_html_main_text, op5_jaccard_join, op6_sharding, op8_packing, op9_personal_data, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op3_line_dedup, op4_html_main_text, op5_jaccard_join, op6_sharding, op7_sentencepiece, op8_packing, op9_personal_data, op10_toxicity)}
 ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_ORACLE}

@@ -310,3 +310,9 @@ def score(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text of ``documents``, learned from ``labels``."""
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+    """The documents, all columns, whose score is below one half; rows as in ``score``."""
+    got = with_scores(documents, fit(documents, labels, rows))
+    return got.where("__toxicity < 0.5").select(*documents.columns)
