@@ -2,8 +2,8 @@
 
 Each tree draws one long string of random-hyperplane bits per vector and keeps the strings of a block of rows as
 one sorted array. A query descends in every tree to the longest prefix it shares with any row, found by binary
-search; then all trees ascend together, one bit shorter at a time, until the rows below the reached prefixes are
-at least ``share`` of the block. Those candidates are scored exactly in double precision.
+search; then all trees ascend together, one bit shorter at a time, until the different rows below the reached prefixes,
+without the query's own, are at least ``share`` of the block. Those candidates are scored exactly in double precision.
 
 Rows are indexed in blocks of at most ``block`` rows, as segments of an index; every query visits every block and
 the blocks' answers are merged. A block's size is fixed, so the share of a block that is looked at, and with it the
@@ -23,6 +23,8 @@ from .embedding_dedup import valid_vectors
 TREES = 80
 BITS = 32
 SHARE = 0.5
+#: A query meets at least so many rows of a block, or all of a smaller one.
+LEAST = 64
 BLOCK = 8192
 QUERIES = 1024
 SEED = 77
@@ -43,32 +45,37 @@ class Forest:
         weights = np.uint64(1) << np.arange(self.bits - 1, -1, -1).astype(np.uint64)
         return np.stack([((unit @ p) >= 0).astype(np.uint64) @ weights for p in planes])
 
-    def candidates(self, queries: np.ndarray, least: int):
-        """For each query, the rows met by descending to the longest matches and ascending until ``least`` were met."""
+    def candidates(self, queries: np.ndarray, own: np.ndarray, least: int):
+        """For each query, the rows met by descending to the longest matches and ascending until ``least`` different rows
+        besides the query's own (index, or -1) were met, or all there are."""
         keys = self.hashes(queries)
-        n = len(queries)
-        low = np.zeros((self.trees, n), np.int32)
-        high = np.full((self.trees, n), self.sorted.shape[1], np.int32)
-        active = np.ones(n, bool)
-        # the level reached is the deepest at which all trees together hold `least` rows; counts only shrink on the way down
+        n, rows = len(queries), self.sorted.shape[1]
+        low = np.zeros((self.bits + 1, self.trees, n), np.int32)
+        high = np.full((self.bits + 1, self.trees, n), rows, np.int32)
+        level = np.zeros(n, np.int64)  # the deepest at which all trees together hold `least` entries: no deeper one can do
         for depth in range(1, self.bits + 1):
             shift = np.uint64(self.bits - depth)
-            here = np.nonzero(active)[0]
+            here = np.nonzero(level == depth - 1)[0]
             if not len(here):
                 break
-            lo, hi = np.empty((self.trees, len(here)), np.int32), np.empty((self.trees, len(here)), np.int32)
             for t in range(self.trees):
                 prefix = keys[t, here] >> shift
-                lo[t] = np.searchsorted(self.sorted[t], prefix << shift, "left")
-                hi[t] = np.searchsorted(self.sorted[t], (prefix << shift) | ((np.uint64(1) << shift) - np.uint64(1)), "right")
-            deep = (hi - lo).sum(0) >= least
-            active[here[~deep]] = False
-            low[:, here[deep]], high[:, here[deep]] = lo[:, deep], hi[:, deep]
+                low[depth, t, here] = np.searchsorted(self.sorted[t], prefix << shift, "left")
+                high[depth, t, here] = np.searchsorted(self.sorted[t], (prefix << shift) | ((np.uint64(1) << shift) - np.uint64(1)), "right")
+            deep = (high[depth][:, here] - low[depth][:, here]).sum(0) >= least
+            level[here[deep]] = depth
         for q in range(n):
-            mark = np.zeros(self.sorted.shape[1], bool)
-            for t in range(self.trees):
-                mark[self.order[t, low[t, q] : high[t, q]]] = True
-            yield np.nonzero(mark)[0]
+            enough = min(least, rows - (own[q] >= 0))
+            for depth in range(level[q], -1, -1):
+                mark = np.zeros(rows, bool)
+                for t in range(self.trees if depth else 1):
+                    mark[self.order[t, low[depth, t, q] : high[depth, t, q]]] = True
+                if own[q] >= 0:
+                    mark[own[q]] = False
+                found = np.nonzero(mark)[0]
+                if len(found) >= enough:
+                    break
+            yield found
 
 
 def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, trees: int = TREES, bits: int = BITS, share: float = SHARE):
@@ -80,8 +87,9 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.n
     base, asked = unit(x), unit(queries)
     forest = Forest(base, trees, bits)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for q, found in enumerate(forest.candidates(asked, max(4 * (k + 1), int(share * len(ids))))):
-        found = found[ids[found] != query_ids[q]]
+    place = {int(v): i for i, v in enumerate(ids)}
+    own = np.array([place.get(int(q), -1) for q in query_ids], np.int64)
+    for q, found in enumerate(forest.candidates(asked, own, max(LEAST, int(share * len(ids))))):
         score = base[found] @ asked[q]
         if len(found) > k:
             part = np.argpartition(-score, k - 1)
