@@ -207,27 +207,30 @@ def train(table: list[list[tuple[str, str]]] | None = None, rounds: int = 30, ra
             n, m = x.shape[:2]
             live = np.arange(m) < length[:, None]
             score = w[x].sum(2)
-            forward, backward = np.zeros((n, m, k)), np.zeros((n, m, k))
-            forward[:, 0] = score[:, 0] + t[k]
-            for i in range(1, m):
-                got = np.logaddexp.reduce(forward[:, i - 1, :, None] + t[None, :k], axis=1) + score[:, i]
+            local, move = np.exp(score - score.max(2, keepdims=True)), np.exp(t)
+            # forward and backward values are scaled at every step, so that they stay in range on long sequences
+            forward, backward = np.zeros((n, m, k)), np.ones((n, m, k))
+            for i in range(m):
+                got = local[:, i] * (forward[:, i - 1] @ move[:k] if i else move[k])
+                got /= got.sum(1, keepdims=True)
                 forward[:, i] = np.where(live[:, i, None], got, forward[:, i - 1])
             for i in range(m - 2, -1, -1):
-                got = np.logaddexp.reduce(t[None, :k] + (score[:, i + 1] + backward[:, i + 1])[:, None, :], axis=2)
-                backward[:, i] = np.where(live[:, i + 1, None], got, 0)
-            z = np.logaddexp.reduce(forward[np.arange(n), length - 1], axis=1)
-            single = np.exp(forward + backward - z[:, None, None]) * live[:, :, None]
+                got = (local[:, i + 1] * backward[:, i + 1]) @ move[:k].T
+                backward[:, i] = np.where(live[:, i + 1, None], got / got.sum(1, keepdims=True), 1)
+            single = forward * backward
+            single *= live[:, :, None] / single.sum(2, keepdims=True)
             dt = np.zeros_like(t)
             dt[k] -= single[:, 0].sum(0)
             for i in range(1, m):
-                pair = np.exp(forward[:, i - 1, :, None] + t[None, :k] + (score[:, i] + backward[:, i])[:, None, :] - z[:, None, None])
-                dt[:k] -= (pair * live[:, i, None, None]).sum(0)
+                left, right = forward[:, i - 1], local[:, i] * backward[:, i]
+                share = live[:, i] / np.einsum("na,ab,nb->n", left, move[:k], right, optimize=True)
+                dt[:k] -= move[:k] * (left.T @ (right * share[:, None]))
             error = -single
             for i, (_, y) in enumerate(part):
                 error[i, np.arange(len(y)), y] += 1
                 np.add.at(dt, ([k, *y[:-1]], y), 1)
-            dw = np.zeros_like(w)
-            np.add.at(dw, x.reshape(-1, WIDTH), error.reshape(-1, 1, k))
+            flat = x.ravel()
+            dw = np.stack([np.bincount(flat, np.repeat(error[:, :, j].ravel(), WIDTH), SLOTS + 1) for j in range(k)], axis=1)
             dw[SLOTS] = 0
             dw -= penalty * w
             gw += dw**2
@@ -237,6 +240,12 @@ def train(table: list[list[tuple[str, str]]] | None = None, rounds: int = 30, ra
     return w, t
 
 
+@lru_cache(1)
+def default_model() -> tuple[np.ndarray, np.ndarray]:
+    """The field trained on the table made by rule; the same on every machine, so once a process is enough."""
+    return train()
+
+
 def decode(model: tuple[np.ndarray, np.ndarray], sequences: list[list[str]]) -> list[np.ndarray]:
     """Best label numbers of each token sequence: Viterbi over batches of sequences of near equal length."""
     w, t = model
@@ -348,7 +357,7 @@ def find_personal_data(documents: DataFrame, model: tuple[np.ndarray, np.ndarray
     length are read; repeated rows are each answered, null ids stay; an empty table gives no rows. Other columns are
     not read. There is no shuffle.
     """
-    weights = model or train()
+    weights = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,7 +381,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_documents(documents: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """The documents, all columns, with each span of ``text`` replaced by its kind; n_chars, if there, follows. Null texts
     stay null."""
-    weights = model or train()
+    weights = model or default_model()
     place, names = documents.columns.index("text"), documents.columns
     chars = names.index("n_chars") if "n_chars" in names else None
 
