@@ -35,29 +35,41 @@ def _bumped(v: Column, at: Column) -> Column:
     return F.concat(F.slice(v, 1, at - 1), F.array(F.get(v, at - 1) + 1))
 
 
-def satisfies_clause(version: Column, clause: Column) -> Column:
-    """Whether a version array meets one clause such as '>=1.2', '==1.*', '~=2.1' or '^0.3'; an unknown clause holds."""
-    text = F.trim(clause)
-    op = F.regexp_extract(text, r"^(===|==|!=|<=|>=|~=|<|>|\^)", 1)
-    operand = F.trim(F.substring(text, F.length(op) + 1, F.lit(1_000)))
-    want = parse(F.regexp_replace(operand, r"\.\*$", ""))
+def compiled(spec: Column) -> Column:
+    """array (alternatives) of arrays (clauses) of struct<op, want, star, ceiling>: a specifier read once, to be met by many
+    versions. ``ceiling`` is the first version too high for '~=' and '^'."""
+    def clause(c: Column) -> Column:
+        text = F.trim(c)
+        op = F.regexp_extract(text, r"^(===|==|!=|<=|>=|~=|<|>|\^)", 1)
+        operand = F.trim(F.substring(text, F.length(op) + 1, F.lit(1_000)))
+        want = parse(F.regexp_replace(operand, r"\.\*$", ""))
+        first = F.array_position(F.transform(want, lambda p: p != 0), F.lit(True)).cast("int")
+        ceiling = F.when(op == "~=", _bumped(want, F.greatest(F.lit(1), F.size(want) - 1))).when(op == "^", _bumped(want, F.when(first == 0, F.size(want)).otherwise(first)))
+        return F.struct(op.alias("op"), want.alias("want"), operand.endswith(".*").alias("star"), ceiling.alias("ceiling"))
+
+    return F.transform(F.split(spec, r"\|\|"), lambda a: F.transform(F.filter(F.split(a, ","), lambda c: F.trim(c) != ""), clause))
+
+
+def _meets_clause(version: Column, c: Column) -> Column:
+    op, want = c["op"], c["want"]
     order = compare(version, want)
     prefix = F.slice(_padded(version, want), 1, F.size(want)) == want
-    compatible = (order >= 0) & (compare(version, _bumped(want, F.greatest(F.lit(1), F.size(want) - 1))) < 0)
-    first = F.array_position(F.transform(want, lambda p: p != 0), F.lit(True)).cast("int")
-    caret = (order >= 0) & (compare(version, _bumped(want, F.when(first == 0, F.size(want)).otherwise(first))) < 0)
-    star = operand.endswith(".*")
     return (
-        F.when(op.isin("==", "==="), F.when(star, prefix).otherwise(order == 0))
-        .when(op == "!=", F.when(star, ~prefix).otherwise(order != 0))
+        F.when(op.isin("==", "==="), F.when(c["star"], prefix).otherwise(order == 0))
+        .when(op == "!=", F.when(c["star"], ~prefix).otherwise(order != 0))
         .when(op == "<", order < 0).when(op == "<=", order <= 0).when(op == ">", order > 0).when(op == ">=", order >= 0)
-        .when(op == "~=", compatible).when(op == "^", caret).otherwise(F.lit(True))
+        .when(op.isin("~=", "^"), (order >= 0) & (compare(version, c["ceiling"]) < 0)).otherwise(F.lit(True))
     )
 
 
+def meets(version: Column, alternatives: Column) -> Column:
+    """Whether a version array meets a compiled specifier; an empty one always holds, as does an unknown clause."""
+    return F.exists(alternatives, lambda a: F.forall(a, lambda c: _meets_clause(version, c)))
+
+
 def satisfies(version: Column, spec: Column) -> Column:
-    """Whether a version array meets any of the alternatives (||) of comma-joined clauses; an empty specifier always holds."""
-    return F.exists(F.split(spec, r"\|\|"), lambda a: F.forall(F.filter(F.split(a, ","), lambda c: F.trim(c) != ""), lambda c: satisfies_clause(version, c)))
+    """Whether a version array meets any of the alternatives (||) of comma-joined clauses such as '>=1.2', '==1.*', '~=2.1'."""
+    return meets(version, compiled(spec))
 
 
 def lower_bounds(spec: Column) -> Column:

@@ -40,9 +40,11 @@ def suffix_kinds(symbols: DataFrame, models: DataFrame, key: str, symbol: str =
 
 def affected(requirements: DataFrame, advisories: DataFrame) -> DataFrame:
     """Requirements (requirement, package, version text) joined with the advisories (advisory, package, vulnerable) whose
-    range they meet: an equi join on the package, then the range."""
-    both = requirements.join(advisories, "package")
-    return both.where(versions.satisfies(versions.parse(F.col("version")), F.col("vulnerable"))).select("requirement", "advisory", "package", "version")
+    range they meet: an equi join on the package, then the range. Both sides are parsed once, before they meet."""
+    specifiers = advisories.select("advisory", "package", versions.compiled(F.col("vulnerable")).alias("compiled"))
+    parsed = requirements.select("requirement", "package", "version", versions.parse(F.col("version")).alias("parsed"))
+    both = parsed.join(specifiers, "package")
+    return both.where(versions.meets(F.col("parsed"), F.col("compiled"))).select("requirement", "advisory", "package", "version")
 
 
 def first_by_precedence(candidates: DataFrame, key: str) -> DataFrame:
