@@ -6,6 +6,13 @@ boundaries depend on what stands there and not on where it stands. Chunks are co
 their bytes; all but the first occurrence (smallest doc_id, then place) of a chunk that occurs again are marked, and runs
 of marked chunks that reach ``MIN_WORDS`` words in several lines (or ``LONG_WORDS`` in one) are removed, after the bytes
 under each hash were compared: a hash that stands for two texts removes nothing.
+
+A chunk can take in a line of its neighbours and then matches nothing, so the rule above misses repeats. With ``fine``,
+every two lines that follow one another (blank ones left out, white space around a line left aside) and every line of
+``LONG_WORDS`` words are counted over the whole table too, and all but the first occurrence is marked. Runs of marked pairs
+that reach ``MIN_WORDS`` words, and marked long lines, are removed besides the chunks, so that every repeated passage of
+more than 50 words in whole lines goes. Each line that is removed stands before, where it is kept. The SQL has the rule
+without ``fine``.
 """
 
 from __future__ import annotations
@@ -27,8 +34,13 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def lines_of(text: Column) -> Column:
+    """array<string> of the lines of a text, as chunks() takes them."""
+    return F.filter(F.split(text, r"(?<=\n)|(?<=\. )"), lambda x: x != "")
+
+
 def chunks(text: Column) -> Column:
-    """array<struct<k, text, lines>> of a non-null text: its chunks in order; their texts joined give the text."""
+    """array<struct<k, text, lines, start>> of a non-null text: its chunks in order; their texts joined give the text."""
 
     def cut(lines: Column) -> Column:
         def group(digests: Column) -> Column:
@@ -40,7 +52,7 @@ def chunks(text: Column) -> Column:
             def slices(at: Column) -> Column:
                 def one(start: Column, k: Column) -> Column:
                     size = F.coalesce(F.get(at, k + 1), F.size(lines)) - start
-                    return F.struct(k.alias("k"), F.array_join(F.slice(lines, start + 1, size), "").alias("text"), size.alias("lines"))
+                    return F.struct(k.alias("k"), F.array_join(F.slice(lines, start + 1, size), "").alias("text"), size.alias("lines"), start.alias("start"))
 
                 return F.transform(at, one)
 
@@ -48,7 +60,58 @@ def chunks(text: Column) -> Column:
 
         return _let(F.transform(lines, lambda x: F.md5(x)), group)
 
-    return F.when(F.length(text) > 0, _let(F.filter(F.split(text, r"(?<=\n)|(?<=\. )"), lambda x: x != ""), cut))
+    return F.when(F.length(text) > 0, _let(lines_of(text), cut))
+
+
+def _bare(lines: Column) -> Column:
+    """array<struct<line, i, words>>: the lines that aren't blank, without white space around them, their places and words."""
+    trimmed = F.transform(lines, lambda x, i: F.struct(F.trim(F.translate(x, "\n\t\r", "   ")).alias("line"), i.alias("i")))
+    return F.transform(F.filter(trimmed, lambda x: x["line"] != ""), lambda x: F.struct(
+        x["line"].alias("line"), x["i"].alias("i"), (F.length(x["line"]) - F.length(F.translate(x["line"], " ", "")) + 1).alias("words")))
+
+
+def units(text: Column) -> Column:
+    """array<struct<i, place, upto, h, words, last, a, b>> of a non-null text.
+
+    A unit is a pair of neighbouring lines a and b (i counts the lines that aren't blank; place and upto are the lines'
+    places, last are b's words), or a line of LONG_WORDS alone, with a null b.
+    """
+
+    def both(bare: Column) -> Column:
+        def pair(x: Column, i: Column) -> Column:
+            y = F.get(bare, i + 1)
+            return F.struct(i.alias("i"), x["i"].alias("place"), y["i"].alias("upto"), F.xxhash64(x["line"], y["line"]).alias("h"), x["words"].alias("words"), y["words"].alias("last"), x["line"].alias("a"), y["line"].alias("b"))
+
+        def alone(x: Column) -> Column:
+            return F.struct(F.lit(None).cast("int").alias("i"), x["i"].alias("place"), x["i"].alias("upto"), F.xxhash64(F.lit("1"), x["line"]).alias("h"), x["words"].alias("words"), F.lit(0).alias("last"), x["line"].alias("a"), F.lit(None).cast("string").alias("b"))
+
+        pairs = F.transform(F.slice(bare, 1, F.greatest(F.size(bare) - 1, F.lit(0))), pair)
+        return F.concat(pairs, F.transform(F.filter(bare, lambda x: x["words"] >= LONG_WORDS), alone))
+
+    return F.when(F.length(text) > 0, _let(_let(lines_of(text), _bare), both))
+
+
+def repeated_lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, cut: array<struct<place, upto, h>>) of the documents that lose repeated pairs of lines or long lines."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keys = materialize(docs.select("doc_id", F.explode(units(F.col("text"))).alias("u")).select("doc_id", "u.i", "u.place", "u.upto", "u.h", "u.words", "u.last"), "units")
+    many = materialize(keys.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1").drop("n"), "many")
+    # a hash of very many units would land in one task of a shuffled join, so the hashes are broadcast where they are few
+    hashes = many.count()
+    marked = keys.join(F.broadcast(many) if hashes <= BROADCAST_ROWS else many, "h").where(~F.struct("doc_id", "place").eqNullSafe(F.col("first"))).where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "place", "upto", "h"])
+    # neighbouring marked pairs form a run; i is null where a line stands alone
+    island = F.col("i") - F.dense_rank().over(Window.partitionBy("doc_id", F.col("i").isNull()).orderBy("i"))
+    runs = marked.withColumn("island", island).groupBy("doc_id", "island").agg(
+        (F.sum("words") + F.max_by("last", "i")).alias("words"), F.collect_list(F.struct("place", "upto", "h", "first")).alias("hit"))
+    runs = runs.where((F.col("words") >= MIN_WORDS) | F.col("island").isNull())
+    hits = materialize(runs.select("doc_id", F.explode("hit").alias("x")).select("doc_id", "x.place", "x.upto", "x.h", "x.first"), "cuts")
+    # compare the lines under each hash
+    places = hits.select("doc_id", "h").unionAll(hits.select(F.col("first.doc_id").alias("doc_id"), "h")).distinct()
+    by_doc = places.groupBy("doc_id").agg(F.collect_set("h").alias("wanted"))
+    small = 2 * hits.count() <= BROADCAST_ROWS
+    found = docs.join(F.broadcast(by_doc) if small else by_doc, "doc_id").select(F.explode(F.filter(units(F.col("text")), lambda u: F.array_contains(F.col("wanted"), u["h"]))).alias("u")).select("u.h", "u.a", "u.b")
+    clash = found.distinct().groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")
+    return hits.join(clash, "h", "left_anti").groupBy("doc_id").agg(F.collect_set(F.struct("place", "upto", "h")).alias("cut"))
 
 
 def repeated_chunks(documents: DataFrame) -> DataFrame:
@@ -77,31 +140,46 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     return safe.groupBy("doc_id").agg(F.collect_set(F.struct("k", "h")).alias("removed"))
 
 
-def dedup_lines(documents: DataFrame, drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, drop_emptied: bool = False, fine: bool = False) -> DataFrame:
     """The documents with repeated chunks taken out of ``text``, and ``removed_chunks`` (long).
 
     All columns are kept; n_chars, if there, follows the text. Null and empty texts stay as they are. Rows that repeat a
     doc_id count as one document: they lose the same chunks and never take each other's. A null doc_id keeps its text and
     counts as the first. An empty table gives no rows. With drop_emptied, a document that loses its whole text, so that
-    nothing is said there that isn't said before, is left out.
+    nothing is said there that isn't said before, is left out. With fine, repeated pairs of lines and long lines go as
+    well, and ``removed_units`` (long) counts them.
     """
     removed = materialize(repeated_chunks(documents), "removed")
-    entries = removed.agg(F.count("*"), F.sum(F.size("removed"))).first()
-    gone = removed.select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"))
+    listed = "removed"
+    if fine:
+        removed = materialize(removed.join(repeated_lines(documents), "doc_id", "full"), "removed")
+        listed = "concat(coalesce(transform(removed, x -> 1), array()), coalesce(transform(cut, x -> 1), array()))"
+    entries = removed.agg(F.count("*"), F.sum(F.size(F.expr(listed)))).first()
+    gone = removed.select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"), *([F.col("cut").alias("__cut")] if fine else []))
     small = (entries[1] or 0) <= BROADCAST_ROWS
     joined = documents.join(F.broadcast(gone) if small else gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
 
     def keep(c: Column) -> Column:
-        return ~F.array_contains(F.col("__removed"), F.struct(c["k"].alias("k"), F.xxhash64(c["text"]).alias("h")))
-
-    text = F.when(F.col("__removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(
-        F.coalesce(F.array_join(F.transform(F.filter(chunks(F.col("text")), keep), lambda c: c["text"]), ""), F.lit("")))
-    out = joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns], F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("removed_chunks"))
+        return ~F.coalesce(F.array_contains(F.col("__removed"), F.struct(c["k"].alias("k"), F.xxhash64(c["text"]).alias("h"))), F.lit(False))
+
+    def rest(cut: Column) -> Column:
+        """Lines of the chunks that stay, without those at the places in cut."""
+        return F.flatten(F.transform(F.filter(chunks(F.col("text")), keep), lambda c: F.filter(lines_of(c["text"]), lambda _, i: ~F.array_contains(cut, c["start"] + i))))
+
+    whole = F.transform(F.filter(chunks(F.col("text")), keep), lambda c: c["text"])
+    if fine:
+        cuts = F.filter(units(F.col("text")), lambda u: F.array_contains(F.col("__cut"), F.struct(u["place"].alias("place"), u["upto"].alias("upto"), u["h"].alias("h"))))
+        places = F.array_distinct(F.flatten(F.transform(cuts, lambda u: F.sequence(u["place"], u["upto"]))))
+        whole = F.when(F.col("__cut").isNull(), whole).otherwise(_let(places, rest))
+    text = F.when(F.col("__id").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.coalesce(F.array_join(whole, ""), F.lit("")))
+    counts = {"removed_chunks": "__removed"} | ({"removed_units": "__cut"} if fine else {})
+    out = joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns], *[F.coalesce(F.size(c), F.lit(0)).cast("long").alias(k) for k, c in counts.items()])
+    changed = F.greatest(F.lit(0), *[F.col(k) for k in counts]) > 0
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     if drop_emptied:
-        out = out.where((F.col("removed_chunks") == 0) | (F.length(F.trim(F.translate("text", "\n\t", "  "))) > 0) | F.col("text").isNull())
+        out = out.where(~changed | (F.length(F.trim(F.translate("text", "\n\t", "  "))) > 0) | F.col("text").isNull())
     return out
 
 

@@ -122,6 +122,37 @@ def test_op3_chunks_join_to_the_text_and_edge_cases(spark):
     assert dedup_lines(df.where("false")).count() == 0
 
 
+def test_line_dedup_stage_takes_every_planted_passage(spark):
+    """60 passages of 50 to 120 words, of one line and of several, planted twice at random line breaks."""
+    rng = np.random.RandomState(3)
+    texts = [[f"Own line {d} number {k} {passage(rng.randint(2, 14), f'd{d}k{k}x')}." for k in range(rng.randint(3, 12))] for d in range(120)]
+    planted = []
+    for n in range(60):
+        words = [f"p{n}w{k}" for k in range(rng.randint(51, 121))]
+        size = len(words) if n % 3 == 0 else rng.randint(4, 20)
+        planted.append([" ".join(words[k : k + size]) + "." for k in range(0, len(words), size)])
+        for d in rng.choice(120, 2, replace=False):
+            at = rng.randint(0, len(texts[d]) + 1)
+            while at and texts[d][min(at, len(texts[d])) - 1][0] == "p" and at < len(texts[d]):
+                at += 1
+            texts[d][at:at] = planted[-1]
+    own = [[x for x in t if x[0] == "O"] for t in texts]
+    table = docs(spark, [("\n" if d % 2 else " ").join(t) for d, t in enumerate(texts)])
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, table, SF).collect()}
+    everything = " ".join(got[d] for d in sorted(got))
+    for p in planted:
+        assert [everything.count(x) for x in p] == [1] * len(p)
+    assert all(x in got[d] for d in got for x in own[d])
+
+
+def test_line_dedup_stage_keeps_one_of_each_line(spark):
+    line = "Say it once more with these words here. "
+    table = docs(spark, [line * 9, passage(50) + ".", "short one. " + passage(50) + ".\nshort end. ", "Hi there. Bye now. ", "Hi there. Bye now. ", "", None])
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, table, SF).collect()}
+    assert got[0].count(line) == 1 and got[1] == passage(50) + "." and got[2] == "short one. short end. "
+    assert got[3] == got[4] == "Hi there. Bye now. " and got[5] == "" and got[6] is None
+
+
 def test_op4_takes_the_article_alone(spark):
     body = "<p>First &amp; foremost   words of a real article, long enough to count as text.</p><p>Second paragraph of the article, also with many words in it.</p>"
     pages = [(0, "u", f"<html><body><nav><a href='/x'>Menu</a></nav><article>{body}</article><footer>Imprint</footer><script>var a=1</script></body></html>"), (1, "u", None), (2, None, ""), (3, "u", "<<<>")]
