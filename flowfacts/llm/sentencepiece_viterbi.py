@@ -1,12 +1,14 @@
-"""SentencePiece encoding and decoding by streaming Viterbi (operator 7).
+"""SentencePiece encoding and decoding by a streaming search over piece boundaries (operator 7).
 
-A text becomes a space mark, then the text with its spaces as space marks. Of all ways to cut it into pieces of the model the one of the
-largest sum of piece scores is taken (at equal sums the longer last piece); a character that no piece covers is cut into
-its UTF-8 bytes, each for less than any piece. The search keeps scores for the last ``longest`` positions only, since no
-piece reaches further back, and hands out ids as soon as the paths of all surviving positions meet in one boundary.
+A text becomes a space mark, then the text with its spaces as space marks. The model is a BPE model: from single characters
+on, the neighbours whose union is the piece of the best score (the leftmost at equal scores) are merged until none is left.
+A row of pieces is what the merges give exactly if each two neighbours in it are what the merges give for the two alone, so
+each boundary has one last piece, and the search goes over boundaries as Viterbi does, with this test in place of sums. A
+character that no piece covers stands alone and becomes its UTF-8 bytes. The search keeps the last ``longest`` positions
+only, since no piece reaches further back, and hands out ids as soon as the paths of all positions meet in one boundary.
 
-Where the model's pieces show that paths always meet between letters and other characters and before the space mark that
-follows them, equal runs between such points have equal ids, so a worker remembers the ids of short ones.
+Where the model's pieces show that no piece reaches from letters to other characters or before the space mark that follows
+them, equal runs between such points have equal ids, so a worker remembers the ids of short ones, merged directly.
 """
 
 from __future__ import annotations
@@ -47,9 +49,6 @@ class Pieces:
         if (self.byte < 0).any():
             raise ValueError("the model has no byte pieces")
         self.longest = max(len(names[i]) for i in plain)
-        worst = min(model.get_score(i) for i in plain)
-        #: what each byte of an uncovered character costs
-        self.fallback = worst - 10.0
         #: every prefix of a piece, with (score, id) where it is a piece; spaces stand for space marks
         self.prefix: dict[str, tuple[float, int] | None] = {}
         for i in plain:
@@ -60,6 +59,8 @@ class Pieces:
         pairs = {pair for i in plain for pair in zip(names[i].replace(SPACE, " "), names[i].replace(SPACE, " ")[1:])}
         #: no piece has a space behind another character, or a letter beside a character that is neither letter nor space
         self.meets = not any(a != " " and (b == " " or bool(LETTER.match(a)) != bool(LETTER.match(b))) for a, b in pairs)
+        #: whether two pieces stay two when merged together
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.text = [b""] * n
         for i in plain:
             self.text[i] = names[i].replace(SPACE, " ").encode()
@@ -67,72 +68,99 @@ class Pieces:
             self.text[i] = bytes([b])
 
 
+    def merged(self, text: str) -> list[str]:
+        """The pieces that merging gives for a short text; characters no piece covers stand alone."""
+        parts, prefix = list(text), self.prefix
+        scores = [prefix.get(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
+            best, at = _NONE, -1
+            for k, got in enumerate(scores):
+                if got and got[0] > best:
+                    best, at = got[0], k
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = prefix.get(parts[at - 1] + parts[at])
+            if at < len(scores):
+                scores[at] = prefix.get(parts[at] + parts[at + 1])
+
+    def fits(self, left: str, right: str) -> bool:
+        """Whether right may stand behind left (empty at the start of a text)."""
+        got = self.pairs.get((left, right))
+        if got is None:
+            if len(self.pairs) > REMEMBERED:
+                self.pairs.clear()
+            got = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        return got
+
+    def ids(self, part: str) -> tuple[int, ...]:
+        got = self.prefix.get(part)
+        return got[1:] if got else tuple(int(self.byte[b]) for b in part.encode("utf-8", "surrogatepass"))
+
+
 class Stream:
-    """Viterbi over characters that come in portions; ids come out as soon as they are certain.
+    """The search over characters that come in portions; ids come out as soon as they are certain.
 
-    Boundaries are numbered from the last certain one. best[p] is the best score of a path to boundary p, back[p] the
-    boundary before and last[p] the ids between; only the boundaries within the longest piece behind the current one can
-    still be extended. When the current boundary is the furthest that any piece begun so far ends at, every surviving path
-    runs through it. Otherwise, whenever the undecided part has doubled, the survivors are traced back to their latest
-    common boundary.
+    Boundaries are numbered from the last certain one. last[p] is the only last piece that merging gives for the text up to
+    boundary p (None while it isn't found), back[p] the boundary before it; only the boundaries within the longest piece
+    behind the current one can still be extended. When the current boundary is the furthest that any piece begun so far
+    ends at, every path runs through it. Otherwise, whenever the undecided part has doubled, the paths are traced back to
+    their latest common boundary.
     """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.pending = ""  # characters from the current boundary on, kept until the longest piece would fit
-        self._reset()
+        self._reset("")
 
-    def _reset(self) -> None:
-        self.at, self.best, self.back, self.last = 0, [0.0], [0], [()]
+    def _reset(self, last: str) -> None:
+        self.at, self.back, self.last = 0, [0], [last]
         self.check = 4 * self.pieces.longest
 
     def push(self, text: str, last: bool = False) -> list[int]:
         """Ids that became certain with these characters."""
         out: list[int] = []
         pending = self.pending + text if self.pending else text
-        prefix, longest = self.pieces.prefix, self.pieces.longest
-        at, best, back, ids = self.at, self.best, self.back, self.last
+        prefix, longest, fits = self.pieces.prefix, self.pieces.longest, self.pieces.fits
+        at, back, names = self.at, self.back, self.last
         i, n = 0, len(pending)
         stop = n if last else n - longest
         while i < stop:
-            start, covered, shift = best[at], False, at - i
+            before, shift = names[at], at - i
             end = i + longest if i + longest < n else n
             for j in range(i + 1, end + 1):
-                got = prefix.get(pending[i:j], 0)
-                if got == 0:
+                part = pending[i:j]
+                got = prefix.get(part, 0)
+                if got == 0 and j > i + 1:
                     break
-                if got:
-                    p, score = j + shift, start + got[0]
-                    while len(best) <= p:
-                        best.append(_NONE)
+                if got or j == i + 1:
+                    p = j + shift
+                    while len(names) <= p:
                         back.append(0)
-                        ids.append(())
-                    if score > best[p]:  # of equal scores the first, with the longer last piece, stays
-                        best[p], back[p], ids[p] = score, at, got[1:]
-                    covered = covered or j == i + 1
-            if not covered:
-                raw = pending[i].encode("utf-8", "surrogatepass")
-                score = start + self.pieces.fallback * len(raw)
-                if len(best) <= at + 1:
-                    best.append(_NONE)
-                    back.append(0)
-                    ids.append(())
-                if score > best[at + 1]:
-                    best[at + 1], back[at + 1], ids[at + 1] = score, at, tuple(int(self.pieces.byte[b]) for b in raw)
+                        names.append(None)
+                    if names[p] is None and fits(before, part):
+                        back[p], names[p] = at, part
+                if got == 0:
+                    break
             i += 1
             at += 1
-            if len(best) == at + 1:
+            while names[-1] is None:
+                back.pop()
+                names.pop()
+            if len(names) == at + 1:
                 out += self._path(at)
-                self._reset()
-                at, best, back, ids = 0, self.best, self.back, self.last
+                self._reset(names[at])
+                at, back, names = 0, self.back, self.last
             elif at >= self.check:
                 done = self._meeting(at)
                 if done:
                     out += self._path(done)
-                    self.best, self.last = best[done:], ids[done:]
+                    self.last = names[done:]
                     self.back = [max(0, p - done) for p in back[done:]]
                     at -= done
-                    best, back, ids = self.best, self.back, self.last
+                    back, names = self.back, self.last
                     self.check = at + 4 * longest
                 else:
                     self.check = 2 * at
@@ -140,16 +168,16 @@ class Stream:
         return out
 
     def _path(self, to: int) -> list[int]:
-        """Ids of the best path from the last certain boundary to this one."""
+        """Ids of the path from the last certain boundary to this one."""
         parts = []
         while to:
             parts.append(self.last[to])
             to = self.back[to]
-        return [x for part in reversed(parts) for x in part]
+        return [x for part in reversed(parts) for x in self.pieces.ids(part)]
 
     def _meeting(self, at: int) -> int:
-        """The latest boundary that all surviving paths share; 0 if only the last certain one."""
-        alive = {p for p in range(at, len(self.best)) if self.best[p] > _NONE}
+        """The latest boundary that all paths share; 0 if only the last certain one."""
+        alive = {p for p in range(at, len(self.last)) if self.last[p] is not None}
         while len(alive) > 1:
             p = max(alive)
             alive.remove(p)
@@ -182,9 +210,10 @@ class Codec:
         for word in RUN.findall(" " + text):
             got = memory.get(word)
             if got is None:
-                got = self.run(word)
                 if len(word) <= LONG_RUN:
-                    memory[word] = got
+                    got = memory[word] = np.array([x for part in self.pieces.merged(word) for x in self.pieces.ids(part)], "<u4").tobytes()
+                else:
+                    got = self.run(word)
             out.append(got)
         return b"".join(out)
 

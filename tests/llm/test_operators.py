@@ -18,7 +18,7 @@ from flowfacts.llm.jaccard_join import jaccard_components, keep_one_of_each_grou
 from flowfacts.llm.line_dedup import ORACLE, chunks, dedup_lines
 from flowfacts.llm.packing import pack
 from flowfacts.llm.pii import find_personal_data, redact_documents
-from flowfacts.llm.sentencepiece_viterbi import decode_documents, encode_documents
+from flowfacts.llm.sentencepiece_viterbi import Pieces, Stream, decode_documents, encode_documents
 from flowfacts.llm.sharding import shard
 from flowfacts.llm.toxicity import score
 from tests.compare import differences
@@ -224,6 +224,32 @@ def test_op7_agrees_with_the_library_and_round_trips(spark):
             assert back[r.doc_id] == library.decode(ids.astype(int).tolist())
 
 
+def test_op7_ids_are_the_library_ids(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [t for (t,) in sql("SELECT text FROM '@/documents.parquet'")]
+    texts += ["international", "a  b", "日本語 \U0001f600", "a" * 1000, "ab" * 700 + "abc", "internationalization" * 60, "=" * 300, " " * 500, "x\n\n\ty", "\u0301e" * 200]
+    for r in encode_documents(docs(spark, texts), "piece_bpe_32k.model").collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == (library.encode(texts[r.doc_id]) if texts[r.doc_id] else [])
+
+
+def test_op7_stream_in_portions_gives_the_library_ids():
+    import public_tokenizers
+    import sentencepiece
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    library, pieces = sentencepiece.SentencePieceProcessor(model_file=file), Pieces(file)
+    texts = [t for (t,) in sql("SELECT text FROM '@/documents.parquet' WHERE length(text) BETWEEN 1 AND 3000 LIMIT 40")] + ["aab" * 500]
+    for text in texts:
+        for size in (1, 7, 100):
+            stream, out = Stream(pieces), []
+            for at in range(0, len(text) + 1, size):
+                out += stream.push((" " + text)[at : at + size], at + size > len(text))
+            assert out == library.encode(text)
+
+
 def test_op8_pieces_cover_the_library_ids(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
