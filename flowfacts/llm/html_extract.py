@@ -6,7 +6,8 @@ For a DOM node with C characters, T tags, LC link characters and LT link tags, i
 
 where T, LC, LT and C - LC count as at least 1. A node's density sum is that of its children. The node of the largest
 sum is the core of the article; the least density on its path to the body is the threshold, and the largest-sum nodes
-of other subtrees that reach it belong to the article too. Parts that are never article text by their element, role or
+of other subtrees that reach it belong to the article too. Where such a node stands in an <article> or <main>, all of the
+outermost one beside the path to the body is added, for the core the outermost on the path. Parts that are never article text by their element, role or
 class (menus, page headers, footers, sidebars, notices, adverts, forms, reader comments) are left out beforehand.
 """
 
@@ -198,28 +199,29 @@ class Page:
         while i != body:
             i = parent[i]
             path.add(i)
-        top = next((i for i in sorted(path) if tag[i] in ("article", "main")), None)
+        # the page says itself where its article is: the outermost such element around the core
+        top = next((i for i in sorted(path) if tag[i] in ("article", "main")), best)
         root = [False] * n
-        if top is not None:  # the page says itself where its article is, and the core lies in it
-            root[top] = True
-        else:
-            root[best] = True
-            # the largest-sum node of each other subtree that reaches the threshold
-            high: dict[int, int] = {}
-            for i in alive:
-                if i in path or density[i] < threshold or root[best] and self._under(i, best):
-                    continue
-                head = i
-                while parent[head] not in path:
-                    head = parent[head]
-                if head not in high or total[i] > total[high[head]]:
-                    high[head] = i
-            for i in high.values():
+        root[best] = root[top] = True
+        # the largest-sum node of each other subtree that reaches the threshold
+        high: dict[int, int] = {}
+        for i in alive:
+            if i in path or density[i] < threshold or self._under(i, top):
+                continue
+            head = i
+            while parent[head] not in path:
+                head = parent[head]
+            if head not in high or total[i] > total[high[head]]:
+                high[head] = i
+        for head, i in high.items():
+            above = [i]
+            while above[-1] != head:
+                above.append(parent[above[-1]])
+            root[next((k for k in reversed(above) if tag[k] in ("article", "main")), i)] = True
+        # headings beside what was chosen belong to it
+        for i in alive:
+            if re.fullmatch("h[1-6]", tag[i]) and parent[i] in path:
                 root[i] = True
-            # headings beside what was chosen belong to it
-            for i in alive:
-                if re.fullmatch("h[1-6]", tag[i]) and parent[i] in path:
-                    root[i] = True
         mark = [False] * n
         for i in range(n):
             mark[i] = root[i] or (i > 0 and mark[parent[i]])

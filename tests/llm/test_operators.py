@@ -13,7 +13,7 @@ from flowfacts.llm import registry
 from flowfacts.llm.ann import search
 from flowfacts.llm.common import connected_components
 from flowfacts.llm.embedding_dedup import near_duplicate_embeddings
-from flowfacts.llm.html_extract import extract
+from flowfacts.llm.html_extract import extract, main_text
 from flowfacts.llm.jaccard_join import jaccard_components, keep_one_of_each_group
 from flowfacts.llm.line_dedup import ORACLE, chunks, dedup_lines
 from flowfacts.llm.packing import pack
@@ -166,6 +166,20 @@ def shingles(text, n):
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def test_op4_adds_what_reaches_the_threshold_outside_the_article():
+    def story(name, n):
+        return "".join(f"<p>{name} paragraph {k} has a good many words in it, as text of an article has, and goes on for a while.</p>" for k in range(n))
+
+    menu = "<nav><a href='/x'>Menu</a></nav><div><a href='/a'>One link</a> <a href='/b'>Other link</a></div>"
+    siblings = main_text(f"<html><body>{menu}<article><h2>Part one</h2>{story('First', 6)}</article><article><h2>Part two</h2>{story('Second', 4)}</article><footer>Imprint</footer></body></html>")
+    assert all(f"First paragraph {k} " in siblings for k in range(6)) and all(f"Second paragraph {k} " in siblings for k in range(4))
+    assert "Part one" in siblings and "Part two" in siblings and "link" not in siblings and "Imprint" not in siblings
+    headed = main_text(f"<html><body>{menu}<h1>The headline</h1><p>A lead paragraph that stands before the article and has as many words as its other paragraphs, or more.</p><article>{story('First', 6)}</article></body></html>")
+    assert headed.startswith("The headline\nA lead paragraph") and "First paragraph 5 " in headed and "link" not in headed
+    plain = main_text(f"<html><body>{menu}<h1>The headline</h1><div>{story('First', 6)}</div><div>{story('Second', 4)}</div></body></html>")
+    assert "The headline" in plain and "First paragraph 5 " in plain and "Second paragraph 3 " in plain and "link" not in plain
+
+
 @pytest.mark.parametrize("words,per_cent", [(4, 85), (5, 80)])
 def test_op5_matches_brute_force(spark, words, per_cent):
     rows = sql("SELECT doc_id, text FROM '@/documents.parquet' ORDER BY doc_id")
