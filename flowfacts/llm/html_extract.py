@@ -58,6 +58,8 @@ class Page:
     def _parse(self, html: str) -> None:
         tag, parent, attrs, pieces, stack, at = self.tag, self.parent, self.attrs, self.pieces, [0], 0
         lower = None
+        #: depths on the stack by tag, and those of blocks
+        self.open, self.blocks = {}, []
         find, end = TOKEN.search, len(html)
         while at < end:
             m = find(html, at)
@@ -77,10 +79,10 @@ class Page:
                     pieces.append((stack[-1], None if name == "p" else " "))
                 if block:
                     pieces.append((stack[-1], None))
-                depth = next((k for k in range(len(stack) - 1, max(0, len(stack) - 500), -1) if tag[stack[k]] == name), 0)
+                depth = self._nearest((name,))
                 # an inline end tag doesn't close blocks that were opened after it
-                if depth and not (name in INLINE and any(tag[stack[k]] not in INLINE for k in range(depth + 1, len(stack)))):
-                    del stack[depth:]
+                if depth and not (name in INLINE and self.blocks and self.blocks[-1] > depth):
+                    self._cut(stack, depth)
                 continue
             if name in CLOSES_P:
                 self._close(stack, ("p",), ("table", "td", "th", "div", "article", "section", "button"))
@@ -101,15 +103,26 @@ class Page:
                     continue
                 at = end if stop < 0 else (html.find(">", stop) + 1 or end)
             elif name not in VOID and not text.endswith("/"):
+                self.open.setdefault(name, []).append(len(stack))
+                if block:
+                    self.blocks.append(len(stack))
                 stack.append(node)
 
+    def _nearest(self, names: tuple[str, ...]) -> int:
+        """Depth of the innermost open element of these names; 0 if none is open."""
+        return max((self.open[x][-1] for x in names if self.open.get(x)), default=0)
+
+    def _cut(self, stack: list[int], depth: int) -> None:
+        for node in stack[depth:]:
+            self.open[self.tag[node]].pop()
+        del stack[depth:]
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+
     def _close(self, stack: list[int], names: tuple[str, ...], until: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, max(0, len(stack) - 500), -1):
-            if self.tag[stack[k]] in until:
-                return
-            if self.tag[stack[k]] in names:
-                del stack[k:]
-                return
+        depth = self._nearest(names)
+        if depth > self._nearest(until):
+            self._cut(stack, depth)
 
     def noise(self, chars: list[int]) -> list[bool]:
         """Nodes that are no article text, with all below them. chars: characters below each node."""

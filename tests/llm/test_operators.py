@@ -180,6 +180,14 @@ def test_op4_adds_what_reaches_the_threshold_outside_the_article():
     assert "The headline" in plain and "First paragraph 5 " in plain and "Second paragraph 3 " in plain and "link" not in plain
 
 
+def test_op4_closes_a_block_over_many_open_elements():
+    story = "".join(f"<p>Paragraph {k} has a good many words in it, as text of an article has, and goes on for a while.</p>" for k in range(8))
+    for n in (10, 600, 20_000):
+        got = main_text(f"<html><body><div class='advert'>{'<font>Advert <span>' * n}</div><article>{story}</article></body></html>")
+        assert "Advert" not in got and got.count("Paragraph") == 8
+        assert main_text(f"<html><body><article>{'<p>' + '<font>' * n}Start<p>{story}</article></body></html>").count("Paragraph") == 8
+
+
 @pytest.mark.parametrize("words,per_cent", [(4, 85), (5, 80)])
 def test_op5_matches_brute_force(spark, words, per_cent):
     rows = sql("SELECT doc_id, text FROM '@/documents.parquet' ORDER BY doc_id")
