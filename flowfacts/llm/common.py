@@ -41,7 +41,7 @@ def discard(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
-def small_join(left: DataFrame, right: DataFrame, on: str, how: str, rows: int) -> DataFrame:
+def small_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str, rows: int) -> DataFrame:
     """Join; right is broadcast only if its counted rows are within the bound, else both sides are shuffled."""
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
 

@@ -4,6 +4,9 @@ Documents are tokenised where they are read and cut into full windows and one re
 fill level that minimises the sum over levels of the squared counts of partially filled windows: from level h to
 h + s the sum changes by 2 * (count[h + s] - count[h]) + 2, and by 2 * count[s] + 1 for a new window (full windows
 are not counted). The counts are kept in an array over levels, with the open windows of each level on a stack.
+
+Each partition of the scan has windows of its own. The pieces of the windows still open at its end go into a second round,
+which packs those of all partitions together: the largest first, each into the fullest window that takes it.
 """
 
 from __future__ import annotations
@@ -17,11 +20,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import materialize, small_join
 
 WINDOW = 4096
 END = 2
 #: Words whose ids a worker remembers; beyond, the memory is emptied and filled anew.
 REMEMBERED = 600_000
+#: Pieces of open windows that one task of the second round packs, about.
+LOOSE = 50_000
 
 
 class WordIds:
@@ -116,6 +124,22 @@ class SumOfSquares:
         return window, level
 
 
+    def fit(self, length: int) -> tuple[int, int]:
+        """(window, offset) for a piece of 1..size ids in the fullest window that takes it."""
+        levels = np.flatnonzero(self.count[1 : self.size - length + 1])
+        level = int(levels[-1]) + 1 if len(levels) else 0
+        if level:
+            window = self.open[level].pop()
+            self.count[level] -= 1
+        else:
+            window = self.made
+            self.made += 1
+        if level + length < self.size:
+            self.count[level + length] += 1
+            self.open[level + length].append(window)
+        return window, level
+
+
 _ENCODERS: dict[str, WordIds] = {}
 
 
@@ -124,9 +148,10 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
     uint32 LE).
 
     A document's ids are its text's plus the closing id ``end``; a null text is empty, so every row, repeated rows and
-    null ids too, gives at least one piece. Sequences are local to a partition of the scan (sequence_id holds the
-    partition in its upper bits), so there is no shuffle, a lost task gives the same rows again, and the few windows
-    left open at a partition's end are the only padding. An empty table gives no rows. Other columns are not read.
+    null ids too, gives at least one piece. Pieces are written once, with windows local to a partition of the scan
+    (sequence_id holds the partition in its upper bits); then the pieces of windows that are not full are packed again over
+    all partitions (bit 62 of sequence_id is set). Only places and lengths are shuffled. What the second round leaves open
+    is the only padding. An empty table gives no rows. Other columns are not read.
     """
     from public_tokenizers import path
 
@@ -154,7 +179,27 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in zip(types, zip(*rows))], names=names)
 
     schema = ", ".join(f"`{n}` {'binary' if n == 'ids' else 'long'}" for n in names)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    pieces = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "pieces")
+    moved, rows = repack_open(pieces, window)
+    joined = small_join(pieces, moved, ["sequence_id", "offset"], "left", rows)
+    put = {"sequence_id": F.coalesce("to", "sequence_id"), "offset": F.coalesce("at", "offset")}
+    return joined.select(*[put[n].alias(n) if n in put else n for n in names])
+
+
+def repack_open(pieces: DataFrame, window: int) -> tuple[DataFrame, int]:
+    """(sequence_id, offset, to, at) of the pieces in windows that are not full, with their new places, and their number."""
+    fill = F.sum("length").over(Window.partitionBy("sequence_id"))
+    loose = materialize(pieces.select("sequence_id", "offset", "length", fill.alias("fill")).where(F.col("fill") < window).drop("fill"), "loose")
+    rows = loose.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, base = SumOfSquares(window), (1 << 62) + (TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            places = [packer.fit(n) for n in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([base + w for w, _ in places], pa.int64()), pa.array([x for _, x in places], pa.int64())], names=["sequence_id", "offset", "to", "at"])
+
+    dealt = loose.repartition(max(1, -(-rows // LOOSE)), "sequence_id", "offset").sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
+    return materialize(dealt.mapInArrow(run, "sequence_id long, offset long, to long, at long"), "repacked"), rows
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]

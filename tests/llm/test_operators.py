@@ -294,6 +294,30 @@ def test_op8_pieces_cover_the_library_ids(spark):
         assert at <= 4096
 
 
+def test_op8_padding_stays_small_over_many_partitions(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    texts = [t for (t,) in sql("SELECT text FROM '@/documents.parquet'")] + ["", None]
+    got, windows = {}, {}
+    for r in pack(docs(spark, texts).repartition(50), "word_bpe_49k.json").collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.ids))
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, t in enumerate(texts):
+        want = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()
+        assert b"".join(p for _, p in sorted(got[i])) == want
+    for pieces in windows.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    filled = sum(length for pieces in windows.values() for _, length in pieces)
+    assert 1 - filled / (4096 * len(windows)) < 0.05
+
+
 def test_op9_base_spans_match_plain_patterns(spark):
     texts = [t for (t,) in sql("SELECT text FROM '@/documents.parquet'")] + ["a@b.co 1.2.3.4 256.1.1.1 +49 (30) 123-4567 4111 1111 1111 1111", "", None]
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
