@@ -4,8 +4,8 @@ The patterns find e-mail addresses, IP addresses, card numbers and international
 they cannot express: national phone numbers, secrets and identity numbers, told by word shapes in context. It is
 trained on a small labelled table made by rule in ``labelled_table`` and decoded by Viterbi over padded numpy batches.
 
-Every labelled kind holds a digit, so the field reads the tokens around each token with a digit; runs that overlap are
-one sequence. Everything else in a text is outside any span by the definition of the labels.
+Every labelled kind but the secret holds a digit, so the field reads the tokens around each token with a digit and around
+each word that names a secret; runs that overlap are one sequence. Everything else in a text is outside any span by the definition of the labels.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]+")
+#: A digit, or a word that names a secret.
+CLUE = re.compile(r"[0-9]+|(?<![A-Za-z])(?:[Tt]oken|TOKEN|[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Pp]wd|PWD|[Ss]ecret|SECRET|[Aa]pikey|APIKEY|[Kk]ey|KEY)(?![A-Za-z])")
 
 
 def luhn(digits: str) -> bool:
@@ -86,7 +88,7 @@ SLOTS = 1 << 13
 TOKEN = re.compile(r"[^\s\"'<>=,;()\[\]{}]+|[\"'=()]")
 #: Words whose presence beside a token is a feature of their own; all others are known by shape only.
 CUES = frozenset("token password passwd secret key apikey pwd phone tel telephone call fax mobile cell ssn iban passport id nr number card visa ip host email mail version page chapter year in of the costs".split())
-#: Tokens read on each side of a token with a digit.
+#: Tokens read on each side of a clue.
 CONTEXT = 4
 
 
@@ -114,11 +116,11 @@ def features(words: list[str]) -> list[list[int]]:
     for i, o in enumerate(own):
         b, a = own[i - 1] if i else pad, own[i + 1] if i + 1 < len(own) else pad
         bb = own[i - 2] if i > 1 else pad
-        out.append([slot(x) for x in (*o, "-" + b[0], "-" + b[6], "+" + a[0], "=" + bb[6], "=" + bb[0], f"{b[0]}|{o[0]}", f"{o[0]}|{a[0]}")])
+        out.append([slot(x) for x in (*o, "-" + b[0], "-" + b[6], "+" + a[0], "=" + bb[6], "=" + bb[0], f"{b[0]}|{o[0]}", f"{o[0]}|{a[0]}", "#" + (own[i - 3] if i > 2 else pad)[6])])
     return out
 
 
-WIDTH = 14
+WIDTH = 15
 
 
 def labelled_table(rows: int = 700, seed: int = 5) -> list[list[tuple[str, str]]]:
@@ -140,6 +142,10 @@ def labelled_table(rows: int = 700, seed: int = 5) -> list[list[tuple[str, str]]
     def mixed(n: int) -> str:
         return "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"[r.randint(62)] for _ in range(n - 2)) + "7q"
 
+    def letters(n: int) -> str:
+        plain = "".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"[r.randint(26 if n % 2 else 52)] for _ in range(n))
+        return plain if r.rand() < 0.5 else "".join(r.choice(syllables) for _ in range(n // 2))
+
     def entity() -> tuple[str, str]:
         kind = ["email", "ip", "card", "phone", "national", "secret", "id", "none"][r.choice(8, p=[0.08, 0.08, 0.08, 0.1, 0.2, 0.14, 0.1, 0.22])]
         lead = ""
@@ -158,9 +164,14 @@ def labelled_table(rows: int = 700, seed: int = 5) -> list[list[tuple[str, str]]
         if kind == "secret":
             name = r.choice(["token", "password", "secret", "key", "passwd"])
             value = hexa(r.randint(16, 48)) if r.rand() < 0.7 else mixed(r.randint(16, 40))
+            if r.rand() < 0.3:
+                value = letters(r.randint(10, 32))
             return kind, [f'{name} = "\0{value}"', f"{name}=\0{value}", f"{name} = \0{value}"][r.randint(3)]
         if kind == "id":
             return kind, r.choice(["ssn ", "", "id "]) + "\0" + f"{digits(3)}-{digits(2)}-{digits(4)}" if r.rand() < 0.6 else "iban \0" + f"DE{digits(20)}"
+        if r.rand() < 0.35:  # no secrets: names of secrets in prose, and other values set
+            name, other = r.choice(["token", "password", "secret", "key", "passwd"]), r.choice(["lang", "name", "title", "class", "word", "type"])
+            return "none", [f"{name} {word()} {word()}", f"the {name} is {word()}", f'{other} = "{letters(r.randint(4, 24))}"', f"{other}={letters(r.randint(4, 24))}", f"{other} = {letters(r.randint(4, 24))}"][r.randint(5)]
         return "none", [digits(r.randint(1, 5)), f"{r.randint(10)}.{r.randint(10)}", f"19{digits(2)}", f"20{digits(2)}-0{r.randint(1, 10)}-1{r.randint(10)}", f"{digits(2)}%", f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(3)} {digits(3)}", f"version {r.randint(9)}.{r.randint(9)}", hexa(12), f"({r.randint(99)})", f"x{digits(2)}", f"{digits(4)}-{digits(4)}", f"3{digits(8)}"][r.randint(14)]
 
     table = []
@@ -277,15 +288,15 @@ def decode(model: tuple[np.ndarray, np.ndarray], sequences: list[list[str]]) ->
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Token offsets around every token that holds a digit; overlapping runs are joined."""
+    """Token offsets around every clue; overlapping runs are joined."""
     out: list[list[tuple[int, int]]] = []
     reach = 12 * CONTEXT
     at = 0
-    m = DIGIT.search(text)
+    m = CLUE.search(text)
     while m:
         start, end = max(at, m.start() - reach), m.end()
-        while True:  # to the last digit within reach of the one before
-            n = DIGIT.search(text, end, min(len(text), end + reach))
+        while True:  # to the last clue within reach of the one before
+            n = CLUE.search(text, end, min(len(text), end + reach))
             if not n:
                 break
             end = n.end()
@@ -296,7 +307,7 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
             stop += 1
         out.append([x.span() for x in TOKEN.finditer(text, start, stop)])
         at = stop
-        m = DIGIT.search(text, stop)
+        m = CLUE.search(text, stop)
     return out
 
 
@@ -304,7 +315,7 @@ TRAILING = ".:!?-"
 
 
 def field_spans(model: tuple[np.ndarray, np.ndarray], texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """The field's spans of each text, of the added kinds; each holds a digit."""
+    """The field's spans of each text, of the added kinds; each but the secrets holds a digit."""
     runs = [(i, run) for i, text in enumerate(texts) for run in windows(text) if run]
     labels = decode(model, [[texts[i][a:b] for a, b in run] for i, run in runs])
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
@@ -320,7 +331,7 @@ def field_spans(model: tuple[np.ndarray, np.ndarray], texts: list[str]) -> list[
                 start, end = run[p][0], run[q - 1][1]
                 while end > start and text[end - 1] in TRAILING:
                     end -= 1
-                if kind in ADDED and DIGIT.search(text, start, end):
+                if kind in ADDED and start < end and (kind == "secret" or DIGIT.search(text, start, end)):
                     out[i].append((start, end, kind))
             p = q
     return out

@@ -336,6 +336,14 @@ def test_op9_base_spans_match_plain_patterns(spark):
     assert "a@b.co" not in out[len(texts) - 3] and out[len(texts) - 1] is None and out[len(texts) - 2] == ""
 
 
+def test_op9_redacts_secrets_of_letters_alone(spark):
+    texts = ['Please set password = "correcthorsebattery" now and go on.', "token=abcdefghijklmnop is set", "secret = QwErTyUiOpAsDf in the file",
+             "The key to the house is under the mat.", 'lang = "english" and title = "something"', "the password was changed by the owner of the house"]
+    got = {r.doc_id: r.redacted for r in find_personal_data(docs(spark, texts)).collect()}
+    assert got[0] == 'Please set password = "[SECRET]" now and go on.' and got[1] == "token=[SECRET] is set" and got[2] == "secret = [SECRET] in the file"
+    assert [got[i] for i in (3, 4, 5)] == texts[3:]
+
+
 def test_op10_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r.doc_id: r for r in registry.QUERIES["op10_toxicity"](spark, sf).collect()}
