@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Earlier calls on a receiver are followed only up to so many calls (a fixed value of the analysis).
-MAX_RECEIVER_CALLS = 12
+FOLLOWED_CALLS = 12
 
 
 def constant_lattice(values: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -37,11 +37,10 @@ def taint_along(steps: DataFrame, key: str, order: list[str], adds: str, clears:
 
 
 def prior_calls(calls: DataFrame, receiver: list[str], order: list[str], call: str) -> DataFrame:
-    """(call, prior): earlier calls on the same receiver; receivers with more than MAX_RECEIVER_CALLS calls are not followed."""
-    by = Window.partitionBy(*receiver)
-    held = calls.withColumn("_n", F.count("*").over(by)).where(F.col("_n") <= MAX_RECEIVER_CALLS)
-    before = F.collect_list(call).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return held.withColumn("_before", before).select(call, F.explode("_before").alias("prior"))
+    """(call, prior): earlier calls on the same receiver; receivers with more than FOLLOWED_CALLS calls are not followed."""
+    few = calls.groupBy(*receiver).agg(F.count("*").alias("_n")).where(F.col("_n") <= FOLLOWED_CALLS).drop("_n")
+    before = F.collect_list(call).over(Window.partitionBy(*receiver).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return calls.join(few, receiver, "left_semi").withColumn("_before", before).select(call, F.explode("_before").alias("prior"))
 
 
 def judge(flows: DataFrame, key: list[str]) -> DataFrame:

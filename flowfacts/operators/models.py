@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from flowfacts.functions import versions
 
+from .tables import if_small
+
 
 def dotted(url: Column) -> Column:
     """Host and path of a URL as a dotted symbol, without scheme, query, fragment and a last slash."""
@@ -40,13 +42,24 @@ def suffix_kinds(symbols: DataFrame, models: DataFrame, key: str, symbol: str =
 
 def affected(requirements: DataFrame, advisories: DataFrame) -> DataFrame:
     """Requirements (requirement, package, version text) joined with the advisories (advisory, package, vulnerable) whose
-    range they meet: an equi join on the package, then the range. Both sides are parsed once, before they meet."""
+    range they meet: an equi join on the package, then the range. Both sides are parsed once, before they meet. Advisories
+    are broadcast if they are few; if not, a popular package is left to the skew join of adaptive execution."""
     specifiers = advisories.select("advisory", "package", versions.compiled(F.col("vulnerable")).alias("compiled"))
     parsed = requirements.select("requirement", "package", "version", versions.parse(F.col("version")).alias("parsed"))
-    both = parsed.join(specifiers, "package")
+    both = parsed.join(if_small(specifiers, advisories.count()), "package")
     return both.where(versions.meets(F.col("parsed"), F.col("compiled"))).select("requirement", "advisory", "package", "version")
 
 
+def may_affect(requirements: DataFrame, advisories: DataFrame) -> DataFrame:
+    """(requirement, advisory, package) of the requirements (requirement, package, specifier) some version of which may be
+    vulnerable by an advisory (advisory, package, vulnerable)."""
+    spec = F.coalesce("specifier", F.lit(""))
+    left = requirements.select("requirement", "package", versions.pinned(spec).alias("pin"), versions.compiled(spec).alias("declared"))
+    right = advisories.select("advisory", "package", versions.compiled(F.col("vulnerable")).alias("vulnerable"))
+    both = left.join(if_small(right, advisories.count()), "package")
+    return both.where(versions.may_meet(F.col("pin"), F.col("declared"), F.col("vulnerable"))).select("requirement", "advisory", "package")
+
+
 def first_by_precedence(candidates: DataFrame, key: str) -> DataFrame:
     """(key, model): the candidate with the least precedence, ties to the smaller model name."""
     return candidates.groupBy(key).agg(F.min_by("model", F.struct("precedence", "model")).alias("model"))

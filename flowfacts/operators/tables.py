@@ -13,9 +13,11 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; set here only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share; set here only where it is unset, on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="flowfacts-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

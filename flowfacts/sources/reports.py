@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowfacts.functions import versions
+from flowfacts.operators.tables import if_small, written
 
 #: SARIF levels of severities; fixed values of the format.
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
@@ -27,7 +28,7 @@ def _level(severity: Column) -> Column:
 def relative(path: Column, root: str) -> Column:
     """The path below root; other paths as they are."""
     head = root.rstrip("/") + "/"
-    return F.when(F.startswith(path, F.lit(head)), F.substring(path, len(head) + 1, 1_000_000)).otherwise(path)
+    return F.when(F.startswith(path, F.lit(head)), F.substring(path, F.lit(len(head) + 1), F.length(path))).otherwise(path)
 
 
 def text_lines(findings: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def sarif_rules(findings: DataFrame, order: list[str]) -> DataFrame:
 
 def sarif_results(findings: DataFrame, order: list[str]) -> DataFrame:
     """One SARIF 2.1.0 result per finding (path, line, column, severity, rule, message, suppressed, known)."""
-    rules = sarif_rules(findings, order)
+    rules = written(sarif_rules(findings, order), "rules")
     region = F.when(F.col("line").isNotNull(), F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")))
     place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(
@@ -64,7 +65,7 @@ def sarif_results(findings: DataFrame, order: list[str]) -> DataFrame:
         F.struct(escaped(F.col("message")).alias("text")).alias("message"), F.array(place).alias("locations"),
         F.when(F.col("suppressed"), F.array(F.struct(F.lit("inSource").alias("kind")))).alias("suppressions"),
         F.when(F.col("known"), "unchanged").when(~F.col("known"), "new").alias("baselineState"))
-    return findings.join(F.broadcast(rules), "rule").select(*order, F.to_json(result).alias("value"))
+    return findings.join(if_small(rules, rules.count()), "rule").select(*order, F.to_json(result).alias("value"))
 
 
 def sbom_components(packages: DataFrame) -> DataFrame:
@@ -77,22 +78,22 @@ def sbom_components(packages: DataFrame) -> DataFrame:
 
 
 def vex_status(evidence: DataFrame) -> DataFrame:
-    """(advisory, package, status, justification) from evidence rows (advisory, package, vulnerable_version, reached,
-    refuted, complete): one aggregation per advisory and package, then the first case that holds.
+    """(advisory, package, status, justification) from evidence rows (advisory, package, reached, named, complete, dependents),
+    one aggregation per advisory and package of those that may be vulnerable, then the first case that holds.
 
-    Affected: a reached, unrefuted use of a vulnerable version. Not affected: no vulnerable version, or complete
-    evidence without such a use. Under investigation: anything else. A null fact counts as not known, so not true.
+    Affected: some code reaches the vulnerable code. Not affected: all facts are known, the advisory names its entry points,
+    every file was analysed whole, and a lock shows that no other package requires it. Under investigation: anything else. A
+    null fact is not known.
     """
-    def some(name: str) -> Column:
-        return F.coalesce(F.bool_or(name), F.lit(False))
+    def every(fact: Column) -> Column:
+        return F.bool_and(F.coalesce(fact, F.lit(False)))
 
     seen = evidence.groupBy("advisory", "package").agg(
-        some("vulnerable_version").alias("matches"),
-        F.coalesce(F.bool_or(F.expr("vulnerable_version AND reached AND NOT coalesce(refuted, false)")), F.lit(False)).alias("open"),
-        some("reached").alias("any_reached"), F.bool_and(F.coalesce("complete", F.lit(False))).alias("whole"))
-    status = F.when(~F.col("matches"), "not_affected").when(F.col("open"), "affected").when(F.col("whole"), "not_affected").otherwise("under_investigation")
-    why = F.when(~F.col("matches"), "component_not_present").when(F.col("open") | ~F.col("whole"), F.lit(None)).when(F.col("any_reached"), "inline_mitigations_already_exist").otherwise("vulnerable_code_not_in_execute_path")
-    return seen.select("advisory", "package", status.alias("status"), why.alias("justification"))
+        F.coalesce(F.bool_or("reached"), F.lit(False)).alias("open"), every(F.col("reached").isNotNull()).alias("looked"),
+        every(F.col("named")).alias("named"), every(F.col("complete")).alias("whole"), every(F.size("dependents") == 0).alias("alone"))
+    clear = F.col("looked") & F.col("named") & F.col("whole") & F.col("alone")
+    status = F.when(F.col("open"), "affected").when(clear, "not_affected").otherwise("under_investigation")
+    return seen.select("advisory", "package", status.alias("status"), F.when(~F.col("open") & clear, "vulnerable_code_not_in_execute_path").alias("justification"))
 
 
 def vex_statements(statuses: DataFrame) -> DataFrame:
@@ -102,7 +103,26 @@ def vex_statements(statuses: DataFrame) -> DataFrame:
         F.array(F.struct(F.concat(F.lit("pkg:pypi/"), "package").alias("@id"))).alias("products"), "status", "justification")).alias("value"))
 
 
+#: Records that ``whole_document`` puts into one row, at most.
+DOCUMENT_RECORDS = 100_000
+
+
 def whole_document(records: DataFrame, order: list[str], head: str, tail: str) -> DataFrame:
-    """One row: head, the records (column value) in order with commas between, tail."""
+    """One row: head, the records (column value) in order with commas between, tail. Raises ValueError for more than
+    DOCUMENT_RECORDS records, whose document ``document_parts`` writes."""
+    if records.limit(DOCUMENT_RECORDS + 1).count() > DOCUMENT_RECORDS:
+        raise ValueError(f"more than {DOCUMENT_RECORDS} records; write document_parts instead")
     rows = records.groupBy().agg(F.array_sort(F.collect_list(F.struct(*order, "value"))).alias("rows"))
     return rows.select(F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["value"]), ","), F.lit(tail)).alias("value"))
+
+
+def document_parts(records: DataFrame, order: list[str], head: str, tail: str) -> DataFrame:
+    """Lines (position, value) that, in order of position, are the document: head (0), a record a line with commas between,
+    tail. Dealt by ranges, so ``df.write.text`` of the values writes parts whose files follow one another."""
+    from flowfacts.operators.findings import in_order
+
+    spark = records.sparkSession
+    placed = in_order(records.select(*order, "value"), order)
+    body = placed.select(F.col("position").cast("long").alias("position"), F.concat(F.when(F.col("position") > 1, ",").otherwise(""), "value").alias("value"))
+    ends = spark.createDataFrame([(0, head), (2**62, tail)], "position long, value string")
+    return body.unionByName(ends).repartitionByRange("position").sortWithinPartitions("position")

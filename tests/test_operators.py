@@ -62,3 +62,28 @@ def test_version_clauses(spark):
     cases = [("1.2", ">=1.0,<2", True), ("2.0", "~=1.4", False), ("1.5", "~=1.4", True), ("1.3.9", "==1.3.*", True), ("0.3.5", "^0.3", True), ("0.4", "^0.3", False), ("3", "<1 || >=3", True), ("1", "", True), ("1.0", "==1", True), ("1", "!=1.0", False)]
     df = spark.createDataFrame(cases, "v string, s string, want boolean").withColumn("holds", versions.satisfies(versions.parse(F.col("v")), F.col("s")))
     assert [r.v + r.s for r in df.where("holds <> want").collect()] == []
+
+
+def test_unique_names_count_on_until_one_is_free(spark):
+    names = ["f", "f", "f__2", "g", "f", "g__2", "g", "h", "h", "h", "f__2", "i__2", "i__2", "i"]
+    taken, want = set(), []
+    for base in names:
+        unique, n = base, 2
+        while unique in taken:
+            unique, n = f"{base}__{n}", n + 1
+        taken.add(unique)
+        want.append(unique)
+    rows = spark.createDataFrame(list(enumerate(names)), "k long, name string").repartition(3)
+    assert [r.unique_name for r in findings.unique_names(rows, "name", ["k"]).orderBy("k").collect()] == want
+
+
+def test_last_wins_can_keep_the_first_place(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 3, "z")], "k string, n long, v string")
+    got = findings.last_wins(rows, ["k"], ["n"], first="at").orderBy("at").collect()
+    assert [(r.k, r.v, r["at"].n) for r in got] == [("a", "z", 1), ("b", "y", 2)]
+
+
+def test_numbers_within_keys_that_cross_ranges(spark):
+    rows = spark.range(0, 3000).selectExpr("id", "if(id % 3 = 0, cast(id as string), 'hot') as k")
+    got = findings.numbered(rows, "k", ["id"], "n").where("k = 'hot'").orderBy("id").collect()
+    assert [r.n for r in got] == list(range(1, 2001))
