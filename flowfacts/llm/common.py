@@ -14,9 +14,11 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own is set only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; one of our own is set only where it is unset, on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="flowfacts-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,12 +48,40 @@ def small_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str,
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name like wish that df does not have, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    name, k = f"__{wish}", 1
+    while name.lower() in taken:
+        k += 1
+        name = f"__{wish}_{k}"
+    return name
+
+
+#: Keys with at least one in so many rows of a join's large side are hot; there can be no more of them than this.
+HOT = 4096
+
+
+def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join (left or inner) with a table that has each key once and, in ``n``, its number of rows in left. Both are
+    written tables. If right has few rows, it is broadcast. If not, the keys that hold one in HOT of all counted rows (at
+    most HOT keys) are broadcast and the others, none of which is hot, are joined by key. n is left out of the result."""
+    size = right.agg(F.count("*"), F.sum("n")).first()
+    if size[0] <= 100_000:
+        return left.join(F.broadcast(right.drop("n")), key, how)
+    bound = max(1000, size[1] // HOT)
+    hot, cold = right.where(F.col("n") >= bound).drop("n"), right.where(F.col("n") < bound).drop("n")
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold.hint("shuffle_hash"), key, how))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph (columns u, v: long): one row (id, component_id) per vertex that
     has an edge; component_id is the smallest vertex of the component. Null ends and self-loops are ignored.
 
     Alternates large-star and small-star steps (both are aggregations and joins keyed by vertex), each round
-    written to the shared folder, until nothing changes. Rounds grow with the logarithm of the longest path.
+    written to the shared folder, until nothing changes. Rounds grow with the logarithm of the longest path. A vertex
+    with very many edges is joined by broadcast.
     """
     edges = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -59,20 +89,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = edges.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38,0))"))).first()
     while mark[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = materialize(keyed_join(both.where("v > u"), least, "u", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        discard(least)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = keyed_join(large, least, "u", "inner")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
         after = materialize(small.where("u <> v").distinct(), "edges")
         new = after.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38,0))"))).first()
-        discard(edges)
+        for used in (edges, large, least):
+            discard(used)
         edges = after
         if new == mark:
             break
         mark = new
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionAll(
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionAll(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
+    out._flowfacts_path = edges._flowfacts_path
+    return out
 
 
 def find(parent: np.ndarray, x: int) -> int:

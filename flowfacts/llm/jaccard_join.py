@@ -5,22 +5,27 @@ most (1 - t) / (1 + t) * (n + m) elements. Candidates come from exact signatures
 
 * light sets (n up to a boundary): of the n - ceil(t * n) + 2 first elements in hash order, linked sets share two, so
   all 2-subsets of these are enumerated as keys;
-* heavy sets: the hash space is cut into k ranges, k greater by ``spare`` than the elements linked sets can differ in, so
-  linked sets agree in more than ``spare`` ranges; the content of each non-empty range is a term of an inverted index
-  whose lists are scanned. A set with more than ``spare`` empty ranges lists those too, so that nothing is lost. k depends
-  on a class of sizes; a set is listed under its own class and the next.
+* heavy sets: the hash space is cut into k ranges, k greater by ``spare`` than half of what linked sets can differ in, so
+  linked sets differ in at most one element in more than ``spare`` ranges. Each range is cut in three; the contents of two
+  of the three are a term of an inverted index whose lists are scanned, so linked sets share a term of each such range.
+  Terms of few elements, which chance would share, are left out as long as they touch ``spare`` ranges of the set at most.
+  k depends on a class of sizes; a set is listed under its own class and the next.
 
 Light sets within reach of the boundary are listed as heavy ones as well, for their links across it. The boundary is
-chosen by cost: the number of keys that both ways would write for the table's own histogram of sizes. Lists of single
-elements are not scanned: common n-grams would join most documents into one candidate group.
-
-Sets on one list are tied to the list's first member; connected groups of such ties hold every link, and each set is sent
-once, to its group, to be compared exactly (there with an inverted index in true order of frequency, and union-find, so
-that copies cost no pairs). A group larger than a bound is dealt into parts, and pairs of parts are compared.
+chosen by cost over the table's own histogram of sizes: the number of keys that both ways would write, each of which is
+also one list entry to be scanned. Lists of single elements are not scanned: common n-grams would join most documents
+into one candidate group.
+
+Sets on one list are tied to the list's first member; connected groups of such ties hold every link. Of documents with
+equal sets one, the smallest doc_id, is compared; the others take its class. Each set is sent, once, to its group to be
+compared exactly (there with an inverted index in true order of frequency, and union-find, so that near copies cost few
+pairs). A group larger than a bound is dealt into parts: first each part is compared by itself, then pairs of parts, for
+links between members that aren't connected yet.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -30,16 +35,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, find, materialize
+from .common import BROADCAST_ROWS, connected_components, discard, free_name, keyed_join, materialize
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0xD1342543DE82EF95)
 _TABLE = np.random.RandomState(9).randint(1, 2**63 - 1, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: UTF-8 bytes handled at once.
-CHUNK = 2 << 20
-#: Shingles of one unit of exact comparison.
-PART = 4_000_000
-PART_DOCS = 8192
+CHUNK = 1 << 20
+#: Shingles and sets of one part; a unit of exact comparison holds two parts at most.
+PART = 1_500_000
+PART_DOCS = 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -120,9 +125,9 @@ class Scheme:
 
     def ranges(self, c: int) -> tuple[int, int]:
         """(number of hash ranges, spare ranges) of a size class."""
-        most = math.floor(self.differ * 2 * self.top(c) + 1e-9)
-        spare = 3 + math.ceil(0.025 * most)
-        return most + 1 + spare, spare
+        half = math.floor(self.differ * 2 * self.top(c) + 1e-9) // 2
+        spare = 3 + math.ceil(0.1 * half)
+        return half + 1 + spare, spare
 
     def light_keys(self, n: int) -> int:
         p = n - self.least(n) + 2
@@ -130,7 +135,7 @@ class Scheme:
 
     def heavy_keys(self, n: int) -> int:
         c = self.size_class(n)
-        return self.ranges(c)[0] + self.ranges(c + 1)[0]
+        return 3 * (self.ranges(c)[0] + self.ranges(c + 1)[0])
 
     def least(self, n: int) -> int:
         """Elements that a linked set shares with a set of size n, at least."""
@@ -161,13 +166,17 @@ class Scheme:
                 mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ _A))])
                 for k in (c, c + 1):
                     parts, spare = self.ranges(k)
-                    width = (1 << 64) // parts + 1
-                    cut = np.searchsorted(h, np.arange(1, parts, dtype=np.uint64) * np.uint64(width))
+                    width = (1 << 64) // (3 * parts) + 1
+                    cut = np.searchsorted(h, np.arange(1, 3 * parts, dtype=np.uint64) * np.uint64(width))
                     at = np.concatenate([[0], cut, [n]])
-                    size = np.diff(at)
-                    key = mix(mix((mixed[at[1:]] - mixed[at[:-1]]) + size.astype(np.uint64) * _B) + np.arange(parts, dtype=np.uint64) * _A + np.uint64(k))
-                    empty = size == 0
-                    out.append(key if empty.sum() > spare else key[~empty])
+                    size = np.diff(at).reshape(parts, 3)
+                    content = mix((mixed[at[1:]] - mixed[at[:-1]]) + size.ravel().astype(np.uint64) * _B).reshape(parts, 3)
+                    number = np.arange(parts, dtype=np.uint64) * _A + np.uint64(k)
+                    # term j of a range leaves its third j out
+                    term = np.stack([mix(mix(content[:, (j + 1) % 3] + number) + content[:, (j + 2) % 3] * _ODD + np.uint64(j)) for j in range(3)], 1)
+                    held = size.sum(1, keepdims=True) - size
+                    few = np.partition(held.min(1), spare)[spare]
+                    out.append(term[held >= few])
         return np.concatenate(out)
 
 
@@ -201,62 +210,69 @@ def _ties(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def exact_links(sets: list[np.ndarray], side: np.ndarray | None, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+def exact_links(sets: list[np.ndarray], side: np.ndarray | None, per_cent: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (indices) that connect all linked sets, a spanning forest. side: if given, only links between its 0s and 1s
-    need be found. Equal sets are tied first; then sets by size probe an inverted index of prefixes, rarest elements first,
-    for members of other components only."""
+    need be found. group: if given, members of one group are known to be connected. Sets by size probe an inverted index
+    of prefixes, rarest elements first, for members of other components only. All is held in arrays, some sixty bytes an
+    element."""
     left, right = [], []
-    parent = np.arange(len(sets))
-    first: dict[bytes, int] = {}
-    for i, s in enumerate(sets):
-        j = first.setdefault(s.tobytes(), i)
-        if j != i:
-            left.append(j)
-            right.append(i)
-            parent[i] = j
-    own = sorted(first.values(), key=lambda i: (len(sets[i]), i))
-    if len(own) > 1:
-        flat = np.concatenate([sets[i] for i in own])
-        distinct, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-        rank = np.empty(len(distinct), np.int64)
-        rank[np.argsort(count, kind="stable")] = np.arange(len(distinct))
-        code = rank[code]
-        # elements met once can't be shared: they fill the prefix but need no list
-        single = int((count == 1).sum())
-        at = np.concatenate([[0], np.cumsum([len(sets[i]) for i in own])])
-        coded = [np.sort(code[at[k] : at[k + 1]]) for k in range(len(own))]
-        sizes = np.diff(at)
-        lists: dict[int, list[int]] = {}
-        comp = np.arange(len(own))
-        members: dict[int, list[int]] = {}
-        for k, c in enumerate(coded):
-            n = len(c)
-            prefix = c[: n - (-(-per_cent * n // 100)) + 1]
-            prefix = prefix[prefix >= single].tolist()
-            met = [lists[e] for e in prefix if e in lists]
-            if met:
-                near = np.unique(np.concatenate(met) if len(met) > 1 else np.asarray(met[0]))
-                near = near[sizes[near] * 100 >= per_cent * n]
-                near = near[comp[near] != comp[k]]
-                while len(near):
-                    j = int(near[0])
-                    shared = len(np.intersect1d(coded[j], c, assume_unique=True))
-                    if 100 * shared >= per_cent * (n + int(sizes[j]) - shared):
-                        left.append(own[j])
-                        right.append(own[k])
-                        a, b = int(comp[j]), int(comp[k])
-                        ours, theirs = members.pop(a, [a]), members.pop(b, [b])
-                        if len(ours) < len(theirs):
-                            ours, theirs, a = theirs, ours, b
-                        comp[theirs] = a
-                        ours.extend(theirs)
-                        members[a] = ours
-                        near = near[1:]
-                        near = near[comp[near] != a]
-                    else:
-                        near = near[1:]
-            for e in prefix:
-                lists.setdefault(e, []).append(k)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    own = np.argsort(size, kind="stable")
+    own = own[size[own] > 0]
+    if len(own) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = size[own]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    distinct, code, count = np.unique(np.concatenate([sets[i] for i in own]), return_inverse=True, return_counts=True)
+    # elements met once can't be shared: they fill the prefix, first in order, but need no list
+    single = int((count == 1).sum())
+    rank = np.empty(len(distinct), np.int32)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(distinct), dtype=np.int32)
+    coded = rank[code]
+    del distinct, code, count, rank
+    prefix = sizes - -(-per_cent * sizes // 100) + 1
+    for k in range(len(own)):
+        coded[at[k] : at[k + 1]].sort()
+    # the inverted index: list entries by element, then place in own
+    inside = np.arange(len(coded)) - np.repeat(at[:-1], sizes) < np.repeat(prefix, sizes)
+    inside &= coded >= single
+    element, place = coded[inside], np.repeat(np.arange(len(own), dtype=np.int32), sizes)[inside]
+    order = np.lexsort((place, element))
+    element, place = element[order], place[order]
+    begin = np.searchsorted(element, np.arange(single, int(coded.max()) + 2)).tolist()
+    del inside, element, order
+    sides = None if side is None else np.asarray(side)[own]
+    labels = np.arange(len(own)) if group is None else np.asarray(group)[own]
+    _, comp = np.unique(labels, return_inverse=True)
+    members: dict[int, np.ndarray] = {int(c): np.nonzero(comp == c)[0] for c in np.nonzero(np.bincount(comp) > 1)[0]}
+    for k in range(len(own)):
+        c, n = coded[at[k] : at[k + 1]], int(sizes[k])
+        met = []
+        for e in c[: prefix[k]].tolist():
+            if e >= single:
+                listed = place[begin[e - single] : begin[e - single + 1]]
+                if listed[0] < k:
+                    met.append(listed[: np.searchsorted(listed, k)])
+        if not met:
+            continue
+        near = np.unique(np.concatenate(met))
+        near = near[(sizes[near] * 100 >= per_cent * n) & (comp[near] != comp[k])]
+        if sides is not None:
+            near = near[sides[near] != sides[k]]
+        while len(near):
+            j = int(near[0])
+            near = near[1:]
+            shared = len(np.intersect1d(coded[at[j] : at[j + 1]], c, assume_unique=True))
+            if 100 * shared >= per_cent * (n + int(sizes[j]) - shared):
+                left.append(own[j])
+                right.append(own[k])
+                a, b = int(comp[j]), int(comp[k])
+                ours, theirs = members.pop(a, np.array([j])), members.pop(b, np.array([k]))
+                if len(ours) < len(theirs):
+                    ours, theirs, a = theirs, ours, b
+                comp[theirs] = a
+                members[a] = np.concatenate([ours, theirs])
+                near = near[comp[near] != a]
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
@@ -279,19 +295,22 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(postings / 1_000_000))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: doc_id, n_shingles; 1: a tie of two documents; 2: a bucket of keys with their first documents.
-        Equal sets and equal keys of a portion are joined here, so a hot group leaves one entry per portion."""
+        """kind 0: doc_id, n_shingles and a digest of the set; 1: a tie of two documents; 2: a bucket of keys with their
+        first documents. Equal sets and equal keys of a portion are joined here, so a hot group leaves one entry per portion."""
         for ids, texts, rows in _flushes(batches):
             sets = shingle_sets(texts, words)
             n = len(ids)
             known = ~np.asarray(rows.column(0).is_null())
             ids = np.where(known, ids, 0).astype(np.int64)
             first: dict[bytes, int] = {}
+            digests: list[bytes | None] = []
             a, b, keys, owners = [], [], [], []
             for i, s in enumerate(sets):
                 if not len(s) or not known[i]:
+                    digests.append(None)
                     continue
-                j = first.setdefault(s.tobytes(), i)
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                j = first.setdefault(digests[i], i)
                 if j != i:
                     a.append(ids[j])
                     b.append(ids[i])
@@ -314,69 +333,110 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
                 "a": pa.concat_arrays([pa.array(ids, mask=~known), pa.array(x), pa.nulls(len(used), pa.int64())]),
                 "b": pa.concat_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array(y), pa.nulls(len(used), pa.int64())]),
                 "bucket": pa.array(np.concatenate([ids % buckets, x % buckets, used]).astype(np.int64)),
-                "blob": pa.concat_arrays([pa.nulls(n + len(x), pa.binary()), pa.array(blobs, pa.binary())]),
+                "blob": pa.concat_arrays([pa.array(digests, pa.binary()), pa.nulls(len(x), pa.binary()), pa.array(blobs, pa.binary())]),
             })
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The lists of a partition's buckets; rows of kinds 0 and 1 pass."""
         keys, docs = [], []
         for batch in batches:
-            plain = batch.filter(pa.compute.less(batch.column(0), 2))
+            listed = pa.compute.equal(batch.column(0), 2)
+            plain = batch.filter(pa.compute.invert(listed))
             if plain.num_rows:
-                yield pa.RecordBatch.from_arrays(plain.columns[:3], names=["kind", "a", "b"])
-            for blob in batch.column(4).drop_null().to_pylist():
+                yield pa.RecordBatch.from_arrays([*plain.columns[:3], plain.column(4)], names=["kind", "a", "b", "digest"])
+            for blob in batch.column(4).filter(listed).to_pylist():
                 half = len(blob) // 16
                 keys.append(np.frombuffer(blob, np.uint64, half))
                 docs.append(np.frombuffer(blob, np.int64, half, half * 8))
         if keys:
             _, _, x, y = _runs(np.concatenate(keys), np.concatenate(docs))
             x, y = _ties(x, y)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(x), np.int32)), "a": pa.array(x), "b": pa.array(y)})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(x), np.int32)), "a": pa.array(x), "b": pa.array(y), "digest": pa.nulls(len(x), pa.binary())})
 
     signed = docs.mapInArrow(sign, "kind int, a long, b long, bucket long, blob binary")
-    listed = materialize(signed.repartition(buckets, "bucket").mapInArrow(scan, "kind int, a long, b long"), "listed")
-    sizes = listed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    # groups of ties hold all links; each is dealt into parts of bounded size
+    listed = materialize(signed.repartition(buckets, "bucket").mapInArrow(scan, "kind int, a long, b long, digest binary"), "listed")
+    sizes = listed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "digest")
+    # groups of ties hold all links; of equal sets one takes part; each group is dealt into parts of bounded size
     groups = connected_components(listed.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("doc_id"), F.col("component_id").alias("group"))
-    groups = materialize(groups.join(sizes.distinct().groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id"), "groups")
-    parts = groups.groupBy("group").agg(F.ceil(F.greatest(F.sum("n") / PART, F.count("*") / PART_DOCS)).cast("int").alias("parts"))
-    dealt = materialize(groups.join(parts, "group").select("doc_id", "group", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part")), "dealt")
-    few = dealt.count() <= BROADCAST_ROWS
-    chosen = docs.join(F.broadcast(dealt) if few else dealt, "doc_id")
+    groups = materialize(groups.join(sizes.where("digest IS NOT NULL").distinct(), "doc_id"), "groups")
+    chosen = materialize(groups.groupBy("group", "digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), "chosen")
+    size_class = F.size(F.filter(F.array(*[F.lit(scheme.top(c)).cast("long") for c in range(scheme.size_class(10**9))]), lambda top: top < F.col("n")))
+    enough = F.ceil(F.greatest(F.sum("n") / PART, F.count("*") / PART_DOCS)).cast("int")
+    whole = chosen.groupBy("group").agg(enough.alias("units"), F.count("*").alias("sets")).where("sets > 1")
+    # a large group is dealt by classes of sizes, as links reach no further than the next, and by hash within a class
+    dealt_by = chosen.select("group", size_class.alias("c"), "n").groupBy("group", "c").agg(enough.alias("parts"))
+    dealt_by = whole.join(dealt_by.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("c", "parts"))).alias("classes")), "group")
+    dealt_by = materialize(dealt_by.select("group", F.col("sets").alias("n"), F.when(F.col("units") > 1, F.col("classes")).alias("classes")), "parts")
+    # a doc_id that is repeated with other texts connects them
+    several = groups.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
+    own = groups.join(several, "doc_id").join(chosen.select("group", "digest", F.col("doc_id").alias("u")), ["group", "digest"]).select("u", F.col("doc_id").alias("v"))
+    at = F.shiftleft(F.col("c").cast("long"), 32) + F.pmod(F.xxhash64("doc_id"), F.col("classes")[F.col("c")])
+    dealt = keyed_join(chosen.select("doc_id", "group", "digest", size_class.alias("c")), dealt_by, "group", "inner")
+    dealt = materialize(dealt.select("doc_id", "group", "digest", "classes", "c", F.when(F.col("classes").isNull(), F.lit(0)).otherwise(at).cast("long").alias("part")), "dealt")
+    shape = dealt.agg(F.count("*"), F.count("classes")).first()
+    few = shape[0] <= BROADCAST_ROWS
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of the rows whose digest is the one looked for: a repeated doc_id may have other texts."""
         for _, texts, rows in _flushes(batches):
             blobs = [s.tobytes() for s in shingle_sets(texts, words)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:], pa.array(blobs, pa.binary())], names=["doc_id", "group", "parts", "part", "set"])
+            same = [hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(blobs, rows.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[3:], pa.array(blobs, pa.binary())], names=["doc_id", "group", "part", "set"]).filter(pa.array(same, pa.bool_()))
 
-    sets = chosen.select("doc_id", "text", "group", "parts", "part").mapInArrow(shingle, "doc_id long, group long, parts int, part int, set binary")
-    units = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "group", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "set")
+    wanted = docs.join(F.broadcast(dealt) if few else dealt, "doc_id").select("doc_id", "text", "digest", "group", "part")
+    sets = wanted.mapInArrow(shingle, "doc_id long, group long, part long, set binary")
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(postings / 4_000_000))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by unit; a unit is compared when its last row has come."""
-        now, ids, held = None, [], []
+        now, held = None, []
 
         def links() -> pa.RecordBatch:
-            x, y = exact_links(held, None, per_cent)
-            doc = np.array(ids, np.int64)
+            doc = np.array([r[0] for r in held], np.int64)
+            two = now[1] != now[2]
+            x, y = exact_links([r[3] for r in held], np.array([r[1] for r in held]) if two else None, per_cent, np.array([r[2] for r in held]) if two else None)
             return pa.RecordBatch.from_pydict({"u": pa.array(doc[x]), "v": pa.array(doc[y])})
 
         for batch in batches:
-            for *unit, doc, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if unit != now:
-                    if len(ids) > 1:
-                        yield links()
-                    now, ids, held = unit, [], []
-                ids.append(doc)
-                held.append(np.frombuffer(blob, np.uint64))
-        if len(ids) > 1:
+            for at in range(0, batch.num_rows, 512):
+                for *unit, doc, part, known, blob in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
+                    if unit != now:
+                        if len(held) > 1:
+                            yield links()
+                        now, held = unit, []
+                    held.append((doc, part, known, np.frombuffer(blob, np.uint64)))
+        if len(held) > 1:
             yield links()
 
-    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(postings / 4_000_000))
-    edges = units.repartition(number, "group", "i", "j").sortWithinPartitions("group", "i", "j", "doc_id").mapInArrow(compare, "u long, v long")
-    components = connected_components(edges).withColumnRenamed("id", "doc_id")
-    return sizes.join(components, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    def edges_of(units: DataFrame, name: str) -> DataFrame:
+        """units: group, i, j, doc_id, part, known, set."""
+        dealt_out = units.select("group", "i", "j", "doc_id", "part", "known", "set").repartition(number, "group", "i", "j").sortWithinPartitions("group", "i", "j", "doc_id")
+        return materialize(dealt_out.mapInArrow(compare, "u long, v long"), name)
+
+    one = sets.withColumns({"i": F.col("part"), "j": F.col("part"), "known": F.col("doc_id")})
+    edges = edges_of(one, "links")
+    components = connected_components(edges.unionAll(own))
+    if shape[1]:
+        known = components.select(F.col("id").alias("doc_id"), F.col("component_id").alias("known"))
+        near = F.flatten(F.transform(F.array(*[F.col("c") + k for k in (-1, 0, 1)]), lambda c: F.transform(
+            F.filter(F.sequence(F.lit(0), F.coalesce(F.col("classes")[c], F.lit(0))), lambda p: p < F.coalesce(F.col("classes")[c], F.lit(0))), lambda p: F.shiftleft(c.cast("long"), 32) + p)))
+        reach = dealt.where("classes IS NOT NULL").select("doc_id", "group", "part", F.explode(F.filter(near, lambda o: o != F.col("part"))).alias("other"))
+        reach = reach.join(known, "doc_id", "left").withColumn("known", F.coalesce("known", "doc_id"))
+        across = sets.join(reach, ["doc_id", "group", "part"])
+        more = edges_of(across.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}), "links")
+        ties = components.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+        whole = connected_components(ties.unionAll(more))
+        for used in (components, more):
+            discard(used)
+        components = whole
+    # every document takes the class of the one with an equal set
+    linked = chosen.join(components.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left")
+    classes = linked.where("copies > 1 OR component_id IS NOT NULL").select("digest", F.coalesce("component_id", "doc_id").alias("class"), F.col("copies").alias("n"))
+    classes = materialize(classes, "classes")
+    for used in (groups, chosen, dealt_by, dealt, edges, components):
+        discard(used)
+    out = keyed_join(sizes, classes, "digest")
+    return out.select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,12 +444,33 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(l[i : least(i + 3, len(l))], ' ') AS g
+  FROM (SELECT doc_id, l, unnest(range(1, greatest(1, len(l) - 3) + 1)) AS i FROM w WHERE len(l) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
+), p AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+)
+SELECT r.a AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""
+
+
 def keep_one_of_each_group(documents: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
     """The documents, all columns, but of each linked group only the one with the smallest doc_id.
 
-    Null ids and empty texts stay. Only the ids to drop take part in the last join, broadcast if they are few.
+    Null ids and empty texts stay; so does every row of a repeated doc_id that is the smallest of its group. Other columns
+    may have any name. Only the ids to drop take part in the last join, broadcast if they are few.
     """
     found = jaccard_components(documents, words, per_cent)
-    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    name = free_name(documents, "gone")
+    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
     few = gone.count() <= BROADCAST_ROWS
-    return documents.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    return documents.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -1,18 +1,21 @@
 """Removal of repeated passages by content-defined line chunks (operator 3). DataFrame functions only.
 
 A text is cut into lines: the pieces that end with a newline or, as prose is often not broken, with a full stop and a
-space. A rolling hash over the hashes of two neighbouring lines ends a chunk where its first digit is below 8, so
-boundaries depend on what stands there and not on where it stands. Chunks are counted over the whole table by a hash of
-their bytes; all but the first occurrence (smallest doc_id, then place) of a chunk that occurs again are marked, and runs
-of marked chunks that reach ``MIN_WORDS`` words in several lines (or ``LONG_WORDS`` in one) are removed, after the bytes
-under each hash were compared: a hash that stands for two texts removes nothing.
-
-A chunk can take in a line of its neighbours and then matches nothing, so the rule above misses repeats. With ``fine``,
-every two lines that follow one another (blank ones left out, white space around a line left aside) and every line of
-``LONG_WORDS`` words are counted over the whole table too, and all but the first occurrence is marked. Runs of marked pairs
-that reach ``MIN_WORDS`` words, and marked long lines, are removed besides the chunks, so that every repeated passage of
-more than 50 words in whole lines goes. Each line that is removed stands before, where it is kept. The SQL has the rule
-without ``fine``.
+space. White space around a line is left aside, and blank lines count with their neighbours. A rolling hash (cyclic
+polynomial) over the hashes of ``WINDOW`` = 3 lines ends a chunk where its two lowest bits are 0, so a chunk has four lines
+on average and boundaries depend on what stands there and not on where it stands. Chunks of three lines or more are counted
+over the whole table. As a chunk at the edge of a repeated passage takes in a line of its neighbours and then matches
+nothing, the finest chunks are counted as well: every two lines that follow one another, and every line of ``LONG_WORDS``
+words. All occurrences but the first (smallest doc_id, then place) are marked.
+
+Runs of marked pairs that reach ``MIN_WORDS`` words, and marked long lines, are removed after the bytes under each hash
+were compared, by whole chunks where a chunk is marked and by pairs at its edges. Where a hash stands for two texts, its
+occurrences are told apart by their bytes. So every repeated passage of more than 50 words in whole lines goes, and each
+line that is removed stands before, where it is kept. What is removed does not depend on where chunks end: a chunk that
+occurs again consists of pairs that do; the SQL states the rule on pairs and long lines alone.
+
+The text is read three times: for the hashes of its lines, which are written once, for the bytes of marked chunks, and to
+take lines out; the last two read the documents with marked lines only.
 """
 
 from __future__ import annotations
@@ -23,10 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, discard, free_name, keyed_join, materialize
 
+WINDOW = 3
 MIN_WORDS = 25
 LONG_WORDS = 50
+#: Kinds of units: a chunk of three lines or more, a pair of lines, a long line.
+CHUNK, PAIR, LONG = 0, 1, 2
+_SPACE = " \n\t\r"
+_MARK = "\x01"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,183 +43,210 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    """array<string> of the lines of a text, as chunks() takes them."""
-    return F.filter(F.split(text, r"(?<=\n)|(?<=\. )"), lambda x: x != "")
-
-
-def chunks(text: Column) -> Column:
-    """array<struct<k, text, lines, start>> of a non-null text: its chunks in order; their texts joined give the text."""
-
-    def cut(lines: Column) -> Column:
-        def group(digests: Column) -> Column:
-            def before(i: Column) -> Column:
-                return F.when(i > 1, F.get(digests, i - 2)).otherwise(F.lit(""))
-
-            starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.md5(F.concat(before(i), F.get(digests, i - 1))) < "8"))
-
-            def slices(at: Column) -> Column:
-                def one(start: Column, k: Column) -> Column:
-                    size = F.coalesce(F.get(at, k + 1), F.size(lines)) - start
-                    return F.struct(k.alias("k"), F.array_join(F.slice(lines, start + 1, size), "").alias("text"), size.alias("lines"), start.alias("start"))
+    """array<string> of the lines of a non-null text; joined they give the text."""
+    marked = F.replace(F.replace(text, F.lit("\n"), F.lit("\n" + _MARK)), F.lit(". "), F.lit(". " + _MARK))
+    cut = F.when(F.contains(text, F.lit(_MARK)), F.split(text, r"(?<=\n)|(?<=\. )")).otherwise(F.split(marked, _MARK))
+    return F.filter(cut, lambda x: x != "")
+
+
+def hashed_lines(text: Column) -> Column:
+    """array<struct<place, h, w>>: place, hash and words of the lines that aren't blank."""
+    bare = F.filter(F.transform(lines_of(text), lambda x, i: F.struct(F.trim(x, F.lit(_SPACE)).alias("x"), i.alias("i"))), lambda s: s["x"] != "")
+    return F.transform(bare, lambda s: F.struct(
+        s["i"].alias("place"), F.xxhash64(s["x"]).alias("h"),
+        (F.octet_length(s["x"]) - F.octet_length(F.replace(s["x"], F.lit(" "), F.lit(""))) + 1).alias("w")))
+
+
+def _rolled(h: Column, i: Column) -> Column:
+    """The rolling hash over the window that ends with line i."""
+    out = F.get(h, i)
+    for k in range(1, WINDOW):
+        x, turn = F.coalesce(F.get(h, i - k), F.lit(0)), 21 * k
+        out = out.bitwiseXOR(F.shiftleft(x, turn).bitwiseOR(F.shiftrightunsigned(x, 64 - turn)))
+    return out
 
-                return F.transform(at, one)
 
-            return _let(starts, slices)
+def chunk_starts(h: Column) -> Column:
+    """array<int>: the places in an array of line hashes where chunks begin."""
+    return F.when(F.size(h) > 0, F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (_rolled(h, i - 1).bitwiseAND(F.lit(3)) == 0))).otherwise(F.array().cast("array<int>"))
 
-        return _let(F.transform(lines, lambda x: F.md5(x)), group)
 
-    return F.when(F.length(text) > 0, _let(lines_of(text), cut))
+def _cut(h: Column, bits: int) -> Column:
+    return h if bits == 64 else h.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _bare(lines: Column) -> Column:
-    """array<struct<line, i, words>>: the lines that aren't blank, without white space around them, their places and words."""
-    trimmed = F.transform(lines, lambda x, i: F.struct(F.trim(F.translate(x, "\n\t\r", "   ")).alias("line"), i.alias("i")))
-    return F.transform(F.filter(trimmed, lambda x: x["line"] != ""), lambda x: F.struct(
-        x["line"].alias("line"), x["i"].alias("i"), (F.length(x["line"]) - F.length(F.translate(x["line"], " ", "")) + 1).alias("words")))
+def _chunks(h: Column) -> Column:
+    """array<struct<s, e>>: first and last line of the chunks of three lines or more in an array of line hashes."""
 
+    def of(starts: Column) -> Column:
+        ends = F.transform(starts, lambda s, k: F.struct(s.alias("s"), (F.coalesce(F.get(starts, k + 1), F.size(h)) - 1).alias("e")))
+        return F.filter(ends, lambda c: c["e"] - c["s"] >= 2)
+
+    return _let(chunk_starts(h), of)
+
+
+def _chunk_hash(h: Column, c: Column) -> Column:
+    return F.xxhash64(F.lit(CHUNK), F.slice(h, c["s"] + 1, c["e"] - c["s"] + 1))
+
+
+def _hashes(lines: Column, bits: int) -> Column:
+    """array<long>: the hashes of the units of hashed lines, and nothing else of them."""
+    h = lines.getField("h")
+    pairs = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, y: _cut(F.xxhash64(F.lit(PAIR), x, y), bits))
+    alone = F.transform(F.filter(lines, lambda x: x["w"] >= LONG_WORDS), lambda x: _cut(F.xxhash64(F.lit(LONG), x["h"]), bits))
+    return F.concat(F.transform(_chunks(h), lambda c: _cut(_chunk_hash(h, c), bits)), pairs, alone)
+
+
+def _units(lines: Column, bits: int) -> Column:
+    """array<struct<kind, i0, i1, place, upto, h, words, last>> of hashed lines: a chunk's lines are i0..i1 among those that
+    aren't blank, at place..upto among all; words are those of all lines but the last of a pair."""
+
+    def unit(kind: int, i0: Column, i1: Column, place: Column, upto: Column, h: Column, words: Column, last: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i0.cast("int").alias("i0"), i1.cast("int").alias("i1"), place.alias("place"), upto.alias("upto"), _cut(h, bits).alias("h"), words.alias("words"), last.alias("last"))
+
+    n, zero, h = F.size(lines), F.lit(0), lines.getField("h")
+    both = F.zip_with(F.slice(lines, 1, F.greatest(n - 1, zero)), F.slice(lines, 2, F.greatest(n - 1, zero)), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    pairs = F.transform(both, lambda p, i: unit(PAIR, i, i + 1, p["x"]["place"], p["y"]["place"], F.xxhash64(F.lit(PAIR), p["x"]["h"], p["y"]["h"]), p["x"]["w"], p["y"]["w"]))
+    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    alone = F.transform(F.filter(numbered, lambda s: s["x"]["w"] >= LONG_WORDS), lambda s: unit(LONG, s["i"], s["i"], s["x"]["place"], s["x"]["place"], F.xxhash64(F.lit(LONG), s["x"]["h"]), s["x"]["w"], zero))
+    chunks = F.transform(_chunks(h), lambda c: unit(CHUNK, c["s"], c["e"], F.get(lines, c["s"])["place"], F.get(lines, c["e"])["place"], _chunk_hash(h, c), zero, zero))
+    return F.concat(chunks, pairs, alone)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of wanted (doc_id, th, place, upto, h and others) with their bytes, the lines as compared, in ``bytes``."""
+    rest = [c for c in wanted.columns if c not in ("doc_id", "th")]
+    by_doc = wanted.groupBy("doc_id", "th").agg(F.collect_set(F.struct(*rest)).alias("w"))
+    by_doc = materialize(by_doc.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "w"), "wanted")
+    few = (by_doc.agg(F.sum(F.size("w"))).first()[0] or 0) <= BROADCAST_ROWS
+    found = docs.join(F.broadcast(by_doc) if few else by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    bare = F.transform(lines_of(F.col("text")), lambda x: F.trim(x, F.lit(_SPACE)))
+    texts = _let(bare, lambda t: F.transform(F.col("w"), lambda u: F.struct(
+        *[u[c].alias(c) for c in rest], F.array_join(F.filter(F.slice(t, u["place"] + 1, u["upto"] - u["place"] + 1), lambda x: x != ""), "\n").alias("bytes"))))
+    return found.select("doc_id", "th", F.explode(texts).alias("u")).select("doc_id", "th", "u.*")
+
+
+_AT = ("doc_id", "th", "place")
+
+
+def _marked(occurrences: DataFrame, by: list[str]) -> DataFrame:
+    """The occurrences that aren't the first of their key, with the first one's doc, text and places in ``first``."""
+    firsts = materialize(occurrences.groupBy(*by).agg(F.min(F.struct(*_AT, "upto")).alias("first"), F.count("*").alias("n")), "firsts")
+    joined = keyed_join(occurrences, firsts, by[0], "inner") if len(by) == 1 else occurrences.join(firsts.drop("n"), by)
+    # rows that repeat a doc_id and text are one document
+    return joined.where(F.col("doc_id").isNotNull() & ~F.struct(*_AT).eqNullSafe(F.struct(*[F.col("first")[c].alias(c) for c in _AT]))).dropDuplicates(["kind", *_AT])
+
+
+def _passing(marked: DataFrame) -> DataFrame:
+    """Marked pairs in runs of MIN_WORDS words, marked long lines, and marked chunks; ``inner`` tells those of the former that
+    lie in one of the latter."""
+    pairs = marked.where(F.col("kind") == PAIR)
+    pairs = pairs.withColumn("run", F.col("i0") - F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("i0")))
+    whole = Window.partitionBy("doc_id", "th", "run")
+    pairs = pairs.withColumn(
+        "total", F.sum("words").over(whole) + F.max(F.struct("i0", "last")).over(whole)["last"]).where(F.col("total") >= MIN_WORDS).drop("total", "run")
+    rows = pairs.unionByName(marked.where(F.col("kind") != PAIR))
+    before = Window.partitionBy("doc_id", "th").orderBy("i0", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("kind") == CHUNK, F.col("i1"))).over(before)
+    return rows.withColumn("inner", (F.col("kind") != CHUNK) & F.coalesce(reach >= F.col("i1"), F.lit(False)))
+
+
+def _clashes(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(h) of the hashes that stand for more than one text among marked units and the first occurrences."""
+    places = marked.select("doc_id", "th", "place", "upto", "h").unionByName(marked.select("first.doc_id", "first.th", "first.place", "first.upto", "h")).distinct()
+    return materialize(_texts(docs, places).select("h", "bytes").distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "clash")
+
+
+def repeated_lines(documents: DataFrame, bits: int = 64) -> DataFrame:
+    """(doc_id, th, runs: array<struct<lo, hi>>, lines) of the documents that lose lines: th is the text's hash, lo..hi are
+    places of lines, in order and apart, lines is their number. bits: of a unit's hash that are used."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''").withColumn("th", F.xxhash64("text"))
+    lines = materialize(docs.select("doc_id", "th", hashed_lines(F.col("text")).alias("lines")), "lines")
+    units = lines.select("doc_id", "th", F.explode(_units(F.col("lines"), bits)).alias("u")).select("doc_id", "th", "u.*")
+    hashes = lines.select(F.explode(_hashes(F.col("lines"), bits)).alias("h"))
+    many = materialize(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "many")
+    again = materialize(keyed_join(units, many, "h", "inner"), "again")
+    marked = materialize(_marked(again, ["h"]), "marked")
+    passing = materialize(_passing(marked), "passing")
+    # compare the bytes of what is to be removed and of the first occurrences
+    clash = _clashes(docs, passing.where("NOT inner"))
+    if clash.count():
+        discard(clash)
+        clash = _clashes(docs, marked)  # a chunk that clashes vouches for none of its pairs
+        told = F.broadcast(clash) if clash.count() <= BROADCAST_ROWS else clash
+        exact = _marked(materialize(_texts(docs, again.join(told, "h")), "apart"), ["h", "bytes"]).drop("bytes")
+        passing = materialize(_passing(materialize(marked.join(told, "h", "left_anti").unionByName(exact), "marked")), "passing")
+    gone = passing.where(F.col("kind") != CHUNK).select("doc_id", "th", F.col("place").alias("lo"), F.col("upto").alias("hi"))
+    order = Window.partitionBy("doc_id", "th").orderBy("lo", "hi")
+    upto = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = gone.withColumn("new", F.when(F.col("lo") <= upto, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = opened.groupBy("doc_id", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    out = materialize(runs.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"), F.sum(F.col("hi") - F.col("lo") + 1).alias("lines")), "cuts")
+    for used in (lines, many, again, marked, passing, clash):
+        discard(used)
+    return out
 
-def units(text: Column) -> Column:
-    """array<struct<i, place, upto, h, words, last, a, b>> of a non-null text.
 
-    A unit is a pair of neighbouring lines a and b (i counts the lines that aren't blank; place and upto are the lines'
-    places, last are b's words), or a line of LONG_WORDS alone, with a null b.
-    """
+def dedup_lines(documents: DataFrame, drop_emptied: bool = False, count: str | None = None, bits: int = 64) -> DataFrame:
+    """The documents with repeated lines taken out of ``text``; count, if given, names one more column (long) with the
+    number of lines taken out.
 
-    def both(bare: Column) -> Column:
-        def pair(x: Column, i: Column) -> Column:
-            y = F.get(bare, i + 1)
-            return F.struct(i.alias("i"), x["i"].alias("place"), y["i"].alias("upto"), F.xxhash64(x["line"], y["line"]).alias("h"), x["words"].alias("words"), y["words"].alias("last"), x["line"].alias("a"), y["line"].alias("b"))
-
-        def alone(x: Column) -> Column:
-            return F.struct(F.lit(None).cast("int").alias("i"), x["i"].alias("place"), x["i"].alias("upto"), F.xxhash64(F.lit("1"), x["line"]).alias("h"), x["words"].alias("words"), F.lit(0).alias("last"), x["line"].alias("a"), F.lit(None).cast("string").alias("b"))
-
-        pairs = F.transform(F.slice(bare, 1, F.greatest(F.size(bare) - 1, F.lit(0))), pair)
-        return F.concat(pairs, F.transform(F.filter(bare, lambda x: x["words"] >= LONG_WORDS), alone))
-
-    return F.when(F.length(text) > 0, _let(_let(lines_of(text), _bare), both))
-
-
-def repeated_lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, cut: array<struct<place, upto, h>>) of the documents that lose repeated pairs of lines or long lines."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = materialize(docs.select("doc_id", F.explode(units(F.col("text"))).alias("u")).select("doc_id", "u.i", "u.place", "u.upto", "u.h", "u.words", "u.last"), "units")
-    many = materialize(keys.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1").drop("n"), "many")
-    # a hash of very many units would land in one task of a shuffled join, so the hashes are broadcast where they are few
-    hashes = many.count()
-    marked = keys.join(F.broadcast(many) if hashes <= BROADCAST_ROWS else many, "h").where(~F.struct("doc_id", "place").eqNullSafe(F.col("first"))).where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "place", "upto", "h"])
-    # neighbouring marked pairs form a run; i is null where a line stands alone
-    island = F.col("i") - F.dense_rank().over(Window.partitionBy("doc_id", F.col("i").isNull()).orderBy("i"))
-    runs = marked.withColumn("island", island).groupBy("doc_id", "island").agg(
-        (F.sum("words") + F.max_by("last", "i")).alias("words"), F.collect_list(F.struct("place", "upto", "h", "first")).alias("hit"))
-    runs = runs.where((F.col("words") >= MIN_WORDS) | F.col("island").isNull())
-    hits = materialize(runs.select("doc_id", F.explode("hit").alias("x")).select("doc_id", "x.place", "x.upto", "x.h", "x.first"), "cuts")
-    # compare the lines under each hash
-    places = hits.select("doc_id", "h").unionAll(hits.select(F.col("first.doc_id").alias("doc_id"), "h")).distinct()
-    by_doc = places.groupBy("doc_id").agg(F.collect_set("h").alias("wanted"))
-    small = 2 * hits.count() <= BROADCAST_ROWS
-    found = docs.join(F.broadcast(by_doc) if small else by_doc, "doc_id").select(F.explode(F.filter(units(F.col("text")), lambda u: F.array_contains(F.col("wanted"), u["h"]))).alias("u")).select("u.h", "u.a", "u.b")
-    clash = found.distinct().groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")
-    return hits.join(clash, "h", "left_anti").groupBy("doc_id").agg(F.collect_set(F.struct("place", "upto", "h")).alias("cut"))
-
-
-def repeated_chunks(documents: DataFrame) -> DataFrame:
-    """(doc_id, removed: array<struct<k, h>>) of the documents that lose chunks."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    exploded = docs.select("doc_id", F.explode(chunks(F.col("text"))).alias("c"))
-    words = F.greatest(F.lit(1), F.length("c.text") - F.length(F.translate("c.text", " \n\t", "")))
-    keys = materialize(exploded.select("doc_id", F.col("c.k").alias("k"), F.xxhash64("c.text").alias("h"), words.cast("int").alias("words"), F.col("c.lines").alias("lines")), "chunks")
-    many = keys.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k")).alias("first")).where("n > 1").drop("n")
-    marked = keys.join(many, "h").where(~F.struct("doc_id", "k").eqNullSafe(F.col("first"))).where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "k", "h"])
-    # neighbouring marked chunks form a run
-    island = F.col("k") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("k"))
-    runs = marked.withColumn("island", island).groupBy("doc_id", "island").agg(
-        F.sum("words").alias("words"), F.sum("lines").alias("lines"), F.collect_list(F.struct("k", "h", "first")).alias("hit"))
-    runs = runs.where((F.col("words") >= MIN_WORDS) & ((F.col("lines") > 1) | (F.col("words") >= LONG_WORDS)))
-    hits = materialize(runs.select("doc_id", F.explode("hit").alias("x")).select("doc_id", "x.k", "x.h", "x.first"), "hits")
-    # compare bytes: of each hash, the texts of all chunks to be removed and of the first occurrence
-    places = hits.select("doc_id", "k", "h").unionAll(hits.select(F.col("first.doc_id").alias("doc_id"), F.col("first.k").alias("k"), "h")).distinct()
-    by_doc = places.groupBy("doc_id").agg(F.collect_set("h").alias("wanted"))
-    counted = hits.count()
-    small = 2 * counted <= BROADCAST_ROWS
-    found = docs.join(F.broadcast(by_doc) if small else by_doc, "doc_id").select("wanted", F.explode(chunks(F.col("text"))).alias("c")).select("wanted", F.xxhash64("c.text").alias("h"), "c.text")
-    texts = found.where(F.array_contains("wanted", F.col("h"))).select("h", "text").groupBy("h", "text").agg(F.count("*").alias("n"))
-    clash = texts.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")
-    safe = hits.join(clash, "h", "left_anti")
-    return safe.groupBy("doc_id").agg(F.collect_set(F.struct("k", "h")).alias("removed"))
-
-
-def dedup_lines(documents: DataFrame, drop_emptied: bool = False, fine: bool = False) -> DataFrame:
-    """The documents with repeated chunks taken out of ``text``, and ``removed_chunks`` (long).
-
-    All columns are kept; n_chars, if there, follows the text. Null and empty texts stay as they are. Rows that repeat a
-    doc_id count as one document: they lose the same chunks and never take each other's. A null doc_id keeps its text and
-    counts as the first. An empty table gives no rows. With drop_emptied, a document that loses its whole text, so that
-    nothing is said there that isn't said before, is left out. With fine, repeated pairs of lines and long lines go as
-    well, and ``removed_units`` (long) counts them.
+    All columns are kept, whatever their names; n_chars, if there, follows the text. Null and empty texts stay as they are.
+    Rows that repeat a doc_id and its text count as one document: they lose the same lines and never take each other's; a
+    repeated doc_id with another text is a document of its own. A null doc_id keeps its text and counts as the first. An
+    empty table gives no rows. With drop_emptied, a document that loses its whole text, so that nothing is said there that
+    isn't said before, is left out. The work is done when the DataFrame is made, and its result is read from written tables.
     """
-    removed = materialize(repeated_chunks(documents), "removed")
-    listed = "removed"
-    if fine:
-        removed = materialize(removed.join(repeated_lines(documents), "doc_id", "full"), "removed")
-        listed = "concat(coalesce(transform(removed, x -> 1), array()), coalesce(transform(cut, x -> 1), array()))"
-    entries = removed.agg(F.count("*"), F.sum(F.size(F.expr(listed)))).first()
-    gone = removed.select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"), *([F.col("cut").alias("__cut")] if fine else []))
-    small = (entries[1] or 0) <= BROADCAST_ROWS
-    joined = documents.join(F.broadcast(gone) if small else gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
-
-    def keep(c: Column) -> Column:
-        return ~F.coalesce(F.array_contains(F.col("__removed"), F.struct(c["k"].alias("k"), F.xxhash64(c["text"]).alias("h"))), F.lit(False))
-
-    def rest(cut: Column) -> Column:
-        """Lines of the chunks that stay, without those at the places in cut."""
-        return F.flatten(F.transform(F.filter(chunks(F.col("text")), keep), lambda c: F.filter(lines_of(c["text"]), lambda _, i: ~F.array_contains(cut, c["start"] + i))))
-
-    whole = F.transform(F.filter(chunks(F.col("text")), keep), lambda c: c["text"])
-    if fine:
-        cuts = F.filter(units(F.col("text")), lambda u: F.array_contains(F.col("__cut"), F.struct(u["place"].alias("place"), u["upto"].alias("upto"), u["h"].alias("h"))))
-        places = F.array_distinct(F.flatten(F.transform(cuts, lambda u: F.sequence(u["place"], u["upto"]))))
-        whole = F.when(F.col("__cut").isNull(), whole).otherwise(_let(places, rest))
-    text = F.when(F.col("__id").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.coalesce(F.array_join(whole, ""), F.lit("")))
-    counts = {"removed_chunks": "__removed"} | ({"removed_units": "__cut"} if fine else {})
-    out = joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns], *[F.coalesce(F.size(c), F.lit(0)).cast("long").alias(k) for k, c in counts.items()])
-    changed = F.greatest(F.lit(0), *[F.col(k) for k in counts]) > 0
+    d, t, runs, lines = (free_name(documents, x) for x in ("d", "t", "runs", "lines"))
+    cuts = repeated_lines(documents, bits).toDF(d, t, runs, lines)
+    few = (cuts.agg(F.sum(F.size(runs))).first()[0] or 0) <= BROADCAST_ROWS
+    joined = documents.join(F.broadcast(cuts) if few else cuts, (F.col("doc_id").cast("long") == F.col(d)) & (F.xxhash64("text") == F.col(t)), "left")
+
+    def rest(all_lines: Column) -> Column:
+        """What stands before, between and after the runs."""
+        edges = F.concat(F.col(runs), F.array(F.struct(F.size(all_lines).alias("lo"), F.size(all_lines).alias("hi"))))
+        gaps = F.transform(edges, lambda e, k: F.slice(all_lines, F.when(k == 0, 1).otherwise(F.get(edges, k - 1)["hi"] + 2), e["lo"] - F.when(k == 0, 0).otherwise(F.get(edges, k - 1)["hi"] + 1)))
+        return F.array_join(F.flatten(gaps), "")
+
+    text = F.when(F.col(d).isNull(), F.col("text")).otherwise(_let(lines_of(F.col("text")), rest))
+    put = {"text": text}
     if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        put["n_chars"] = F.when(F.col(d).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(documents.schema["n_chars"].dataType))
     if drop_emptied:
-        out = out.where(~changed | (F.length(F.trim(F.translate("text", "\n\t", "  "))) > 0) | F.col("text").isNull())
-    return out
+        joined = joined.where(F.col(d).isNull() | (F.length(F.trim(text, F.lit(_SPACE))) > 0))
+    more = [F.coalesce(F.col(lines), F.lit(0)).cast("long").alias(count)] if count else []
+    return joined.select(*[put.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns], *more)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` without repeated passages."""
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "removed_chunks")
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), count="removed_lines").select("doc_id", "text", "removed_lines")
 
 
 ORACLE = r"""
 WITH u AS (
-  SELECT doc_id, i, list_extract(l, i) AS line FROM (
+  SELECT doc_id, i - 1 AS place, list_extract(l, i) AS line FROM (
     SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
-      SELECT doc_id, list_filter(regexp_extract_all(text, '(?s)(?:.*?(?:\n|\. )|.+$)'), lambda x: x <> '') AS l FROM documents WHERE doc_id IS NOT NULL)
-  )
-), b AS (
-  SELECT doc_id, i, line, CASE WHEN i = 1 THEN 1 WHEN md5(coalesce(lag(md5(line), 2) OVER w, '') || lag(md5(line)) OVER w) < '8' THEN 1 ELSE 0 END AS s
-  FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), c AS (
-  SELECT doc_id, k, string_agg(line, '' ORDER BY i) AS chunk, count(*) AS lines FROM (
-    SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM b) GROUP BY doc_id, k
-), w AS (
-  SELECT *, greatest(1, length(chunk) - length(translate(chunk, ' ' || chr(10) || chr(9), ''))) AS words,
-    row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) AS nth FROM c
+      SELECT doc_id, list_filter(regexp_extract_all(text, '(?s)(?:.*?(?:\n|\. )|.+$)'), lambda x: x <> '') AS l FROM documents WHERE doc_id IS NOT NULL))
+), t AS (
+  SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS words, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS j
+  FROM (SELECT doc_id, place, trim(line, ' ' || chr(10) || chr(9) || chr(13)) AS line FROM u) WHERE line <> ''
+), p AS (
+  SELECT doc_id, j, place, words, line AS a, lead(line) OVER w AS b, lead(place) OVER w AS upto, lead(words) OVER w AS last
+  FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY place)
 ), m AS (
-  SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM w WHERE nth > 1
+  SELECT *, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS run
+  FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, place) AS nth FROM p WHERE b IS NOT NULL) WHERE nth > 1
 ), r AS (
-  SELECT doc_id, k FROM (SELECT *, sum(words) OVER p AS ws, sum(lines) OVER p AS ls FROM m WINDOW p AS (PARTITION BY doc_id, island))
-  WHERE ws >= 25 AND (ls > 1 OR ws >= 50)
+  SELECT doc_id, min(place) AS lo, max(upto) AS hi FROM m GROUP BY doc_id, run HAVING sum(words) + arg_max(last, j) >= 25
+  UNION ALL
+  SELECT doc_id, place, place FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS nth FROM t WHERE words >= 50) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS place FROM r
 ), kept AS (
-  SELECT w.doc_id, string_agg(CASE WHEN r.k IS NULL THEN w.chunk ELSE '' END, '' ORDER BY w.k) AS text, count(r.k) AS removed
-  FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.k = w.k GROUP BY w.doc_id
+  SELECT u.doc_id, string_agg(CASE WHEN g.place IS NULL THEN u.line ELSE '' END, '' ORDER BY u.place) AS text, count(g.place) AS removed
+  FROM u LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.place = u.place GROUP BY u.doc_id
 )
-SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE k.text END AS text, coalesce(k.removed, 0)::BIGINT AS removed_chunks
+SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE k.text END AS text, coalesce(k.removed, 0)::BIGINT AS removed_lines
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """

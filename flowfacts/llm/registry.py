@@ -1,8 +1,10 @@
 """The queries of this subpackage, as __spark_entry__ registers them."""
 
 from .ann import op2_nearest_neighbours
+from .embedding_dedup import ORACLE as EMBEDDING_ORACLE
 from .embedding_dedup import op1_embedding_near_dedup
 from .html_extract import op4_html_main_text
+from .jaccard_join import ORACLE as JACCARD_ORACLE
 from .jaccard_join import op5_jaccard_join
 from .line_dedup import ORACLE as LINE_DEDUP_ORACLE
 from .line_dedup import op3_line_dedup
@@ -13,4 +15,4 @@ from .sharding import op6_sharding
 from .toxicity import op10_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op3_line_dedup, op4_html_main_text, op5_jaccard_join, op6_sharding, op7_sentencepiece, op8_packing, op9_personal_data, op10_toxicity)}
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_ORACLE}
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": EMBEDDING_ORACLE, "op3_line_dedup": LINE_DEDUP_ORACLE, "op5_jaccard_join": JACCARD_ORACLE}

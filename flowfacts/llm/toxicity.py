@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from .common import free_name
+
 #: The documented bound of the labelled sample that the classifier is fitted on.
 TRAINING_ROWS = 6000
 BUCKETS = 1 << 17
@@ -31,6 +33,8 @@ SPAN = 4
 ROUNDS, EPOCHS, RATE = 4, 6, 0.05
 #: Weight decay of embeddings and layer, relative to the step size.
 DECAY = 0.05
+#: Words whose n-grams are worked out at once.
+AT_ONCE = 20_000
 #: Words whose scores a worker remembers; beyond, the memory is emptied and filled anew.
 REMEMBERED = 400_000
 _EDGE = "\"'()[]{}<>.,;:!?…«»“”‘’*_-|"
@@ -80,20 +84,24 @@ class _Trainer:
     """
 
     def __init__(self, words: list[str], texts: list[np.ndarray], labels: np.ndarray, least: int = 5, seed: int = 1):
-        sub, at = subwords(words)
-        owner = np.repeat(np.arange(len(words)), np.diff(at))
+        parts = [subwords(words[k : k + AT_ONCE]) for k in range(0, len(words), AT_ONCE)]
+        sub = np.concatenate([p[0].astype(np.int32) for p in parts])
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+        del parts
         seen = np.zeros((2, BUCKETS), np.int64)
         for t, y in zip(texts, labels):
             t = np.unique(t)
             size = at[t + 1] - at[t]
             seen[y, np.unique(sub[np.arange(size.sum()) + np.repeat(at[t] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)])] += 1
         self.used = np.nonzero(seen.sum(0) >= min(least, max(1, len(texts) // 50)))[0]
-        place = np.full(BUCKETS, -1)
+        place = np.full(BUCKETS, -1, np.int32)
         place[self.used] = np.arange(len(self.used))
-        share = 1.0 / np.diff(at)[owner]
         keep = place[sub] >= 0
-        self.sub, self.share = place[sub[keep]], share[keep].astype(np.float32)
-        self.at = np.searchsorted(owner[keep], np.arange(len(words) + 1))
+        size = np.diff(at)
+        self.share = np.repeat((1.0 / size).astype(np.float32), size)[keep]
+        self.sub = place[sub[keep]]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(words), dtype=np.int32), size)[keep], minlength=len(words)))])
+        del sub, keep
         r = np.random.RandomState(seed)
         self.random = r
         self.params = [(r.standard_normal((len(self.used), WIDTH)) * 0.1).astype(np.float32), (r.standard_normal((WIDTH, 2)) * 0.1).astype(np.float32), np.zeros(2, np.float32)]
@@ -109,8 +117,12 @@ class _Trainer:
     def odds(self) -> np.ndarray:
         """Log-odds of each word."""
         table, layer, _ = self.params
-        sums = np.concatenate([[0.0], np.cumsum((table @ (layer[:, 1] - layer[:, 0]))[self.sub] * self.share, dtype=np.float64)])
-        return sums[self.at[1:]] - sums[self.at[:-1]]
+        gram, out = table @ (layer[:, 1] - layer[:, 0]), np.zeros(len(self.at) - 1)
+        for k in range(0, len(out), AT_ONCE):
+            at = self.at[k : k + AT_ONCE + 1]
+            inside = slice(at[0], at[-1])
+            out[k : k + AT_ONCE] = np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), gram[self.sub[inside]] * self.share[inside], len(at) - 1)
+        return out
 
     def row(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """N-grams and weights of a text, given as word numbers."""
@@ -236,8 +248,8 @@ class Scorer:
         memory = self.memory
         new = [w for w in dict.fromkeys(w for s in split for w in s) if w not in memory]
         if new:
-            for at in range(0, len(new), 100_000):
-                part = new[at : at + 100_000]
+            for at in range(0, len(new), AT_ONCE):
+                part = new[at : at + AT_ONCE]
                 sub, start = subwords(part)
                 memory.update(zip(part, (np.add.reduceat(self.model.odds[sub], start[:-1]) / np.diff(start)).tolist()))
         for i, s in enumerate(split):
@@ -280,7 +292,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> M
 
 
 def with_scores(documents: DataFrame, model: Model, column: str = "text", name: str = "__toxicity") -> DataFrame:
-    """The documents with one more column, the score; no shuffle."""
+    """The documents with one more column, the score, under a name they don't have; no shuffle."""
     place = documents.columns.index(column)
     schema = StructType([*documents.schema.fields]).add(name, DoubleType())
 
@@ -313,6 +325,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """The documents, all columns, whose score is below one half; rows as in ``score``."""
-    got = with_scores(documents, fit(documents, labels, rows))
-    return got.where("__toxicity < 0.5").select(*documents.columns)
+    """The documents, all columns, whatever their names, whose score is below one half; rows as in ``score``."""
+    name = free_name(documents, "toxicity")
+    got = with_scores(documents, fit(documents, labels, rows), name=name)
+    return got.where(F.col(name) < 0.5).drop(name)

@@ -15,7 +15,7 @@ from flowfacts.llm.common import connected_components
 from flowfacts.llm.embedding_dedup import near_duplicate_embeddings
 from flowfacts.llm.html_extract import extract, main_text
 from flowfacts.llm.jaccard_join import jaccard_components, keep_one_of_each_group
-from flowfacts.llm.line_dedup import ORACLE, chunks, dedup_lines
+from flowfacts.llm.line_dedup import ORACLE, chunk_starts, dedup_lines, hashed_lines, lines_of
 from flowfacts.llm.packing import pack
 from flowfacts.llm.pii import find_personal_data, redact_documents
 from flowfacts.llm.sentencepiece_viterbi import Pieces, Stream, decode_documents, encode_documents
@@ -87,6 +87,63 @@ def test_op1_edge_cases(spark):
     assert near_duplicate_embeddings(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [16, 64])
+def test_op1_several_blocks_repeated_ids_and_extra_columns(spark, block):
+    rng = np.random.RandomState(2)
+    centre = rng.standard_normal((8, 24))
+    rows = [(i, (centre[i % 8] + rng.standard_normal(24) * rng.choice([0.01, 0.2, 0.9])).astype(np.float32).tolist(), i % 3, "x") for i in range(200)]
+    rows += [(200 + k, rows[5][1], 2, "copy") for k in range(60)]  # a hot group of copies
+    rows += [(1, rows[9][1], rows[9][2], "another vector of 1"), rows[7], (None, rows[5][1], 2, "null id"), (300, [1.0, 2.0], 2, "short")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, key string").withColumns({"own": F.lit(1), "v": F.lit(2), "n": F.lit(3)}).repartition(5)
+    good = sorted({(r[0], tuple(r[1]), r[2]) for r in rows if r[0] is not None})
+    unit = [np.array(v, float) / np.linalg.norm(v) for _, v, _ in good]
+    links, pairs = [0] * len(good), []
+    for i in range(len(good)):
+        for j in range(i):
+            if good[i][2] == good[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93:
+                links[i] += 1
+                links[j] += 1
+                pairs.append((i, j))
+            elif good[i][0] == good[j][0]:
+                pairs.append((i, j))
+    label = roots(len(good), pairs)
+    want = {g: (links[k], min(good[x][0] for x in range(len(good)) if label[x] == label[k])) for k, g in enumerate(good)}
+    expected = sorted((r[0], *want[(r[0], tuple(r[1]), r[2])]) for r in rows if r[0] is not None)
+    got = near_duplicate_embeddings(df, block=block).collect()
+    assert sorted(tuple(r)[:3] for r in got if r.vec_id is not None) == expected
+    assert [tuple(r)[1:3] for r in got if r.vec_id is None] == [(0, None)]
+
+
+def test_op1_matches_sql(spark):
+    assert differences(registry.QUERIES["op1_embedding_near_dedup"](spark, SF), SF, registry.ORACLES["op1_embedding_near_dedup"]) == ""
+
+
+def test_op2_several_blocks_ties_repeated_ids_and_extra_columns(spark):
+    rng = np.random.RandomState(5)
+    rows = [(i, rng.standard_normal(12).astype(np.float32).tolist(), "x") for i in range(400)]
+    rows += [(1000 + k, rows[0][1], "copy") for k in range(30)] + [(7, rows[50][1], "another vector of 7"), rows[3], (None, rows[0][1], "null id"), (2000, None, ""), (2050, [1.0, 0.0], "short")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, b string").withColumns({"ask": F.lit(1), "d": F.lit(2), "rank": F.lit(3)}).repartition(4)
+    good = [(i, np.array(v, float) / np.linalg.norm(v)) for i, v, _ in rows if i is not None and v is not None and len(v) == 12]
+    got = {}
+    for r in search(df, df.where("vec_id % 50 = 0"), 5, block=100, share=0.5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    hits = total = 0
+    for q in {i for i, _ in good if i % 50 == 0}:
+        best = {}
+        for a in [v for i, v in good if i == q]:
+            for i, v in good:
+                if i != q:
+                    best[i] = max(best.get(i, -2), float(a @ v))
+        want = sorted(best.items(), key=lambda x: (-round(x[1], 9), x[0]))[:5]
+        assert [r for r, _, _ in got[q]] == [1, 2, 3, 4, 5]
+        hits += len({i for i, _ in want} & {i for _, i, _ in got[q]})
+        total += 5
+        if q == 0:
+            assert [i for _, i, _ in got[q]] == [1000, 1001, 1002, 1003, 1004]
+    assert hits >= 0.95 * total and 2050 not in got
+    assert search(df.where("false"), df.where("false")).count() == 0
+
+
 def test_op2_recall_against_brute_force(spark):
     ids, unit, _ = vectors()
     cosine = unit @ unit.T
@@ -107,19 +164,63 @@ def test_op2_few_candidates(spark):
     assert got == [(0, 1, 1)]
 
 
+def without_repeats(rows):
+    """The rule of op3 in plain Python: (doc_id, text) in order of doc_id -> texts."""
+    lines = [[x for x in re.split(r"(?<=\n)|(?<=\. )", t or "") if x] for _, t in rows]
+    bare = [[(p, x.strip(" \n\t\r")) for p, x in enumerate(ls) if x.strip(" \n\t\r")] for ls in lines]
+    pairs, longs, out = set(), set(), []
+    for (_, t), ls, bs in zip(rows, lines, bare):
+        gone, run = set(), []
+
+        def close():
+            if run and sum(bs[j][1].count(" ") + 1 for j in range(run[0], run[-1] + 2)) >= 25:
+                gone.update(range(bs[run[0]][0], bs[run[-1] + 1][0] + 1))
+            run.clear()
+
+        for j, (p, x) in enumerate(bs):
+            if x.count(" ") >= 49:
+                gone.update([p] if x in longs else [])
+                longs.add(x)
+            if j + 1 < len(bs) and (x, bs[j + 1][1]) in pairs:
+                run.append(j)
+            else:
+                close()
+            if j + 1 < len(bs):
+                pairs.add((x, bs[j + 1][1]))
+        close()
+        out.append(t if t is None else "".join(x for p, x in enumerate(ls) if p not in gone))
+    return out
+
+
 def test_op3_matches_sql(spark):
     assert differences(registry.QUERIES["op3_line_dedup"](spark, SF), SF, ORACLE) == ""
 
 
+@pytest.mark.parametrize("bits", [64, 6])
+def test_op3_matches_the_rule_in_plain_python(spark, bits):
+    """With 6 bits a unit's hash stands for many texts, so their bytes must tell them apart."""
+    rng = np.random.RandomState(6)
+    pool = [passage(n, f"l{k}x") + e for k, (n, e) in enumerate(zip(rng.randint(1, 16, 40), [". ", ".\n", "\n", "\n\n", ".\t\n"] * 8))] + [passage(60, "long") + ". ", "\n", " \n", "x\x01y. "]
+    texts = ["".join(pool[k] for k in (rng.randint(len(pool), size=rng.randint(0, 25)) if d % 3 else np.arange(d % 20, d % 20 + 12))) for d in range(60)] + ["", None, passage(60, "long"), "y" * 200_000 + ".\n" + passage(60, "long")]
+    got = {r.doc_id: r.text for r in dedup_lines(docs(spark, texts).repartition(4), bits=bits).collect()}
+    want = without_repeats(list(enumerate(texts)))
+    assert [got[d] for d in range(len(texts))] == want
+    assert sum(a != b for a, b in zip(texts, want)) > 20
+
+
 def test_op3_chunks_join_to_the_text_and_edge_cases(spark):
     shared = "".join(passage(12, f"p{i}x") + "\n" for i in range(12))
     texts = [shared, "own start here\n" + shared + "own end", None, "", "short. line\n", "short. line\n"]
     df = docs(spark, texts)
-    assert all(r.t == r.text for r in df.where("text <> ''").select("text", F.array_join(F.transform(chunks(F.col("text")), lambda c: c["text"]), "").alias("t")).collect())
-    got = {r.doc_id: r.text for r in dedup_lines(df).collect()}
-    assert got[0] == shared and got[2] is None and got[3] == "" and got[4] == got[5] == "short. line\n"
-    assert "own start here" in got[1] and "own end" in got[1] and len(got[1]) < len(shared)
+    assert all(r.t == r.text for r in df.where("text <> ''").select("text", F.array_join(lines_of(F.col("text")), "").alias("t")).collect())
+    starts = {r.doc_id: r.s for r in df.where("doc_id < 2").select("doc_id", chunk_starts(hashed_lines(F.col("text")).getField("h")).alias("s")).collect()}
+    assert {x + 1 for x in starts[0] if x > 2} == {x for x in starts[1] if 3 < x < 13}, "boundaries move with the text"
+    got = {r.doc_id: (r.text, r.gone) for r in dedup_lines(df, count="gone").collect()}
+    assert got[0] == (shared, 0) and got[2] == (None, 0) and got[3] == ("", 0) and got[4][0] == got[5][0] == "short. line\n"
+    assert got[1] == ("own start here\nown end", 12)
     assert dedup_lines(df.where("false")).count() == 0
+    twice = df.where("doc_id = 1").unionAll(df.where("doc_id = 1")).unionAll(df.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted(((r.doc_id, r.text) for r in dedup_lines(twice).collect()), key=str) == [(1, "own start here\nown end")] * 2 + [(None, shared)]
 
 
 def test_line_dedup_stage_takes_every_planted_passage(spark):
@@ -205,7 +306,9 @@ def test_op5_matches_brute_force(spark, words, per_cent):
     want = {rows[i][0]: (len(sets[i]), rows[c][0]) for i, c in enumerate(roots(len(rows), pairs))}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, words, per_cent).collect()} == want
-    if words == 5:
+    if words == 4:
+        assert differences(registry.QUERIES["op5_jaccard_join"](spark, SF), SF, registry.ORACLES["op5_jaccard_join"]) == ""
+    else:
         kept = {r.doc_id for r in keep_one_of_each_group(df, words, per_cent).collect()}
         assert kept == {d for d, (_, c) in want.items() if c == d}
 
@@ -367,3 +470,37 @@ def test_pipeline_keeps_columns_and_clean_documents(spark):
         df = out
     kept = {r.doc_id for r in df.select("doc_id").collect()}
     assert kept and kept == {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, df, SF).select("doc_id").distinct().collect()}
+
+
+def test_op5_groups_of_several_parts_match_brute_force(spark, monkeypatch):
+    """Parts of three documents; repeated and null ids, a very long text and copies."""
+    import flowfacts.llm.jaccard_join as module
+
+    monkeypatch.setattr(module, "PART_DOCS", 3)
+    rng = np.random.RandomState(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base if i % 3 else [f"u{i % 7}x{k}" for k in range(90)])
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randint(len(words))] = f"n{i}{rng.randint(99)}"
+        rows.append((i, " ".join(words)))
+    rows += [(90, passage(30_000, "long")), (91, passage(30_000, "long") + " end"), (92, rows[3][1]), (93, rows[3][1]), (94, "x y"), (94, rows[0][1]), (95, "x y"), (None, rows[0][1])]
+    sets = [shingles(t, 4) if d is not None else set() for d, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and (100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) or rows[i][0] == rows[j][0])]
+    label = roots(len(rows), pairs)
+    want = sorted(((d, len(shingles(t, 4)), d if d is None else rows[label[i]][0]) for i, (d, t) in enumerate(rows)), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r)[:3] for r in jaccard_components(df, 4, 85).collect()), key=str)
+    assert got == want
+    assert jaccard_components(df.where("false"), 4, 85).count() == 0
+
+
+def test_stages_take_tables_whose_columns_have_clashing_names(spark):
+    names = ["__id", "removed_chunks", "__toxicity", "__gone", "__removed", "__cut", "removed_units", "group", "part", "h", "n", "v"]
+    df = docs(spark, ["Some plain words here", "Some plain words here", passage(60) + ".\n" + passage(60, "b") + ".", None]).select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns, name
+        assert all(r[c] == k for r in out.collect() for k, c in enumerate(names)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() == 4
