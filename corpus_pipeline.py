@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated passages; one whose whole text was said before is left out."""
-    return dedup_lines(docs, drop_emptied=True, fine=True).select(*docs.columns)
+    return dedup_lines(docs, drop_emptied=True)
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
