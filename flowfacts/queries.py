@@ -10,9 +10,11 @@ from flowfacts.operators import dataflow, findings, fixpoint, graph, models
 from flowfacts.sources import facts
 from flowfacts.sources.facts import table
 
-from .oracles import ORACLES  # noqa: F401
+from .frontend import queries as frontend
+from .oracles import ORACLES as OWN_ORACLES
 
-QUERIES = {}
+QUERIES = dict(frontend.QUERIES)
+ORACLES = {**OWN_ORACLES, **frontend.ORACLES}
 
 
 def query(f):

@@ -3,8 +3,7 @@
 import pytest
 
 import __spark_entry__
-from flowfacts.oracles import ORACLES
-from flowfacts.queries import QUERIES
+from flowfacts.queries import ORACLES, QUERIES
 
 from .compare import differences
 
