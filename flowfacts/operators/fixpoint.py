@@ -8,27 +8,39 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import if_small, written
+from .tables import discard, if_small, written
+
+
+#: Rounds after which a fixpoint's tables are folded into one.
+FOLD = 8
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, parts)
 
 
 def least_fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], name: str = "facts", rounds: int = 10_000) -> DataFrame:
     """All rows derivable from seed: each round applies step to the rows that are new, until none is.
 
     Rows are facts, so lattices of sets and bits are kept as one row per element or bit, and joins are unions. The rows of
-    a round are written once; the known rows are the union of all rounds' tables.
+    a round are written once; the known rows are the union of the rounds' tables, which are folded into one every FOLD
+    rounds, so that a long run neither reads very many tables nor keeps old ones.
     """
     columns = seed.columns
     parts = [written(seed.distinct(), name)]
     new = parts[0]
     for _ in range(rounds):
-        known = reduce(DataFrame.unionAll, parts)
-        new = written(step(new).select(*columns).distinct().join(known, columns, "left_anti"), name)
+        new = written(step(new).select(*columns).distinct().join(_union(parts), columns, "left_anti"), name)
         if new.isEmpty():
-            break
+            discard(new)
+            return _union(parts)
         parts.append(new)
-    else:
-        raise RuntimeError(f"{name}: no fixpoint after {rounds} rounds")
-    return reduce(DataFrame.unionAll, parts)
+        if len(parts) > FOLD:
+            whole = written(_union(parts), name)
+            # new stays: the next round reads it
+            discard(*parts[:-1])
+            parts = [whole]
+    raise RuntimeError(f"{name}: no fixpoint after {rounds} rounds")
 
 
 def reach(starts: DataFrame, edges: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
@@ -44,16 +56,17 @@ def reach(starts: DataFrame, edges: DataFrame, keys: list[str], node: str = "nod
 def closure(edges: DataFrame) -> DataFrame:
     """Transitive closure (src, dst) of a graph by path doubling: rounds grow with the logarithm of the longest shortest path.
 
-    In each round paths found last are joined with all known paths on both sides.
+    In each round paths found last are joined with all known paths on both sides. A round writes its new paths only.
     """
-    paths = written(edges.select("src", "dst").distinct(), "paths")
-    new = paths
+    parts = [written(edges.select("src", "dst").distinct(), "paths")]
+    new = parts[0]
     while not new.isEmpty():
+        paths = _union(parts)
         a = new.select("src", F.col("dst").alias("mid")).join(paths.select(F.col("src").alias("mid"), "dst"), "mid")
         b = paths.select("src", F.col("dst").alias("mid")).join(new.select(F.col("src").alias("mid"), "dst"), "mid")
         new = written(a.unionAll(b).select("src", "dst").distinct().join(paths, ["src", "dst"], "left_anti"), "paths")
-        paths = written(paths.unionAll(new), "paths")
-    return paths
+        parts.append(new)
+    return _union(parts)
 
 
 def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,27 +7,60 @@ blocks are bounded by its source text, so a grouped Arrow function solves each i
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import closure, longest_levels
+from .fixpoint import least_fixpoint, longest_levels
+from .tables import discard, written
 
 EXIT = -1
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """(node, component): component is the smallest node that reaches and is reached. paths: the edges' closure, if at hand."""
-    paths = closure(edges) if paths is None else paths
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, ["src", "dst"], "left_semi").groupBy("src").agg(F.min("dst").alias("least"))
-    return nodes.select("node").join(mutual.withColumnRenamed("src", "node"), "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("component"))
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): component is the smallest node that reaches and is reached.
+
+    Nodes without edges on one side are components of their own and are taken away, as long as there are any. Of the rest
+    every node takes the smallest node that reaches it as its colour; what reaches a colour's own node inside the colour is
+    that node's component. No closure is made: a round reads the edges that are left and writes a row a node.
+    """
+    edges = written(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    found = []
+    left = edges.count()
+    while left:
+        trimmed = left + 1
+        while left and left < trimmed:
+            trimmed = left
+            kept = written(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
+            discard(edges)
+            edges, left = kept, kept.count()
+        if not left:
+            break
+        colours = written(edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node")), "colours")
+        while True:
+            better = edges.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
+            moved = written(colours.join(better, "node", "left").select("node", F.least("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") < F.col("colour")).alias("moved")), "colours")
+            changed = not moved.where("moved").isEmpty()
+            discard(colours)
+            colours = moved.select("node", "colour")
+            colours._flowfacts_path = moved._flowfacts_path
+            if not changed:
+                break
+        inside = written(edges.join(colours.toDF("src", "a"), "src").join(colours.toDF("dst", "b"), "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("a").alias("colour")), "inside")
+        whole = written(least_fixpoint(colours.where("node = colour").select("colour", F.col("node")), lambda new: new.withColumnRenamed("node", "src").join(inside, ["colour", "src"]).withColumnRenamed("dst", "node"), "component").select("node", F.col("colour").alias("component")), "component")
+        found.append(whole)
+        rest = written(edges.join(whole.select(F.col("node").alias("src")), "src", "left_anti").join(whole.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+        discard(edges, colours, inside)
+        edges, left = rest, rest.count()
+    mutual = reduce(DataFrame.unionAll, found) if found else nodes.select("node", F.col("node").alias("component")).where("false")
+    return nodes.select("node").join(mutual, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def schedule(nodes: DataFrame, edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def schedule(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component, level): what a node depends on lies in its component or on a lower level."""
-    parts = strong_components(nodes, edges, paths)
+    parts = written(strong_components(nodes, edges), "parts")
     crossing = (
         edges.join(parts.select(F.col("node").alias("src"), F.col("component").alias("a")), "src")
         .join(parts.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")

@@ -1,10 +1,10 @@
 """The queries of queries.py as DuckDB SQL."""
 
 _EDGES = """edges AS (SELECT DISTINCT src, dst FROM (
-  SELECT p_partkey % 97 AS src, (p_partkey % 97) // 2 AS dst FROM part
-  UNION ALL SELECT p_partkey % 97, CAST((p_size * 2) % 97 AS BIGINT) FROM part WHERE p_size > 45) WHERE src <> dst)"""
+  SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_size > 45
+  UNION ALL SELECT p_partkey // 2, p_partkey FROM part WHERE p_size = 50) WHERE src <> dst)"""
 _PATHS = "paths(src, dst) AS (SELECT src, dst FROM edges UNION SELECT p.src, e.dst FROM paths p JOIN edges e ON p.dst = e.src)"
-_CFG = "cfg AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS function, c_custkey % 24 AS src, (c_custkey // 7) % 24 AS dst FROM customer)"
+_CFG = "cfg AS (SELECT DISTINCT o_custkey AS function, o_orderkey % 24 AS src, (o_orderkey // 7) % 24 AS dst FROM orders)"
 _REACH = "reach(function, block) AS (SELECT DISTINCT function, CAST(0 AS BIGINT) FROM cfg UNION SELECT r.function, e.dst FROM reach r JOIN cfg e ON e.function = r.function AND e.src = r.block)"
 #: without(function, gone, block): blocks reached when `gone` may not be entered.
 _WITHOUT = """without(function, gone, block) AS (
@@ -44,6 +44,21 @@ ORACLES = {
     "policy_anti_join": "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
     "version_parse": "SELECT p_partkey, concat(p_size, '.', p_partkey % 10) AS parsed FROM part",
     "version_satisfies": "SELECT p_partkey AS requirement, [p_size, p_partkey % 10, p_partkey % 3] >= [p_size, p_partkey % 7, 0] AND p_size < p_size + 1 AS holds FROM part",
+    "specifier_forms": """SELECT p_partkey AS requirement, CASE p_partkey % 16
+        WHEN 0 THEN v >= [a, b, 0] WHEN 1 THEN v > [a, b, 0] WHEN 2 THEN v < [a, b, 0] WHEN 3 THEN v <= [a, b, 0] WHEN 4 THEN v = [p_size, b, 0] WHEN 5 THEN true WHEN 6 THEN p_size = a
+        WHEN 7 THEN v <> [p_size, b, 0] WHEN 8 THEN v <> [a, 0, 0] WHEN 9 THEN v >= [a, b, 0] AND p_size <= a WHEN 10 THEN v >= [a, 0, 0] AND p_size <= a WHEN 11 THEN v >= [0, b, 0] AND v < [0, b + 1, 0]
+        WHEN 12 THEN v >= [a + 1, b, 0] AND p_size <= a + 1 WHEN 13 THEN v >= [a, b, 0] WHEN 14 THEN v < [10, 0, 0] OR v >= [40, 0, 0] AND v <> [p_size, b, 1] ELSE true END AS holds
+        FROM (SELECT *, (p_partkey * 7) % 50 AS a, p_partkey % 10 AS b, [p_size, p_partkey % 10, p_partkey % 3] AS v FROM part)""",
+    "osv_import": """SELECT concat('R-', p_partkey) AS advisory, 'the-lib' AS package, CASE p_partkey % 7 WHEN 0 THEN concat('<', p_size, '.1') WHEN 1 THEN concat('>=', p_size, '.0,<', p_size + 1)
+        WHEN 2 THEN concat('>=1.0,<=', p_size) WHEN 3 THEN concat('>=', p_size) WHEN 4 THEN concat('<1.1 || >=2.0,<2.', p_size) END AS vulnerable,
+        CASE p_partkey % 3 WHEN 0 THEN 'medium' WHEN 1 THEN 'high' ELSE 'medium' END AS severity FROM part WHERE p_partkey % 7 < 5""",
+    "may_affect": """WITH b AS (SELECT p_brand, CAST(floor(avg(p_size)) AS BIGINT) AS mean FROM part GROUP BY p_brand)
+        SELECT p_partkey AS requirement, concat('ADV-', p_brand) AS advisory FROM part JOIN b USING (p_brand) WHERE CASE p_partkey % 4 WHEN 0 THEN p_size < mean WHEN 1 THEN p_size < mean WHEN 2 THEN true ELSE 0 < mean END""",
+    "vex_statuses": """SELECT l_suppkey AS advisory, l_linestatus AS package, CASE WHEN bool_or(l_returnflag = 'R') THEN 'affected'
+        WHEN bool_and(l_returnflag = 'A') AND bool_and(l_tax > 0.01) AND bool_and(l_discount > 0.01) AND bool_and(l_quantity < 50) THEN 'not_affected' ELSE 'under_investigation' END AS status
+        FROM lineitem GROUP BY ALL""",
+    "merged_requirements": """WITH r AS (SELECT p_partkey, concat('lib-', p_size) AS package, CASE p_partkey % 3 WHEN 0 THEN '' ELSE concat('>=', p_partkey % 10) END AS specifier, CASE WHEN p_partkey % 5 = 0 THEN concat(p_size, '.', p_partkey % 7) END AS version, p_partkey % 4 = 0 AS optional, concat('d', p_partkey % 6) AS dependent FROM part)
+        SELECT package, coalesce(arg_min(specifier, p_partkey) FILTER (WHERE specifier <> ''), '') AS specifier, arg_max(version, p_partkey) FILTER (WHERE version IS NOT NULL) AS version, bool_and(optional) AS optional, count(DISTINCT dependent) AS dependents FROM r GROUP BY package""",
     "affected_join": f"""WITH b AS (SELECT p_brand, CAST(floor(avg(p_size)) AS BIGINT) AS mean FROM part GROUP BY p_brand), r AS ({_PART_VERSION})
         SELECT requirement, concat('ADV-', package) AS advisory, package, version FROM r JOIN b ON b.p_brand = r.package
         WHERE v < [mean, 5, 0] OR v >= [mean + 10, 0, 0]""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowfacts.functions import versions
 from flowfacts.operators import dataflow, findings, fixpoint, graph, models
-from flowfacts.sources import facts
+from flowfacts.sources import dependencies, facts, reports
 from flowfacts.sources.facts import table
 
 from .frontend import queries as frontend
@@ -103,6 +103,60 @@ def version_satisfies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.versions(spark, sf_dir).select("requirement", versions.satisfies(versions.parse(F.col("version")), F.col("spec")).alias("holds"))
 
 
+#: Forms of specifiers by p_partkey % 16, over a = p_partkey * 7 % 50 and b = p_partkey % 10; the SQL says what each means.
+FORMS = [
+    "concat('>=', a, '.', b)", "concat('>', a, '.', b)", "concat('<', a, '.', b)", "concat('<= ', a, '.', b)", "concat('==', p_size, '.', b)", "concat('===', p_size, '.*')", "concat('==', a, '.*')",
+    "concat('!=', p_size, '.', b)", "concat('!=', a, '.*')", "concat('~=', a, '.', b)", "concat('~=', a)", "concat('^0.', b)", "concat('^', a + 1, '.', b)", "concat(' || >=', a, '.', b)",
+    "concat('<10 || >=40, !=', p_size, '.', b, '.1')", "'==foo,bogus'"]
+
+
+@query
+def specifier_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version of every part against a specifier of every form."""
+    rows = table(spark, sf_dir, "part").selectExpr("*", "p_partkey * 7 % 50 AS a", "p_partkey % 10 AS b", "concat(p_size, '.', p_partkey % 10, '.', p_partkey % 3) AS version")
+    spec = F.expr("CASE p_partkey % 16 " + " ".join(f"WHEN {k} THEN {form}" for k, form in enumerate(FORMS)) + " END")
+    return rows.select(F.col("p_partkey").alias("requirement"), versions.satisfies(versions.parse(F.col("version")), spec).alias("holds"))
+
+
+@query
+def osv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advisory records written from parts: ranges of every shape, other ecosystems and kinds of ranges, and severities."""
+    events = F.expr("""CASE p_partkey % 7 WHEN 0 THEN concat('[{"introduced":"0"},{"fixed":"', p_size, '.1"}]') WHEN 1 THEN concat('[{"introduced":"', p_size, '.0"},{"fixed":"', p_size + 1, '"}]')
+        WHEN 2 THEN concat('[{"introduced":"1.0"},{"last_affected":"', p_size, '"}]') WHEN 3 THEN concat('[{"introduced":"', p_size, '"}]')
+        ELSE concat('[{"introduced":"0"},{"fixed":"1.1"},{"introduced":"2.0"},{"fixed":"2.', p_size, '"}]') END""")
+    rows = table(spark, sf_dir, "part").withColumn("events", events)
+    text = F.format_string('{"id":"R-%d","summary":"s","database_specific":{"severity":"%s"},"affected":[{"package":{"ecosystem":"%s","name":"The_Lib"},"ranges":[{"type":"%s","events":%s}]}]}',
+                           "p_partkey", F.expr("element_at(array('MODERATE', 'HIGH', 'other'), cast(p_partkey % 3 AS int) + 1)"), F.expr("if(p_partkey % 7 = 5, 'npm', 'PyPI')"), F.expr("if(p_partkey % 7 = 6, 'GIT', if(p_partkey % 2 = 0, 'SEMVER', 'ECOSYSTEM'))"), "events")
+    records = rows.select(F.from_json(text, dependencies.OSV_SCHEMA).alias("r")).select("r.*")
+    return dependencies.osv_advisories(records).select("advisory", "package", "vulnerable", "severity")
+
+
+@query
+def may_affect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as requirements, pinned, bounded or free, against an advisory for each brand below its mean size."""
+    part = table(spark, sf_dir, "part")
+    advisories = part.groupBy("p_brand").agg(F.floor(F.avg("p_size")).alias("mean")).select(F.concat(F.lit("ADV-"), "p_brand").alias("advisory"), F.col("p_brand").alias("package"), F.concat(F.lit("<"), "mean").alias("vulnerable"))
+    declared = part.selectExpr("p_partkey AS requirement", "p_brand AS package", "CASE p_partkey % 4 WHEN 0 THEN concat('==', p_size) WHEN 1 THEN concat('>=', p_size) WHEN 2 THEN '' ELSE '<99' END AS specifier")
+    return models.may_affect(declared, advisories).select("requirement", "advisory")
+
+
+@query
+def vex_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence rows from line items: reached, not reached or not known; named, complete, and other packages that require it."""
+    evidence = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey AS advisory", "l_linestatus AS package", "CASE l_returnflag WHEN 'R' THEN true WHEN 'A' THEN false END AS reached", "l_tax > 0.01 AS named", "l_discount > 0.01 AS complete", "if(l_quantity < 50, array(), array('x')) AS dependents")
+    return reports.vex_status(evidence).select("advisory", "package", "status")
+
+
+@query
+def merged_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations and pins of packages written from parts, merged in order."""
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "'p' AS path", "p_partkey AS ordinal", "concat('lib-', p_size) AS package", "CASE p_partkey % 3 WHEN 0 THEN '' ELSE concat('>=', p_partkey % 10) END AS specifier", "p_partkey % 5 = 0 AS pinned",
+        "p_partkey % 4 = 0 AS optional", "concat('d', p_partkey % 6) AS dependent", "CASE WHEN p_partkey % 5 = 0 THEN concat(p_size, '.', p_partkey % 7) END AS version", "cast(null AS string) AS error")
+    return dependencies.merged(rows).select("package", "specifier", "version", "optional", F.size("dependents").cast("long").alias("dependents"))
+
+
 @query
 def affected_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts against one advisory per brand, open below the brand's mean size."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODULES = 97
 BLOCKS = 24
 
 
@@ -14,11 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Import edges (src, dst): every module imports its half; large parts add one more edge."""
+    """Import edges (src, dst), a module a part: every module imports its half, large parts their third as well, and the half
+    of the largest imports it back."""
     part = table(spark, sf_dir, "part")
-    half = part.selectExpr(f"p_partkey % {MODULES} AS src", f"(p_partkey % {MODULES}) DIV 2 AS dst")
-    far = part.where("p_size > 45").selectExpr(f"p_partkey % {MODULES} AS src", f"CAST((p_size * 2) % {MODULES} AS BIGINT) AS dst")
-    return half.unionAll(far).where("src <> dst").distinct()
+    half = part.selectExpr("p_partkey AS src", "p_partkey DIV 2 AS dst")
+    far = part.where("p_size > 45").selectExpr("p_partkey AS src", "p_partkey DIV 3 AS dst")
+    back = part.where("p_size = 50").selectExpr("p_partkey DIV 2 AS src", "p_partkey AS dst")
+    return half.unionAll(far).unionAll(back).where("src <> dst").distinct()
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +28,8 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Control-flow edges (function, src, dst): one function per nation, one edge per customer."""
-    return table(spark, sf_dir, "customer").selectExpr("CAST(c_nationkey AS BIGINT) AS function", f"c_custkey % {BLOCKS} AS src", f"(c_custkey DIV 7) % {BLOCKS} AS dst").distinct()
+    """Control-flow edges (function, src, dst): one function for each customer with orders, one edge per order."""
+    return table(spark, sf_dir, "orders").selectExpr("o_custkey AS function", f"o_orderkey % {BLOCKS} AS src", f"(o_orderkey DIV 7) % {BLOCKS} AS dst").distinct()
 
 
 def cfg_names(spark: SparkSession, sf_dir: str) -> DataFrame:
