@@ -60,19 +60,26 @@ def free_name(df: DataFrame, wish: str) -> str:
 
 #: Keys with at least one in so many rows of a join's large side are hot; there can be no more of them than this.
 HOT = 4096
+#: Parts that the rows of a hot key are dealt into.
+SALTS = 32
 
 
 def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join (left or inner) with a table that has each key once and, in ``n``, its number of rows in left. Both are
-    written tables. If right has few rows, it is broadcast. If not, the keys that hold one in HOT of all counted rows (at
-    most HOT keys) are broadcast and the others, none of which is hot, are joined by key. n is left out of the result."""
+    """Join (left or inner) with a written table that has each key once and, in ``n``, its number of rows in left. If right has
+    few rows, it is broadcast. If not, both sides are dealt by key, and the rows of the keys that hold one in HOT of all counted
+    rows (at most HOT keys, which are broadcast to tell) by a salt as well. n is left out of the result."""
     size = right.agg(F.count("*"), F.sum("n")).first()
     if size[0] <= 100_000:
         return left.join(F.broadcast(right.drop("n")), key, how)
     bound = max(1000, size[1] // HOT)
-    hot, cold = right.where(F.col("n") >= bound).drop("n"), right.where(F.col("n") < bound).drop("n")
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold.hint("shuffle_hash"), key, how))
+    hot = right.where(F.col("n") >= bound)
+    if hot.isEmpty():
+        return left.join(right.drop("n").hint("shuffle_hash"), key, how)
+    salt, mark = free_name(left, "salt"), free_name(left, "hot")
+    dealt = left.join(F.broadcast(hot.select(key, F.lit(True).alias(mark))), key, "left")
+    dealt = dealt.withColumn(salt, F.when(F.col(mark), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop(mark)
+    copies = F.when(F.col("n") >= bound, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(right.withColumn(salt, F.explode(copies)).drop("n").hint("shuffle_hash"), [key, salt], how).drop(salt)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

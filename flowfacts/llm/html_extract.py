@@ -154,7 +154,9 @@ class Page:
                     out[i] = bool(m) and not (most and WEAK.search(m[0]))
         return out
 
-    def main_text(self) -> str:
+    def measures(self) -> tuple[list[bool], int, list[int], list[float], list[float]]:
+        """Of every node: whether it is noise, the body's number, characters below, composite density, and the sum of the
+        children's densities."""
         n, parent, tag = len(self.tag), self.parent, self.tag
         own = [0] * n
         for node, text in self.pieces:
@@ -189,6 +191,11 @@ class Page:
         total = [0.0] * n
         for i in range(1, n):
             total[parent[i]] += max(0.0, density[i])
+        return noise, body, c, density, total
+
+    def main_text(self) -> str:
+        n, parent = len(self.tag), self.parent
+        noise, body, c, density, total = self.measures()
         if not c[body]:
             return ""
         inner = [False] * n  # below the body

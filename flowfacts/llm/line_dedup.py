@@ -91,7 +91,10 @@ def _chunk_hash(h: Column, c: Column) -> Column:
 
 def _hashes(lines: Column, bits: int) -> Column:
     """array<long>: the hashes of the units of hashed lines, and nothing else of them."""
-    h = lines.getField("h")
+    return _let(lines.getField("h"), lambda h: _hashes_of(lines, h, bits))
+
+
+def _hashes_of(lines: Column, h: Column, bits: int) -> Column:
     pairs = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, y: _cut(F.xxhash64(F.lit(PAIR), x, y), bits))
     alone = F.transform(F.filter(lines, lambda x: x["w"] >= LONG_WORDS), lambda x: _cut(F.xxhash64(F.lit(LONG), x["h"]), bits))
     return F.concat(F.transform(_chunks(h), lambda c: _cut(_chunk_hash(h, c), bits)), pairs, alone)
@@ -104,12 +107,12 @@ def _units(lines: Column, bits: int) -> Column:
     def unit(kind: int, i0: Column, i1: Column, place: Column, upto: Column, h: Column, words: Column, last: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), i0.cast("int").alias("i0"), i1.cast("int").alias("i1"), place.alias("place"), upto.alias("upto"), _cut(h, bits).alias("h"), words.alias("words"), last.alias("last"))
 
-    n, zero, h = F.size(lines), F.lit(0), lines.getField("h")
+    n, zero = F.size(lines), F.lit(0)
     both = F.zip_with(F.slice(lines, 1, F.greatest(n - 1, zero)), F.slice(lines, 2, F.greatest(n - 1, zero)), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     pairs = F.transform(both, lambda p, i: unit(PAIR, i, i + 1, p["x"]["place"], p["y"]["place"], F.xxhash64(F.lit(PAIR), p["x"]["h"], p["y"]["h"]), p["x"]["w"], p["y"]["w"]))
     numbered = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     alone = F.transform(F.filter(numbered, lambda s: s["x"]["w"] >= LONG_WORDS), lambda s: unit(LONG, s["i"], s["i"], s["x"]["place"], s["x"]["place"], F.xxhash64(F.lit(LONG), s["x"]["h"]), s["x"]["w"], zero))
-    chunks = F.transform(_chunks(h), lambda c: unit(CHUNK, c["s"], c["e"], F.get(lines, c["s"])["place"], F.get(lines, c["e"])["place"], _chunk_hash(h, c), zero, zero))
+    chunks = _let(lines.getField("h"), lambda h: F.transform(_chunks(h), lambda c: unit(CHUNK, c["s"], c["e"], F.get(lines, c["s"])["place"], F.get(lines, c["e"])["place"], _chunk_hash(h, c), zero, zero)))
     return F.concat(chunks, pairs, alone)
 
 

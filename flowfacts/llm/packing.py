@@ -11,6 +11,7 @@ which packs those of all partitions together: the largest first, each into the f
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -32,9 +33,20 @@ REMEMBERED = 600_000
 LOOSE = 50_000
 
 
+#: What keeps a text from being read in lower case with its commas and full stops apart: letters whose lower case hangs on their
+#: neighbours, or that NFC may join; a comma or full stop that ends a run of other signs; what may be a special token.
+_HIGH = re.compile("[\u0130-\U0010ffff]")
+_ENDS_RUN = re.compile(r"[.,](?=[ \n])(?<=(?:[^\w\s]|_)[.,])")
+
+
+def _plain(text: str) -> bool:
+    return not ("<|" in text or not text.isascii() and _HIGH.search(text) or _ENDS_RUN.search(text))
+
+
 class WordIds:
     """Ids of a text, word by word. Words are what spaces and newlines part: the tokenizer drops white space and never
-    joins across it, so the ids of a text are those of its words in order."""
+    joins across it, so the ids of a text are those of its words in order. It also lower-cases, and takes signs behind letters
+    or digits for words of their own, so most texts are read in lower case, with commas and full stops at ends of words apart."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,27 +58,12 @@ class WordIds:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: set[str]) -> None:
-        """Remember the ids of new words. A word of letters with a comma or full stop behind it is two words to this
-        tokenizer, so both parts are looked up; it also lower-cases, so one spelling of a word is enough."""
-        memory, whole, parts, stems = self.memory, [], [], {}
-        for w in words:
-            tail = w[-1]
-            stem = w[:-1] if tail == "." or tail == "," else w
-            if stem.isalpha() and max(stem) < "\u0130":
-                stem = stem.lower()
-                if stem not in memory:
-                    stems[stem] = None
-                parts.append((w, stem, tail if len(stem) < len(w) else ""))
-            else:
-                whole.append(w)
-        self._letters(list(stems))
-        for t in ".,":
-            if t not in memory:
-                whole.append(t)
-        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-            memory[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, stem, tail in parts:
-            memory[w] = memory[stem] + memory[tail] if tail else memory[stem]
+        """Remember the ids of new words."""
+        letters = [w for w in words if w.isalpha() and (w.isascii() or not _HIGH.search(w))]
+        self._letters(letters)
+        rest = list(words.difference(letters)) if len(letters) < len(words) else []
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.memory[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def _letters(self, words: list[str]) -> None:
         """Words of letters only are encoded as one text: each ends with its only end-of-word token."""
@@ -84,7 +81,11 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = []
+        for t in texts:
+            if _plain(t):
+                t = t.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").replace(",\n", " , ")
+            split.append(t.replace("\n", " ").split(" "))
         if len(self.memory) > REMEMBERED:
             self.memory = {"": b""}
         new = set(chain.from_iterable(split)).difference(self.memory)

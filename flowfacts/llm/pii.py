@@ -31,6 +31,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]+")
+SPACE = re.compile(r"\s")
 #: A digit, or a word that names a secret.
 CLUE = re.compile(r"[0-9]+|(?<![A-Za-z])(?:[Tt]oken|TOKEN|[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Pp]wd|PWD|[Ss]ecret|SECRET|[Aa]pikey|APIKEY|[Kk]ey|KEY)(?![A-Za-z])")
 
@@ -92,10 +93,13 @@ CUES = frozenset("token password passwd secret key apikey pwd phone tel telephon
 CONTEXT = 4
 
 
-@lru_cache(1 << 16)
 def shape(word: str) -> tuple[str, ...]:
-    """Features of a token alone."""
-    full = "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:24])
+    """Features of a token alone; those of words of usual length are remembered."""
+    return _remembered_shape(word) if len(word) <= 64 else _shape(word)
+
+
+def _shape(word: str) -> tuple[str, ...]:
+    full = "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
     short = re.sub(r"(.)\1+", r"\1+", full)
     digits = sum(c.isdigit() for c in word)
     hexa = len(word) >= 12 and digits >= 3 and all(c in "0123456789abcdefABCDEF" for c in word)
@@ -103,9 +107,18 @@ def shape(word: str) -> tuple[str, ...]:
     return (f"s={short}", f"f={full}" if digits and len(full) < 16 else "f=", f"n={min(len(word), 40) // 4}", f"d={min(digits, 20)}", f"h={hexa}", f"m={digits > 0 and any(c.isalpha() for c in word)}", f"w={low}" if low in CUES else "w=")
 
 
-@lru_cache(1 << 18)
+_remembered_shape = lru_cache(1 << 16)(_shape)
+
+
 def slot(feature: str) -> int:
-    return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=4).digest(), "big") % SLOTS
+    return _remembered_slot(feature) if len(feature) <= 128 else _slot(feature)
+
+
+def _slot(feature: str) -> int:
+    return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") % SLOTS
+
+
+_remembered_slot = lru_cache(1 << 18)(_slot)
 
 
 def features(words: list[str]) -> list[list[int]]:
@@ -301,10 +314,11 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
                 break
             end = n.end()
         stop = min(len(text), end + reach)
-        while start > at and not text[start - 1].isspace() and m.start() - start < 400:
+        # whole tokens, however long: windows never overlap, so this stays linear
+        while start > at and not text[start - 1].isspace():
             start -= 1
-        while stop < len(text) and not text[stop].isspace() and stop - end < 400:
-            stop += 1
+        blank = SPACE.search(text, stop)
+        stop = blank.start() if blank else len(text)
         out.append([x.span() for x in TOKEN.finditer(text, start, stop)])
         at = stop
         m = CLUE.search(text, stop)
@@ -362,7 +376,8 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find_personal_data(documents: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans, redacted.
+    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans, n_spans
+    (all spans), redacted.
 
     Offsets are code points, ends exclusive. A null text counts as empty: no spans, redacted ''. Whole texts of any
     length are read; repeated rows are each answered, null ids stay; an empty table gives no rows. Other columns are
@@ -378,10 +393,10 @@ def find_personal_data(documents: DataFrame, model: tuple[np.ndarray, np.ndarray
                 rows = []
                 for text, (base, spans) in zip(texts, all_spans(weights, texts)):
                     kinds = [k for _, _, k in base]
-                    rows.append((*(kinds.count(k) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redact(text, spans) if spans else text))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()] * 3))], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "redacted"])
+                    rows.append((*(kinds.count(k) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), redact(text, spans) if spans else text))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.string()]))], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans", "redacted"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, redacted string")
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
