@@ -126,6 +126,33 @@ def py_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(_numbers(spark, sf_dir), "call").where("text <> ''").groupBy("path", F.col("text").alias("symbol")).agg(F.count("*").alias("calls"))
 
 
+@query
+def py_module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowfacts.plans.project import module_graph
+
+    return module_graph(facts(corpus.web_project(spark, sf_dir), (), nodes=False)).groupBy("dst", "symbol").agg(F.count("*").alias("importers"))
+
+
+@query
+def module_key_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content keys over the import graph of parts, with their names as texts."""
+    from flowfacts.plans.project import module_keys
+    from flowfacts.sources import facts as projected
+
+    own = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("module"), F.sha2("p_name", 256).alias("own"))
+    return module_keys(own, projected.module_edges(spark, sf_dir))
+
+
+@query
+def py_plugins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bundled plugins over the web project, with suppressions, test code and a baseline that absorbs one finding in two."""
+    from flowfacts.plans.project import check
+
+    files = corpus.web_project(spark, sf_dir)
+    base = files.where(F.col("path").rlike("[02468][.]py$")).selectExpr("path", "'weak-crypto' AS rule", "concat('view_', regexp_extract(path, '([0-9]+)', 1)) AS function", "'hashlib.md5(q.encode())' AS line_text")
+    return check(files, baseline=base).select("path", "line", "rule", "severity", "confidence", "known", "suppressed", "test")
+
+
 _WEB = "SELECT c_custkey AS k, concat('proj/mod', c_custkey, '.py') AS path, concat('proj.mod', c_custkey) AS module, concat('view_', c_custkey) AS function, c_custkey % 12 AS s FROM customer"
 _RULES = """rules(s, rule, severity, symbol, flow) AS (VALUES (0, 'sql-injection', 'high', 'sqlite3.connect.execute', true), (2, 'command-injection', 'critical', 'os.system', true),
   (4, 'weak-crypto', 'medium', 'hashlib.md5', false), (5, 'ssrf', 'high', 'requests.get', true), (6, 'insecure-tls', 'high', 'requests.get', false), (6, 'missing-timeout', 'low', 'requests.get', false),
@@ -143,6 +170,17 @@ def _counts(label: str, number: str, **values: int) -> str:
 
 
 ORACLES = {
+    "py_module_graph": f"""WITH w AS ({_WEB}), v(dst, symbol) AS (VALUES (NULL, 'os'), (NULL, 'sqlite3'), (NULL, 'hashlib'), (NULL, 'requests'), (NULL, 'flask.Flask'), (NULL, 'flask.request'), (NULL, 'flask.redirect'), ('proj.shared', 'proj.shared.Runner'))
+        SELECT dst, symbol, (SELECT count(*) FROM w WHERE s <> 11) + CASE WHEN symbol = 'os' THEN 1 ELSE 0 END AS importers FROM v""",
+    "module_key_digests": """WITH RECURSIVE edges AS (SELECT DISTINCT src, dst FROM (
+          SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_size > 45
+          UNION ALL SELECT p_partkey // 2, p_partkey FROM part WHERE p_size = 50) WHERE src <> dst),
+        paths(src, dst) AS (SELECT src, dst FROM edges UNION SELECT p.src, e.dst FROM paths p JOIN edges e ON p.dst = e.src),
+        own AS (SELECT p_partkey AS module, sha256(p_name) AS own FROM part),
+        below AS (SELECT src AS module, string_agg(own, chr(0) ORDER BY dst) AS b FROM paths JOIN own ON module = dst WHERE src <> dst GROUP BY src)
+        SELECT own.module, sha256(concat(own, chr(0), CASE WHEN b IS NULL THEN '' ELSE concat(b, chr(0)) END)) AS key FROM own LEFT JOIN below ON below.module = own.module""",
+    "py_plugins": f"""WITH w AS ({_WEB}), {_RULES}, {_SHARED} SELECT path, 15::BIGINT AS line, rule, severity, CASE WHEN flow THEN 'high' ELSE 'medium' END AS confidence, rule = 'weak-crypto' AND k % 2 = 0 AS known, false AS suppressed, false AS test FROM w JOIN rules USING (s)
+        UNION ALL SELECT path, line::BIGINT, 'command-injection', 'critical', 'high', false, false, false FROM shared""",
     "py_check": f"""WITH w AS ({_WEB}), {_RULES}, {_SHARED} SELECT path, 15::BIGINT AS line, rule, severity, symbol FROM w JOIN rules USING (s)
         UNION ALL SELECT path, line::BIGINT, 'command-injection', 'critical', symbol FROM shared
         UNION ALL SELECT path, 15::BIGINT, 'syntax-error', 'info', '' FROM w WHERE s = 11""",

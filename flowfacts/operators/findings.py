@@ -31,16 +31,17 @@ def entropy(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(None)).when(n == 0, 0.0).otherwise(F.round(F.log2(n) - total / n, 6) + 0.0)
 
 
-def assigned_secrets(texts: DataFrame, key: str, text: str) -> DataFrame:
+def assigned_secrets(texts: DataFrame, key: str, text: str, names: str = CREDENTIAL_NAME, floor: float = ENTROPY_FLOOR, least: int = 1) -> DataFrame:
     """One finding per assignment of a quoted value in text: key, ordinal (from 1), name, digest, entropy, rule, severity,
-    confidence. The value itself is not kept. Null and empty texts have none."""
+    confidence. names: pattern of credential names; floor: entropy of a strong value; least: length of the shortest value. The
+    value itself is not kept. Null and empty texts have none."""
     texts = texts.where(F.contains(F.col(text), F.lit(' = "')))  # every hit holds it, and most texts don't
     hits = texts.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(ASSIGNMENT), F.lit(0))).alias("pos", "hit"))
     parts = hits.select(key, (F.col("pos") + 1).cast("long").alias("ordinal"), F.substring_index("hit", " = ", 1).alias("name"), F.substring_index("hit", '"', -2).alias("value"))
     parts = parts.withColumn("value", F.substring("value", F.lit(1), F.length("value") - 1))
-    named = F.col("name").rlike(CREDENTIAL_NAME)
-    scored = parts.withColumn("entropy", entropy(F.col("value"))).where(named | (F.col("entropy") >= ENTROPY_FLOOR))
-    strong = named & (F.col("entropy") >= ENTROPY_FLOOR)
+    named = F.col("name").rlike(names)
+    scored = parts.where(F.length("value") >= least).withColumn("entropy", entropy(F.col("value"))).where(named | (F.col("entropy") >= floor))
+    strong = named & (F.col("entropy") >= floor)
     return scored.select(
         key, "ordinal", "name", F.sha2("value", 256).alias("digest"), "entropy",
         F.when(strong, "hardcoded-secret").when(named, "hardcoded-credential").otherwise("high-entropy-string").alias("rule"),

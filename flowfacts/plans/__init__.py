@@ -1 +1 @@
-"""Registered queries with their SQL oracles."""
+"""Whole analyses, put together from sources, facts, operators and sinks."""

@@ -6,8 +6,10 @@ that can't be parsed gives one row with a null package and the reason in ``error
 
 from __future__ import annotations
 
+import fnmatch
 import re
 import tomllib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowfacts.functions import versions
+from flowfacts.operators.tables import shared_dir
 
 SCHEMA = "path string, ordinal long, package string, specifier string, pinned boolean, optional boolean, dependent string, version string, error string"
 _FIELDS = pa.schema([("path", pa.string()), ("ordinal", pa.int64()), ("package", pa.string()), ("specifier", pa.string()), ("pinned", pa.bool_()), ("optional", pa.bool_()), ("dependent", pa.string()), ("version", pa.string()), ("error", pa.string())])
@@ -27,6 +30,33 @@ CLAUSES = r"^\s*\(?\s*([=<>!~^][^()@]*?)\s*\)?\s*$"
 SKIPPED = ("__pycache__", "node_modules", "venv", "build", "dist", "site-packages")
 
 
+#: Files that the driver reads at once where Spark's readers pass them over.
+AT_ONCE = 500
+
+
+def _underscored(spark: SparkSession, root: str, pattern: str) -> DataFrame | None:
+    """(path, content) of the matching files below root whose names begin with an underscore, such as __init__.py. Spark's file
+    readers take these for its own and pass them over, so the driver reads them, AT_ONCE at a time, into a written table."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found, listed = [], system.listFiles(hadoop, True)
+    while listed.hasNext():
+        path = listed.next().getPath()
+        if path.getName().startswith("_") and fnmatch.fnmatch(path.getName(), pattern):
+            found.append(path)
+    folder = f"{shared_dir(spark)}/flowfacts/underscored-{uuid.uuid4().hex}"
+    for at in range(0, len(found), AT_ONCE):
+        rows = []
+        for path in found[at : at + AT_ONCE]:
+            stream = system.open(path)
+            try:
+                rows.append((path.toString(), bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+            finally:
+                stream.close()
+        spark.createDataFrame(rows, "path string, content binary").write.mode("append").parquet(folder)
+    return spark.read.parquet(folder) if found else None
+
+
 def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, text, status) of a project's own files below root whose names match the glob, in UTF-8, or UTF-16 by a byte
     order mark. Hidden and SKIPPED folders and environments (folders with a pyvenv.cfg) are left out. A file that can't be
@@ -37,7 +67,8 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     own = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
     folders = F.slice(F.split(own, "/"), 1, F.size(F.split(own, "/")) - 1)
-    files = load(pattern).where(~F.exists(folders, lambda f: f.startswith(".") | f.isin(*SKIPPED)))
+    files, hidden = load(pattern).select("path", "content"), _underscored(spark, root, pattern)
+    files = (files if hidden is None else files.unionByName(hidden)).where(~F.exists(folders, lambda f: f.startswith(".") | f.isin(*SKIPPED)))
     # few environments, but unbounded in principle: an anti join on the folders above each file
     environments = load("pyvenv.cfg").select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder")).distinct()
     above = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/"))).alias("folder"))

@@ -1 +1 @@
-"""Incremental analysis over Structured Streaming."""
+"""Structured Streaming over source folders."""

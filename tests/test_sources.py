@@ -46,12 +46,12 @@ def test_no_dependency_files(spark):
 
 
 def test_a_project_s_own_files(spark, tmp_path):
-    files = {"app/a.py": b"x = 1", "app/b.py": b"\xff\xfe" + "y".encode("utf-16-le"), "app/bad.py": b"\xff\x00\xff", "app/mark.py": b"\xef\xbb\xbfz", ".git/c.py": b"", "build/d.py": b"", "env/pyvenv.cfg": b"", "env/lib/e.py": b"", "app/node_modules/f.py": b""}
+    files = {"app/a.py": b"x = 1", "app/b.py": b"\xff\xfe" + "y".encode("utf-16-le"), "app/bad.py": b"\xff\x00\xff", "app/mark.py": b"\xef\xbb\xbfz", "app/__init__.py": b"", "venv/__init__.py": b"", ".git/c.py": b"", "build/d.py": b"", "env/pyvenv.cfg": b"", "env/lib/e.py": b"", "app/node_modules/f.py": b""}
     for name, content in files.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(content)
     got = {r.path.split("/")[-1]: (r.text, r.status) for r in dependencies.read_files(spark, str(tmp_path), "*.py").collect()}
-    assert got == {"a.py": ("x = 1", "read"), "b.py": ("y", "read"), "bad.py": (None, "undecodable"), "mark.py": ("z", "read")}
+    assert got == {"a.py": ("x = 1", "read"), "b.py": ("y", "read"), "bad.py": (None, "undecodable"), "mark.py": ("z", "read"), "__init__.py": ("", "read")}
 
 
 def test_osv_ranges(spark):
