@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,25 @@ def discard(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are used again, and would keep their highest mark for good."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, with a release() after each partition."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def small_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str, rows: int) -> DataFrame:
     """Join; right is broadcast only if its counted rows are within the bound, else both sides are shuffled."""
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, small_join
+from .common import materialize, released, small_join
 
 WINDOW = 4096
 END = 2
 #: Words whose ids a worker remembers; beyond, the memory is emptied and filled anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Pieces of open windows that one task of the second round packs, about.
 LOOSE = 50_000
 
@@ -180,7 +180,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in zip(types, zip(*rows))], names=names)
 
     schema = ", ".join(f"`{n}` {'binary' if n == 'ids' else 'long'}" for n in names)
-    pieces = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "pieces")
+    pieces = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), schema), "pieces")
     moved, rows = repack_open(pieces, window)
     joined = small_join(pieces, moved, ["sequence_id", "offset"], "left", rows)
     put = {"sequence_id": F.coalesce("to", "sequence_id"), "offset": F.coalesce("at", "offset")}
@@ -200,7 +200,7 @@ def repack_open(pieces: DataFrame, window: int) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([base + w for w, _ in places], pa.int64()), pa.array([x for _, x in places], pa.int64())], names=["sequence_id", "offset", "to", "at"])
 
     dealt = loose.repartition(max(1, -(-rows // LOOSE)), "sequence_id", "offset").sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
-    return materialize(dealt.mapInArrow(run, "sequence_id long, offset long, to long, at long"), "repacked"), rows
+    return materialize(dealt.mapInArrow(released(run), "sequence_id long, offset long, to long, at long"), "repacked"), rows
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import released
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("phone", "secret", "id")
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
@@ -396,7 +398,7 @@ def find_personal_data(documents: DataFrame, model: tuple[np.ndarray, np.ndarray
                     rows.append((*(kinds.count(k) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), redact(text, spans) if spans else text))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.string()]))], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans", "redacted"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, redacted string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, redacted string")
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,4 +426,4 @@ def redact_documents(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]
                     columns[chars] = pa.array([k if a is b or a == b else len(a) for k, a, b in zip(kept, out, texts)], part.schema.field(chars).type)
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(released(run), documents.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import free_name
+from .common import free_name, released
 
 #: The documented bound of the labelled sample that the classifier is fitted on.
 TRAINING_ROWS = 6000
@@ -36,7 +36,7 @@ DECAY = 0.05
 #: Words whose n-grams are worked out at once.
 AT_ONCE = 20_000
 #: Words whose scores a worker remembers; beyond, the memory is emptied and filled anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _EDGE = "\"'()[]{}<>.,;:!?…«»“”‘’*_-|"
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -285,7 +285,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> M
         yield pa.RecordBatch.from_pydict({"odds": pa.array([model.odds.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([float(model.bias)]), "prior": pa.array([float(model.prior)])})
 
     # one task on an executor fits the model: its input is bounded by `rows`, and the driver gets the model alone
-    fitted = got.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "odds binary, bias double, prior double").first()
+    fitted = got.select("doc_id", "text", "toxic").repartition(1).mapInArrow(released(run), "odds binary, bias double, prior double").first()
     if fitted is None:
         return train([], np.zeros(0, np.int64))
     return Model(np.frombuffer(fitted["odds"], np.float32), fitted["bias"], fitted["prior"])
@@ -304,7 +304,7 @@ def with_scores(documents: DataFrame, model: Model, column: str = "text", name:
                 score = scorer([x or "" for x in part.column(place).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(released(run), schema)
 
 
 def score(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
