@@ -78,6 +78,28 @@ def {name}(k, *rest):
 """
 
 
+#: The guard of a module by s_suppkey: what stands before the call, and whether it proves, tests or ignores what flows.
+GUARDS = [
+    ("if q:", "hotspot"), ("if q.isdigit():", None), ("if q in ('a', 'b'):", None), ("if q == 'x' and os.sep:", None), ("if len(os.sep):", "vulnerability"), ("if not q.isalnum():", "hotspot"),
+    ("if not (q != 'x' or os.sep):", None), ("if q not in ['a', 'b']:", "hotspot"), ("for i in range(3):", "vulnerability"), ("if re.fullmatch('[a-z]+', q):", None), ("if q == other:", "hotspot")]
+GUARDED = """import os
+import re
+
+def handle(other):
+    q = input()
+    {guard}
+        os.system(q)
+    return other
+"""
+
+
+def guard_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): one module a supplier, with a guard before its call."""
+    k = F.col("s_suppkey")
+    guard = F.element_at(F.array(*[F.lit(g) for g, _ in GUARDS]), (k % len(GUARDS)).cast("int") + 1)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("g/mod"), k, F.lit(".py")).alias("path"), _filled(GUARDED, guard=guard).alias("text"))
+
+
 def _filled(text: str, **columns: Column) -> Column:
     out = F.lit(text)
     for name, c in columns.items():

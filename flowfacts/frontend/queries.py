@@ -126,6 +126,12 @@ def py_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(_numbers(spark, sf_dir), "call").where("text <> ''").groupBy("path", F.col("text").alias("symbol")).agg(F.count("*").alias("calls"))
 
 
+@query
+def py_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on flows behind guards of every form; what a guard proves harmless is no row."""
+    return taint.flows(facts(corpus.guard_project(spark, sf_dir), models.prefixes(), nodes=False)).select("path", "verdict")
+
+
 @query
 def py_module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowfacts.plans.project import module_graph
@@ -169,7 +175,9 @@ def _counts(label: str, number: str, **values: int) -> str:
     return f"WITH {_NUM}, v({label}, {number}) AS (VALUES {rows}) SELECT path, {label}, {number}::BIGINT AS {number} FROM n, v"
 
 
+_GUARDS = ", ".join(f"({k}, '{v}')" for k, (_, v) in enumerate(corpus.GUARDS) if v)
 ORACLES = {
+    "py_guards": f"WITH v(g, verdict) AS (VALUES {_GUARDS}) SELECT concat('g/mod', s_suppkey, '.py') AS path, verdict FROM supplier JOIN v ON g = s_suppkey % {len(corpus.GUARDS)}",
     "py_module_graph": f"""WITH w AS ({_WEB}), v(dst, symbol) AS (VALUES (NULL, 'os'), (NULL, 'sqlite3'), (NULL, 'hashlib'), (NULL, 'requests'), (NULL, 'flask.Flask'), (NULL, 'flask.request'), (NULL, 'flask.redirect'), ('proj.shared', 'proj.shared.Runner'))
         SELECT dst, symbol, (SELECT count(*) FROM w WHERE s <> 11) + CASE WHEN symbol = 'os' THEN 1 ELSE 0 END AS importers FROM v""",
     "module_key_digests": """WITH RECURSIVE edges AS (SELECT DISTINCT src, dst FROM (

@@ -25,7 +25,7 @@ KINDS = {
     "edge": "a from, b to, role kind", "instruction": "a block, b place, c result, name operation, text", "operand": "a block, b place, c value, role, name",
     "constant": "a value, name type, text literal", "executable": "a from, b to", "range": "a value, name low, text high", "points": "a value, b object", "heap": "a object, role field, b object",
     "symbol": "a value, text symbol", "call": "a value, name as written, text symbol", "argument": "a call, b position, c value, role, name keyword, text literal or null",
-    "flow": "role, a, name of the in-port; text, b, c, more of the out-port",
+    "flow": "role, a, name of the in-port; text, b, c, more of the out-port; line 1 if a guard tests what flows",
 }
 _ATTRIBUTES = ("id", "attr", "name", "arg", "module", "value")
 
@@ -124,8 +124,8 @@ def file_facts(module: str, is_package: bool, text: str | None, sources: tuple[s
                 yield {**own, "kind": "heap", "a": o, "role": name, "b": x}
         for v, symbol in symbols.items():
             yield {**own, "kind": "symbol", "a": v, "text": symbol}
-        for ik, ia, iname, ok, ob, oc, oname in flows(f, order, symbols, sources):
-            yield {**own, "kind": "flow", "role": ik, "a": ia, "name": iname, "text": ok, "b": ob, "c": oc, "more": oname}
+        for ik, ia, iname, ok, ob, oc, oname, guarded in flows(f, order, idom, symbols, sources):
+            yield {**own, "kind": "flow", "role": ik, "a": ia, "name": iname, "text": ok, "b": ob, "c": oc, "more": oname, "line": int(guarded)}
 
 
 def facts(files: DataFrame, sources: tuple[str, ...] = (), nodes: bool = True) -> DataFrame:

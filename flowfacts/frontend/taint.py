@@ -104,7 +104,8 @@ def spread(start: DataFrame, along: DataFrame, fold: int = 8) -> DataFrame:
 
 
 def flows(facts: DataFrame) -> DataFrame:
-    """One row per harmful flow: path, module, function, line, col, symbol, rule, severity, source."""
+    """One row per harmful flow: path, module, function, line, col, symbol, rule, severity, sources, and the verdict: 'hotspot' if
+    a guard tests every source on its way, 'vulnerability' if not. What guards show to be harmless is no flow."""
     spark = facts.sparkSession
     calls = written(resolved(facts), "calls")
     along = written(steps(facts, calls), "steps")
@@ -113,10 +114,11 @@ def flows(facts: DataFrame) -> DataFrame:
     ends = calls.where("to_function IS NULL AND symbol <> ''").withColumn("suffix", F.explode(suffixes(F.col("symbol")))).join(F.broadcast(sinks), "suffix")
     plain = calls.where("to_function IS NULL AND symbol = ''").withColumn("suffix", F.explode(suffixes(F.col("written")))).join(F.broadcast(sinks), "suffix")
     ends = ends.unionByName(plain).select("path", "module", "function", F.col("a").alias("call"), F.coalesce(F.when(F.col("symbol") != "", F.col("symbol")), F.col("written")).alias("symbol"), "line", "col", "rule", "severity", F.col("bits").alias("harm"), "positions").distinct()
-    given = of(facts, "flow").where("text = 'arg' AND c <> -1").select("module", "function", _key("module", "function", F.col("role"), "a", "name").alias("key"), F.col("b").alias("call"), F.col("c").alias("pos"))
+    given = of(facts, "flow").where("text = 'arg' AND c <> -1").select("module", "function", _key("module", "function", F.col("role"), "a", "name").alias("key"), F.col("b").alias("call"), F.col("c").alias("pos"), (F.col("line") == 1).alias("guarded"))
     hit = given.join(ends, ["module", "function", "call"]).where("pos = -2 OR array_contains(positions, pos)")
     found = hit.join(state, "key").where(F.col("bits").bitwiseAND(F.col("harm")) != 0)
-    return found.groupBy("path", "module", "function", "line", "col", "symbol", "rule", "severity").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return found.groupBy("path", "module", "function", "line", "col", "symbol", "rule", "severity").agg(
+        F.array_sort(F.collect_set("source")).alias("sources"), F.when(F.bool_and("guarded"), "hotspot").otherwise("vulnerability").alias("verdict"))
 
 
 def reported_calls(facts: DataFrame) -> DataFrame:

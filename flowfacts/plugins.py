@@ -27,14 +27,21 @@ class Undeclared(Exception):
 class Context:
     """What a plugin may see: the facts of the kinds it requires."""
 
-    def __init__(self, facts: DataFrame, requires: Iterable[str]):
-        self._facts, self.requires = facts, frozenset(requires)
+    def __init__(self, facts: DataFrame, requires: Iterable[str], shared: dict[tuple, DataFrame] | None = None):
+        self._facts, self.requires, self._shared = facts, frozenset(requires), {} if shared is None else shared
 
     def facts(self, kind: str) -> DataFrame:
         if kind not in self.requires:
             raise Undeclared(f"'{kind}' is not among the plugin's requires")
         return of(self._facts, kind)
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A result that all plugins with the same requires share in a run."""
+        key = (name, self.requires)
+        if key not in self._shared:
+            self._shared[key] = make()
+        return self._shared[key]
+
     @property
     def table(self) -> DataFrame:
         """All facts of the declared kinds in one table."""
@@ -64,11 +71,17 @@ def finding(df: DataFrame, rule: str | Column, severity: str | Column, confidenc
 
 
 def taint_detector(rule: str, title: str, confidence: str = "high") -> Plugin:
-    """Flows of one rule of the sink models."""
+    """Flows of one rule of the sink models; a hotspot lowers the confidence by one step."""
     from flowfacts.frontend import taint
 
-    requires = ("flow", "call", "parameter", "decorator", "function")
-    return Plugin(rule, requires, lambda ctx: finding(taint.flows(ctx.table).where(F.col("rule") == rule), rule, F.col("severity"), confidence, title, symbol=F.col("symbol"), sources=F.array_join("sources", ", ")), provides=(f"vulnerability.{rule}",))
+    lower = {"high": "medium", "medium": "low", "low": "low"}[confidence]
+
+    def analyze(ctx: Context) -> DataFrame:
+        found = ctx.once("flows", lambda: written(taint.flows(ctx.table), "flows")).where(F.col("rule") == rule)
+        sure = F.when(F.col("verdict") == "hotspot", lower).otherwise(confidence)
+        return finding(found, rule, F.col("severity"), sure, title, symbol=F.col("symbol"), sources=F.array_join("sources", ", "), verdict=F.col("verdict"))
+
+    return Plugin(rule, ("flow", "call", "parameter", "decorator", "function"), analyze, provides=(f"vulnerability.{rule}",))
 
 
 def call_detector(rule: str, title: str, severity: str, symbols: list[str], accepts: Column | None = None, confidence: str = "high") -> Plugin:
@@ -108,10 +121,10 @@ class Registry:
 
     def run(self, facts: DataFrame) -> DataFrame:
         """Findings of all plugins, in their order (``plugin_order``), then refined by those that refine."""
-        out = None
+        out, shared = None, {}
         for k, p in enumerate(self.plugins.values()):
             if p.analyze:
-                part = p.analyze(Context(facts, p.requires)).select(*COLUMNS).withColumn("plugin_order", F.lit(k))
+                part = p.analyze(Context(facts, p.requires, shared)).select(*COLUMNS).withColumn("plugin_order", F.lit(k))
                 out = part if out is None else out.unionByName(part)
         if out is None:
             raise ValueError("no plugin analyses anything")
