@@ -4,49 +4,20 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowfacts.operators.tables import discard  # noqa: F401
+from flowfacts.operators.tables import written as materialize
+
 #: A side of a join is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own is set only where it is unset, on a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="flowfacts-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/flowfacts/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._flowfacts_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by materialize() that nothing reads any more."""
-    path = getattr(df, "_flowfacts_path", None)
-    if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
-
-
 def release() -> None:
     """Give freed memory back to the system: Python workers are used again, and would keep their highest mark for good."""
     gc.collect()
@@ -139,14 +110,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def find(parent: np.ndarray, x: int) -> int:
-    """Root of x in a union-find forest held in an array."""
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of each vertex's component, for edges a-b over 0..n-1, by array operations only."""
     label = np.arange(n)
