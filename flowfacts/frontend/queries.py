@@ -132,6 +132,23 @@ def py_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taint.flows(facts(corpus.guard_project(spark, sf_dir), models.prefixes(), nodes=False)).select("path", "verdict")
 
 
+@query
+def py_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constant beginnings of arguments, and what they fix of a URL."""
+    made = facts(corpus.web_project(spark, sf_dir), (), nodes=False)
+    rows = of(made, "prefix").where("function LIKE 'view%' AND c = 0")
+    return rows.select("module", F.col("text").alias("prefix"), taint.url_proof(F.col("text")).alias("proof"))
+
+
+@query
+def py_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The branch of `work` as text."""
+    from .listing import listing
+
+    rows = listing(_numbers(spark, sf_dir)).where("function = 'work' AND line LIKE 'branch%'")
+    return rows.groupBy("line").agg(F.count("*").alias("modules"))
+
+
 @query
 def py_module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowfacts.plans.project import module_graph
@@ -177,6 +194,8 @@ def _counts(label: str, number: str, **values: int) -> str:
 
 _GUARDS = ", ".join(f"({k}, '{v}')" for k, (_, v) in enumerate(corpus.GUARDS) if v)
 ORACLES = {
+    "py_prefixes": f"WITH w AS ({_WEB}), v(s, prefix, proof) AS (VALUES (0, 'select ', NULL), (2, 'ls ', NULL), (3, 'ls ', NULL), (5, 'http://host/', 'origin'), (9, '/data/', 'site')) SELECT module, prefix, proof FROM w JOIN v USING (s)",
+    "py_listing": "SELECT 'branch 1|2 (test=%5)' AS line, count(*) AS modules FROM supplier",
     "py_guards": f"WITH v(g, verdict) AS (VALUES {_GUARDS}) SELECT concat('g/mod', s_suppkey, '.py') AS path, verdict FROM supplier JOIN v ON g = s_suppkey % {len(corpus.GUARDS)}",
     "py_module_graph": f"""WITH w AS ({_WEB}), v(dst, symbol) AS (VALUES (NULL, 'os'), (NULL, 'sqlite3'), (NULL, 'hashlib'), (NULL, 'requests'), (NULL, 'flask.Flask'), (NULL, 'flask.request'), (NULL, 'flask.redirect'), ('proj.shared', 'proj.shared.Runner'))
         SELECT dst, symbol, (SELECT count(*) FROM w WHERE s <> 11) + CASE WHEN symbol = 'os' THEN 1 ELSE 0 END AS importers FROM v""",

@@ -25,6 +25,7 @@ KINDS = {
     "edge": "a from, b to, role kind", "instruction": "a block, b place, c result, name operation, text", "operand": "a block, b place, c value, role, name",
     "constant": "a value, name type, text literal", "executable": "a from, b to", "range": "a value, name low, text high", "points": "a value, b object", "heap": "a object, role field, b object",
     "symbol": "a value, text symbol", "call": "a value, name as written, text symbol", "argument": "a call, b position, c value, role, name keyword, text literal or null",
+    "prefix": "a call, b position, c 1 if it is the whole value, role, name keyword, text that an argument begins with",
     "flow": "role, a, name of the in-port; text, b, c, more of the out-port; line 1 if a guard tests what flows",
 }
 _ATTRIBUTES = ("id", "attr", "name", "arg", "module", "value")
@@ -122,6 +123,13 @@ def file_facts(module: str, is_package: bool, text: str | None, sources: tuple[s
                 yield {**own, "kind": "points", "a": v, "b": o}
             for o, name, x in heap:
                 yield {**own, "kind": "heap", "a": o, "role": name, "b": x}
+        made = {i.result: i for b in order for i in f.blocks[b].instrs if i.result is not None}
+        for v, i in made.items():
+            if i.op == "call":
+                for role, pos, name, arg in i.args[1:]:
+                    text, whole = lower.leading_text(made, arg)
+                    if text:
+                        yield {**own, "kind": "prefix", "a": v, "b": pos, "c": int(whole), "role": role, "name": name or "", "text": text}
         for v, symbol in symbols.items():
             yield {**own, "kind": "symbol", "a": v, "text": symbol}
         for ik, ia, iname, ok, ob, oc, oname, guarded in flows(f, order, idom, symbols, sources):

@@ -103,9 +103,16 @@ def spread(start: DataFrame, along: DataFrame, fold: int = 8) -> DataFrame:
     return out.groupBy("key", "source").agg(F.bit_or("bits").alias("bits"))
 
 
+def url_proof(prefix: Column) -> Column:
+    """What the constant beginning of a URL fixes: 'path' (host and path), 'origin' (the host), 'site' (a path on the same site), else
+    null."""
+    return F.when(prefix.rlike(r"^https?://[^/?#\\]+/[^?#]*[?#]"), "path").when(prefix.rlike(r"^https?://[^/?#\\]+[/?#]"), "origin").when(prefix.rlike(r"^/[^/\\]"), "site")
+
+
 def flows(facts: DataFrame) -> DataFrame:
     """One row per harmful flow: path, module, function, line, col, symbol, rule, severity, sources, and the verdict: 'hotspot' if
-    a guard tests every source on its way, 'vulnerability' if not. What guards show to be harmless is no flow."""
+    a guard tests every source on its way, or a request's host is written out, 'vulnerability' if not. What guards show to be
+    harmless is no flow, nor is a redirect to a written host or a path on the same site."""
     spark = facts.sparkSession
     calls = written(resolved(facts), "calls")
     along = written(steps(facts, calls), "steps")
@@ -116,6 +123,8 @@ def flows(facts: DataFrame) -> DataFrame:
     ends = ends.unionByName(plain).select("path", "module", "function", F.col("a").alias("call"), F.coalesce(F.when(F.col("symbol") != "", F.col("symbol")), F.col("written")).alias("symbol"), "line", "col", "rule", "severity", F.col("bits").alias("harm"), "positions").distinct()
     given = of(facts, "flow").where("text = 'arg' AND c <> -1").select("module", "function", _key("module", "function", F.col("role"), "a", "name").alias("key"), F.col("b").alias("call"), F.col("c").alias("pos"), (F.col("line") == 1).alias("guarded"))
     hit = given.join(ends, ["module", "function", "call"]).where("pos = -2 OR array_contains(positions, pos)")
+    proofs = of(facts, "prefix").where("role = 'arg'").select("module", "function", F.col("a").alias("call"), F.col("b").alias("pos"), url_proof(F.col("text")).alias("proof")).where("proof IS NOT NULL")
+    hit = hit.join(proofs, ["module", "function", "call", "pos"], "left").where("rule <> 'open-redirect' OR proof IS NULL").withColumn("guarded", F.col("guarded") | F.coalesce((F.col("rule") == "ssrf") & F.col("proof").isin("path", "origin"), F.lit(False)))
     found = hit.join(state, "key").where(F.col("bits").bitwiseAND(F.col("harm")) != 0)
     return found.groupBy("path", "module", "function", "line", "col", "symbol", "rule", "severity").agg(
         F.array_sort(F.collect_set("source")).alias("sources"), F.when(F.bool_and("guarded"), "hotspot").otherwise("vulnerability").alias("verdict"))

@@ -81,7 +81,7 @@ def taint_detector(rule: str, title: str, confidence: str = "high") -> Plugin:
         sure = F.when(F.col("verdict") == "hotspot", lower).otherwise(confidence)
         return finding(found, rule, F.col("severity"), sure, title, symbol=F.col("symbol"), sources=F.array_join("sources", ", "), verdict=F.col("verdict"))
 
-    return Plugin(rule, ("flow", "call", "parameter", "decorator", "function"), analyze, provides=(f"vulnerability.{rule}",))
+    return Plugin(rule, ("flow", "call", "parameter", "decorator", "function", "prefix"), analyze, provides=(f"vulnerability.{rule}",))
 
 
 def call_detector(rule: str, title: str, severity: str, symbols: list[str], accepts: Column | None = None, confidence: str = "high") -> Plugin:
