@@ -5,10 +5,11 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowfacts.operators.tables import discard  # noqa: F401
@@ -18,6 +19,18 @@ from flowfacts.operators.tables import written as materialize
 BROADCAST_ROWS = 2_000_000
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While it holds, Arrow batches have at most so many rows: texts of a batch are held on both sides of the pipe to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers are used again, and would keep their highest mark for good."""
     gc.collect()

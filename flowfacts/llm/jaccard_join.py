@@ -35,7 +35,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, discard, free_name, keyed_join, materialize, released
+from .common import BROADCAST_ROWS, connected_components, discard, free_name, keyed_join, materialize, released, small_batches
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0xD1342543DE82EF95)
@@ -354,7 +354,8 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(x), np.int32)), "a": pa.array(x), "b": pa.array(y), "digest": pa.nulls(len(x), pa.binary())})
 
     signed = docs.mapInArrow(released(sign), "kind int, a long, b long, bucket long, blob binary")
-    listed = materialize(signed.repartition(buckets, "bucket").mapInArrow(released(scan), "kind int, a long, b long, digest binary"), "listed")
+    with small_batches(spark):
+        listed = materialize(signed.repartition(buckets, "bucket").mapInArrow(released(scan), "kind int, a long, b long, digest binary"), "listed")
     sizes = listed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "digest")
     # groups of ties hold all links; of equal sets one takes part; each group is dealt into parts of bounded size
     groups = connected_components(listed.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("doc_id"), F.col("component_id").alias("group"))
@@ -411,7 +412,8 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
     def edges_of(units: DataFrame, name: str) -> DataFrame:
         """units: group, i, j, doc_id, part, known, set."""
         dealt_out = units.select("group", "i", "j", "doc_id", "part", "known", "set").repartition(number, "group", "i", "j").sortWithinPartitions("group", "i", "j", "doc_id")
-        return materialize(dealt_out.mapInArrow(released(compare), "u long, v long"), name)
+        with small_batches(spark, 250):
+            return materialize(dealt_out.mapInArrow(released(compare), "u long, v long"), name)
 
     one = sets.withColumns({"i": F.col("part"), "j": F.col("part"), "known": F.col("doc_id")})
     edges = edges_of(one, "links")

@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, released, small_join
+from .common import materialize, released, small_batches, small_join
 
 WINDOW = 4096
 END = 2
-#: Words whose ids a worker remembers; beyond, the memory is emptied and filled anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, in each of two generations: when the young one is full, it becomes the old one, and what
+#: was not used since goes.
+REMEMBERED = 200_000
 #: Pieces of open windows that one task of the second round packs, about.
 LOOSE = 50_000
 
@@ -53,6 +54,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memory: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -87,8 +89,11 @@ class WordIds:
                 t = t.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").replace(",\n", " , ")
             split.append(t.replace("\n", " ").split(" "))
         if len(self.memory) > REMEMBERED:
-            self.memory = {"": b""}
+            self.old, self.memory = self.memory, {"": b""}
         new = set(chain.from_iterable(split)).difference(self.memory)
+        known = new.intersection(self.old)
+        self.memory.update(zip(known, map(self.old.__getitem__, known)))
+        new -= known
         if new:
             self.learn(new)
         get = self.memory.__getitem__
@@ -180,7 +185,8 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in zip(types, zip(*rows))], names=names)
 
     schema = ", ".join(f"`{n}` {'binary' if n == 'ids' else 'long'}" for n in names)
-    pieces = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), schema), "pieces")
+    with small_batches(documents.sparkSession):
+        pieces = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), schema), "pieces")
     moved, rows = repack_open(pieces, window)
     joined = small_join(pieces, moved, ["sequence_id", "offset"], "left", rows)
     put = {"sequence_id": F.coalesce("to", "sequence_id"), "offset": F.coalesce("at", "offset")}
