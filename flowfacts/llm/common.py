@@ -69,6 +69,10 @@ def free_name(df: DataFrame, wish: str) -> str:
 HOT = 4096
 #: Parts that the rows of a hot key are dealt into.
 SALTS = 32
+#: Keys up to which the keyed side of a join is broadcast.
+FEW_KEYS = 100_000
+#: Rows from which a key can be hot.
+LEAST_HOT = 1000
 
 
 def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
@@ -76,9 +80,9 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -
     few rows, it is broadcast. If not, both sides are dealt by key, and the rows of the keys that hold one in HOT of all counted
     rows (at most HOT keys, which are broadcast to tell) by a salt as well. n is left out of the result."""
     size = right.agg(F.count("*"), F.sum("n")).first()
-    if size[0] <= 100_000:
+    if size[0] <= FEW_KEYS:
         return left.join(F.broadcast(right.drop("n")), key, how)
-    bound = max(1000, size[1] // HOT)
+    bound = max(LEAST_HOT, size[1] // HOT)
     hot = right.where(F.col("n") >= bound)
     if hot.isEmpty():
         return left.join(right.drop("n").hint("shuffle_hash"), key, how)

@@ -687,3 +687,17 @@ def test_pipeline_matches_a_brute_force_version(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, df, SF).collect()
     assert sorted((r.doc_id for r in pieces if r.start == 0)) == sorted(d for d, _ in want)
     assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+
+
+@pytest.mark.parametrize("least", [10, 10**6])
+def test_joins_with_hot_keys_match_a_plain_join(spark, monkeypatch, least):
+    from flowfacts.llm import common
+
+    monkeypatch.setattr(common, "FEW_KEYS", 0)
+    monkeypatch.setattr(common, "LEAST_HOT", least)
+    left = spark.range(0, 600).selectExpr("id", "CASE WHEN id % 3 = 0 THEN -1 WHEN id % 50 = 1 THEN null ELSE id % 90 END AS k", "1 AS __salt", "2 AS __hot")
+    right = left.where("k IS NOT NULL AND k <> 5").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("x"))
+    for how in ("left", "inner"):
+        got = common.keyed_join(left, right, "k", how)
+        assert set(got.columns) == {"k", "id", "__salt", "__hot", "x"}
+        assert sorted(map(str, got.select("id", "k", "x").collect())) == sorted(map(str, left.join(right.drop("n"), "k", how).select("id", "k", "x").collect()))
