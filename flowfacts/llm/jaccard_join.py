@@ -43,7 +43,7 @@ _TABLE = np.random.RandomState(9).randint(1, 2**63 - 1, 256).astype(np.uint64) *
 #: UTF-8 bytes handled at once.
 CHUNK = 1 << 20
 #: Shingles and sets of one part; a unit of exact comparison holds two parts at most.
-PART = 1_500_000
+PART = 750_000
 PART_DOCS = 4096
 
 
@@ -291,8 +291,8 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
     histogram = docs.select(size.alias("n")).groupBy(F.least("n", F.lit(400)).alias("n")).agg(F.count("*").alias("sets"), F.sum("n").alias("total")).collect()
     scheme = Scheme(per_cent)
     scheme.boundary = scheme.choose({r["n"]: r["sets"] for r in histogram})
-    postings = sum(r["total"] for r in histogram) * 0.4
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(postings / 1_000_000))
+    shingles = sum(r["total"] for r in histogram)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles / 200_000))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: doc_id, n_shingles and a digest of the set; 1: a tie of two documents; 2: a bucket of keys with their
@@ -386,7 +386,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
 
     wanted = docs.join(F.broadcast(dealt) if few else dealt, "doc_id").select("doc_id", "text", "digest", "group", "part")
     sets = wanted.mapInArrow(released(shingle), "doc_id long, group long, part long, set binary")
-    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(postings / 4_000_000))
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles / 10_000_000))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by unit; a unit is compared when its last row has come."""
