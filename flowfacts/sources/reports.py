@@ -7,6 +7,8 @@ that a person or a tool reads in one piece.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +62,59 @@ def sarif_results(findings: DataFrame, order: list[str]) -> DataFrame:
     rules = written(sarif_rules(findings, order), "rules")
     region = F.when(F.col("line").isNotNull(), F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")))
     place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    related = []
+    if "related" in findings.columns:  # array<struct<path, line, message>>
+        related = [F.when(F.size("related") > 0, F.transform("related", lambda r: F.struct(
+            F.struct(F.struct(r["path"].alias("uri")).alias("artifactLocation"), F.struct(r["line"].alias("startLine")).alias("region")).alias("physicalLocation"),
+            F.struct(escaped(r["message"]).alias("text")).alias("message")))).alias("relatedLocations")]
     result = F.struct(
         F.col("rule").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), _level(F.col("severity")).alias("level"),
         F.struct(escaped(F.col("message")).alias("text")).alias("message"), F.array(place).alias("locations"),
         F.when(F.col("suppressed"), F.array(F.struct(F.lit("inSource").alias("kind")))).alias("suppressions"),
-        F.when(F.col("known"), "unchanged").when(~F.col("known"), "new").alias("baselineState"))
+        F.when(F.col("known"), "unchanged").when(~F.col("known"), "new").alias("baselineState"), *related)
     return findings.join(if_small(rules, rules.count()), "rule").select(*order, F.to_json(result).alias("value"))
 
 
+#: Rules that one SARIF run lists, at most.
+RULES = 10_000
+
+
+def sarif_document(findings: DataFrame, order: list[str], tool: str = "flowfacts", version: str = "0") -> DataFrame:
+    """One row: a whole SARIF log with one run. The rules, at most RULES, are listed by first appearance."""
+    rules = sarif_rules(findings, order).orderBy("rule_index").limit(RULES + 1).collect()
+    if len(rules) > RULES:
+        raise ValueError(f"more than {RULES} rules")
+    driver = {"name": tool, "version": version, "rules": [{"id": r["rule"]} for r in rules]}
+    head = '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":' + json.dumps(driver) + '},"results":['
+    return whole_document(sarif_results(findings, order), order, head, "]}]}")
+
+
+def json_document(findings: DataFrame, order: list[str], coverage: dict | None = None) -> DataFrame:
+    """One row: a versioned JSON document of findings, and the coverage if given."""
+    rows = findings.select(*order, F.to_json(F.struct(*findings.columns), NULLS).alias("value"))
+    return whole_document(rows, order, '{"schema":1,"findings":[', '],"coverage":' + json.dumps(coverage) + "}")
+
+
+def sbom_document(packages: DataFrame, affected: DataFrame | None = None) -> DataFrame:
+    """One row: a CycloneDX 1.5 document of merged packages and, from affected (advisory, package, severity), their vulnerabilities."""
+    parts = sbom_components(packages).select(F.lit(0).alias("part"), F.col("package").alias("key"), "value")
+    if affected is not None:
+        found = affected.groupBy("advisory").agg(F.max("severity").alias("severity"), F.array_sort(F.collect_set("package")).alias("packages"))
+        shown = F.struct(F.col("advisory").alias("id"), F.array(F.struct(F.col("severity").alias("severity"))).alias("ratings"), F.transform("packages", lambda p: F.struct(F.concat(F.lit("pkg:pypi/"), p).alias("ref"))).alias("affects"))
+        parts = parts.unionByName(found.select(F.lit(1).alias("part"), F.col("advisory").alias("key"), F.to_json(shown).alias("value")))
+    if parts.limit(DOCUMENT_RECORDS + 1).count() > DOCUMENT_RECORDS:
+        raise ValueError(f"more than {DOCUMENT_RECORDS} records")
+    lists = parts.groupBy().agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == k, F.struct("key", "value")))), lambda r: r["value"]), ",").alias(f"p{k}") for k in (0, 1)])
+    return lists.select(F.concat(F.lit('{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"components":['), "p0", F.lit('],"vulnerabilities":['), "p1", F.lit("]}")).alias("value"))
+
+
+def vex_document(statuses: DataFrame, author: str, timestamp: str) -> DataFrame:
+    """One row: an OpenVEX document; its @id is made of its sorted statements, so equal statements have equal ids."""
+    rows = whole_document(vex_statements(statuses), ["advisory", "package"], "", "")
+    head = F.concat(F.lit('{"@context":"https://openvex.dev/ns/v0.2.0","@id":"urn:sha256:'), F.sha2("value", 256), F.lit(f'","author":{json.dumps(author)},"timestamp":{json.dumps(timestamp)},"version":1,"statements":['))
+    return rows.select(F.concat(head, "value", F.lit("]}")).alias("value"))
+
+
 def sbom_components(packages: DataFrame) -> DataFrame:
     """One CycloneDX component per merged package (package, version, optional)."""
     known = versions.parse(F.col("version"))

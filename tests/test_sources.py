@@ -135,3 +135,21 @@ def test_components(spark):
 def test_relative_paths(spark):
     rows = spark.createDataFrame([("/r/a.py",), ("/rx/a.py",), ("/r/" + "d" * 1_200_000,)], "path string")
     assert [r[0] for r in rows.select(reports.relative(F.col("path"), "/r")).collect()] == ["a.py", "/rx/a.py", "d" * 1_200_000]
+
+
+def test_whole_documents(spark):
+    found = spark.createDataFrame([(*r, [("b.py", 4, "see [b]")] if r[1] == 3 else []) for r in FINDINGS], SCHEMA + ", related array<struct<path: string, line: long, message: string>>")
+    log = json.loads(reports.sarif_document(found, ["path", "line", "column"]).first().value)
+    run = log["runs"][0]
+    assert log["version"] == "2.1.0" and [r["id"] for r in run["tool"]["driver"]["rules"]] == ["r1", "r2"] and len(run["results"]) == 3
+    assert [r["relatedLocations"][0]["message"]["text"] for r in run["results"] if "relatedLocations" in r] == ["see \\[b\\]"]
+    read = json.loads(reports.json_document(found, ["path", "line", "rule"], {"files": 2}).first().value)
+    assert read["schema"] == 1 and len(read["findings"]) == 3 and read["coverage"] == {"files": 2}
+    packages = spark.createDataFrame([("flask", "1.2", False), ("idna", None, True)], "package string, version string, optional boolean")
+    affected = spark.createDataFrame([("A-1", "flask", "high"), ("A-1", "idna", "high")], "advisory string, package string, severity string")
+    bom = json.loads(reports.sbom_document(packages, affected).first().value)
+    assert [c["name"] for c in bom["components"]] == ["flask", "idna"] and [len(v["affects"]) for v in bom["vulnerabilities"]] == [2]
+    assert json.loads(reports.sbom_document(packages).first().value)["vulnerabilities"] == []
+    statuses = spark.createDataFrame([("A-1", "flask", "affected", None)], "advisory string, package string, status string, justification string")
+    one, two = (json.loads(reports.vex_document(statuses, "me", t).first().value) for t in ("2026-01-01T00:00:00Z", "2027-01-01T00:00:00Z"))
+    assert one["@id"] == two["@id"] and one["statements"][0]["status"] == "affected" and one["timestamp"] != two["timestamp"]
