@@ -149,6 +149,22 @@ def py_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("line").agg(F.count("*").alias("modules"))
 
 
+def _advisories(spark: SparkSession) -> DataFrame:
+    rows = [("ADV-1", "requests", "<3", "high", ["requests.get"], ["requests"]), ("ADV-2", "flask", ">=1", "medium", ["flask.redirect"], ["flask"]), ("ADV-3", "flask", "<1", "low", ["flask.redirect"], ["flask"]), ("ADV-4", "absent", "", "low", ["x"], ["os"])]
+    return spark.createDataFrame(rows, "advisory string, package string, vulnerable string, severity string, affected_symbols array<string>, modules array<string>")
+
+
+@query
+def py_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of advisories in the web project: flask is locked at 2.0, so one of its advisories does not hold."""
+    from flowfacts.plans import advisories
+
+    packages = spark.createDataFrame([("requests", "", None), ("flask", "", "2.0")], "package string, specifier string, version string")
+    known = _advisories(spark)
+    found = advisories.findings(advisories.evidence(facts(corpus.web_project(spark, sf_dir), (), nodes=False), packages, known), known)
+    return found.groupBy("advisory", "rule", "level", "severity").agg(F.count("*").alias("places"))
+
+
 @query
 def py_module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowfacts.plans.project import module_graph
@@ -194,6 +210,11 @@ def _counts(label: str, number: str, **values: int) -> str:
 
 _GUARDS = ", ".join(f"({k}, '{v}')" for k, (_, v) in enumerate(corpus.GUARDS) if v)
 ORACLES = {
+    "py_reachable": f"""WITH w AS ({_WEB}), v(advisory, rule, level, severity, places) AS (
+        SELECT 'ADV-1', 'vulnerable-dependency', 'declared', 'high', 1 UNION ALL SELECT 'ADV-2', 'vulnerable-dependency', 'declared', 'medium', 1
+        UNION ALL SELECT 'ADV-1', 'vulnerable-dependency', 'imported', 'high', count(*) FROM w WHERE s <> 11 UNION ALL SELECT 'ADV-2', 'vulnerable-dependency', 'imported', 'medium', count(*) FROM w WHERE s <> 11
+        UNION ALL SELECT 'ADV-1', 'reachable-vulnerability', 'called', 'high', count(*) FROM w WHERE s IN (5, 6) UNION ALL SELECT 'ADV-2', 'reachable-vulnerability', 'called', 'medium', count(*) FROM w WHERE s = 10)
+        SELECT advisory, rule, level, severity, places::BIGINT AS places FROM v WHERE places > 0""",
     "py_prefixes": f"WITH w AS ({_WEB}), v(s, prefix, proof) AS (VALUES (0, 'select ', NULL), (2, 'ls ', NULL), (3, 'ls ', NULL), (5, 'http://host/', 'origin'), (9, '/data/', 'site')) SELECT module, prefix, proof FROM w JOIN v USING (s)",
     "py_listing": "SELECT 'branch 1|2 (test=%5)' AS line, count(*) AS modules FROM supplier",
     "py_guards": f"WITH v(g, verdict) AS (VALUES {_GUARDS}) SELECT concat('g/mod', s_suppkey, '.py') AS path, verdict FROM supplier JOIN v ON g = s_suppkey % {len(corpus.GUARDS)}",

@@ -230,3 +230,15 @@ def test_dominators_against_a_plain_version():
         for b in live - {0}:
             assert idom[b] == max(doms[b] - {b}, key=lambda d: len(doms[d]))
     assert ast.dump(lower.parsed("x = 1"))
+
+
+def test_vex_of_a_project(spark, files):
+    from flowfacts.plans import advisories
+
+    whole = tables.facts(files.where("path LIKE 'app/%' AND path NOT LIKE '%bad%' AND path NOT LIKE '%deep%' AND path NOT LIKE '%none%'"), (), nodes=False)
+    known = spark.createDataFrame([("A", "lib", "<2", "high", ["os.system"], ["os"]), ("B", "lib", "<2", "high", ["os.gone"], ["os"]), ("C", "lib", "<2", "high", [], ["os"]), ("D", "lib", ">=2", "high", ["os.system"], ["os"]), ("E", "used", "", "low", ["os.gone"], [])], "advisory string, package string, vulnerable string, severity string, affected_symbols array<string>, modules array<string>")
+    packages = spark.createDataFrame([("lib", "", "1.0", []), ("used", "", None, ["lib"])], "package string, specifier string, version string, dependents array<string>")
+    got = {r.advisory: r.status for r in advisories.vex(whole, packages, known).collect()}
+    assert got == {"A": "affected", "B": "not_affected", "C": "under_investigation", "E": "under_investigation"}
+    partial = {r.advisory: r.status for r in advisories.vex(tables.facts(files, (), nodes=False), packages, known).collect()}
+    assert partial == {"A": "affected", "B": "under_investigation", "C": "under_investigation", "E": "under_investigation"}
