@@ -227,7 +227,7 @@ ORACLES = {
         own AS (SELECT p_partkey AS module, sha256(p_name) AS own FROM part),
         below AS (SELECT src AS module, string_agg(own, chr(0) ORDER BY dst) AS b FROM paths JOIN own ON module = dst WHERE src <> dst GROUP BY src)
         SELECT own.module, sha256(concat(own, chr(0), CASE WHEN b IS NULL THEN '' ELSE concat(b, chr(0)) END)) AS key FROM own LEFT JOIN below ON below.module = own.module""",
-    "py_plugins": f"""WITH w AS ({_WEB}), {_RULES}, {_SHARED} SELECT path, 15::BIGINT AS line, rule, severity, CASE WHEN flow THEN 'high' ELSE 'medium' END AS confidence, rule = 'weak-crypto' AND k % 2 = 0 AS known, false AS suppressed, false AS test FROM w JOIN rules USING (s)
+    "py_plugins": f"""WITH w AS ({_WEB}), {_RULES}, {_SHARED} SELECT path, 15::BIGINT AS line, rule, severity, CASE WHEN flow AND rule <> 'ssrf' THEN 'high' ELSE 'medium' END AS confidence, rule = 'weak-crypto' AND k % 2 = 0 AS known, false AS suppressed, false AS test FROM w JOIN rules USING (s)
         UNION ALL SELECT path, line::BIGINT, 'command-injection', 'critical', 'high', false, false, false FROM shared""",
     "py_check": f"""WITH w AS ({_WEB}), {_RULES}, {_SHARED} SELECT path, 15::BIGINT AS line, rule, severity, symbol FROM w JOIN rules USING (s)
         UNION ALL SELECT path, line::BIGINT, 'command-injection', 'critical', symbol FROM shared
