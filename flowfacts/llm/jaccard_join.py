@@ -335,6 +335,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
                 "bucket": pa.array(np.concatenate([ids % buckets, x % buckets, used]).astype(np.int64)),
                 "blob": pa.concat_arrays([pa.array(digests, pa.binary()), pa.nulls(len(x), pa.binary()), pa.array(blobs, pa.binary())]),
             })
+        _POWERS.clear()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The lists of a partition's buckets; rows of kinds 0 and 1 pass."""
@@ -383,6 +384,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
             blobs = [s.tobytes() for s in shingle_sets(texts, words)]
             same = [hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(blobs, rows.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[3:], pa.array(blobs, pa.binary())], names=["doc_id", "group", "part", "set"]).filter(pa.array(same, pa.bool_()))
+        _POWERS.clear()
 
     wanted = docs.join(F.broadcast(dealt) if few else dealt, "doc_id").select("doc_id", "text", "digest", "group", "part")
     sets = wanted.mapInArrow(released(shingle), "doc_id long, group long, part long, set binary")

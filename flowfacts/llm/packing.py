@@ -29,7 +29,7 @@ WINDOW = 4096
 END = 2
 #: Words whose ids a worker remembers, in each of two generations: when the young one is full, it becomes the old one, and what
 #: was not used since goes.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Pieces of open windows that one task of the second round packs, about.
 LOOSE = 50_000
 

@@ -109,7 +109,7 @@ def _shape(word: str) -> tuple[str, ...]:
     return (f"s={short}", f"f={full}" if digits and len(full) < 16 else "f=", f"n={min(len(word), 40) // 4}", f"d={min(digits, 20)}", f"h={hexa}", f"m={digits > 0 and any(c.isalpha() for c in word)}", f"w={low}" if low in CUES else "w=")
 
 
-_remembered_shape = lru_cache(1 << 16)(_shape)
+_remembered_shape = lru_cache(1 << 14)(_shape)
 
 
 def slot(feature: str) -> int:
@@ -120,7 +120,7 @@ def _slot(feature: str) -> int:
     return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") % SLOTS
 
 
-_remembered_slot = lru_cache(1 << 18)(_slot)
+_remembered_slot = lru_cache(1 << 16)(_slot)
 
 
 def features(words: list[str]) -> list[list[int]]:
