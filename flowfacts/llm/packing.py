@@ -14,7 +14,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ WINDOW = 4096
 END = 2
 #: Words whose ids a worker remembers, in each of two generations: when the young one is full, it becomes the old one, and what
 #: was not used since goes.
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 #: Pieces of open windows that one task of the second round packs, about.
 LOOSE = 50_000
 
@@ -49,10 +50,10 @@ class WordIds:
     joins across it, so the ids of a text are those of its words in order. It also lower-cases, and takes signs behind letters
     or digits for words of their own, so most texts are read in lower case, with commas and full stops at ends of words apart."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.memory: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -88,16 +89,20 @@ class WordIds:
             if _plain(t):
                 t = t.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").replace(",\n", " , ")
             split.append(t.replace("\n", " ").split(" "))
-        if len(self.memory) > REMEMBERED:
+        if len(self.memory) > self.remembered:
             self.old, self.memory = self.memory, {"": b""}
-        new = set(chain.from_iterable(split)).difference(self.memory)
-        known = new.intersection(self.old)
+        found = [list(map(self.memory.get, words)) for words in split]
+        gaps = [list(compress(count(), map(is_, ids, repeat(None)))) for ids in found]
+        missing = {words[k] for words, at in zip(split, gaps) for k in at}
+        known = missing.intersection(self.old)
         self.memory.update(zip(known, map(self.old.__getitem__, known)))
-        new -= known
-        if new:
-            self.learn(new)
-        get = self.memory.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(known) < len(missing):
+            self.learn(missing - known)
+        memory = self.memory
+        for words, ids, at in zip(split, found, gaps):
+            for k in at:
+                ids[k] = memory[words[k]]
+        return [b"".join(ids) for ids in found]
 
 
 class SumOfSquares:
@@ -149,7 +154,7 @@ class SumOfSquares:
 _ENCODERS: dict[str, WordIds] = {}
 
 
-def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, ids: bool = True) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, ids: bool = True, remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids (binary,
     uint32 LE).
 
@@ -158,6 +163,9 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
     (sequence_id holds the partition in its upper bits); then the pieces of windows that are not full are packed again over
     all partitions (bit 62 of sequence_id is set). Only places and lengths are shuffled. What the second round leaves open
     is the only padding. An empty table gives no rows. Other columns are not read.
+
+    remembered bounds the words of a generation of a worker's memory; without keep, a worker forgets tokenizer and words after
+    each partition. The ids don't depend on either.
     """
     from public_tokenizers import path
 
@@ -166,8 +174,9 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
     types = ([pa.int64()] * 7 + [pa.binary()])[: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(file, None) or WordIds(file)
-        _ENCODERS[file] = encoder
+        encoder = _ENCODERS.get(file) or WordIds(file, remembered)
+        if keep:
+            _ENCODERS[file] = encoder
         packer, base = SumOfSquares(window), TaskContext.get().partitionId() << 32
         closing = np.array([end], "<u4").tobytes()
         for batch in batches:

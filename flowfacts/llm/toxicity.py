@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import free_name, released
+from .common import free_name, release, released
 
 #: The documented bound of the labelled sample that the classifier is fitted on.
 TRAINING_ROWS = 6000
@@ -96,12 +96,18 @@ class _Trainer:
         self.used = np.nonzero(seen.sum(0) >= min(least, max(1, len(texts) // 50)))[0]
         place = np.full(BUCKETS, -1, np.int32)
         place[self.used] = np.arange(len(self.used))
-        keep = place[sub] >= 0
-        size = np.diff(at)
-        self.share = np.repeat((1.0 / size).astype(np.float32), size)[keep]
-        self.sub = place[sub[keep]]
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(words), dtype=np.int32), size)[keep], minlength=len(words)))])
-        del sub, keep
+        # n-grams without a vector go; words are taken in portions, so that no second copy of all is held
+        subs, shares, sizes = [], [], []
+        for k in range(0, len(words), AT_ONCE):
+            edge = at[k : k + AT_ONCE + 1]
+            kept, size = place[sub[edge[0] : edge[-1]]], np.diff(edge)
+            owner = np.repeat(np.arange(len(size)), size)[kept >= 0]
+            subs.append(kept[kept >= 0])
+            shares.append((1.0 / size).astype(np.float32)[owner])
+            sizes.append(np.bincount(owner, minlength=len(size)))
+        del sub
+        self.sub, self.share = np.concatenate(subs), np.concatenate(shares)
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         r = np.random.RandomState(seed)
         self.random = r
         self.params = [(r.standard_normal((len(self.used), WIDTH)) * 0.1).astype(np.float32), (r.standard_normal((WIDTH, 2)) * 0.1).astype(np.float32), np.zeros(2, np.float32)]
@@ -175,8 +181,9 @@ def _windows(n: int, span: int) -> list[tuple[int, int]]:
     return [(0, n)] if n <= span else [(a, a + span) for a in range(0, n - span, span // 2)] + [(n - span, n)]
 
 
-def train(texts: list[str], labels: np.ndarray, span: int = SPAN) -> Model:
-    """Fit on labelled texts (0 or 1). Without both labels the model scores the share of ones everywhere."""
+def train(texts: list[str], labels: np.ndarray, span: int = SPAN, consume: bool = False) -> Model:
+    """Fit on labelled texts (0 or 1). Without both labels the model scores the share of ones everywhere. With consume, the
+    list of texts is emptied once they are read."""
     labels = np.asarray(labels, np.int64)
     prior = float(labels.mean()) if len(labels) else 0.0
     number: dict[str, int] = {}
@@ -191,6 +198,8 @@ def train(texts: list[str], labels: np.ndarray, span: int = SPAN) -> Model:
     labels = labels[[i for i, c in enumerate(coded) if len(c)]]
     coded = [c for c in coded if len(c)]
     memory.clear()
+    if consume:
+        texts.clear()
     if len(set(labels.tolist())) < 2:
         p = min(max(prior, 1e-3), 1 - 1e-3)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))), p)
@@ -201,7 +210,11 @@ def train(texts: list[str], labels: np.ndarray, span: int = SPAN) -> Model:
         rest, check = list(range(len(coded))), []
     spare, spare_labels = [coded[i] for i in check], labels[check]
     coded, labels = [coded[i] for i in rest], labels[rest]
-    t = _Trainer(list(number), coded, labels)
+    words = list(number)
+    number.clear()
+    t = _Trainer(words, coded, labels)
+    del words
+    release()
     r = np.random.RandomState(2)
     clean: list[np.ndarray] = []
     for _ in range(ROUNDS):
@@ -281,7 +294,9 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted(((d, t or "", y) for batch in batches for d, t, y in zip(*(c.to_pylist() for c in batch.columns))))
-        model = train([t for _, t, _ in held], np.array([y for _, _, y in held], np.int64))
+        texts, labels = [t for _, t, _ in held], np.array([y for _, _, y in held], np.int64)
+        held.clear()
+        model = train(texts, labels, consume=True)
         yield pa.RecordBatch.from_pydict({"odds": pa.array([model.odds.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([float(model.bias)]), "prior": pa.array([float(model.prior)])})
 
     # one task on an executor fits the model: its input is bounded by `rows`, and the driver gets the model alone
