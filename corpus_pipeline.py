@@ -40,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 4096 ids."""
-    return pack(docs, TOKENIZER)
+    return pack(docs, TOKENIZER, remembered=100_000, keep=False)  # workers hold what other stages remember, too
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("jaccard", jaccard), ("pii", personal_data), ("packing", packing)]
