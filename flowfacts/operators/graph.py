@@ -6,7 +6,7 @@ blocks are bounded by its source text, so a grouped Arrow function solves each i
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -127,16 +127,50 @@ def _graph(table: pa.Table) -> dict[int, list[int]]:
 
 
 def per_function(facts: DataFrame, solve: Callable[[pa.Table], dict[str, list]], schema: str, key: str = "function") -> DataFrame:
-    """solve once for the facts of each function; its columns are returned beside the function."""
+    """solve once for the facts of each function; its columns are returned beside the function. Rows are dealt and sorted by
+    function and read as a stream, so that very many small functions cost little more than their rows."""
     names = [part.split()[0] for part in schema.split(",")]
-
-    def run(table: pa.Table) -> pa.Table:
-        out = solve(table)
-        n = len(out[names[0]])
-        return pa.table({key: pa.array([table[key][0].as_py()] * n, table.schema.field(key).type), **{c: pa.array(out[c], type=None if out[c] else pa.int64()) for c in names}}).cast(_schema(table.schema.field(key), schema))
+    at = facts.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = kind = None
+        owner: list = []
+        out: dict[str, list] = {c: [] for c in names}
+
+        def close() -> None:
+            got = solve(pa.Table.from_batches(held))
+            owner.extend([now] * len(got[names[0]]))
+            for c in names:
+                out[c].extend(got[c])
+            held.clear()
+
+        def flush() -> pa.RecordBatch:
+            fields = _schema(kind, schema)
+            made = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((owner, *(out[c] for c in names)), fields)], schema=fields)
+            for v in (owner, *out.values()):
+                v.clear()
+            return made
+
+        for batch in batches:
+            kind = batch.schema.field(at)
+            keys = batch.column(at).to_pylist()
+            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])] if keys else []
+            for start, stop in zip(starts, [*starts[1:], len(keys)]):
+                if held and keys[start] != now:
+                    close()
+                now = keys[start]
+                held.append(batch.slice(start, stop - start))
+            if len(owner) >= 10_000:
+                yield flush()
+        if held:
+            close()
+        if owner:
+            yield flush()
 
     kind = dict(facts.dtypes)[key]
-    return facts.groupBy(key).applyInArrow(run, f"{key} {kind}, {schema}")
+    dealt = facts.repartition(key).sortWithinPartitions(key)
+    return dealt.mapInArrow(run, f"{key} {kind}, {schema}")
 
 
 def _schema(key: pa.Field, schema: str) -> pa.Schema:
