@@ -8,7 +8,8 @@ most (1 - t) / (1 + t) * (n + m) elements. Candidates come from exact signatures
 * heavy sets: the hash space is cut into k ranges, k greater by ``spare`` than half of what linked sets can differ in, so
   linked sets differ in at most one element in more than ``spare`` ranges. Each range is cut in three; the contents of two
   of the three are a term of an inverted index whose lists are scanned, so linked sets share a term of each such range.
-  Terms of few elements, which chance would share, are left out as long as they touch ``spare`` ranges of the set at most.
+  Terms of few elements, which chance would share, are left out as long as they leave linked sets two ranges with a shared
+  term. Terms of no element are always left out; a set that would need them has the keys of a light one as well.
   k depends on a class of sizes; a set is listed under its own class and the next.
 
 Light sets within reach of the boundary are listed as heavy ones as well, for their links across it. The boundary is
@@ -16,8 +17,10 @@ chosen by cost over the table's own histogram of sizes: the number of keys that
 also one list entry to be scanned. Lists of single elements are not scanned: common n-grams would join most documents
 into one candidate group.
 
-Sets on one list are tied to the list's first member; connected groups of such ties hold every link. Of documents with
-equal sets one, the smallest doc_id, is compared; the others take its class. Each set is sent, once, to its group to be
+All pairs on a list are candidates. One that shares terms of one range only, or whose sketches (a bit for each remainder of
+the hash: is the number of elements with it odd?) differ in more bits than linked sets can differ in elements, is no link.
+Sets on a list too long for pairs are tied to its first member, unchecked. Connected groups of what is left hold every link,
+and chance seldom joins them. Of documents with equal sets one, the smallest doc_id, is compared; the others take its class. Each set is sent, once, to its group to be
 compared exactly (there with an inverted index in true order of frequency, and union-find, so that near copies cost few
 pairs). A group larger than a bound is dealt into parts: first each part is compared by itself, then pairs of parts, for
 links between members that aren't connected yet.
@@ -45,6 +48,10 @@ CHUNK = 1 << 20
 #: Shingles and sets of one part; a unit of exact comparison holds two parts at most.
 PART = 750_000
 PART_DOCS = 4096
+#: Entries of a list up to which all its pairs are candidates.
+LIST = 16
+#: The low bits of a key tell the range of its term: 1 + number modulo SLOTS; 0 for a key that needs no second one.
+SLOTS = 2047
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,6 +113,23 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parity of the number of elements of each remainder, modulo a power of two not below the size, 64 at least."""
+    bits = max(64, 1 << (len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def may_link(a: bytes, b: bytes, total: int, per_cent: int) -> bool:
+    """False only if sets with these sketches and so many elements together differ in too many."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "little"), len(a)
+    while size > len(b):  # remainders modulo half as much
+        size //= 2
+        x = (x >> (8 * size)) ^ (x & ((1 << (8 * size)) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count() * (100 + per_cent) <= total * (100 - per_cent)
+
+
 class Scheme:
     """Signatures of sets for a threshold of per_cent / 100."""
 
@@ -126,7 +150,7 @@ class Scheme:
     def ranges(self, c: int) -> tuple[int, int]:
         """(number of hash ranges, spare ranges) of a size class."""
         half = math.floor(self.differ * 2 * self.top(c) + 1e-9) // 2
-        spare = 3 + math.ceil(0.1 * half)
+        spare = 3 + math.ceil(0.2 * half)
         return half + 1 + spare, spare
 
     def light_keys(self, n: int) -> int:
@@ -153,14 +177,12 @@ class Scheme:
         return best
 
     def keys(self, h: np.ndarray) -> np.ndarray:
-        """All signature keys of a non-empty sorted set."""
+        """All signature keys of a non-empty sorted set. Linked sets share one of slot 0 or two of different slots."""
         n = len(h)
         out = []
+        low = np.uint64(SLOTS)
+        light = n <= self.boundary
         with np.errstate(over="ignore"):
-            if n <= self.boundary:
-                p = h[: n - self.least(n) + 2]
-                i, j = np.triu_indices(len(p), 1)
-                out.append(mix(p[i] * _A + mix(p[j])) if n > 1 else mix(h * _A))
             if n > self.boundary or n >= self.t * self.boundary:
                 c = self.size_class(n)
                 mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ _A))])
@@ -175,8 +197,16 @@ class Scheme:
                     # term j of a range leaves its third j out
                     term = np.stack([mix(mix(content[:, (j + 1) % 3] + number) + content[:, (j + 2) % 3] * _ODD + np.uint64(j)) for j in range(3)], 1)
                     held = size.sum(1, keepdims=True) - size
-                    few = np.partition(held.min(1), spare)[spare]
-                    out.append(term[held >= few])
+                    # ranges of one slot count as one, so that many must be left
+                    left = spare - -(-parts // SLOTS)
+                    few = np.partition(held.min(1), left)[left]
+                    light |= few == 0
+                    slot = (1 + np.arange(parts, dtype=np.uint64) % low)[:, None]
+                    out.append(((term & ~low) | slot)[held >= max(few, 1)])
+            if light:
+                p = h[: n - self.least(n) + 2]
+                i, j = np.triu_indices(len(p), 1)
+                out.append((mix(p[i] * _A + mix(p[j])) if n > 1 else mix(h * _A)) & ~low)
         return np.concatenate(out)
 
 
@@ -193,14 +223,35 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
                 at, size = i + 1, 0
 
 
-def _runs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their first doc, and the ties (first, other) of all further ones."""
+def _lists(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ties (first, other) of the lists longer than LIST, and the pairs (u, v, slot) of all others."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    head = docs[np.nonzero(new)[0]][np.cumsum(new) - 1]
-    tie = ~new & (head != docs)
-    return keys[new], docs[new], head[tie], docs[tie]
+    start = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
+    length = np.diff(np.concatenate([start, [len(keys)]]))
+    entries = np.repeat(length, length)
+    head = docs[np.repeat(start, length)]
+    tie = (entries > LIST) & (head != docs)
+    head, other = head[tie], docs[tie]
+    short = (entries > 1) & (entries <= LIST)
+    keys, docs = keys[short], docs[short]
+    u, v, slot = [], [], []
+    for d in range(1, LIST):
+        at = np.nonzero((keys[:-d] == keys[d:]) & (docs[:-d] != docs[d:]))[0]
+        u.append(docs[at])
+        v.append(docs[at + d])
+        slot.append((keys[at] & np.uint64(SLOTS)).astype(np.int32))
+    return head, other, np.concatenate(u), np.concatenate(v), np.concatenate(slot)
+
+
+def _once(u: np.ndarray, v: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (u, v) with their least and greatest slot."""
+    order = np.lexsort((slot, v, u))
+    u, v, slot = u[order], v[order], slot[order]
+    new = np.ones(len(u) + 1, bool)
+    new[1:-1] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    new, end = new[:-1], new[1:]
+    return u[new], v[new], slot[new], slot[end]
 
 
 def _ties(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,8 +346,8 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles / 200_000))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: doc_id, n_shingles and a digest of the set; 1: a tie of two documents; 2: a bucket of keys with their
-        first documents. Equal sets and equal keys of a portion are joined here, so a hot group leaves one entry per portion."""
+        """kind 0: doc_id, n_shingles, a digest of the set and its sketch; 1: a tie of two documents; 2: a bucket of keys with
+        their documents. Equal sets of a portion are joined here, so a hot group of copies leaves one entry per portion."""
         for ids, texts, rows in _flushes(batches):
             sets = shingle_sets(texts, words)
             n = len(ids)
@@ -304,12 +355,15 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
             ids = np.where(known, ids, 0).astype(np.int64)
             first: dict[bytes, int] = {}
             digests: list[bytes | None] = []
+            sketches: list[bytes | None] = []
             a, b, keys, owners = [], [], [], []
             for i, s in enumerate(sets):
                 if not len(s) or not known[i]:
                     digests.append(None)
+                    sketches.append(None)
                     continue
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sketches.append(sketch(s))
                 j = first.setdefault(digests[i], i)
                 if j != i:
                     a.append(ids[j])
@@ -317,11 +371,8 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
                 else:
                     keys.append(scheme.keys(s))
                     owners.append(np.full(len(keys[-1]), ids[i]))
-            if keys:
-                key, doc, x, y = _runs(np.concatenate(keys), np.concatenate(owners))
-            else:
-                key, doc, x, y = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            x, y = _ties(np.concatenate([x, np.array(a, np.int64)]), np.concatenate([y, np.array(b, np.int64)]))
+            key, doc = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *owners])
+            x, y = _ties(np.array(a, np.int64), np.array(b, np.int64))
             bucket = (key >> np.uint64(11)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             key, doc, bucket = key[order], doc[order], bucket[order]
@@ -334,32 +385,57 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
                 "b": pa.concat_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array(y), pa.nulls(len(used), pa.int64())]),
                 "bucket": pa.array(np.concatenate([ids % buckets, x % buckets, used]).astype(np.int64)),
                 "blob": pa.concat_arrays([pa.array(digests, pa.binary()), pa.nulls(len(x), pa.binary()), pa.array(blobs, pa.binary())]),
+                "sketch": pa.concat_arrays([pa.array(sketches, pa.binary()), pa.nulls(len(x) + len(used), pa.binary())]),
             })
         _POWERS.clear()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The lists of a partition's buckets; rows of kinds 0 and 1 pass."""
+        """Rows of kinds 0 and 1 pass; of the lists of a partition's buckets come ties (kind 1) and pairs (2) with their slots."""
+        names = ["kind", "a", "b", "digest", "sketch", "low", "high"]
         keys, docs = [], []
         for batch in batches:
             listed = pa.compute.equal(batch.column(0), 2)
             plain = batch.filter(pa.compute.invert(listed))
             if plain.num_rows:
-                yield pa.RecordBatch.from_arrays([*plain.columns[:3], plain.column(4)], names=["kind", "a", "b", "digest"])
+                yield pa.RecordBatch.from_arrays([*plain.columns[:3], *plain.columns[4:], *[pa.nulls(plain.num_rows, pa.int32())] * 2], names=names)
             for blob in batch.column(4).filter(listed).to_pylist():
                 half = len(blob) // 16
                 keys.append(np.frombuffer(blob, np.uint64, half))
                 docs.append(np.frombuffer(blob, np.int64, half, half * 8))
         if keys:
-            _, _, x, y = _runs(np.concatenate(keys), np.concatenate(docs))
+            x, y, u, v, slot = _lists(np.concatenate(keys), np.concatenate(docs))
             x, y = _ties(x, y)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(x), np.int32)), "a": pa.array(x), "b": pa.array(y), "digest": pa.nulls(len(x), pa.binary())})
+            u, v, low, high = _once(u, v, slot)
+            for kind, *columns in ((1, x, y, None, None), (2, u, v, low, high)):
+                n = len(columns[0])
+                blank = [pa.nulls(n, pa.binary())] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, columns[:2]), *blank, *[pa.nulls(n, pa.int32()) if c is None else pa.array(c) for c in columns[2:]]], names=names)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs that may be links; one without a sketch may be."""
+        for batch in batches:
+            total, *sides = (c.to_pylist() for c in batch.columns[2:])
+            stay = [a is None or b is None or may_link(a, b, n, per_cent) for n, a, b in zip(total, *sides)]
+            yield batch.select([0, 1]).filter(pa.array(stay, pa.bool_()))
 
-    signed = docs.mapInArrow(released(sign), "kind int, a long, b long, bucket long, blob binary")
+    signed = docs.mapInArrow(released(sign), "kind int, a long, b long, bucket long, blob binary, sketch binary")
     with small_batches(spark):
-        listed = materialize(signed.repartition(buckets, "bucket").mapInArrow(released(scan), "kind int, a long, b long, digest binary"), "listed")
+        listed = materialize(signed.repartition(buckets, "bucket").mapInArrow(released(scan), "kind int, a long, b long, digest binary, sketch binary, low int, high int"), "listed")
     sizes = listed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "digest")
     # groups of ties hold all links; of equal sets one takes part; each group is dealt into parts of bounded size
-    groups = connected_components(listed.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("doc_id"), F.col("component_id").alias("group"))
+    pairs = listed.where("kind = 2").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    pairs = materialize(pairs.where("low < high OR low = 0").select("u", "v"), "pairs")
+    # a doc_id with several texts has no sketch
+    sketches = listed.where("kind = 0 AND digest IS NOT NULL").groupBy("a").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.max("b").alias("n"), F.min("sketch").alias("sketch"))
+    sketches = materialize(sketches.where("x = y").select("a", "n", "sketch"), "sketches")
+    both = pairs.join(sketches.select(F.col("a").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su")), "u", "left")
+    both = both.join(sketches.select(F.col("a").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv")), "v", "left")
+    with small_batches(spark):
+        near = materialize(both.select("u", "v", F.expr("nu + nv"), "su", "sv").mapInArrow(released(check), "u long, v long"), "near")
+    ties = listed.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(near)
+    groups = connected_components(ties).select(F.col("id").alias("doc_id"), F.col("component_id").alias("group"))
+    for used in (pairs, sketches, near):
+        discard(used)
     groups = materialize(groups.join(sizes.where("digest IS NOT NULL").distinct(), "doc_id"), "groups")
     chosen = materialize(groups.groupBy("group", "digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), "chosen")
     size_class = F.size(F.filter(F.array(*[F.lit(scheme.top(c)).cast("long") for c in range(scheme.size_class(10**9))]), lambda top: top < F.col("n")))

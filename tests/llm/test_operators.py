@@ -14,7 +14,7 @@ from flowfacts.llm.ann import search
 from flowfacts.llm.common import connected_components
 from flowfacts.llm.embedding_dedup import near_duplicate_embeddings
 from flowfacts.llm.html_extract import Page, extract, main_text
-from flowfacts.llm.jaccard_join import jaccard_components, keep_one_of_each_group
+from flowfacts.llm.jaccard_join import SLOTS, Scheme, jaccard_components, keep_one_of_each_group, may_link, sketch
 from flowfacts.llm.line_dedup import ORACLE, chunk_starts, dedup_lines, hashed_lines, lines_of
 from flowfacts.llm.packing import SumOfSquares, pack
 from flowfacts.llm.pii import all_spans, base_spans, decode, default_model, find_personal_data, labelled_table, redact, redact_documents
@@ -701,3 +701,46 @@ def test_joins_with_hot_keys_match_a_plain_join(spark, monkeypatch, least):
         got = common.keyed_join(left, right, "k", how)
         assert set(got.columns) == {"k", "id", "__salt", "__hot", "x"}
         assert sorted(map(str, got.select("id", "k", "x").collect())) == sorted(map(str, left.join(right.drop("n"), "k", how).select("id", "k", "x").collect()))
+
+
+def test_op5_keys_and_sketches_lose_no_link():
+    """Sets that differ in as many elements as links may, of sizes around the boundary and far above: they share a key that
+    needs no second one, or keys of two slots; their sketches don't tell them apart, those of strangers do."""
+    rng = np.random.RandomState(8)
+    for per_cent in (80, 85):
+        scheme = Scheme(per_cent, 20)
+        for n in [*range(2, 60), *rng.randint(60, 3000, 60)]:
+            most = int(n * (100 - per_cent) / per_cent)  # with so many left out, n - most >= per_cent % of n
+            gone = int(n * (100 - per_cent) / 100)
+            a = np.unique(rng.randint(1, 2**63 - 1, n).astype(np.uint64) * np.uint64(2) + rng.randint(0, 2, n).astype(np.uint64))
+            for b in (a[np.sort(rng.permutation(n)[: n - gone])], np.unique(np.concatenate([a, rng.randint(1, 2**63 - 1, most).astype(np.uint64)]))):
+                shared = len(np.intersect1d(a, b))
+                assert 100 * shared >= per_cent * (len(a) + len(b) - shared)
+                slots = np.intersect1d(scheme.keys(a), scheme.keys(b)) & np.uint64(SLOTS)
+                assert (slots == 0).any() or len(set(slots.tolist())) > 1, (per_cent, n)
+                assert may_link(sketch(a), sketch(b), len(a) + len(b), per_cent) and may_link(sketch(b), sketch(a), len(a) + len(b), per_cent)
+            if n > 60:
+                other = np.unique(rng.randint(1, 2**63 - 1, n).astype(np.uint64))
+                assert not may_link(sketch(a), sketch(other), len(a) + len(other), per_cent)
+
+
+def test_op5_sends_few_sets_that_chance_ties(spark, monkeypatch):
+    """Texts made of a few common sentences share many terms; only linked ones may come into a group that is compared."""
+    import flowfacts.llm.jaccard_join as module
+
+    sent, materialize = [], module.materialize
+
+    def watched(df, name):
+        out = materialize(df, name)
+        if name == "groups":
+            sent.append(out.select("doc_id").distinct().count())
+        return out
+
+    monkeypatch.setattr(module, "materialize", watched)
+    rng = np.random.RandomState(6)
+    common = [passage(rng.randint(6, 12), f"c{k}x") for k in range(60)]
+    texts = [" ".join(x for k in rng.choice(60, 12, replace=False) for x in (common[k], passage(rng.randint(2, 9), f"o{i}k{k}x"))) for i in range(600)]
+    texts += [t + " end" for t in texts[:20]]
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs(spark, texts), 5, 80).collect()}
+    assert got == {i: i if i < 600 else i - 600 for i in range(620)}
+    assert 40 <= sent[0] <= 200
