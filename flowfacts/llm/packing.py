@@ -14,8 +14,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import compress, count, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +36,28 @@ LOOSE = 50_000
 #: What keeps a text from being read in lower case with its commas and full stops apart: letters whose lower case hangs on their
 #: neighbours, or that NFC may join; a comma or full stop that ends a run of other signs; what may be a special token.
 _HIGH = re.compile("[\u0130-\U0010ffff]")
-_ENDS_RUN = re.compile(r"[.,](?=[ \n])(?<=(?:[^\w\s]|_)[.,])")
+#: Signs that, behind letters, are read apart from them: all of ASCII but the apostrophe, which may join.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _has_high(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")  # faster than the search, which most texts need not have
+    except UnicodeEncodeError:
+        return _HIGH.search(text) is not None
+    return False
 
 
 def _plain(text: str) -> bool:
-    return not ("<|" in text or not text.isascii() and _HIGH.search(text) or _ENDS_RUN.search(text))
+    if "<|" in text or _has_high(text):
+        return False
+    for end in (". ", ", ", ".\n", ",\n"):
+        for part in text.split(end)[:-1]:
+            if part and not (part[-1].isalnum() or part[-1].isspace()):
+                return False
+    return True
 
 
 class WordIds:
@@ -51,9 +66,12 @@ class WordIds:
     or digits for words of their own, so most texts are read in lower case, with commas and full stops at ends of words apart."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        # the same model without normalizer and expressions: lower-case words of letters need neither
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memory: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -61,25 +79,34 @@ class WordIds:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: set[str]) -> None:
-        """Remember the ids of new words."""
-        letters = [w for w in words if w.isalpha() and (w.isascii() or not _HIGH.search(w))]
-        self._letters(letters)
-        rest = list(words.difference(letters)) if len(letters) < len(words) else []
+        """Remember the ids of new words. Signs behind letters are a word of their own."""
+        whole, stems, ends, rest = [], [], [], []
+        for w in words:
+            stem = w.rstrip(_SIGNS)
+            if stem.isalpha() and not _has_high(stem):
+                whole.append(w)
+                stems.append(stem)
+                ends.append(w[len(stem) :])
+            else:
+                rest.append(w)
+        rest.extend(set(ends).difference(self.memory, rest))
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.memory[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _letters(self, words: list[str]) -> None:
-        """Words of letters only are encoded as one text: each ends with its only end-of-word token."""
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+        for w, ids, end in zip(whole, self._letters(stems), ends):
+            self.memory[w] = ids + self.memory[end] if end else ids
+
+    def _letters(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters only, encoded as one text: each ends with its only end-of-word token."""
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part).lower()], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.nonzero(self.last[ids])[0] + 1
             if len(ends) != len(part):
-                self.memory.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+                yield from (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))
                 continue
             blob, start = ids.tobytes(), 0
-            for w, end in zip(part, (ends * 4).tolist()):
-                self.memory[w] = blob[start:end]
+            for end in (ends * 4).tolist():
+                yield blob[start:end]
                 start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -91,18 +118,12 @@ class WordIds:
             split.append(t.replace("\n", " ").split(" "))
         if len(self.memory) > self.remembered:
             self.old, self.memory = self.memory, {"": b""}
-        found = [list(map(self.memory.get, words)) for words in split]
-        gaps = [list(compress(count(), map(is_, ids, repeat(None)))) for ids in found]
-        missing = {words[k] for words, at in zip(split, gaps) for k in at}
+        missing = set().union(*split).difference(self.memory)
         known = missing.intersection(self.old)
         self.memory.update(zip(known, map(self.old.__getitem__, known)))
         if len(known) < len(missing):
             self.learn(missing - known)
-        memory = self.memory
-        for words, ids, at in zip(split, found, gaps):
-            for k in at:
-                ids[k] = memory[words[k]]
-        return [b"".join(ids) for ids in found]
+        return [b"".join(map(self.memory.__getitem__, words)) for words in split]
 
 
 class SumOfSquares:

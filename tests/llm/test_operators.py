@@ -16,7 +16,7 @@ from flowfacts.llm.embedding_dedup import near_duplicate_embeddings
 from flowfacts.llm.html_extract import Page, extract, main_text
 from flowfacts.llm.jaccard_join import SLOTS, Scheme, jaccard_components, keep_one_of_each_group, may_link, sketch
 from flowfacts.llm.line_dedup import ORACLE, chunk_starts, dedup_lines, hashed_lines, lines_of
-from flowfacts.llm.packing import SumOfSquares, pack
+from flowfacts.llm.packing import SumOfSquares, WordIds, pack
 from flowfacts.llm.pii import all_spans, base_spans, decode, default_model, find_personal_data, labelled_table, redact, redact_documents
 from flowfacts.llm.sentencepiece_viterbi import Pieces, Stream, decode_documents, encode_documents
 from flowfacts.llm.sharding import place, shard
@@ -744,3 +744,28 @@ def test_op5_sends_few_sets_that_chance_ties(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard_components(docs(spark, texts), 5, 80).collect()}
     assert got == {i: i if i < 600 else i - 600 for i in range(620)}
     assert 40 <= sent[0] <= 200
+
+
+def test_op8_reads_words_of_letters_and_signs_without_normalizer():
+    """Ids equal the tokenizer's on odd words; words of letters, with signs behind them or not, need the bare model alone."""
+    from public_tokenizers import path
+
+    def tokenizer_ids(texts):
+        return [np.array(e.ids, "<u4").tobytes() for e in full.encode_batch(texts, add_special_tokens=False)]
+
+    words = WordIds(path("word_bpe_49k.json"))
+    full = words.tokenizer
+    odd = ["Größe*** don't. DON'T!! abc' it's, ab.'s it`s x_y_ a_. ²³ x² 1st. <|endoftext|>. a<| |> '' ... !? ÀÉ$$$ İstanbul. Σας, ǅ.", "é.\n ä, µm. x\ttab.  two ,, . . .. \n\n.,", "", " . ", "end.", "Ab, cd.\nEf,\ngh!. ij_, kl"]
+    assert words.encode(odd) == tokenizer_ids(odd) and words.encode(odd) == tokenizer_ids(odd)
+    words = WordIds(path("word_bpe_49k.json"))
+    words.encode([". , *** $$$"])
+    learned = []
+
+    class Watched:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            learned.extend(texts)
+            return full.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    words.tokenizer = Watched()
+    plain = ["Größe nimmt zu, thlyewor*** ärend$$$ neu. ÉTÉ"]
+    assert words.encode(plain) == tokenizer_ids(plain) and learned == []
