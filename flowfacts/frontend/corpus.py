@@ -93,6 +93,70 @@ def handle(other):
 """
 
 
+#: A module by s_suppkey: helpers that give back one parameter or none, callers with untrusted and with written values, functions
+#: that call one another, and a chain over modules that ends at every tenth and closes to a cycle.
+HELPERS = """import os
+import shlex
+import sqlite3
+from .mod{next} import below as deeper
+
+def pick(a, b):
+    return {picked}
+
+def quoted(v):
+    return shlex.quote(v)
+
+def even(n, v):
+    return odd(n - 1, v)
+
+def odd(n, v):
+    if n:
+        return even(n - 1, v)
+    return v
+
+def below(value, depth):
+    return {below}
+
+def first(x):
+    os.system(pick(input(), 'c'))
+
+def second(x):
+    os.system(pick('c', 'd'))
+
+def third(x):
+    os.system(even('c', input()))
+
+def fourth(x):
+    os.system(odd(input(), 'c'))
+
+def fifth(x):
+    os.system(quoted(input()))
+    sqlite3.connect('d').execute(quoted(input()))
+
+def sixth(x):
+    os.system(below(input(), 'c'))
+
+def seventh(x):
+    os.system(below('c', input()))
+
+def read():
+    return input()
+
+def eighth(x):
+    os.system(pick(read(), read()))
+"""
+
+
+def helper_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): one module a supplier, each importing the next; the last imports the first."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    last = rows.agg(F.max("k").alias("last"), F.min("k").alias("least"))
+    k = F.col("k")
+    text = _filled(HELPERS, next=F.when(k == F.col("last"), F.col("least")).otherwise(k + 1), picked=F.when(k % 2 == 0, "a").otherwise("b"), below=F.when(k % 10 == 0, "value").otherwise("deeper(value, depth)"))
+    made = rows.crossJoin(F.broadcast(last)).select(F.concat(F.lit("helpers/mod"), k, F.lit(".py")).alias("path"), text.alias("text"))  # one row of ends
+    return made.unionByName(spark.createDataFrame([("helpers/__init__.py", "")], "path string, text string"))
+
+
 def guard_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text): one module a supplier, with a guard before its call."""
     k = F.col("s_suppkey")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import builtins
+import itertools
 import operator
 import symtable
 import warnings
@@ -893,8 +894,10 @@ INF = float("inf")
 
 
 def ranges(f: Function, order: list[int], known: dict[int, object]) -> dict[int, tuple[float, float]]:
-    """Intervals of numeric values; phis jump to infinity on a side that still grows after three rounds."""
+    """Intervals of numeric values, at a fixpoint; phis jump to infinity on a side that still grows after three rounds. What would
+    move for very long is left unknown."""
     out: dict[int, tuple[float, float]] = {}
+    unknown: set[int] = set()
 
     def numeric(c: object) -> bool:
         return isinstance(c, (int, float)) and not isinstance(c, bool) and c == c
@@ -902,11 +905,11 @@ def ranges(f: Function, order: list[int], known: dict[int, object]) -> dict[int,
     def times(a: float, b: float) -> float:
         return 0.0 if a == 0 or b == 0 else a * b
 
-    for round_ in range(8):
+    for round_ in itertools.count():
         before = dict(out)
         for b in order:
             for i in f.blocks[b].instrs:
-                if i.result is None:
+                if i.result is None or i.result in unknown:
                     continue
                 c = known.get(i.result)
                 args = [out.get(v) for _, _, _, v in i.args]
@@ -945,8 +948,12 @@ def ranges(f: Function, order: list[int], known: dict[int, object]) -> dict[int,
                 elif i.result in out and new is None:
                     del out[i.result]
         if out == before:
-            break
-    return out
+            return out
+        if round_ >= 16 + 4 * len(order):  # each further round takes a value away
+            moved = {v for v in out.keys() | before.keys() if out.get(v) != before.get(v)}
+            unknown |= moved
+            for v in moved:
+                out.pop(v, None)
 
 
 _SITES = {"build_list": "list", "build_tuple": "tuple", "build_set": "set", "build_dict": "dict", "call": "call", "with_enter": "context", "catch": "exception", "yield": "sent", "global": "global", "symbol": "symbol", "make_function": "function", "make_class": "class", "param": "parameter"}

@@ -132,6 +132,22 @@ def py_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taint.flows(facts(corpus.guard_project(spark, sf_dir), models.prefixes(), nodes=False)).select("path", "verdict")
 
 
+@query
+def py_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each function gives back of its parameters: kinds of taint as bits, over calls, recursion and a cycle of modules."""
+    from .summaries import summary_table
+
+    made = facts(corpus.helper_project(spark, sf_dir), models.prefixes(), nodes=False)
+    return summary_table(made, taint.resolved(made)).select("module", "function", "index", "mask")
+
+
+@query
+def py_matched_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows through helpers that have untrusted and clean callers: a value comes back to its own caller only."""
+    found = taint.flows(facts(corpus.helper_project(spark, sf_dir), models.prefixes(), nodes=False))
+    return found.select("module", "function", "rule", "symbol")
+
+
 @query
 def py_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constant beginnings of arguments, and what they fix of a URL."""
@@ -169,7 +185,7 @@ def py_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def py_module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowfacts.plans.project import module_graph
 
-    return module_graph(facts(corpus.web_project(spark, sf_dir), (), nodes=False)).groupBy("dst", "symbol").agg(F.count("*").alias("importers"))
+    return module_graph(facts(corpus.web_project(spark, sf_dir), imports_only=True)).groupBy("dst", "symbol").agg(F.count("*").alias("importers"))
 
 
 @query
@@ -208,8 +224,17 @@ def _counts(label: str, number: str, **values: int) -> str:
     return f"WITH {_NUM}, v({label}, {number}) AS (VALUES {rows}) SELECT path, {label}, {number}::BIGINT AS {number} FROM n, v"
 
 
+#: below gives back its value where a walk along the modules meets a tenth one before it has gone round.
+_HELPERS = """k AS (SELECT s_suppkey AS k, concat('helpers.mod', s_suppkey) AS module FROM supplier),
+  nexts AS (SELECT k, coalesce(lead(k) OVER (ORDER BY k), (SELECT min(k) FROM k)) AS n FROM k),
+  walk(k, calls, place) AS (SELECT k, [k], k FROM nexts UNION ALL SELECT w.k, list_append(calls, n), n FROM walk w JOIN nexts x ON x.k = w.place WHERE w.place % 10 <> 0 AND NOT list_contains(calls, n)),
+  back AS (SELECT DISTINCT k FROM walk WHERE place % 10 = 0)"""
 _GUARDS = ", ".join(f"({k}, '{v}')" for k, (_, v) in enumerate(corpus.GUARDS) if v)
 ORACLES = {
+    "py_summaries": f"""WITH RECURSIVE {_HELPERS}, v(function, index, mask) AS (VALUES ('quoted', 0, {models.ALL - models.KINDS["command"]}), ('even', 1, {models.ALL}), ('odd', 1, {models.ALL}))
+        SELECT module, function, index::BIGINT AS index, mask::BIGINT AS mask FROM k, v UNION ALL SELECT module, 'pick', k % 2, {models.ALL} FROM k UNION ALL SELECT module, 'below', 0, {models.ALL} FROM k JOIN back USING (k)""",
+    "py_matched_flows": f"""WITH RECURSIVE {_HELPERS}, v(function, rule, symbol) AS (VALUES ('third', 'command-injection', 'os.system'), ('fifth', 'sql-injection', 'sqlite3.connect.execute'), ('eighth', 'command-injection', 'os.system'))
+        SELECT module, function, rule, symbol FROM k, v UNION ALL SELECT module, 'first', 'command-injection', 'os.system' FROM k WHERE k % 2 = 0 UNION ALL SELECT module, 'sixth', 'command-injection', 'os.system' FROM k JOIN back USING (k)""",
     "py_reachable": f"""WITH w AS ({_WEB}), v(advisory, rule, level, severity, places) AS (
         SELECT 'ADV-1', 'vulnerable-dependency', 'declared', 'high', 1 UNION ALL SELECT 'ADV-2', 'vulnerable-dependency', 'declared', 'medium', 1
         UNION ALL SELECT 'ADV-1', 'vulnerable-dependency', 'imported', 'high', count(*) FROM w WHERE s <> 11 UNION ALL SELECT 'ADV-2', 'vulnerable-dependency', 'imported', 'medium', count(*) FROM w WHERE s <> 11

@@ -52,13 +52,18 @@ def _literal(c: object) -> str | None:
     return text if text is not None and len(text) <= lower.LONGEST_CONSTANT else None
 
 
-def file_facts(module: str, is_package: bool, text: str | None, sources: tuple[str, ...], nodes: bool) -> Iterator[dict]:
-    """The facts of one file, without path and module."""
+def file_facts(module: str, is_package: bool, text: str | None, sources: tuple[str, ...], nodes: bool, imports_only: bool = False) -> Iterator[dict]:
+    """The facts of one file, without path and module. imports_only: its status and imports, without looking at functions."""
     try:
         tree = lower.parsed(text or "")
         if lower.too_deep(tree):
             raise RecursionError(f"nested deeper than {lower.DEEPEST}")
         m = lower.Module(module, is_package, tree)
+        if imports_only:
+            yield {"kind": "file", "name": "analysed" if text is not None else "undecodable", "a": len((text or "").splitlines())}
+            for name, symbol, line in m.imports:
+                yield {"kind": "import", "name": name, "text": symbol, "line": line}
+            return
         m.lower()
         names = lower.scopes(text or "")
     except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
@@ -136,14 +141,24 @@ def file_facts(module: str, is_package: bool, text: str | None, sources: tuple[s
             yield {**own, "kind": "flow", "role": ik, "a": ia, "name": iname, "text": ok, "b": ob, "c": oc, "more": oname, "line": int(guarded)}
 
 
-def facts(files: DataFrame, sources: tuple[str, ...] = (), nodes: bool = True) -> DataFrame:
+def parallel(rows: DataFrame, by: str) -> DataFrame:
+    """rows dealt by a column over at least as many tasks as there are cores: the number is given, so adaptive execution does not
+    join small partitions, whose bytes say little about the work in them."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), by)
+
+
+def facts(files: DataFrame, sources: tuple[str, ...] = (), nodes: bool = True, imports_only: bool = False) -> DataFrame:
     """All facts (SCHEMA; see KINDS) of files (path, text), a written table in folders by kind.
 
     sources: symbols, dotted prefixes, whose values begin a flow. nodes: also syntax, scopes, instructions and value analyses,
     which whole-project checks don't read. A file that can't be parsed gives one fact of kind 'file' with a status; a null text
-    is an empty file with the status 'undecodable'. Files are independent of one another: there is no shuffle but for names.
+    is an empty file with the status 'undecodable'. Files are independent of one another: they are dealt by path, and read by as
+    many tasks as there are cores or shuffle partitions. imports_only: facts of the kinds 'file' (without functions) and 'import'.
+    files may come with module and is_package.
     """
-    rows = named(files.select("path", "text")).select("path", "module", "is_package", "text")
+    rows = (files if "module" in files.columns else named(files.select("path", "text"))).select("path", "module", "is_package", "text")
+    rows = parallel(rows, "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: dict[str, list] = {n: [] for n in _NAMES}
@@ -156,7 +171,7 @@ def facts(files: DataFrame, sources: tuple[str, ...] = (), nodes: bool = True) -
 
         for batch in batches:
             for path, module, is_package, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for fact in file_facts(module, is_package, text, sources, nodes):
+                for fact in file_facts(module, is_package, text, sources, nodes, imports_only):
                     fact["path"], fact["module"] = path, module
                     for n in _NAMES:
                         columns[n].append(fact.get(n))

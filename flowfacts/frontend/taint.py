@@ -1,8 +1,8 @@
 """Whole-project taint on fact tables: a semi-naive fixpoint over ports, the parameters, results and fields that functions meet at.
 
-Inside a function the fact table already tells which in-port reaches which out-port (kind 'flow'). Here calls are joined with the
-functions they name, each out-port with the in-ports it feeds, and kinds of taint spread along those steps until nothing is new.
-Rounds grow with the depth of calls, not with the length of functions.
+Inside a function the fact table already tells which in-port reaches which out-port (kind 'flow'). Calls are joined with the
+functions they name, summaries make a call one step from argument to result (``summaries``), and kinds of taint spread along
+steps until nothing is new. Rounds grow with the depth of calls, not with the length of functions.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from .tables import of
 KEY = ("module", "function", "role", "a", "name")
 
 
-def _key(module: Column | str, function: Column | str, role: str | Column, a: Column | str, name: Column | str) -> Column:
+def key_of(module: Column | str, function: Column | str, role: str | Column, a: Column | str, name: Column | str) -> Column:
     text = [F.col(x) if isinstance(x, str) else x for x in (module, function)]
     role = F.lit(role) if isinstance(role, str) else role
     a, name = (F.col(x) if isinstance(x, str) else x for x in (a, name))
@@ -38,37 +38,13 @@ def resolved(facts: DataFrame) -> DataFrame:
     return calls.join(targets, "symbol", "left")
 
 
-def steps(facts: DataFrame, calls: DataFrame) -> DataFrame:
-    """(key, into, mask): the in-port ``key`` feeds the in-port ``into`` with the kinds in mask."""
-    spark = facts.sparkSession
-    flow = of(facts, "flow").select("module", "function", _key("module", "function", F.col("role"), "a", "name").alias("key"), F.col("text").alias("out"), F.col("b").alias("call"), F.col("c").alias("pos"), F.col("more").alias("keyword"))
-    field = F.concat_ws("|", "module", F.lit("field"), "keyword")
-    parameters = of(facts, "parameter").select(F.col("module").alias("to_module"), F.col("function").alias("to_function"), F.col("a").alias("index"), F.col("name").alias("keyword"))
-    into = calls.select("module", "function", F.col("a").alias("call"), "symbol", "to_module", "to_function", "shift")
-    args = flow.where("out = 'arg'").join(into, ["module", "function", "call"])
-    known = args.where("to_function IS NOT NULL")
-    by_position = known.where("keyword = '' AND pos >= 0").select("key", _key("to_module", "to_function", "param", F.col("pos") + F.col("shift"), F.lit("")).alias("into"))
-    objects = known.where("pos = -1 AND shift = 1").select("key", _key("to_module", "to_function", "param", F.lit(0), F.lit("")).alias("into"))
-    by_name = known.where("keyword <> ''").join(parameters, ["to_module", "to_function", "keyword"]).select("key", _key("to_module", "to_function", "param", "index", F.lit("")).alias("into"))
-    # a call of something unknown gives what it was given, but for the kinds it is known to clear
-    cleared = models.clear_table(spark)
-    through = args.where("to_function IS NULL").join(F.broadcast(cleared), "symbol", "left").select(
-        "key", _key("module", "function", "result", "call", F.lit("")).alias("into"), F.lit(models.ALL).bitwiseXOR(F.coalesce("cleared", F.lit(0))).alias("mask"))
-    back = flow.where("out = 'return'").select("key", F.col("module").alias("to_module"), F.col("function").alias("to_function")).join(
-        into.where("to_function IS NOT NULL"), ["to_module", "to_function"]).select("key", _key("module", "function", "result", "call", F.lit("")).alias("into"))
-    held = flow.where("out = 'field'").select("key", field.alias("into"))
-    whole = by_position.unionByName(objects).unionByName(by_name).unionByName(back).unionByName(held).withColumn("mask", F.lit(models.ALL).cast("long"))
-    read = of(facts, "flow").where("role = 'field'").select(F.concat_ws("|", "module", F.lit("field"), "name").alias("key"), _key("module", "function", F.col("role"), "a", "name").alias("into")).distinct().withColumn("mask", F.lit(models.ALL).cast("long"))
-    return whole.unionByName(through.withColumn("mask", F.col("mask").cast("long"))).unionByName(read).groupBy("key", "into").agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
-
-
 def seeds(facts: DataFrame) -> DataFrame:
     """(key, source, bits): in-ports that hold untrusted values from the start, and what they come from."""
     spark = facts.sparkSession
-    read = of(facts, "flow").where("role = 'source'").select(_key("module", "function", F.col("role"), "a", "name").alias("key"), F.col("name").alias("source"))
+    read = of(facts, "flow").where("role = 'source'").select(key_of("module", "function", F.col("role"), "a", "name").alias("key"), F.col("name").alias("source"))
     entries = models.entry_table(spark)
     handlers = of(facts, "decorator").join(F.broadcast(entries), F.col("text") == F.col("symbol")).select("module", "function", "text").distinct()
-    given = of(facts, "parameter").where("role <> 'captured'").drop("text", "path").join(handlers, ["module", "function"]).select(_key("module", "function", "param", "a", F.lit("")).alias("key"), F.concat_ws(" ", "text", "name").alias("source"))
+    given = of(facts, "parameter").where("role <> 'captured'").drop("text", "path").join(handlers, ["module", "function"]).select(key_of("module", "function", "param", "a", F.lit("")).alias("key"), F.concat_ws(" ", "text", "name").alias("source"))
     return read.unionByName(given).distinct().withColumn("bits", F.lit(models.ALL).cast("long"))
 
 
@@ -114,14 +90,16 @@ def flows(facts: DataFrame) -> DataFrame:
     a guard tests every source on its way, or a request's host is written out, 'vulnerability' if not. What guards show to be
     harmless is no flow, nor is a redirect to a written host or a path on the same site."""
     spark = facts.sparkSession
+    from .summaries import matched_steps, places
+
     calls = written(resolved(facts), "calls")
-    along = written(steps(facts, calls), "steps")
-    state = spread(seeds(facts), along)
+    along = written(matched_steps(facts, calls), "steps")
+    state = places(spread(seeds(facts), along))
     sinks = models.sink_table(spark)
     ends = calls.where("to_function IS NULL AND symbol <> ''").withColumn("suffix", F.explode(suffixes(F.col("symbol")))).join(F.broadcast(sinks), "suffix")
     plain = calls.where("to_function IS NULL AND symbol = ''").withColumn("suffix", F.explode(suffixes(F.col("written")))).join(F.broadcast(sinks), "suffix")
     ends = ends.unionByName(plain).select("path", "module", "function", F.col("a").alias("call"), F.coalesce(F.when(F.col("symbol") != "", F.col("symbol")), F.col("written")).alias("symbol"), "line", "col", "rule", "severity", F.col("bits").alias("harm"), "positions").distinct()
-    given = of(facts, "flow").where("text = 'arg' AND c <> -1").select("module", "function", _key("module", "function", F.col("role"), "a", "name").alias("key"), F.col("b").alias("call"), F.col("c").alias("pos"), (F.col("line") == 1).alias("guarded"))
+    given = of(facts, "flow").where("text = 'arg' AND c <> -1").select("module", "function", key_of("module", "function", F.col("role"), "a", "name").alias("key"), F.col("b").alias("call"), F.col("c").alias("pos"), (F.col("line") == 1).alias("guarded"))
     hit = given.join(ends, ["module", "function", "call"]).where("pos = -2 OR array_contains(positions, pos)")
     proofs = of(facts, "prefix").where("role = 'arg'").select("module", "function", F.col("a").alias("call"), F.col("b").alias("pos"), url_proof(F.col("text")).alias("proof")).where("proof IS NOT NULL")
     hit = hit.join(proofs, ["module", "function", "call", "pos"], "left").where("rule <> 'open-redirect' OR proof IS NULL").withColumn("guarded", F.col("guarded") | F.coalesce((F.col("rule") == "ssrf") & F.col("proof").isin("path", "origin"), F.lit(False)))

@@ -15,7 +15,7 @@ from flowfacts.sources.dependencies import read_files
 from flowfacts.streaming import watch
 
 HELP = "import os\n\ndef run(cmd, times=1):\n    for i in range(times):\n        os.system(cmd)\n    return cmd\n"
-MAIN = "from .helpers import run\nfrom . import clean\n\ndef main():\n    text = input()\n    run(times=2, cmd=clean.safe(text))\n    run(text)  # flowfacts: ignore[command-injection]\n"
+MAIN = "from .helpers import run\nfrom . import clean\n\ndef main():\n    text = input()\n    run(times=2, cmd=clean.safe(text))\n    run(text)  # flowfacts-allow: command-injection\n"
 CLEAN = "import shlex\n\ndef safe(x):\n    if x:\n        y = shlex.quote(x)\n    else:\n        y = ''\n    return y\n"
 FILES = [("app/__init__.py", ""), ("app/helpers.py", HELP), ("app/main.py", MAIN), ("app/clean.py", CLEAN), ("app/bad.py", "def ("), ("app/deep.py", "x = " + "-" * 300 + "1"), ("tests/test_a.py", "import hashlib\nhashlib.md5(b'')\nhashlib.md5(b'', usedforsecurity=False)\n"), ("app/none.py", None)]
 
@@ -119,9 +119,21 @@ def test_a_project_check_with_suppression_baseline_and_tests(spark, files):
 
 
 def test_comments(spark):
-    text = "a = '# flowfacts: ignore'\nb = 1  # flowfacts: ignore\nc = 2 # flowfacts: ignore[x, y]\n\x0cd = 3\r# flowfacts:ignore[z]\n"
-    rows = comments.suppressions(spark.createDataFrame([("a.py", text), ("b.py", "x = (  # flowfacts: ignore"), ("c.py", None)], "path string, text string")).collect()
-    assert sorted((r.path, r.line, r.rules) for r in rows) == [("a.py", 2, None), ("a.py", 3, ["x", "y"]), ("a.py", 5, ["z"]), ("b.py", 1, None)]
+    texts = {
+        "a.py": "a = '# flowfacts-allow'\nb = 1  # flowfacts-allow\nc = 2 # flowfacts-allow: x, y -- as z says\n\x0cd = 3\r#flowfacts-allow:z\n",
+        "b.py": "x = (  # flowfacts-allow",
+        "c.py": None,
+        "d.py": '"""one\n# flowfacts-allow\n\\""" """\r\ny = "\\"# flowfacts-allow" # flowfacts-allow: w\n',
+        "e.py": "z = r'\\' # flowfacts-allowed\n# flowfacts-allow:\n# see flowfacts-allow\nq = 'open # flowfacts-allow\nr = 1 # flowfacts-allow because\n",
+        "f.py": "'''never closed\n# flowfacts-allow\n",
+        "g.py": "s = ''''a''' # flowfacts-allow: g\n",
+        "h.py": "k = \"'\" + \"#\" + '\"' # flowfacts-allow: h\n",
+        "i.py": "x = 'a\\\n# flowfacts-allow' # flowfacts-allow: i",
+        "j.py": '"""' + "\\x # it's " * 50_000 + '"""\n# flowfacts-allow: j',
+    }
+    rows = comments.suppressions(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()
+    assert sorted((r.path, r.line, r.rules) for r in rows) == [
+        ("a.py", 2, None), ("a.py", 3, ["x", "y"]), ("a.py", 5, ["z"]), ("b.py", 1, None), ("d.py", 4, ["w"]), ("e.py", 2, []), ("e.py", 5, None), ("g.py", 1, ["g"]), ("h.py", 1, ["h"]), ("i.py", 2, ["i"]), ("j.py", 2, ["j"])]
 
 
 def test_baselines(spark, tmp_path):
@@ -242,3 +254,25 @@ def test_vex_of_a_project(spark, files):
     assert got == {"A": "affected", "B": "not_affected", "C": "under_investigation", "E": "under_investigation"}
     partial = {r.advisory: r.status for r in advisories.vex(tables.facts(files, (), nodes=False), packages, known).collect()}
     assert partial == {"A": "affected", "B": "under_investigation", "C": "under_investigation", "E": "under_investigation"}
+
+
+def test_ranges_of_nested_loops_are_sound():
+    import ast
+
+    from flowfacts.frontend import lower
+
+    for depth in range(1, 12):
+        body = "".join("    " * (k + 1) + f"for i{k} in range(n):\n" for k in range(depth))
+        m = lower.Module("m", False, ast.parse("def f(n):\n    x = 0\n" + body + "    " * (depth + 1) + "x = x + 1\n    return x\n"))
+        m.lower()
+        f = next(f for f in m.functions if f.name == "f")
+        order, _ = lower.ssa(f)
+        returned = next(i.args[0][3] for b in order for i in f.blocks[b].instrs if i.op == "return" and i.args)
+        assert lower.ranges(f, order, lower.constants(f, order)[0]).get(returned, (0.0, float("inf"))) == (0.0, float("inf"))
+
+
+def test_facts_are_parsed_by_as_many_tasks_as_cores(spark):
+    rows = spark.range(400).selectExpr("concat('p/m', id, '.py') AS path", "concat('x = ', id) AS text").coalesce(1)
+    made = tables.facts(rows, imports_only=True)
+    assert tables.of(made, "file").count() == 400
+    assert len({r.f for r in made.selectExpr("input_file_name() AS f").distinct().collect()}) >= spark.sparkContext.defaultParallelism
