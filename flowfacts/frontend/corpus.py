@@ -93,6 +93,76 @@ def handle(other):
 """
 
 
+#: Classes of a web project: one root, two in each module of a nation, one in each module of a supplier, which does what LEAVES say.
+ROOT = """import os
+import tornado.web
+
+class Root(tornado.web.RequestHandler):
+    def run(self, cmd):
+        os.system(cmd)
+"""
+MIDDLE = """from .root import Root
+
+class Extra:
+    def title(self):
+        return 'title'
+
+class Mid{k}(Root):
+    def store(self):
+        self.held = self.get_argument('h')
+
+class Mix{k}(Mid{k}, Extra):
+    pass
+"""
+LEAVES = ["self.run(self.get_argument('q'))", "os.system(self.get_argument('q'))", "os.system(self.request.body)", "os.system(name)", "os.system(self.title())", "os.system(self.held)"]
+LEAF = """import os
+from .mid{m} import Mix{m}
+
+class Leaf{k}(Mix{m}):
+    def get(self, name):
+        {line}
+
+    def other(self, name):
+        os.system(name)
+
+class Plain{k}:
+    def get(self, name):
+        os.system(name)
+"""
+
+
+def class_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): a root, a module a nation, a module a supplier whose class is three levels below the root."""
+    n, k = F.col("n_nationkey"), F.col("s_suppkey")
+    middle = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("views/mid"), n, F.lit(".py")).alias("path"), _filled(MIDDLE, k=n).alias("text"))
+    line = F.element_at(F.array(*map(F.lit, LEAVES)), (k % len(LEAVES)).cast("int") + 1)
+    leaf = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("views/leaf"), k, F.lit(".py")).alias("path"), _filled(LEAF, line=line, m=k % 25, k=k).alias("text"))
+    return leaf.unionByName(middle).unionByName(spark.createDataFrame([("views/__init__.py", ""), ("views/root.py", ROOT)], "path string, text string"))
+
+
+#: A module of loops by s_suppkey.
+LOOPS = """def work(n):
+    up = {x}
+    down = {y}
+    both = {x}
+    for i in range(n):
+        up = up + {s}
+        down = down - 1
+        for j in range(n):
+            both = both * 2 - {y}
+    part = len(n) % {m}
+    half = up // 2
+    return part
+"""
+
+
+def loop_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): a module a supplier, whose loops count up or down by the row's numbers."""
+    k = F.col("s_suppkey")
+    text = _filled(LOOPS, x=k % 7, y=k % 5 + 1, s=k % 3, m=k % 4 + 1)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("loops/mod"), k, F.lit(".py")).alias("path"), text.alias("text"))
+
+
 #: A module by s_suppkey: helpers that give back one parameter or none, callers with untrusted and with written values, functions
 #: that call one another, and a chain over modules that ends at every tenth and closes to a cycle.
 HELPERS = """import os

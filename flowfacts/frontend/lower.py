@@ -890,6 +890,20 @@ def _folded(i: Instr, args: list) -> object:
         return TOP
 
 
+def classes(m: Module) -> list[tuple[str, int, list[str]]]:
+    """(dotted name in the module, line, symbols of its bases) of every class of a file; '' where a base is no name."""
+    out, stack = [], [(m.tree, "")]
+    while stack:
+        node, inside = stack.pop()
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, ast.ClassDef):
+                written = [dotted(b.value if isinstance(b, ast.Subscript) else b) for b in child.bases if not isinstance(b, ast.Starred)]
+                out.append((inside + child.name, child.lineno, [m.resolve(w) or (f"builtins.{w}" if hasattr(builtins, w) else "") for w in written]))
+            named = isinstance(child, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef))
+            stack.append((child, f"{inside}{child.name}." if named else inside))
+    return out
+
+
 INF = float("inf")
 
 

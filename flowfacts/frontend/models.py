@@ -27,6 +27,18 @@ ENTRY_POINTS = {
     "bottle": ("bottle.route", "bottle.get", "bottle.post"),
     "click/typer": ("click.command", "typer.Typer.command", "click.Group.command"),
 }
+_HTTP = ("get", "post", "put", "patch", "delete", "head", "options")
+#: Base classes whose methods a library calls, by library: (base, methods, attributes that hold what comes from outside, whether
+#: the methods' parameters do, too). Fixed values.
+BASES = {
+    "python": (("http.server.BaseHTTPRequestHandler", ("do_GET", "do_POST", "do_PUT", "do_DELETE", "do_HEAD"), ("path", "headers", "rfile", "requestline"), False), ("socketserver.BaseRequestHandler", ("handle",), ("request",), False)),
+    "tornado": (("tornado.web.RequestHandler", _HTTP, ("request", "path_args", "path_kwargs"), True), ("tornado.websocket.WebSocketHandler", ("on_message", "open"), ("request",), True)),
+    "django": (("django.views.View", (*_HTTP, "dispatch"), ("request", "args", "kwargs"), True), ("django.views.generic.View", (*_HTTP, "dispatch"), ("request", "args", "kwargs"), True),
+               ("django.views.generic.TemplateView", (*_HTTP, "dispatch"), ("request", "args", "kwargs"), True), ("django.views.generic.edit.FormView", (*_HTTP, "dispatch", "form_valid"), ("request", "args", "kwargs"), True)),
+    "rest_framework": (("rest_framework.views.APIView", _HTTP, ("request", "args", "kwargs"), True), ("rest_framework.viewsets.ViewSet", ("list", "create", "retrieve", "update", "partial_update", "destroy"), ("request", "args", "kwargs"), True)),
+    "flask": (("flask.views.MethodView", _HTTP, (), True), ("flask.views.View", ("dispatch_request",), (), True)),
+    "aiohttp": (("aiohttp.web.View", _HTTP, ("request",), False),),
+}
 #: rule: (kind, severity, [(symbol or dotted suffix, positions that matter or None for all)]).
 SINKS = {
     "sql-injection": ("sql", "high", [("execute", [0]), ("executemany", [0]), ("executescript", [0]), ("django.db.models.Manager.raw", [0]), ("sqlalchemy.text", [0])]),
@@ -80,3 +92,13 @@ def call_table(spark: SparkSession) -> DataFrame:
 
 def entry_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s,) for group in ENTRY_POINTS.values() for s in group], "symbol string")
+
+
+def base_table(spark: SparkSession) -> DataFrame:
+    """base, methods, attributes, parameters; small and fixed."""
+    rows = [(base, list(methods), list(attributes), given) for group in BASES.values() for base, methods, attributes, given in group]
+    return spark.createDataFrame(rows, "base string, methods array<string>, attributes array<string>, parameters boolean")
+
+
+def source_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in prefixes()], "prefix string")

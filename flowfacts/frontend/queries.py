@@ -148,6 +148,38 @@ def py_matched_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("module", "function", "rule", "symbol")
 
 
+@query
+def py_class_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classes import ancestors
+
+    return ancestors(facts(corpus.class_project(spark, sf_dir), (), nodes=False))
+
+
+@query
+def py_base_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods that a library calls, as their class is three levels below one of its bases."""
+    from .classes import ancestors, entry_points
+
+    made = facts(corpus.class_project(spark, sf_dir), (), nodes=False)
+    return entry_points(made, ancestors(made))
+
+
+@query
+def py_base_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows from parameters, attributes, inherited methods and inherited fields of request handlers."""
+    return taint.flows(facts(corpus.class_project(spark, sf_dir), models.prefixes(), nodes=False)).select("module", "function", "rule", "symbol")
+
+
+@query
+def py_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of all variables that loops change, and of what is computed of them, by a lattice fixpoint over the fact tables."""
+    from flowfacts.operators.lattice import intervals
+
+    made = facts(corpus.loop_project(spark, sf_dir))
+    shown = of(made, "instruction").where("name = 'phi' OR (name = 'binary' AND text IN ('Mod', 'FloorDiv'))").select("path", "function", F.col("c").alias("value"), F.col("text").alias("what"))
+    return intervals(made).join(shown, ["path", "function", "value"]).select("path", "what", "low", "high").distinct()
+
+
 @query
 def py_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constant beginnings of arguments, and what they fix of a URL."""
@@ -231,6 +263,19 @@ _HELPERS = """k AS (SELECT s_suppkey AS k, concat('helpers.mod', s_suppkey) AS m
   back AS (SELECT DISTINCT k FROM walk WHERE place % 10 = 0)"""
 _GUARDS = ", ".join(f"({k}, '{v}')" for k, (_, v) in enumerate(corpus.GUARDS) if v)
 ORACLES = {
+    "py_class_ancestors": """WITH m AS (SELECT n_nationkey AS n, unnest([['Mid', 'Mid'], ['Mid', 'Root'], ['Mid', 'T'], ['Mix', 'Mix'], ['Mix', 'Mid'], ['Mix', 'Root'], ['Mix', 'T'], ['Mix', 'Extra'], ['Extra', 'Extra']]) AS c, unnest([0, 1, 2, 0, 1, 2, 3, 4, 0]) AS place FROM nation),
+        l AS (SELECT s_suppkey AS k, s_suppkey % 25 AS n, unnest(['Leaf', 'Mix', 'Mid', 'Root', 'T', 'Extra']) AS a, unnest([0, 1, 2, 3, 4, 5]) AS place FROM supplier)
+        SELECT concat('views.mid', n, '.', c[1], CASE WHEN c[1] <> 'Extra' THEN n::VARCHAR ELSE '' END) AS class, place, CASE c[2] WHEN 'T' THEN 'tornado.web.RequestHandler' WHEN 'Root' THEN 'views.root.Root' ELSE concat('views.mid', n, '.', c[2], CASE WHEN c[2] <> 'Extra' THEN n::VARCHAR ELSE '' END) END AS ancestor, c[2] <> 'T' AS own FROM m
+        UNION ALL SELECT concat('views.leaf', k, '.Leaf', k), place, CASE a WHEN 'T' THEN 'tornado.web.RequestHandler' WHEN 'Root' THEN 'views.root.Root' WHEN 'Leaf' THEN concat('views.leaf', k, '.Leaf', k) ELSE concat('views.mid', n, '.', a, CASE WHEN a <> 'Extra' THEN n::VARCHAR ELSE '' END) END, a <> 'T' FROM l
+        UNION ALL SELECT concat('views.leaf', s_suppkey, '.Plain', s_suppkey), 0, concat('views.leaf', s_suppkey, '.Plain', s_suppkey), true FROM supplier
+        UNION ALL VALUES ('views.root.Root', 0, 'views.root.Root', true), ('views.root.Root', 1, 'tornado.web.RequestHandler', false)""",
+    "py_base_entries": "SELECT concat('views.leaf', s_suppkey) AS module, concat('Leaf', s_suppkey, '.get') AS function, 'tornado.web.RequestHandler' AS base FROM supplier",
+    "py_base_flows": """SELECT concat('views.leaf', s_suppkey) AS module, concat('Leaf', s_suppkey, '.get') AS function, 'command-injection' AS rule, 'os.system' AS symbol FROM supplier WHERE s_suppkey % 6 IN (1, 2, 3, 5)
+        UNION ALL SELECT 'views.root', 'Root.run', 'command-injection', 'os.system' WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey % 6 = 0)""",
+    "py_intervals": """WITH n AS (SELECT concat('loops/mod', s_suppkey, '.py') AS path, (s_suppkey % 7)::DOUBLE AS x, (s_suppkey % 5 + 1)::DOUBLE AS y, s_suppkey % 3 AS s, (s_suppkey % 4 + 1)::DOUBLE AS m FROM supplier), inf AS (SELECT 'inf'::DOUBLE AS inf)
+        SELECT path, 'up' AS what, x AS low, CASE WHEN s = 0 THEN x ELSE inf END AS high FROM n, inf UNION ALL SELECT path, 'down', -inf, y FROM n, inf
+        UNION ALL SELECT path, 'both', CASE WHEN x < y THEN -inf ELSE x END, CASE WHEN x > y THEN inf ELSE x END FROM n, inf
+        UNION ALL SELECT path, 'Mod', 0, m FROM n UNION ALL SELECT path, 'FloorDiv', floor(x / 2), CASE WHEN s = 0 THEN floor(x / 2) ELSE inf END FROM n, inf""",
     "py_summaries": f"""WITH RECURSIVE {_HELPERS}, v(function, index, mask) AS (VALUES ('quoted', 0, {models.ALL - models.KINDS["command"]}), ('even', 1, {models.ALL}), ('odd', 1, {models.ALL}))
         SELECT module, function, index::BIGINT AS index, mask::BIGINT AS mask FROM k, v UNION ALL SELECT module, 'pick', k % 2, {models.ALL} FROM k UNION ALL SELECT module, 'below', 0, {models.ALL} FROM k JOIN back USING (k)""",
     "py_matched_flows": f"""WITH RECURSIVE {_HELPERS}, v(function, rule, symbol) AS (VALUES ('third', 'command-injection', 'os.system'), ('fifth', 'sql-injection', 'sqlite3.connect.execute'), ('eighth', 'command-injection', 'os.system'))

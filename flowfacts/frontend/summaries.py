@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from flowfacts.operators.tables import discard, written
 
 from . import models
+from .classes import shared_fields
 from .tables import of
 from .taint import key_of
 
@@ -119,14 +120,15 @@ def summary_table(facts: DataFrame, calls: DataFrame) -> DataFrame:
     return parts["parameters"].join(found.withColumnRenamed("into", "key"), "key").select("module", "function", "index", "mask")
 
 
-def matched_steps(facts: DataFrame, calls: DataFrame) -> DataFrame:
+def matched_steps(facts: DataFrame, calls: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(key, into, mask) over places, each of which is there twice: as it is, and with DOWN behind it for values that came by a
-    call from above. Those never go on to all callers."""
+    call from above. Those never go on to all callers. lines: the classes' ancestors, with which classes share fields."""
     parts = {k: written(v, k) for k, v in pieces(facts, calls).items()}
     _, inside = summaries(parts)
     low = F.lit(DOWN)
     inside = inside.unionByName(inside.select(F.concat("key", low).alias("key"), F.concat("into", low).alias("into"), "mask"))
-    fields = parts["fields"].select(F.explode(F.array("key", F.concat("key", low))).alias("key"), "into").withColumn("mask", _all())
+    held = parts["fields"] if lines is None else parts["fields"].unionByName(shared_fields(facts, lines))
+    fields = held.select(F.explode(F.array("key", F.concat("key", low))).alias("key"), "into").withColumn("mask", _all())
     down = parts["given"].select(F.explode(F.array("key", F.concat("key", low))).alias("key"), F.concat("into", low).alias("into")).withColumn("mask", _all())
     up = parts["returned"].join(parts["results"], ["module", "function"]).select("key", F.col("result").alias("into")).withColumn("mask", _all())
     return _union([inside, fields, down, up]).groupBy("key", "into").agg(F.bit_or("mask").alias("mask"))

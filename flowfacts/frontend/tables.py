@@ -21,6 +21,7 @@ _TYPES = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[x.split
 KINDS = {
     "file": "name status, text error, a lines, b functions, c functions analysed", "node": "a id, b parent, c ordinal, name kind, role field, text attribute",
     "scope": "a id, b parent, name, text kind", "binding": "a scope, name, text resolution", "import": "name, text symbol", "function": "a parameters, b blocks, name kind, text class",
+    "class": "name, text symbol", "base": "a position, name class symbol, text symbol as far as it is known",
     "parameter": "a index, name, role kind, text annotation", "decorator": "a index, text symbol", "block": "a id, b immediate dominator (itself: entry; null: not reached)",
     "edge": "a from, b to, role kind", "instruction": "a block, b place, c result, name operation, text", "operand": "a block, b place, c value, role, name",
     "constant": "a value, name type, text literal", "executable": "a from, b to", "range": "a value, name low, text high", "points": "a value, b object", "heap": "a object, role field, b object",
@@ -90,6 +91,10 @@ def file_facts(module: str, is_package: bool, text: str | None, sources: tuple[s
                 yield {"kind": "binding", "a": me, "name": n, "text": how}
     for name, symbol, line in m.imports:
         yield {"kind": "import", "name": name, "text": symbol, "line": line}
+    for name, line, bases in lower.classes(m):
+        yield {"kind": "class", "name": name, "text": f"{module}.{name}", "line": line}
+        for k, symbol in enumerate(bases):
+            yield {"kind": "base", "a": k, "name": f"{module}.{name}", "text": symbol, "line": line}
     for f in m.functions:
         order, idom = lower.ssa(f)
         own = {"function": f.name}

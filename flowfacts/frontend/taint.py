@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from flowfacts.operators.models import suffixes
 from flowfacts.operators.tables import discard, if_small, written
 
-from . import models
+from . import classes, models
 from .tables import of
 
 KEY = ("module", "function", "role", "a", "name")
@@ -26,26 +26,38 @@ def key_of(module: Column | str, function: Column | str, role: str | Column, a:
     return F.concat_ws("|", *text, role, a.cast("string"), name)
 
 
-def resolved(facts: DataFrame) -> DataFrame:
+def resolved(facts: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Calls (module, function, a: the call's value, symbol) with the project's function they name, if any: (to_module,
-    to_function, shift: how far positions move, as a method's first parameter is its object). A class stands for its __init__."""
+    to_function, shift: how far positions move, as a method's first parameter is its object). A class stands for its __init__.
+    lines: the classes' ancestors, by which a member that a class does not define means that of its first ancestor that does; the
+    symbol is then the ancestor's, and ``named`` the one before."""
     functions = of(facts, "function").where("name <> 'module' AND name <> 'class'").select(F.col("module").alias("to_module"), F.col("function").alias("to_function"), F.col("name").alias("how"))
     named = functions.withColumn("symbol", F.concat_ws(".", "to_module", "to_function"))
     made = functions.where(F.col("to_function").endswith(".__init__")).withColumn("symbol", F.concat_ws(".", "to_module", F.regexp_replace("to_function", r"\.__init__$", "")))
     targets = named.unionByName(made).withColumn("shift", F.when(F.col("how") == "method", 1).otherwise(0)).drop("how")
     targets = targets.groupBy("symbol").agg(F.min_by(F.struct("to_module", "to_function", "shift"), F.struct("to_module", "to_function")).alias("t")).select("symbol", "t.*")
-    calls = of(facts, "call").select("path", "module", "function", "a", F.col("text").alias("symbol"), F.col("name").alias("written"), "line", "col")
+    calls = of(facts, "call").select("path", "module", "function", "a", F.col("text").alias("symbol"), F.col("name").alias("written"), "line", "col").withColumn("named", F.col("symbol"))
+    if lines is not None:
+        calls = calls.join(classes.inherited(facts, lines), "symbol", "left").withColumn("symbol", F.coalesce("means", "symbol")).drop("means")
     return calls.join(targets, "symbol", "left")
 
 
-def seeds(facts: DataFrame) -> DataFrame:
-    """(key, source, bits): in-ports that hold untrusted values from the start, and what they come from."""
+def seeds(facts: DataFrame, calls: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """(key, source, bits): in-ports that hold untrusted values from the start, and what they come from: sources by symbol,
+    parameters of entry points by decorator or base class, attributes and inherited calls by base class."""
     spark = facts.sparkSession
     read = of(facts, "flow").where("role = 'source'").select(key_of("module", "function", F.col("role"), "a", "name").alias("key"), F.col("name").alias("source"))
     entries = models.entry_table(spark)
     handlers = of(facts, "decorator").join(F.broadcast(entries), F.col("text") == F.col("symbol")).select("module", "function", "text").distinct()
     given = of(facts, "parameter").where("role <> 'captured'").drop("text", "path").join(handlers, ["module", "function"]).select(key_of("module", "function", "param", "a", F.lit("")).alias("key"), F.concat_ws(" ", "text", "name").alias("source"))
-    return read.unionByName(given).distinct().withColumn("bits", F.lit(models.ALL).cast("long"))
+    found = read.unionByName(given)
+    if lines is not None:
+        entries = classes.entry_points(facts, lines)
+        parameters = of(facts, "parameter").where("role <> 'captured' AND a > 0").join(entries, ["module", "function"])
+        found = found.unionByName(parameters.select(key_of("module", "function", "param", "a", F.lit("")).alias("key"), F.concat_ws(" ", "base", "name").alias("source")))
+        found = found.unionByName(classes.attributes(facts, lines).select(key_of("module", "function", "field", "a", "name").alias("key"), "source"))
+        found = found.unionByName(classes.sources(calls).select(key_of("module", "function", "result", "a", F.lit("")).alias("key"), "source"))
+    return found.distinct().withColumn("bits", F.lit(models.ALL).cast("long"))
 
 
 def spread(start: DataFrame, along: DataFrame, fold: int = 8) -> DataFrame:
@@ -92,9 +104,10 @@ def flows(facts: DataFrame) -> DataFrame:
     spark = facts.sparkSession
     from .summaries import matched_steps, places
 
-    calls = written(resolved(facts), "calls")
-    along = written(matched_steps(facts, calls), "steps")
-    state = places(spread(seeds(facts), along))
+    lines = None if of(facts, "base").isEmpty() else classes.ancestors(facts)
+    calls = written(resolved(facts, lines), "calls")
+    along = written(matched_steps(facts, calls, lines), "steps")
+    state = places(spread(seeds(facts, calls, lines), along))
     sinks = models.sink_table(spark)
     ends = calls.where("to_function IS NULL AND symbol <> ''").withColumn("suffix", F.explode(suffixes(F.col("symbol")))).join(F.broadcast(sinks), "suffix")
     plain = calls.where("to_function IS NULL AND symbol = ''").withColumn("suffix", F.explode(suffixes(F.col("written")))).join(F.broadcast(sinks), "suffix")
