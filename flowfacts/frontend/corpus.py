@@ -163,6 +163,24 @@ def loop_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("loops/mod"), k, F.lit(".py")).alias("path"), text.alias("text"))
 
 
+#: Templates by s_suppkey: parts that include the part of half their number (the first the last, so there is a cycle), one in
+#: eleven with a value marked safe, and pages with a part in a block of one of three bases.
+PART = "<i title=\"{{ a }}\">{{ b{mark} }}</i>{% if c %}{% include 'part{next}.html' %}{% endif %}"
+PAGE = "{% extends 'base{base}.html' %}{% block main %}{% include 'part{k}.html' %}{% endblock %}{head}"
+BASES = ["<p>{% block main %}{% endblock %}</p>", "<script>{% block main %}{% endblock %}</script>", "{% block head %}{{ h|safe }}{% endblock %}<p>{% block main %}{% endblock %}</p>"]
+
+
+def template_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): a part and a page a supplier, and the bases."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("k").alias("last"))))  # one row
+    k = F.col("k")
+    part = _filled(PART, mark=F.when(k % 11 == 0, "|safe").otherwise(""), next=F.when(k == 1, F.col("last")).otherwise(F.expr("k DIV 2")))
+    page = _filled(PAGE, base=k % 3, k=k, head=F.when(k % 2 == 0, "{% block head %}{% endblock %}").otherwise(""))
+    made = [rows.select(F.concat(F.lit(f"shop/templates/{kind}"), k, F.lit(".html")).alias("path"), text.alias("text")) for kind, text in (("part", part), ("page", page))]
+    return made[0].unionByName(made[1]).unionByName(spark.createDataFrame([(f"shop/templates/base{n}.html", text) for n, text in enumerate(BASES)], "path string, text string"))
+
+
 #: A module by s_suppkey: helpers that give back one parameter or none, callers with untrusted and with written values, functions
 #: that call one another, and a chain over modules that ends at every tenth and closes to a cycle.
 HELPERS = """import os

@@ -180,6 +180,14 @@ def py_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals(made).join(shown, ["path", "function", "value"]).select("path", "what", "low", "high").distinct()
 
 
+@query
+def py_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which templates escape all they print, over blocks, bases and a cycle of includes."""
+    from .templates import verdicts
+
+    return verdicts(corpus.template_project(spark, sf_dir))
+
+
 @query
 def py_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constant beginnings of arguments, and what they fix of a URL."""
@@ -263,6 +271,10 @@ _HELPERS = """k AS (SELECT s_suppkey AS k, concat('helpers.mod', s_suppkey) AS m
   back AS (SELECT DISTINCT k FROM walk WHERE place % 10 = 0)"""
 _GUARDS = ", ".join(f"({k}, '{v}')" for k, (_, v) in enumerate(corpus.GUARDS) if v)
 ORACLES = {
+    "py_templates": """WITH RECURSIVE k AS (SELECT s_suppkey AS k FROM supplier), nexts AS (SELECT k, CASE WHEN k = 1 THEN (SELECT max(k) FROM k) ELSE k // 2 END AS n FROM k),
+        walk(k, n) AS (SELECT k, k FROM k UNION SELECT w.k, i.n FROM walk w JOIN nexts i ON i.k = w.n), part AS (SELECT k, NOT bool_or(n % 11 = 0) AS escapes FROM walk GROUP BY k)
+        SELECT concat('part', k, '.html') AS name, escapes FROM part UNION ALL SELECT concat('page', k, '.html'), escapes AND (k % 3 = 0 OR (k % 3 = 2 AND k % 2 = 0)) FROM part
+        UNION ALL VALUES ('base0.html', true), ('base1.html', true), ('base2.html', false)""",
     "py_class_ancestors": """WITH m AS (SELECT n_nationkey AS n, unnest([['Mid', 'Mid'], ['Mid', 'Root'], ['Mid', 'T'], ['Mix', 'Mix'], ['Mix', 'Mid'], ['Mix', 'Root'], ['Mix', 'T'], ['Mix', 'Extra'], ['Extra', 'Extra']]) AS c, unnest([0, 1, 2, 0, 1, 2, 3, 4, 0]) AS place FROM nation),
         l AS (SELECT s_suppkey AS k, s_suppkey % 25 AS n, unnest(['Leaf', 'Mix', 'Mid', 'Root', 'T', 'Extra']) AS a, unnest([0, 1, 2, 3, 4, 5]) AS place FROM supplier)
         SELECT concat('views.mid', n, '.', c[1], CASE WHEN c[1] <> 'Extra' THEN n::VARCHAR ELSE '' END) AS class, place, CASE c[2] WHEN 'T' THEN 'tornado.web.RequestHandler' WHEN 'Root' THEN 'views.root.Root' ELSE concat('views.mid', n, '.', c[2], CASE WHEN c[2] <> 'Extra' THEN n::VARCHAR ELSE '' END) END AS ancestor, c[2] <> 'T' AS own FROM m

@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 
 from .tables import discard, written
 
-JOINS = {"min": F.min, "max": F.max, "bit_or": F.bit_or}
+def each_bit_or(column: str) -> Column:
+    """The union of bits place by place, over arrays of one length."""
+    every = F.collect_list(column)
+    return F.aggregate(F.slice(every, 2, F.size(every)), F.get(every, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
+
+
+JOINS = {"min": F.min, "max": F.max, "bit_or": F.bit_or, "each_bit_or": each_bit_or}
 #: Rounds whose tables of changes are kept before they are folded into one.
 FOLD = 8
 
@@ -32,7 +38,7 @@ def solve(seeds: DataFrame, equations: DataFrame, operands: DataFrame, evaluate:
     equations: key, equation, variable and what evaluate reads; operands: key, equation, place, operand (a variable; places from
     0). evaluate: state column -> expression over the equation's columns and ``states``, a map from place to a struct of state
     columns, in which unreached operands are missing; a null in every column is no contribution. join: state column -> 'min',
-    'max' or 'bit_or'. widen: (old, new, column) -> value, applied to what changed from round widen_from on; monotone steps
+    'max', 'bit_or' or 'each_bit_or' (arrays). widen: (old, new, column) -> value, applied to what changed from round widen_from on; monotone steps
     without infinite chains need none. ValueError if there is no end after ``rounds`` rounds.
     """
     columns = [*key, variable, *join]
@@ -53,7 +59,11 @@ def solve(seeds: DataFrame, equations: DataFrame, operands: DataFrame, evaluate:
         after = {}
         for c, how in join.items():
             now, before = F.col(c), F.col(f"_{c}")
-            value = now.bitwiseOR(F.coalesce(before, now)) if how == "bit_or" else F.least(now, before) if how == "min" else F.greatest(now, before)
+            value = {"min": F.least(now, before), "max": F.greatest(now, before)}.get(how)
+            if how == "bit_or":
+                value = now.bitwiseOR(F.coalesce(before, now))
+            elif how == "each_bit_or":
+                value = F.when(before.isNull(), now).otherwise(F.zip_with(now, before, lambda x, y: x.bitwiseOR(y)))
             after[c] = F.when(before.isNotNull() & (value != before), widen(before, value, c)).otherwise(value) if widen and round_ >= widen_from else value
         grown = both.select(*key, variable, *[e.alias(c) for c, e in after.items()], *[f"_{c}" for c in join])
         grown = grown.where(reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in join])).select(columns)
