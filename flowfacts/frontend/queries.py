@@ -238,6 +238,22 @@ def module_key_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return module_keys(own, projected.module_edges(spark, sf_dir))
 
 
+@query
+def stale_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules whose component keys change when some are edited: those that reach an edited one by imports."""
+    from flowfacts.plans.store import component_keys
+    from flowfacts.sources import facts as projected
+
+    # both states of the project side by side, so that one run gives the keys of both: even numbers before, odd ones after
+    part, edges = spark.read.parquet(f"{sf_dir}/part.parquet"), projected.module_edges(spark, sf_dir)
+    both = part.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("after"))
+    name = F.when((F.col("p_size") == 7) & (F.col("after") == 1), "new").otherwise(F.col("p_name"))
+    own = both.select((F.col("p_partkey") * 2 + F.col("after")).alias("module"), F.sha2(F.concat_ws("/", F.col("p_partkey").cast("string"), name), 256).alias("own"))
+    twice = edges.select(F.explode(F.array(*[F.struct((F.col("src") * 2 + k).alias("src"), (F.col("dst") * 2 + k).alias("dst")) for k in (0, 1)])).alias("e")).select("e.*")
+    keys = component_keys(own, twice, named=False).select(F.expr("module DIV 2").alias("module"), F.expr("component DIV 2").alias("component"), "key", (F.col("module") % 2).alias("after"))
+    return keys.where("after = 1").join(keys.where("after = 0").select("module", "key"), ["module", "key"], "left_anti").select("module", "component")
+
+
 @query
 def py_plugins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bundled plugins over the web project, with suppressions, test code and a baseline that absorbs one finding in two."""
@@ -271,6 +287,13 @@ _HELPERS = """k AS (SELECT s_suppkey AS k, concat('helpers.mod', s_suppkey) AS m
   back AS (SELECT DISTINCT k FROM walk WHERE place % 10 = 0)"""
 _GUARDS = ", ".join(f"({k}, '{v}')" for k, (_, v) in enumerate(corpus.GUARDS) if v)
 ORACLES = {
+    "stale_modules": """WITH RECURSIVE edges AS (SELECT DISTINCT src, dst FROM (
+          SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_size > 45
+          UNION ALL SELECT p_partkey // 2, p_partkey FROM part WHERE p_size = 50) WHERE src <> dst AND dst IN (SELECT p_partkey FROM part) AND src IN (SELECT p_partkey FROM part)),
+        paths(src, dst) AS (SELECT src, dst FROM edges UNION SELECT p.src, e.dst FROM paths p JOIN edges e ON p.dst = e.src),
+        mutual AS (SELECT a.src AS module, min(least(a.dst, a.src)) AS component FROM paths a JOIN paths b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+        stale AS (SELECT p_partkey AS module FROM part WHERE p_size = 7 UNION SELECT src FROM paths JOIN part ON dst = p_partkey WHERE p_size = 7)
+        SELECT module, coalesce(component, module) AS component FROM stale LEFT JOIN mutual USING (module)""",
     "py_templates": """WITH RECURSIVE k AS (SELECT s_suppkey AS k FROM supplier), nexts AS (SELECT k, CASE WHEN k = 1 THEN (SELECT max(k) FROM k) ELSE k // 2 END AS n FROM k),
         walk(k, n) AS (SELECT k, k FROM k UNION SELECT w.k, i.n FROM walk w JOIN nexts i ON i.k = w.n), part AS (SELECT k, NOT bool_or(n % 11 = 0) AS escapes FROM walk GROUP BY k)
         SELECT concat('part', k, '.html') AS name, escapes FROM part UNION ALL SELECT concat('page', k, '.html'), escapes AND (k % 3 = 0 OR (k % 3 = 2 AND k % 2 = 0)) FROM part

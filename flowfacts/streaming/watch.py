@@ -1,53 +1,26 @@
-"""Incremental checks: files that appear under a folder are read as a stream; a batch re-analyses the modules whose content keys
-are not stored yet, the edited ones and those that import them, and appends their facts."""
+"""Incremental checks: files that appear or change below a folder begin a batch; a batch brings the store up to the project, and
+parses only what has a content the store does not know."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flowfacts.frontend import models as library
-from flowfacts.frontend.tables import facts as facts_of
-from flowfacts.frontend.tables import named
-from flowfacts.plans.project import changed_modules, module_graph, module_keys
+from flowfacts.plans.store import Store
 from flowfacts.sources.dependencies import read_files
-
-FILE = "path string, modificationTime timestamp, length long, content binary"
-
-
-def source_stream(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modificationTime, text) of Python files below root as they come; a file written anew comes again. Files whose names
-    begin with an underscore don't begin a batch, but are read with every one."""
-    files = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
-    return files.select("path", "modificationTime", F.decode("content", "UTF-8").alias("text"))
+from flowfacts.sources.project_files import project_stream
 
 
 def update(files: DataFrame, store: str) -> DataFrame:
-    """Modules analysed anew: all files of a project (path, text) against the keys in the folder ``store``, where facts and keys
-    are then appended. A row of facts is current if its module's key is."""
-    spark = files.sparkSession
-    facts = facts_of(files, library.prefixes(), nodes=False)
-    own = named(files).select("module", F.sha2("text", 256).alias("own"))
-    keys = module_keys(own, module_graph(facts).where("dst IS NOT NULL").select("src", "dst").distinct())
-    try:
-        stored = spark.read.parquet(f"{store}/keys").select("module", "key")
-    except Exception as error:  # nothing was stored yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = spark.createDataFrame([], "module string, key string")
-    new = keys.join(changed_modules(keys, stored), "module")
-    modules = [r.module for r in new.select("module").limit(10_000).collect()]
-    facts.join(new, "module").write.mode("append").parquet(f"{store}/facts")
-    new.write.mode("append").parquet(f"{store}/keys")
-    return spark.createDataFrame([(m,) for m in sorted(modules)], "module string")
+    """(module) of the modules of files (path, text) to analyse again, after the store in a folder was brought up to them."""
+    return Store(files.sparkSession, store).update(files)
 
 
 def watch(spark: SparkSession, root: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Start a query that updates the store whenever files below root change; each batch reads the project as it is then."""
+    """Start a query that updates the store whenever files below root are new or edited; each batch reads the project as it is then."""
 
     def batch(changed: DataFrame, number: int) -> None:
         if not changed.isEmpty():
             update(read_files(spark, root, "*.py"), store)
 
-    return source_stream(spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return project_stream(spark, root, "*.py").select("path", "changed").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,6 +3,7 @@
 import ast
 import hashlib
 import hmac
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from flowfacts import plugins
 from flowfacts.frontend import lower, tables, taint
 from flowfacts.plans import project
+from flowfacts.plans.store import Store, component_keys
 from flowfacts.sources import baselines, comments, policy
 from flowfacts.sources.dependencies import read_files
+from flowfacts.sources.project_files import project_files
 from flowfacts.streaming import watch
 
 HELP = "import os\n\ndef run(cmd, times=1):\n    for i in range(times):\n        os.system(cmd)\n    return cmd\n"
@@ -202,14 +205,59 @@ def test_only_changed_modules_and_their_importers_are_analysed_again(spark, tmp_
 
     def update():
         read = read_files(spark, str(root), "*.py").select(F.regexp_replace("path", "^.*/src/", "").alias("path"), "text")
-        return [r.module for r in watch.update(read, store).collect()]
+        return sorted(r.module for r in watch.update(read, store).collect())
 
     assert update() == ["app", "app.clean", "app.helpers", "app.main"] and update() == []
     (root / "clean.py").write_text(CLEAN + "# more\n")
     assert update() == ["app.clean", "app.main"]
-    query = watch.watch(spark, str(tmp_path / "src"), str(tmp_path / "store2"), str(tmp_path / "check"))
-    query.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "store2") + "/keys").count() == 4
+    made = spark.read.parquet(store + "/facts")
+    assert {r.path for r in made.where("v = 3").select("path").distinct().collect()} == {"app/clean.py"}  # nothing else was parsed
+    kept = Store(spark, store)
+    now = sorted(map(str, kept.facts().where("kind = 'call'").drop("kind").collect()))
+    want = tables.of(tables.facts(read_files(spark, str(root), "*.py").select(F.regexp_replace("path", "^.*/src/", "").alias("path"), "text"), kept.sources, nodes=False), "call")
+    assert now == sorted(map(str, want.collect()))
+    kept.compact()
+    assert sorted(map(str, kept.facts().where("kind = 'call'").drop("kind").collect())) == now and update() == []
+    (root / "helpers.py").unlink()
+    assert "app.helpers" not in update() and kept.keys().count() == 3
+
+
+def test_a_watched_edit_begins_a_batch(spark, tmp_path):
+    root, store = tmp_path / "src" / "app", str(tmp_path / "store")
+    root.mkdir(parents=True)
+    for name, text in FILES[:4]:
+        (tmp_path / "src" / name).write_text(text)
+
+    def batches():
+        time.sleep(1.2)  # files settle
+        query = watch.watch(spark, str(tmp_path / "src"), store, str(tmp_path / "check"))
+        query.awaitTermination(120)
+        return sum(p["numInputRows"] for p in query.recentProgress)
+
+    assert batches() and {r.module for r in Store(spark, store).keys().collect()} == {"app", "app.clean", "app.helpers", "app.main"}
+    before = {r.module: r.key for r in Store(spark, store).keys().collect()}
+    (root / "clean.py").write_text(CLEAN + "# more\n")
+    assert batches()
+    after = {r.module: r.key for r in Store(spark, store).keys().collect()}
+    assert {m for m in after if after[m] != before[m]} == {"app.clean", "app.main"}
+    assert {r.path.rsplit("/", 1)[1] for r in spark.read.parquet(store + "/facts").where("v = 2").select("path").distinct().collect()} == {"clean.py"}
+    assert not batches()
+    files = project_files(spark, str(tmp_path / "src"), "__init__.py").collect()
+    assert [(r.path.rsplit("/", 1)[1], bytes(r.content)) for r in files] == [("__init__.py", dict(FILES)["app/__init__.py"].encode())]
+
+
+def test_component_keys(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("e", "d"), ("f", "f"), ("g", "x")], "src string, dst string")
+
+    def keys(**edited):
+        own = spark.createDataFrame([(m, edited.get(m, m)) for m in "abcdefg"], "module string, own string")
+        return {r.module: (r.component, r.key) for r in component_keys(own, edges).collect()}
+
+    first = keys()
+    assert {m: c for m, (c, _) in first.items()} == {"a": "a", "b": "b", "c": "b", "d": "d", "e": "e", "f": "f", "g": "g"} and first["b"] == first["c"]
+    for edited, stale in (("d", "abcde"), ("c", "abc"), ("a", "a"), ("f", "f"), ("e", "e")):
+        second = keys(**{edited: "new"})
+        assert "".join(m for m in sorted(first) if first[m] != second[m]) == stale
 
 
 def test_names_and_resolution(spark):
