@@ -55,7 +55,8 @@ def _plain(text: str) -> bool:
         return False
     for end in (". ", ", ", ".\n", ",\n"):
         for part in text.split(end)[:-1]:
-            if part and not (part[-1].isalnum() or part[-1].isspace()):
+            # Python takes U+001C to U+001F for white space, the tokenizer does not
+            if part and not (part[-1].isalnum() or part[-1].isspace() and not "\x1c" <= part[-1] <= "\x1f"):
                 return False
     return True
 
@@ -156,22 +157,6 @@ class SumOfSquares:
         return window, level
 
 
-    def fit(self, length: int) -> tuple[int, int]:
-        """(window, offset) for a piece of 1..size ids in the fullest window that takes it."""
-        levels = np.flatnonzero(self.count[1 : self.size - length + 1])
-        level = int(levels[-1]) + 1 if len(levels) else 0
-        if level:
-            window = self.open[level].pop()
-            self.count[level] -= 1
-        else:
-            window = self.made
-            self.made += 1
-        if level + length < self.size:
-            self.count[level + length] += 1
-            self.open[level + length].append(window)
-        return window, level
-
-
 _ENCODERS: dict[str, WordIds] = {}
 
 
@@ -232,7 +217,7 @@ def repack_open(pieces: DataFrame, window: int) -> tuple[DataFrame, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, base = SumOfSquares(window), (1 << 62) + (TaskContext.get().partitionId() << 32)
         for batch in batches:
-            places = [packer.fit(n) for n in batch.column(2).to_pylist()]
+            places = [packer.add(n) for n in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([base + w for w, _ in places], pa.int64()), pa.array([x for _, x in places], pa.int64())], names=["sequence_id", "offset", "to", "at"])
 
     dealt = loose.repartition(max(1, -(-rows // LOOSE)), "sequence_id", "offset").sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
