@@ -8,12 +8,14 @@ character that no piece covers stands alone and becomes its UTF-8 bytes. The sea
 only, since no piece reaches further back, and hands out ids as soon as the paths of all positions meet in one boundary.
 
 Where the model's pieces show that no piece reaches from letters to other characters or before the space mark that follows
-them, equal runs between such points have equal ids, so a worker remembers the ids of short ones, merged directly.
+them, all paths meet in the boundaries between such runs, whatever stands around them. So the search commits there, and a worker
+remembers what it committed for a short run; ids of every run come from the search.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +28,7 @@ SPACE = "▁"
 #: Stands for a space mark that was in the text itself: it is written as bytes, so that decoding gives it back.
 LITERAL = "▁"
 REMEMBERED = 500_000
+#: Runs of up to so many characters are remembered.
 LONG_RUN = 64
 LETTER = re.compile(r"[^\W\d_¹²³]")
 RUN = re.compile(r" *(?:[^\W\d_¹²³]+|(?:[\d_¹²³]|[^\w ])+)| +")
@@ -123,7 +126,7 @@ class Stream:
         """Ids that became certain with these characters."""
         out: list[int] = []
         pending = self.pending + text if self.pending else text
-        prefix, longest, fits = self.pieces.prefix, self.pieces.longest, self.pieces.fits
+        prefix, longest, fits, known = self.pieces.prefix.get, self.pieces.longest, self.pieces.fits, self.pieces.pairs.get
         at, back, names = self.at, self.back, self.last
         i, n = 0, len(pending)
         stop = n if last else n - longest
@@ -132,7 +135,7 @@ class Stream:
             end = i + longest if i + longest < n else n
             for j in range(i + 1, end + 1):
                 part = pending[i:j]
-                got = prefix.get(part, 0)
+                got = prefix(part, 0)
                 if got == 0 and j > i + 1:
                     break
                 if got or j == i + 1:
@@ -140,8 +143,10 @@ class Stream:
                     while len(names) <= p:
                         back.append(0)
                         names.append(None)
-                    if names[p] is None and fits(before, part):
-                        back[p], names[p] = at, part
+                    if names[p] is None:
+                        fit = known((before, part))
+                        if fits(before, part) if fit is None else fit:
+                            back[p], names[p] = at, part
                 if got == 0:
                     break
             i += 1
@@ -193,7 +198,9 @@ class Codec:
         self.memory: dict[str, bytes] = {}
 
     def run(self, text: str) -> bytes:
-        return np.array(Stream(self.pieces).push(text, True), "<u4").tobytes()
+        """Ids of a run, by the search."""
+        ids = Stream(self.pieces).push(text, True)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -210,10 +217,9 @@ class Codec:
         for word in RUN.findall(" " + text):
             got = memory.get(word)
             if got is None:
+                got = self.run(word)
                 if len(word) <= LONG_RUN:
-                    got = memory[word] = np.array([x for part in self.pieces.merged(word) for x in self.pieces.ids(part)], "<u4").tobytes()
-                else:
-                    got = self.run(word)
+                    memory[word] = got
             out.append(got)
         return b"".join(out)
 

@@ -18,7 +18,7 @@ from flowfacts.llm.jaccard_join import SLOTS, Scheme, jaccard_components, keep_o
 from flowfacts.llm.line_dedup import ORACLE, chunk_starts, dedup_lines, hashed_lines, lines_of
 from flowfacts.llm.packing import SumOfSquares, WordIds, pack
 from flowfacts.llm.pii import all_spans, base_spans, decode, default_model, find_personal_data, labelled_table, redact, redact_documents
-from flowfacts.llm.sentencepiece_viterbi import Pieces, Stream, decode_documents, encode_documents
+from flowfacts.llm.sentencepiece_viterbi import RUN, Codec, Pieces, Stream, decode_documents, encode_documents
 from flowfacts.llm.sharding import place, shard
 from flowfacts.llm.toxicity import Scorer, fit, score, train
 from tests.compare import differences
@@ -375,6 +375,41 @@ def test_op7_stream_in_portions_gives_the_library_ids():
             assert out == library.encode(text)
 
 
+def test_op7_every_run_goes_through_the_search_in_a_bounded_window(monkeypatch):
+    import public_tokenizers
+
+    seen, widest = [], 0
+    codec = Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    push = Stream.push
+
+    def counted(self, text, last=False):
+        nonlocal widest
+        seen.append(text)
+        out = push(self, text, last)
+        widest = max(widest, len(self.last), len(self.pending))
+        return out
+
+    monkeypatch.setattr(Stream, "push", counted)
+    text = "one two, three 44 and "
+    codec.encode(text * 50)
+    assert set(seen) == set(RUN.findall(" " + text * 50))
+    stream, words = Stream(codec.pieces), [f"word{k}ing" for k in range(20_000)]
+    got = [x for word in words for x in stream.push(" " + word)] + stream.push("", True)
+    assert widest < 2000 and len(got) > 40_000
+
+
+def test_op8_ids_on_odd_characters():
+    import random
+
+    import public_tokenizers
+
+    words, rng = WordIds(public_tokenizers.path("word_bpe_49k.json")), random.Random(0)
+    alphabet = [chr(c) for c in range(256)] + [" ", ",", ".", "\n", "\t", "a", "B", "1"] * 40
+    texts = ["\x1c, ", "a\x1f. b"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    for text, got in zip(texts, words.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_op8_pieces_cover_the_library_ids(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
