@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Stands for a space mark that was in the text itself: it is written as bytes, so that decoding gives it back.
 LITERAL = "▁"
-REMEMBERED = 500_000
+#: Runs, and pairs of pieces, that a worker remembers; about 200 bytes each.
+REMEMBERED = 1_500_000
 #: Runs of up to so many characters are remembered.
 LONG_RUN = 64
 LETTER = re.compile(r"[^\W\d_¹²³]")
 RUN = re.compile(r" *(?:[^\W\d_¹²³]+|(?:[\d_¹²³]|[^\w ])+)| +")
 _NONE = float("-inf")
+_MISS = ()
 
 
 class Pieces:
@@ -119,7 +121,7 @@ class Stream:
         self._reset("")
 
     def _reset(self, last: str) -> None:
-        self.at, self.back, self.last = 0, [0], [last]
+        self.at, self.far, self.back, self.last = 0, 0, [0], [last]
         self.check = 4 * self.pieces.longest
 
     def push(self, text: str, last: bool = False) -> list[int]:
@@ -127,49 +129,51 @@ class Stream:
         out: list[int] = []
         pending = self.pending + text if self.pending else text
         prefix, longest, fits, known = self.pieces.prefix.get, self.pieces.longest, self.pieces.fits, self.pieces.pairs.get
-        at, back, names = self.at, self.back, self.last
+        at, far, back, names = self.at, self.far, self.back, self.last
         i, n = 0, len(pending)
         stop = n if last else n - longest
         while i < stop:
-            before, shift = names[at], at - i
+            before, p = names[at], at
             end = i + longest if i + longest < n else n
+            room = at + end - i + 1 - len(names)
+            if room > 0:
+                names += [None] * room
+                back += [0] * room
             for j in range(i + 1, end + 1):
+                p += 1
                 part = pending[i:j]
-                got = prefix(part, 0)
-                if got == 0 and j > i + 1:
+                got = prefix(part, _MISS)
+                if got is _MISS and p > at + 1:
                     break
-                if got or j == i + 1:
-                    p = j + shift
-                    while len(names) <= p:
-                        back.append(0)
-                        names.append(None)
-                    if names[p] is None:
-                        fit = known((before, part))
-                        if fits(before, part) if fit is None else fit:
-                            back[p], names[p] = at, part
-                if got == 0:
+                if names[p] is None and (got or p == at + 1):
+                    fit = known((before, part))
+                    if fits(before, part) if fit is None else fit:
+                        back[p], names[p] = at, part
+                        if p > far:
+                            far = p
+                if got is _MISS:
                     break
             i += 1
             at += 1
-            while names[-1] is None:
-                back.pop()
-                names.pop()
-            if len(names) == at + 1:
-                out += self._path(at)
+            if far == at:
+                if back[at] == 0:  # one piece reaches from the last certain boundary to this one
+                    out += self.pieces.ids(names[at])
+                else:
+                    out += self._path(at)
                 self._reset(names[at])
-                at, back, names = 0, self.back, self.last
+                at, far, back, names = 0, 0, self.back, self.last
             elif at >= self.check:
                 done = self._meeting(at)
                 if done:
                     out += self._path(done)
                     self.last = names[done:]
                     self.back = [max(0, p - done) for p in back[done:]]
-                    at -= done
+                    at, far = at - done, far - done
                     back, names = self.back, self.last
                     self.check = at + 4 * longest
                 else:
                     self.check = 2 * at
-        self.pending, self.at = pending[i:], at
+        self.pending, self.at, self.far = pending[i:], at, far
         return out
 
     def _path(self, to: int) -> list[int]:
