@@ -163,6 +163,69 @@ def loop_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("loops/mod"), k, F.lit(".py")).alias("path"), text.alias("text"))
 
 
+#: A web module by s_suppkey: three handlers that call a helper, each open, decorated, or behind a test, by the row's number.
+HANDLERS = """import os
+from flask import Flask, request
+from flask_login import login_required, current_user
+app = Flask(__name__)
+
+def deep(cmd):
+    os.system(cmd)
+
+def helper(cmd):
+    deep(cmd)
+
+@app.route('/a')
+{first}
+def one():
+    helper(request.args['a'])
+
+@app.route('/b')
+def two():
+    if {second}:
+        return 'no'
+    helper(request.args['b'])
+
+@app.route('/c')
+def three():
+    if current_user.is_authenticated and request.args:
+        os.system(request.args['c'])
+    {third}
+"""
+
+
+def handler_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): one module a supplier."""
+    k = F.col("s_suppkey")
+    text = _filled(HANDLERS, first=F.when(k % 2 == 0, "@login_required").otherwise("# open"), second=F.when(k % 3 == 0, "not current_user.is_authenticated").otherwise("request.method == 'HEAD'"),
+                   third=F.when(k % 5 == 0, "os.system(request.args['d'])").otherwise("return 'done'"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("web/mod"), k, F.lit(".py")).alias("path"), text.alias("text"))
+
+
+#: Calls of a library by s_suppkey % their number, each with what its advisory's conditions become: texts that are met and pending,
+#: the contradicted one, and what was passed instead.
+CALLS = [
+    ("parse(text, mode=vulnlib.UNSAFE)", ["mode"], ["tag"], None, None), ("parse(text, vulnlib.UNSAFE)", ["mode"], ["tag"], None, None), ("parse(text)", ["mode"], ["tag"], None, None),
+    ("parse(text, mode=vulnlib.SAFE)", [], [], "mode", "vulnlib.SAFE"), ("parse(text, mode=None)", [], [], "mode", "None"), ("parse(text, mode=choice)", [], ["mode", "tag"], None, None),
+    ("parse(text, **options)", [], ["mode", "tag"], None, None), ("parse(*rest)", [], ["mode", "tag"], None, None), ("serve(path, follow=True)", ["follow"], [], None, None), ("serve(path, follow=False)", [], [], "follow", "False"),
+    ("serve(path)", [], [], "follow", None), ("fetch('http://host/' + path, allow_redirects=False)", [], [], "host", "'http://host'"), ("fetch('http://host/' + path)", [], ["the host is fixed by 'http://host', but a redirect may lead elsewhere"], None, None),
+    ("fetch(path)", [], ["host"], None, None), ("send(a=1, b=2)", [], [], "keys", "a, b"), ("send(**options)", [], ["keys"], None, None), ("sign(path)", [], [], "key", None), ("sign(path, key=choice)", ["key"], [], None, None),
+]
+CALLER = "import vulnlib\n\ndef run(text, path, choice, options, rest):\n    return vulnlib.{call}\n"
+#: symbol: conditions (kind, text, argument, position, values, default, present, method).
+CONDITIONS = {
+    "vulnlib.parse": [("argument", "mode", "mode", 1, ["vulnlib.UNSAFE"], True, False, None), ("semantic", "tag", None, None, None, None, None, None)], "vulnlib.serve": [("argument", "follow", "follow", None, ["True"], False, False, None)],
+    "vulnlib.fetch": [("host", "host", "url", 0, None, None, None, None)], "vulnlib.send": [("keyword_name", "keys", None, None, None, None, None, None)], "sign": [("argument", "key", "key", None, None, None, True, None)],
+}
+
+
+def caller_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): one module a supplier with one call."""
+    k = F.col("s_suppkey")
+    call = F.element_at(F.array(*[F.lit(c[0]) for c in CALLS]), (k % len(CALLS)).cast("int") + 1)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("calls/mod"), k, F.lit(".py")).alias("path"), _filled(CALLER, call=call).alias("text"))
+
+
 #: Templates by s_suppkey: parts that include the part of half their number (the first the last, so there is a cycle), one in
 #: eleven with a value marked safe, and pages with a part in a block of one of three bases.
 PART = "<i title=\"{{ a }}\">{{ b{mark} }}</i>{% if c %}{% include 'part{next}.html' %}{% endif %}"

@@ -27,6 +27,13 @@ ENTRY_POINTS = {
     "bottle": ("bottle.route", "bottle.get", "bottle.post"),
     "click/typer": ("click.command", "typer.Typer.command", "click.Group.command"),
 }
+#: Decorators whose functions run only for those who may, by library.
+AUTHORIZING = {
+    "django": ("django.contrib.auth.decorators.login_required", "django.contrib.auth.decorators.permission_required", "django.contrib.auth.decorators.user_passes_test", "django.contrib.admin.views.decorators.staff_member_required"),
+    "flask": ("flask_login.login_required", "flask_login.fresh_login_required", "flask_jwt_extended.jwt_required", "flask_security.auth_required", "flask_security.roles_required"),
+    "rest_framework": ("rest_framework.decorators.permission_classes",),
+    "tornado": ("tornado.web.authenticated",),
+}
 _HTTP = ("get", "post", "put", "patch", "delete", "head", "options")
 #: Base classes whose methods a library calls, by library: (base, methods, attributes that hold what comes from outside, whether
 #: the methods' parameters do, too). Fixed values.
@@ -102,3 +109,7 @@ def base_table(spark: SparkSession) -> DataFrame:
 
 def source_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s,) for s in prefixes()], "prefix string")
+
+
+def authorizing_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s,) for group in AUTHORIZING.values() for s in group], "symbol string")

@@ -74,6 +74,35 @@ def proven(made: dict[int, Instr], symbols: dict[int, str], test: int, truth: bo
     return set()
 
 
+#: Attributes and methods whose truth means that the caller may do what follows; fixed names of web frameworks.
+ALLOWING = frozenset("is_authenticated is_staff is_superuser is_admin has_perm has_perms has_module_perms has_permission has_role can".split())
+
+
+def allows(made: dict[int, Instr], test: int, truth: bool) -> str:
+    """The name by which a test of a known truth tells that someone may do what follows; '' if it doesn't."""
+    i = made.get(test)
+    if i is None:
+        return ""
+    args = [v for _, _, _, v in i.args]
+    if i.op == "unary" and i.text == "Not":
+        return allows(made, args[0], not truth)
+    if i.op == "bool_op" and truth == (i.text == "And"):
+        return next((name for v in args if (name := allows(made, v, truth))), "")
+    if i.op == "call" and truth and args:
+        return allows(made, args[0], truth)
+    return i.text if i.op == "get_attr" and truth and i.text in ALLOWING else ""
+
+
+def allowed_calls(f: Function, order: list[int], idom: list[int | None]) -> list[tuple[int, str]]:
+    """(call, name) of the calls that are made only after a test that someone may."""
+    if not any(i.op == "branch" for b in order for i in f.blocks[b].instrs):
+        return []
+    made = {i.result: i for b in order for i in f.blocks[b].instrs if i.result is not None}
+    above = guards(f, order, idom)
+    found = {b: next((name for t, truth in tests if (name := allows(made, t, truth))), "") for b, tests in above.items()}
+    return [(i.result, found[b]) for b in order if found.get(b) for i in f.blocks[b].instrs if i.op == "call"]
+
+
 def flows(f: Function, order: list[int], idom: list[int | None], symbols: dict[int, str], sources: tuple[str, ...]) -> list[tuple[str, int, str, str, int, int, str, bool]]:
     """(in kind, in number, in name, out kind, out call, out position, out name, guarded) of a function in SSA form.
 

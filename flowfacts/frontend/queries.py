@@ -180,6 +180,23 @@ def py_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals(made).join(shown, ["path", "function", "value"]).select("path", "what", "low", "high").distinct()
 
 
+@query
+def py_authorized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on flows in helpers that are called behind a decorator, behind a test, or openly: a hotspot only if no way is open."""
+    found = taint.flows(facts(corpus.handler_project(spark, sf_dir), models.prefixes(), nodes=False))
+    return found.select("path", "function", F.col("line").cast("long").alias("line"), "verdict")
+
+
+@query
+def py_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each call tells of its advisory's conditions: met, pending, the first contradicted, and what was passed."""
+    from flowfacts.plans.conditions import CONDITION, calls_of, correlated
+
+    entries = spark.createDataFrame([(f"ADV-{n}", symbol, conditions) for n, (symbol, conditions) in enumerate(corpus.CONDITIONS.items())], f"advisory string, symbol string, conditions array<{CONDITION}>")
+    found = correlated(calls_of(facts(corpus.caller_project(spark, sf_dir), (), nodes=False)), entries)
+    return found.select("path", "advisory", "entry", F.array_join("met", "; ").alias("met"), F.array_join("pending", "; ").alias("pending"), "contradicted", "shown")
+
+
 @query
 def py_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which templates escape all they print, over blocks, bases and a cycle of includes."""
@@ -285,8 +302,18 @@ _HELPERS = """k AS (SELECT s_suppkey AS k, concat('helpers.mod', s_suppkey) AS m
   nexts AS (SELECT k, coalesce(lead(k) OVER (ORDER BY k), (SELECT min(k) FROM k)) AS n FROM k),
   walk(k, calls, place) AS (SELECT k, [k], k FROM nexts UNION ALL SELECT w.k, list_append(calls, n), n FROM walk w JOIN nexts x ON x.k = w.place WHERE w.place % 10 <> 0 AND NOT list_contains(calls, n)),
   back AS (SELECT DISTINCT k FROM walk WHERE place % 10 = 0)"""
+def _text(value: str | None) -> str:
+    return "NULL::VARCHAR" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+_CALLS = ", ".join(f"({n}, 'ADV-{list(corpus.CONDITIONS).index(e)}', '{e}', {_text('; '.join(met))}, {_text('; '.join(pending))}, {_text(against)}, {_text(shown)})"
+                   for n, (call, met, pending, against, shown) in enumerate(corpus.CALLS) for e in corpus.CONDITIONS if e.split(".")[-1] == call.split("(")[0])
 _GUARDS = ", ".join(f"({k}, '{v}')" for k, (_, v) in enumerate(corpus.GUARDS) if v)
 ORACLES = {
+    "py_conditions": f"WITH v(n, advisory, entry, met, pending, contradicted, shown) AS (VALUES {_CALLS}) SELECT concat('calls/mod', s_suppkey, '.py') AS path, advisory, entry, met, pending, contradicted, shown FROM supplier JOIN v ON n = s_suppkey % {len(corpus.CALLS)}",
+    "py_authorized": """SELECT concat('web/mod', s_suppkey, '.py') AS path, 'deep' AS function, 7::BIGINT AS line, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN 'hotspot' ELSE 'vulnerability' END AS verdict FROM supplier
+        UNION ALL SELECT concat('web/mod', s_suppkey, '.py'), 'three', 26, 'hotspot' FROM supplier
+        UNION ALL SELECT concat('web/mod', s_suppkey, '.py'), 'three', 27, 'vulnerability' FROM supplier WHERE s_suppkey % 5 = 0""",
     "stale_modules": """WITH RECURSIVE edges AS (SELECT DISTINCT src, dst FROM (
           SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_size > 45
           UNION ALL SELECT p_partkey // 2, p_partkey FROM part WHERE p_size = 50) WHERE src <> dst AND dst IN (SELECT p_partkey FROM part) AND src IN (SELECT p_partkey FROM part)),

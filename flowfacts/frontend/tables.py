@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowfacts.operators.tables import written
 
 from . import lower
-from .ports import flows
+from .ports import allowed_calls, flows
 
 SCHEMA = "path string, module string, function string, a long, b long, c long, name string, text string, role string, more string, line int, col int, kind string"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -26,6 +26,7 @@ KINDS = {
     "edge": "a from, b to, role kind", "instruction": "a block, b place, c result, name operation, text", "operand": "a block, b place, c value, role, name",
     "constant": "a value, name type, text literal", "executable": "a from, b to", "range": "a value, name low, text high", "points": "a value, b object", "heap": "a object, role field, b object",
     "symbol": "a value, text symbol", "call": "a value, name as written, text symbol", "argument": "a call, b position, c value, role, name keyword, text literal or null",
+    "allowed": "a call, text the test by which its maker may",
     "prefix": "a call, b position, c 1 if it is the whole value, role, name keyword, text that an argument begins with",
     "flow": "role, a, name of the in-port; text, b, c, more of the out-port; line 1 if a guard tests what flows",
 }
@@ -140,6 +141,8 @@ def file_facts(module: str, is_package: bool, text: str | None, sources: tuple[s
                     text, whole = lower.leading_text(made, arg)
                     if text:
                         yield {**own, "kind": "prefix", "a": v, "b": pos, "c": int(whole), "role": role, "name": name or "", "text": text}
+        for v, name in allowed_calls(f, order, idom):
+            yield {**own, "kind": "allowed", "a": v, "text": name}
         for v, symbol in symbols.items():
             yield {**own, "kind": "symbol", "a": v, "text": symbol}
         for ik, ia, iname, ok, ob, oc, oname, guarded in flows(f, order, idom, symbols, sources):

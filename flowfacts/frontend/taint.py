@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowfacts.operators import coverage
 from flowfacts.operators.models import suffixes
 from flowfacts.operators.tables import discard, if_small, written
 
@@ -91,6 +92,26 @@ def spread(start: DataFrame, along: DataFrame, fold: int = 8) -> DataFrame:
     return out.groupBy("key", "source").agg(F.bit_or("bits").alias("bits"))
 
 
+def covered_functions(facts: DataFrame, calls: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """(module, function) that run only for those who may: by a decorator, or as every call on every way to them is made by such a
+    function or after a test. Entry points by decorator or base class are begun from outside."""
+    spark = facts.sparkSession
+    name = F.concat_ws("|", "module", "function")
+    decorated = of(facts, "decorator").select("module", "function", F.col("text").alias("symbol")).distinct()
+    guarded = decorated.join(F.broadcast(models.authorizing_table(spark)), "symbol").select(name.alias("function"), F.lit(True).alias("guarded"), F.lit(False).alias("entry"))
+    begun = decorated.join(F.broadcast(models.entry_table(spark)), "symbol").select("module", "function")
+    if lines is not None:
+        begun = begun.unionByName(classes.entry_points(facts, lines).select("module", "function"))
+    own = of(facts, "function").select(name.alias("function"), F.lit(False).alias("guarded"), (F.col("name") == "module").alias("entry"))
+    functions = own.unionByName(guarded).unionByName(begun.select(name.alias("function"), F.lit(False).alias("guarded"), F.lit(True).alias("entry")))
+    tested = of(facts, "allowed").select("module", "function", "a", F.lit(True).alias("tested")).distinct()
+    known = calls.where("to_function IS NOT NULL").join(tested, ["module", "function", "a"], "left").select(
+        name.alias("caller"), F.concat_ws("|", "to_module", "to_function").alias("callee"), F.coalesce("tested", F.lit(False)).alias("guarded"))
+    found = coverage.covered(functions, known)
+    parts = F.split("function", r"\|")
+    return found.select(parts[0].alias("module"), parts[1].alias("function"))
+
+
 def url_proof(prefix: Column) -> Column:
     """What the constant beginning of a URL fixes: 'path' (host and path), 'origin' (the host), 'site' (a path on the same site), else
     null."""
@@ -99,7 +120,7 @@ def url_proof(prefix: Column) -> Column:
 
 def flows(facts: DataFrame) -> DataFrame:
     """One row per harmful flow: path, module, function, line, col, symbol, rule, severity, sources, and the verdict: 'hotspot' if
-    a guard tests every source on its way, or a request's host is written out, 'vulnerability' if not. What guards show to be
+    a guard tests every source on its way, a request's host is written out, or it runs only for those who may, 'vulnerability' if not. What guards show to be
     harmless is no flow, nor is a redirect to a written host or a path on the same site."""
     spark = facts.sparkSession
     from .summaries import matched_steps, places
@@ -117,6 +138,11 @@ def flows(facts: DataFrame) -> DataFrame:
     proofs = of(facts, "prefix").where("role = 'arg'").select("module", "function", F.col("a").alias("call"), F.col("b").alias("pos"), url_proof(F.col("text")).alias("proof")).where("proof IS NOT NULL")
     hit = hit.join(proofs, ["module", "function", "call", "pos"], "left").where("rule <> 'open-redirect' OR proof IS NULL").withColumn("guarded", F.col("guarded") | F.coalesce((F.col("rule") == "ssrf") & F.col("proof").isin("path", "origin"), F.lit(False)))
     found = hit.join(state, "key").where(F.col("bits").bitwiseAND(F.col("harm")) != 0)
+    if not (of(facts, "allowed").isEmpty() and of(facts, "decorator").join(F.broadcast(models.authorizing_table(spark)), F.col("text") == F.col("symbol")).isEmpty()):
+        tested = of(facts, "allowed").select("module", "function", F.col("a").alias("call"), F.lit(True).alias("tested")).distinct()
+        held = written(covered_functions(facts, calls, lines), "covered").withColumn("held", F.lit(True))
+        found = found.join(tested, ["module", "function", "call"], "left").join(held, ["module", "function"], "left")
+        found = found.withColumn("guarded", F.col("guarded") | F.coalesce("tested", "held", F.lit(False)))
     return found.groupBy("path", "module", "function", "line", "col", "symbol", "rule", "severity").agg(
         F.array_sort(F.collect_set("source")).alias("sources"), F.when(F.bool_and("guarded"), "hotspot").otherwise("vulnerability").alias("verdict"))
 

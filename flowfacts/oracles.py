@@ -26,6 +26,9 @@ secrets AS (SELECT doc_id, ordinal, name, sha256(value) AS digest, entropy,
   FROM scored WHERE named OR entropy >= 3)"""
 
 ORACLES = {
+    "innermost_intervals": """WITH v AS (SELECT p_size % 2 AS half, p_partkey AS id, p_partkey - (p_partkey & -p_partkey) + 1 AS low FROM part)
+        SELECT l_orderkey, l_linenumber, arg_min(id, id - low) AS inside, count(id) AS depth
+        FROM (SELECT *, row_number() OVER () AS r FROM lineitem) LEFT JOIN v ON half = l_suppkey % 2 AND low <= l_partkey AND id >= l_partkey GROUP BY r, l_orderkey, l_linenumber""",
     "secret_assignments": f"WITH {_SECRETS} SELECT * FROM secrets",
     "secret_report": f"""WITH {_SECRETS} SELECT row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 3 ELSE 1 END DESC, doc_id, ordinal) AS position,
         doc_id, ordinal, rule, severity, confidence, digest FROM secrets WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""",

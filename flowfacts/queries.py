@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowfacts.functions import versions
-from flowfacts.operators import dataflow, findings, fixpoint, graph, models
+from flowfacts.operators import dataflow, findings, fixpoint, graph, models, sweep
 from flowfacts.sources import dependencies, facts, reports
 from flowfacts.sources.facts import table
 
@@ -69,6 +69,16 @@ def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("parts")).where("parts > 1")
 
 
+@query
+def innermost_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The innermost of nested intervals around each item's part, and how many there are; an interval reaches down from a part's
+    number by its lowest bit. There are two keys, so each is far larger than a task."""
+    part, item = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    intervals = part.select((F.col("p_size") % 2).cast("long").alias("half"), F.col("p_partkey").alias("id"), F.expr("p_partkey - (p_partkey & -p_partkey) + 1").alias("begin"), F.col("p_partkey").alias("end"))
+    points = item.select((F.col("l_suppkey") % 2).alias("half"), F.col("l_partkey").alias("at"), "l_orderkey", "l_linenumber")
+    return sweep.innermost(points, intervals, ["half"]).select("l_orderkey", "l_linenumber", "inside", "depth")
+
+
 @query
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.unique_names(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", ["p_partkey"]).select("p_partkey", "unique_name")
