@@ -151,9 +151,10 @@ def file_facts(module: str, is_package: bool, text: str | None, sources: tuple[s
 
 def parallel(rows: DataFrame, by: str) -> DataFrame:
     """rows dealt by a column over at least as many tasks as there are cores: the number is given, so adaptive execution does not
-    join small partitions, whose bytes say little about the work in them."""
+    join small partitions, whose bytes say little about the work in them. By a hash of the column, as a table that a join has dealt by
+    the column itself would not be dealt again."""
     spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), by)
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64(by))
 
 
 def facts(files: DataFrame, sources: tuple[str, ...] = (), nodes: bool = True, imports_only: bool = False) -> DataFrame:
