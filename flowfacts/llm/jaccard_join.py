@@ -19,8 +19,9 @@ into one candidate group.
 
 All pairs on a list are candidates. One that shares terms of one range only, or whose sketches (a bit for each remainder of
 the hash: is the number of elements with it odd?) differ in more bits than linked sets can differ in elements, is no link.
-Sets on a list too long for pairs are tied to its first member, unchecked. Connected groups of what is left hold every link,
-and chance seldom joins them. Of documents with equal sets one, the smallest doc_id, is compared; the others take its class. Each set is sent, once, to its group to be
+A list too long for pairs is dealt into units of blocks with its sets' sketches, which are compared there all with all; only a
+list of more than BLOCKS blocks has its sets tied to its first member, unchecked. Connected groups of what is left hold every
+link, and chance seldom joins them. Of documents with equal sets one, the smallest doc_id, is compared; the others take its class. Each set is sent, once, to its group to be
 compared exactly (there with an inverted index in true order of frequency, and union-find, so that near copies cost few
 pairs). A group larger than a bound is dealt into parts: first each part is compared by itself, then pairs of parts, for
 links between members that aren't connected yet.
@@ -50,6 +51,9 @@ PART = 750_000
 PART_DOCS = 4096
 #: Entries of a list up to which all its pairs are candidates.
 LIST = 16
+#: Entries of a longer list in one block, and the number of blocks up to which sketches are compared.
+BLOCK = 8192
+BLOCKS = 32
 #: The low bits of a key tell the range of its term: 1 + number modulo SLOTS; 0 for a key that needs no second one.
 SLOTS = 2047
 
@@ -224,15 +228,14 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
 
 
 def _lists(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ties (first, other) of the lists longer than LIST, and the pairs (u, v, slot) of all others."""
+    """Entries (key, document) of the lists longer than LIST, and the pairs (u, v, slot) of all others."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     start = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
     length = np.diff(np.concatenate([start, [len(keys)]]))
     entries = np.repeat(length, length)
-    head = docs[np.repeat(start, length)]
-    tie = (entries > LIST) & (head != docs)
-    head, other = head[tie], docs[tie]
+    long = entries > LIST
+    listed, entry = keys[long].view(np.int64), docs[long]
     short = (entries > 1) & (entries <= LIST)
     keys, docs = keys[short], docs[short]
     u, v, slot = [], [], []
@@ -241,7 +244,7 @@ def _lists(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         u.append(docs[at])
         v.append(docs[at + d])
         slot.append((keys[at] & np.uint64(SLOTS)).astype(np.int32))
-    return head, other, np.concatenate(u), np.concatenate(v), np.concatenate(slot)
+    return listed, entry, np.concatenate(u), np.concatenate(v), np.concatenate(slot)
 
 
 def _once(u: np.ndarray, v: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -261,6 +264,57 @@ def _ties(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
+def near_forest(docs: np.ndarray, sizes: np.ndarray, sketches: list[bytes | None], side: np.ndarray | None, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ties of documents that connect all pairs of one list whose sketches may link; one without a sketch may link with all.
+    side: if given, only ties between its 0s and 1s need be found. Those near the first are joined at once, so that near copies
+    cost few comparisons; each of the others is compared with all of like size."""
+    blank = np.array([s is None for s in sketches])
+    if blank.any():
+        head = docs[int(np.argmax(blank))]
+        return np.full(len(docs), head), docs
+    order = np.argsort(sizes, kind="stable")
+    docs, sizes, side = docs[order], sizes[order], None if side is None else side[order]
+    widths = np.array([len(sketches[k]) for k in order]) // 8
+    folded: dict[int, np.ndarray] = {}  # sketches of at least a width, modulo it
+    for width in np.unique(widths)[::-1].tolist():
+        rows = np.zeros((len(docs), width), np.uint64)
+        for k in np.nonzero(widths == width)[0].tolist():
+            rows[k] = np.frombuffer(sketches[order[k]], np.uint64)
+        for wider in [w for w in folded if w > width]:
+            at = widths == wider
+            whole = folded[wider][at]
+            while whole.shape[1] > width:
+                whole = whole[:, : whole.shape[1] // 2] ^ whole[:, whole.shape[1] // 2 :]
+            rows[at] = whole
+        folded[width] = rows
+    component = np.arange(len(docs))
+    left, right = [], []
+
+    def join(k: int) -> None:
+        low, high = np.searchsorted(sizes * 100, per_cent * sizes[k]), np.searchsorted(sizes * per_cent, 100 * sizes[k], "right")
+        near = np.arange(low, high)
+        near = near[component[near] != component[k]]
+        if side is not None:
+            near = near[side[near] != side[k]]
+        for at, width in ((near[widths[near] >= widths[k]], int(widths[k])), *((near[widths[near] == w], w) for w in folded if w < widths[k])):
+            if len(at):
+                apart = np.bitwise_count(folded[width][at] ^ folded[width][k]).sum(1, dtype=np.int64)
+                at = at[apart * (100 + per_cent) <= (sizes[at] + sizes[k]) * (100 - per_cent)]
+                _, first = np.unique(component[at], return_index=True)
+                at = at[first]
+                left.append(np.full(len(at), docs[k]))
+                right.append(docs[at])
+                gone = component[at]
+                component[np.isin(component, gone)] = component[k]
+
+    join(len(docs) // 2)
+    main = component[len(docs) // 2]
+    for k in np.nonzero(component != main)[0].tolist():
+        join(k)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
 def exact_links(sets: list[np.ndarray], side: np.ndarray | None, per_cent: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (indices) that connect all linked sets, a spanning forest. side: if given, only links between its 0s and 1s
     need be found. group: if given, members of one group are known to be connected. Sets by size probe an inverted index
@@ -390,7 +444,8 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
         _POWERS.clear()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of kinds 0 and 1 pass; of the lists of a partition's buckets come ties (kind 1) and pairs (2) with their slots."""
+        """Rows of kinds 0 and 1 pass; of the lists of a partition's buckets come pairs (2) with their slots and entries of long lists
+        (3: key, document)."""
         names = ["kind", "a", "b", "digest", "sketch", "low", "high"]
         keys, docs = [], []
         for batch in batches:
@@ -406,7 +461,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
             x, y, u, v, slot = _lists(np.concatenate(keys), np.concatenate(docs))
             x, y = _ties(x, y)
             u, v, low, high = _once(u, v, slot)
-            for kind, *columns in ((1, x, y, None, None), (2, u, v, low, high)):
+            for kind, *columns in ((3, x, y, None, None), (2, u, v, low, high)):
                 n = len(columns[0])
                 blank = [pa.nulls(n, pa.binary())] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, columns[:2]), *blank, *[pa.nulls(n, pa.int32()) if c is None else pa.array(c) for c in columns[2:]]], names=names)
@@ -432,9 +487,40 @@ def jaccard_components(documents: DataFrame, words: int = 4, per_cent: int = 85)
     both = both.join(sketches.select(F.col("a").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv")), "v", "left")
     with small_batches(spark):
         near = materialize(both.select("u", "v", F.expr("nu + nv"), "su", "sv").mapInArrow(released(check), "u long, v long"), "near")
-    ties = listed.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(near)
+    entries = listed.where("kind = 3").select(F.col("a").alias("list"), F.col("b").alias("doc_id"))
+    lists = materialize(entries.groupBy("list").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("doc_id").alias("head")), "lists")
+    entries = keyed_join(entries, lists, "list", "inner")
+    compared = entries.where(F.col("blocks") <= BLOCKS).join(sketches.withColumnRenamed("a", "doc_id").hint("shuffle_hash"), "doc_id", "left")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    compared = compared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    compared = compared.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "own", "n", "sketch")
+    compared = compared.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles / 10_000_000)), "list", "i", "j").sortWithinPartitions("list", "i", "j")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by unit; a unit is looked through when its last row has come."""
+        now, held = None, []
+
+        def found() -> pa.RecordBatch:
+            doc, own, n, sketches = (list(c) for c in zip(*held))
+            u, v = near_forest(np.array(doc, np.int64), np.array([x or 0 for x in n], np.int64), sketches, np.array(own) if now[1] != now[2] else None, per_cent)
+            return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+
+        for batch in batches:
+            for *unit, doc, own, n, one in zip(*(c.to_pylist() for c in batch.columns)):
+                if unit != now:
+                    if len(held) > 1:
+                        yield found()
+                    now, held = unit, []
+                held.append((doc, own, n, one))
+        if len(held) > 1:
+            yield found()
+
+    with small_batches(spark):
+        seen = materialize(compared.mapInArrow(released(look), "u long, v long"), "seen")
+    ties = listed.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(near).unionAll(seen)
+    ties = ties.unionAll(entries.where(F.col("blocks") > BLOCKS).select("head", "doc_id"))
     groups = connected_components(ties).select(F.col("id").alias("doc_id"), F.col("component_id").alias("group"))
-    for used in (pairs, sketches, near):
+    for used in (pairs, sketches, near, lists, seen):
         discard(used)
     groups = materialize(groups.join(sizes.where("digest IS NOT NULL").distinct(), "doc_id"), "groups")
     chosen = materialize(groups.groupBy("group", "digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), "chosen")

@@ -781,6 +781,33 @@ def test_op5_sends_few_sets_that_chance_ties(spark, monkeypatch):
     assert 40 <= sent[0] <= 200
 
 
+def test_op5_long_lists_join_only_what_may_link(spark, monkeypatch):
+    """A few sentences in very many texts make lists too long for pairs; also in several blocks, only linked texts are sent, and none
+    is lost, whether lists are compared or, beyond the bound, tied."""
+    import flowfacts.llm.jaccard_join as module
+
+    sent, materialize = [], module.materialize
+
+    def watched(df, name):
+        out = materialize(df, name)
+        if name == "groups":
+            sent.append(out.select("doc_id").distinct().count())
+        return out
+
+    monkeypatch.setattr(module, "materialize", watched)
+    rng = np.random.RandomState(7)
+    common = [passage(rng.randint(6, 12), f"c{k}x") for k in range(12)]
+    texts = [" ".join(x for k in rng.choice(12, 6, replace=False) for x in (common[k], passage(rng.randint(2, 9), f"o{i}k{k}x"))) for i in range(600)]
+    texts += [t + " end" for t in texts[:20]]
+    for block, blocks, most in ((8192, 32, 120), (50, 32, 120), (50, 0, 620)):
+        monkeypatch.setattr(module, "BLOCK", block)
+        monkeypatch.setattr(module, "BLOCKS", blocks)
+        got = {r.doc_id: r.component_id for r in jaccard_components(docs(spark, texts), 5, 80).collect()}
+        assert got == {i: i if i < 600 else i - 600 for i in range(620)}
+        assert 40 <= sent[-1] <= most
+    assert sent[2] > 300
+
+
 def test_op8_reads_words_of_letters_and_signs_without_normalizer():
     """Ids equal the tokenizer's on odd words; words of letters, with signs behind them or not, need the bare model alone."""
     from public_tokenizers import path
