@@ -53,20 +53,36 @@ def reach(starts: DataFrame, edges: DataFrame, keys: list[str], node: str = "nod
     return least_fixpoint(starts.select(*keys, node), step, "reach")
 
 
+#: Rows of a closure that one task joins or tells apart, about.
+ROWS = 500_000
+
+
+def _dealt(rows: DataFrame, count: int, *by: str) -> DataFrame:
+    """rows dealt over tasks by their count: pairs of numbers are packed so well that adaptive execution, which goes by bytes,
+    would give one task very many."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // ROWS)), *by)
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """Transitive closure (src, dst) of a graph by path doubling: rounds grow with the logarithm of the longest shortest path.
 
-    In each round paths found last are joined with all known paths on both sides. A round writes its new paths only.
+    A path longer than n and up to 2n steps is one of exactly n steps and a known one behind it. So a round joins the paths of
+    exactly n steps with all known ones, which gives a pair about once for each shortest way, and writes its new paths only.
     """
-    parts = [written(edges.select("src", "dst").distinct(), "paths")]
-    new = parts[0]
-    while not new.isEmpty():
+    parts = [written(edges.select("src", "dst").distinct().withColumn("steps", F.lit(1)), "paths")]
+    count, reached = parts[0].count(), 1
+    while True:
         paths = _union(parts)
-        a = new.select("src", F.col("dst").alias("mid")).join(paths.select(F.col("src").alias("mid"), "dst"), "mid")
-        b = paths.select("src", F.col("dst").alias("mid")).join(new.select(F.col("src").alias("mid"), "dst"), "mid")
-        new = written(a.unionAll(b).select("src", "dst").distinct().join(paths, ["src", "dst"], "left_anti"), "paths")
-        parts.append(new)
-    return _union(parts)
+        exact = parts[-1].where(F.col("steps") == reached).select(F.col("src").alias("first"), F.col("dst").alias("src"))
+        number = exact.count()
+        if not number:
+            return paths.select("src", "dst")
+        longer = _dealt(exact, count, "src").join(_dealt(paths, count, "src").hint("merge"), "src").select(F.col("first").alias("src"), "dst", (F.col("steps") + reached).alias("steps"))
+        known = _dealt(paths.select("src", "dst"), 2 * count, "src", "dst").hint("merge")
+        new = _dealt(longer, 2 * count, "src", "dst").groupBy("src", "dst").agg(F.min("steps").alias("steps")).join(known, ["src", "dst"], "left_anti")
+        parts.append(written(new, "paths"))
+        count += parts[-1].count()
+        reached *= 2
 
 
 def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -87,3 +87,30 @@ def test_numbers_within_keys_that_cross_ranges(spark):
     rows = spark.range(0, 3000).selectExpr("id", "if(id % 3 = 0, cast(id as string), 'hot') as k")
     got = findings.numbered(rows, "k", ["id"], "n").where("k = 'hot'").orderBy("id").collect()
     assert [r.n for r in got] == list(range(1, 2001))
+
+
+def test_closure_of_random_graphs_in_many_tasks(spark, monkeypatch):
+    """Cycles, loops and long chains, over tasks by the number of rows: a task of the last exchange holds few pairs."""
+    import random
+
+    from flowfacts.operators import fixpoint
+
+    monkeypatch.setattr(fixpoint, "ROWS", 50)
+    rng = random.Random(3)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(21)] + [(7, 7)]
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for a in after:
+        stack, seen = list(after[a]), set()
+        while stack:
+            n = stack.pop()
+            if n not in seen:
+                seen.add(n)
+                stack += after.get(n, ())
+        want |= {(a, b) for b in seen}
+    got = [tuple(r) for r in fixpoint.closure(spark.createDataFrame(pairs, "src long, dst long")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    tasks = fixpoint._dealt(spark.createDataFrame(pairs, "src long, dst long"), 5000, "src").rdd.getNumPartitions()
+    assert tasks >= 100
