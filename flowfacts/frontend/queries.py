@@ -28,13 +28,13 @@ def py_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def py_taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = taint.flows(facts(corpus.web_project(spark, sf_dir), models.prefixes(), nodes=False))
+    found = taint.flows(facts(corpus.web_project(spark, sf_dir), models.prefixes(), nodes=False, kinds=taint.FLOW_KINDS))
     return found.select("module", "function", "rule", "symbol")
 
 
 @query
 def py_call_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = taint.reported_calls(facts(corpus.web_project(spark, sf_dir), models.prefixes(), nodes=False))
+    found = taint.reported_calls(facts(corpus.web_project(spark, sf_dir), models.prefixes(), nodes=False, kinds=taint.CALL_KINDS))
     return found.select("module", "function", "rule", "symbol", "severity")
 
 
@@ -52,7 +52,7 @@ def py_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def py_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = of(facts(corpus.web_project(spark, sf_dir), (), nodes=False), "file")
+    files = of(facts(corpus.web_project(spark, sf_dir), (), nodes=False, kinds=("file",)), "file")
     return files.groupBy(F.col("name").alias("status")).agg(F.count("*").alias("files"), F.sum("b").alias("functions"), F.sum("c").alias("functions_analysed"), F.sum("a").alias("lines"))
 
 
@@ -129,7 +129,7 @@ def py_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def py_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on flows behind guards of every form; what a guard proves harmless is no row."""
-    return taint.flows(facts(corpus.guard_project(spark, sf_dir), models.prefixes(), nodes=False)).select("path", "verdict")
+    return taint.flows(facts(corpus.guard_project(spark, sf_dir), models.prefixes(), nodes=False, kinds=taint.FLOW_KINDS)).select("path", "verdict")
 
 
 @query
@@ -137,14 +137,14 @@ def py_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each function gives back of its parameters: kinds of taint as bits, over calls, recursion and a cycle of modules."""
     from .summaries import summary_table
 
-    made = facts(corpus.helper_project(spark, sf_dir), models.prefixes(), nodes=False)
+    made = facts(corpus.helper_project(spark, sf_dir), models.prefixes(), nodes=False, kinds=taint.FLOW_KINDS)
     return summary_table(made, taint.resolved(made)).select("module", "function", "index", "mask")
 
 
 @query
 def py_matched_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows through helpers that have untrusted and clean callers: a value comes back to its own caller only."""
-    found = taint.flows(facts(corpus.helper_project(spark, sf_dir), models.prefixes(), nodes=False))
+    found = taint.flows(facts(corpus.helper_project(spark, sf_dir), models.prefixes(), nodes=False, kinds=taint.FLOW_KINDS))
     return found.select("module", "function", "rule", "symbol")
 
 
@@ -167,7 +167,7 @@ def py_base_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def py_base_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows from parameters, attributes, inherited methods and inherited fields of request handlers."""
-    return taint.flows(facts(corpus.class_project(spark, sf_dir), models.prefixes(), nodes=False)).select("module", "function", "rule", "symbol")
+    return taint.flows(facts(corpus.class_project(spark, sf_dir), models.prefixes(), nodes=False, kinds=taint.FLOW_KINDS)).select("module", "function", "rule", "symbol")
 
 
 @query
@@ -183,7 +183,7 @@ def py_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def py_authorized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on flows in helpers that are called behind a decorator, behind a test, or openly: a hotspot only if no way is open."""
-    found = taint.flows(facts(corpus.handler_project(spark, sf_dir), models.prefixes(), nodes=False))
+    found = taint.flows(facts(corpus.handler_project(spark, sf_dir), models.prefixes(), nodes=False, kinds=taint.FLOW_KINDS))
     return found.select("path", "function", F.col("line").cast("long").alias("line"), "verdict")
 
 
@@ -208,7 +208,7 @@ def py_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def py_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constant beginnings of arguments, and what they fix of a URL."""
-    made = facts(corpus.web_project(spark, sf_dir), (), nodes=False)
+    made = facts(corpus.web_project(spark, sf_dir), (), nodes=False, kinds=("prefix",))
     rows = of(made, "prefix").where("function LIKE 'view%' AND c = 0")
     return rows.select("module", F.col("text").alias("prefix"), taint.url_proof(F.col("text")).alias("proof"))
 

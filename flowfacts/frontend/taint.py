@@ -17,6 +17,9 @@ from flowfacts.operators.tables import discard, if_small, written
 from . import classes, models
 from .tables import of
 
+#: Kinds of facts that ``flows`` reads, and that ``reported_calls`` reads more.
+FLOW_KINDS = ("function", "call", "parameter", "decorator", "class", "base", "prefix", "allowed", "flow")
+CALL_KINDS = ("call", "argument")
 KEY = ("module", "function", "role", "a", "name")
 
 
@@ -170,7 +173,7 @@ def check(files: DataFrame) -> DataFrame:
     null) for each file that could not be analysed."""
     from .tables import facts as facts_of
 
-    facts = facts_of(files, models.prefixes(), nodes=False)
+    facts = facts_of(files, models.prefixes(), nodes=False, kinds=("file", "argument", *FLOW_KINDS))
     cols = ["path", "line", "rule", "severity", "symbol"]
     bad = of(facts, "file").where("name <> 'analysed'").select("path", F.col("line"), F.col("name").alias("rule"), F.lit("info").alias("severity"), F.lit("").alias("symbol"))
     return flows(facts).select(*cols).unionByName(reported_calls(facts).select(*cols)).unionByName(bad).distinct()

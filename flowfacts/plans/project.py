@@ -63,8 +63,9 @@ def check(files: DataFrame, registry: Registry | None = None, policy: Policy | N
     """Findings of a project's files (path, text) with ``suppressed`` (a comment at the line), ``known`` (absorbed by a baseline of
     (path, rule, function, line text)) and ``test`` (in test code); findings of accepted advisories are left out.
     """
-    facts = facts_of(files, library.prefixes(), nodes=False)
-    found = written((registry or bundled()).run(facts), "findings")
+    registry = registry or bundled()
+    facts = facts_of(files, library.prefixes(), nodes=False, kinds=tuple(sorted({k for p in registry.plugins.values() for k in p.requires})))
+    found = written(registry.run(facts), "findings")
     found = accepted(found.withColumn("advisory", F.col("metadata")["advisory"]), policy or Policy()).drop("advisory")
     marked = ops.suppression_split(found, suppressions(files), ["path", "line"]).withColumn("test", is_test_code(F.col("path")))
     if baseline is None:

@@ -114,3 +114,16 @@ def test_closure_of_random_graphs_in_many_tasks(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want
     tasks = fixpoint._dealt(spark.createDataFrame(pairs, "src long, dst long"), 5000, "src").rdd.getNumPartitions()
     assert tasks >= 100
+
+
+def test_facts_of_some_kinds_are_those_of_all():
+    """What is left out for want of other kinds changes no fact of the kinds asked for, and a file's status stays."""
+    from flowfacts.frontend import corpus, models, taint
+    from flowfacts.frontend.tables import KINDS, file_facts
+
+    texts = [corpus.WEB.replace("{line}", x).replace("{k}", "1") for x in corpus.LINES] + [corpus.SHARED, corpus.LEAF, corpus.HANDLERS, "def (", "return 1\nbreak", "def f(a, a): pass", None]
+    for text in texts:
+        whole = list(file_facts("p.m", False, text, models.prefixes(), False))
+        for kinds in (("file",), ("prefix",), taint.FLOW_KINDS, taint.CALL_KINDS, tuple(KINDS)):
+            made = [f for f in file_facts("p.m", False, text, models.prefixes(), False, kinds=kinds) if f["kind"] in kinds]
+            assert made == [f for f in whole if f["kind"] in kinds], kinds
