@@ -9,7 +9,7 @@ from flowfacts.frontend import models as library
 from flowfacts.frontend.tables import facts as facts_of
 from flowfacts.frontend.tables import named, of
 from flowfacts.operators import findings as ops
-from flowfacts.operators.fixpoint import closure
+from flowfacts.operators.fixpoint import _dealt, closure
 from flowfacts.operators.models import prefixes
 from flowfacts.operators.tables import written
 from flowfacts.plugins import Plugin, Registry, finding, taint_detector
@@ -36,10 +36,14 @@ def module_graph(facts: DataFrame) -> DataFrame:
 def module_keys(modules: DataFrame, edges: DataFrame) -> DataFrame:
     """(module, key) of modules (module, own: digest of its text) and import edges (src, dst): a key is made of the module's own
     digest and those of all it imports, directly or not, so that it changes when anything below changes."""
-    below = closure(edges.where("src <> dst")).join(modules.withColumnsRenamed({"module": "dst", "own": "below"}), "dst").where("src <> dst").groupBy(F.col("src").alias("module")).agg(
+    reached = closure(edges.where("src <> dst")).where("src <> dst")
+    count = reached.count()
+    digests = _dealt(modules.select(F.col("module").alias("dst"), F.col("own").alias("below")), count, "dst").hint("shuffle_hash")
+    below = _dealt(_dealt(reached, count, "dst").join(digests, "dst"), count, "src").groupBy(F.col("src").alias("module")).agg(
         F.array_sort(F.collect_list(F.struct("dst", "below"))).alias("b"))
     parts = F.concat(F.array("own"), F.coalesce(F.transform("b", lambda x: x["below"]), F.array().cast("array<string>")))
-    return modules.join(below, "module", "left").select("module", F.sha2(F.concat(F.array_join(parts, "\0"), F.lit("\0")), 256).alias("key"))
+    # modules are what both joins hold in memory: what reaches a module that many import is very long, and only read
+    return modules.hint("shuffle_hash").join(below, "module", "left").select("module", F.sha2(F.concat(F.array_join(parts, "\0"), F.lit("\0")), 256).alias("key"))
 
 
 def changed_modules(keys: DataFrame, stored: DataFrame) -> DataFrame:

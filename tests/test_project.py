@@ -324,3 +324,30 @@ def test_facts_are_parsed_by_as_many_tasks_as_cores(spark):
     made = tables.facts(rows, imports_only=True)
     assert tables.of(made, "file").count() == 400
     assert len({r.f for r in made.selectExpr("input_file_name() AS f").distinct().collect()}) >= spark.sparkContext.defaultParallelism
+
+
+def test_module_keys_over_tasks_by_the_number_of_pairs(spark, monkeypatch):
+    """The lists of what a module reaches are made by tasks of few pairs, and nothing is sent whole to all tasks."""
+    import hashlib
+
+    from flowfacts.operators import fixpoint
+    from flowfacts.plans.project import module_keys
+
+    monkeypatch.setattr(fixpoint, "ROWS", 100)
+    own = {n: hashlib.sha256(str(n).encode()).hexdigest() for n in range(200)}
+    edges = spark.createDataFrame([(n, n // 2) for n in own] + [(150, 151), (151, 150)], "src long, dst long")
+    made = module_keys(spark.createDataFrame(list(own.items()), "module long, own string"), edges)
+
+    def below(n):
+        seen, stack = set(), [n]
+        while stack:
+            m = stack.pop()
+            for d in {m // 2, {150: 151, 151: 150}.get(m, m)} - {m}:
+                if d not in seen:
+                    seen.add(d)
+                    stack.append(d)
+        return sorted(seen - {n})
+
+    assert {r.module: r.key for r in made.collect()} == {n: hashlib.sha256("".join(own[m] + "\0" for m in [n, *below(n)]).encode()).hexdigest() for n in own}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert made.rdd.getNumPartitions() >= 12 and "Broadcast" not in plan
