@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowfacts.operators.lattice import solve
-from flowfacts.operators.tables import written
+from flowfacts.operators.tables import dealt, joined, written
 
 from . import markup
 from .tables import parallel
@@ -51,15 +51,16 @@ def chains(files: DataFrame, held: DataFrame) -> DataFrame:
     several files have gives several chains. A chain that comes back to a file, or extends a name that no file has, ends with a
     null path."""
     extends = held.where("kind = 'extends'").groupBy("path", "name").agg(F.min_by("ref", "place").alias("extends"))
-    link = written(files.select("path", "name").join(extends, ["path", "name"], "left"), "links")
+    size = files.count()
+    link = written(joined(files.select("path", "name"), extends, size, ["path", "name"], "left"), "links")
     front = written(link.select(F.concat_ws(":", "path", "name").alias("chain"), F.array(F.struct("path", "name")).alias("line"), "extends"), "chains")
     done = front.where("extends IS NULL").select("chain", "line")
     while True:
         open_ = front.where("extends IS NOT NULL")
         if open_.isEmpty():
             break
-        up = link.select(F.col("path").alias("_path"), F.col("name").alias("_name"), F.col("extends").alias("_next"))
-        more = open_.join(up, F.col("extends") == F.col("_name"), "left")
+        up = link.select(F.col("path").alias("_path"), F.col("name").alias("extends"), F.col("extends").alias("_next"))
+        more = joined(open_, up, size, ["extends"], "left")
         again = F.array_contains(F.transform("line", lambda x: x["path"]), F.col("_path"))
         path = F.when(~F.coalesce(again, F.lit(False)), F.col("_path"))
         several = F.when(F.count("*").over(Window.partitionBy("chain")) > 1, F.concat_ws(">", "chain", "_path")).otherwise(F.col("chain"))
@@ -92,31 +93,31 @@ def verdicts(files: DataFrame) -> DataFrame:
     own = written(names(files).select("path", "name"), "templates")
     held = items(files)
     lines = chains(own, held)
-    bodies = lines.where("path IS NOT NULL").join(held.where("kind <> 'extends'"), ["path", "name"])
+    size = max(own.count(), held.count(), lines.count())
+    bodies = joined(lines.where("path IS NOT NULL"), held.where("kind <> 'extends'"), size, ["path", "name"])
     defined = bodies.where("kind = 'block'").select("chain", "level", F.col("ref").alias("block")).distinct()
     top = lines.groupBy("chain").agg(F.max("level").alias("_top"), F.max_by("path", "level").isNull().alias("_lost"))
     # what is printed: the last level's own items, and of each level those in blocks
-    printed = bodies.join(top, "chain").where("NOT _lost AND (block <> '' OR level = _top)")
+    printed = joined(bodies, top, size, ["chain"]).where("NOT _lost AND (block <> '' OR level = _top)")
     unit = F.concat_ws("|", F.lit("unit"), "chain", "level", "block")
     calls = printed.where("kind IN ('block', 'super')").select("chain", "level", "block", "place", "kind", F.col("ref"))
-    over = calls.join(defined.withColumnsRenamed({"level": "_at", "block": "_name"}), [calls["chain"] == defined["chain"], F.col("ref") == F.col("_name"), (F.col("kind") == "block") | (F.col("_at") > F.col("level"))]).select(
-        calls["chain"], "level", "block", "place", "ref", "_at")
+    over = joined(calls, defined.withColumnsRenamed({"level": "_at", "block": "ref"}), size, ["chain", "ref"]).where("kind = 'block' OR _at > level").select("chain", "level", "block", "place", "ref", "_at")
     nearest = over.groupBy("chain", "level", "block", "place", "ref").agg(F.min("_at").alias("_at"))
     called = nearest.select(unit.alias("equation"), "place", F.concat_ws("|", F.lit("unit"), "chain", "_at", "ref").alias("operand"))
     included = printed.where("kind = 'include'").select(unit.alias("equation"), "place", F.concat_ws("|", F.lit("name"), "ref").alias("operand"))
     operands = written(called.unionByName(included), "template-calls")
-    filled = printed.withColumn("equation", unit).join(operands.select("equation", "place", F.lit(True).alias("calls")), ["equation", "place"], "left")
+    filled = joined(printed.withColumn("equation", unit), operands.select("equation", "place", F.lit(True).alias("calls")), size, ["equation", "place"], "left")
     # a block or parent's block that no level defines is empty
     filled = filled.withColumn("f", F.when(F.col("calls"), F.lit(None)).otherwise(F.coalesce("f", constant(identity))))
     ordered = F.array_sort(F.collect_list(F.struct("place", "optional", "f")))
-    equations = filled.groupBy("equation").agg(ordered.alias("items")).withColumn("variable", F.col("equation"))
+    equations = dealt(filled, size, "equation").groupBy("equation").agg(ordered.alias("items")).withColumn("variable", F.col("equation"))
     # files without items, blocks without items, lost chains, names of no file
-    empty = lines.join(top, "chain").where("level = _top").select("chain", "level", "_lost")
+    empty = joined(lines, top, size, ["chain"]).where("level = _top").select("chain", "level", "_lost")
     units = defined.select(unit.alias("variable"), F.lit(False).alias("_lost")).unionByName(empty.select(F.concat_ws("|", F.lit("unit"), "chain", "level", F.lit("")).alias("variable"), "_lost"))
-    bare = units.join(equations.select("variable"), "variable", "left_anti").select("variable", F.when(F.col("_lost"), constant(harm)).otherwise(constant(identity)).alias("f"))
-    absent = included.select(F.col("operand").alias("variable")).distinct().join(own.select(F.concat_ws("|", F.lit("name"), "name").alias("variable")), "variable", "left_anti").withColumn("f", constant(harm))
+    bare = joined(units, equations.select("variable"), size, ["variable"], "left_anti").select("variable", F.when(F.col("_lost"), constant(harm)).otherwise(constant(identity)).alias("f"))
+    absent = joined(included.select(F.col("operand").alias("variable")).distinct(), own.select(F.concat_ws("|", F.lit("name"), "name").alias("variable")), size, ["variable"], "left_anti").withColumn("f", constant(harm))
     # a name is each of the chains that begin with one of its files
-    starts = lines.where("level = 0").select("chain", "name").join(top, "chain").select("chain", F.concat_ws("|", F.lit("name"), "name").alias("variable"), F.concat_ws("|", F.lit("unit"), "chain", "_top", F.lit("")).alias("operand"))
+    starts = joined(lines.where("level = 0").select("chain", "name"), top, size, ["chain"]).select("chain", F.concat_ws("|", F.lit("name"), "name").alias("variable"), F.concat_ws("|", F.lit("unit"), "chain", "_top", F.lit("")).alias("operand"))
     named = starts.select(F.concat_ws("|", F.lit("start"), "chain").alias("equation"), "variable", F.lit(None).cast("array<struct<place:int,optional:boolean,f:array<bigint>>>").alias("items"))
     operands = operands.unionByName(starts.select(F.concat_ws("|", F.lit("start"), "chain").alias("equation"), F.lit(0).alias("place"), "operand"))
 
@@ -134,4 +135,4 @@ def verdicts(files: DataFrame) -> DataFrame:
     found = solve(seeds, equations, operands.select(project, "equation", "place", "operand"), {"f": value}, {"f": "each_bit_or"}, ["project"])
     harmed = found.where("startswith(variable, 'name|')").select(F.substring("variable", 6, 1 << 30).alias("name"), F.col("f")[0].bitwiseAND(F.lit(markup.BAD)).alias("bad"))
     off = files.where(F.col("path").endswith(".py") & F.col("text").rlike(OFF)).select(F.lit(True).alias("off")).limit(1)
-    return own.select("name").distinct().join(harmed, "name", "left").select("name", ((F.coalesce("bad", F.lit(0)) == 0) & F.lit(off.isEmpty())).alias("escapes"))
+    return joined(own.select("name").distinct(), harmed, size, ["name"], "left").select("name", ((F.coalesce("bad", F.lit(0)) == 0) & F.lit(off.isEmpty())).alias("escapes"))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import discard, written
+from .tables import SENT_ROWS, dealt, discard, joined, written
 
 def each_bit_or(column: str) -> Column:
     """The union of bits place by place, over arrays of one length."""
@@ -45,17 +45,22 @@ def solve(seeds: DataFrame, equations: DataFrame, operands: DataFrame, evaluate:
     equations, operands = written(equations, "equations"), written(operands.select(*key, "equation", "place", F.col("operand").alias("_operand")), "operands")
     delta = written(_joined(seeds, [*key, variable], join).select(columns), "states")
     parts = [delta]
+    count = delta.count()
+    size = max(equations.count(), operands.count(), count)
     for round_ in range(rounds):
-        state = _joined(reduce(DataFrame.unionByName, parts), [*key, variable], join)
+        state = _joined(dealt(reduce(DataFrame.unionByName, parts), size, *key, variable), [*key, variable], join)
         changed = delta.select(*key, F.col(variable).alias("_operand"))
-        touched = operands.join(changed, [*key, "_operand"], "left_semi").select(*key, "equation").distinct()
+        # few changes may be sent
+        touched = operands.join(changed, [*key, "_operand"], "left_semi") if count <= SENT_ROWS else joined(operands, changed, size, [*key, "_operand"], "left_semi")
+        touched = dealt(touched.select(*key, "equation"), size, *key, "equation").distinct()
         held = state.withColumnRenamed(variable, "_operand").select(*key, "_operand", F.struct(*join).alias("_state"))
-        read = operands.join(touched, [*key, "equation"], "left_semi").join(held, [*key, "_operand"])
-        states = read.groupBy(*key, "equation").agg(F.map_from_entries(F.collect_list(F.struct("place", "_state"))).alias("states"))
-        made = equations.join(states, [*key, "equation"]).select(*key, variable, *[e.alias(c) for c, e in evaluate.items()])
-        made = _joined(made.where(~reduce(lambda a, b: a & b, [F.col(c).isNull() for c in join])), [*key, variable], join)
+        read = joined(joined(operands, touched, size, [*key, "equation"], "left_semi"), held, size, [*key, "_operand"])
+        states = dealt(read, size, *key, "equation").groupBy(*key, "equation").agg(F.map_from_entries(F.collect_list(F.struct("place", "_state"))).alias("states"))
+        made = joined(equations, states, size, [*key, "equation"]).select(*key, variable, *[e.alias(c) for c, e in evaluate.items()])
+        made = made.where(~reduce(lambda a, b: a & b, [F.col(c).isNull() for c in join]))
+        made = _joined(dealt(made, size, *key, variable), [*key, variable], join)
         old = state.select(*key, variable, *[F.col(c).alias(f"_{c}") for c in join])
-        both = made.join(old, [*key, variable], "left")
+        both = joined(made, old, size, [*key, variable], "left")
         after = {}
         for c, how in join.items():
             now, before = F.col(c), F.col(f"_{c}")
@@ -68,12 +73,13 @@ def solve(seeds: DataFrame, equations: DataFrame, operands: DataFrame, evaluate:
         grown = both.select(*key, variable, *[e.alias(c) for c, e in after.items()], *[f"_{c}" for c in join])
         grown = grown.where(reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in join])).select(columns)
         delta = written(grown, "states")
-        if delta.isEmpty():
+        count = delta.count()
+        if not count:
             discard(delta, equations, operands)
             return state.select(columns)
         parts.append(delta)
         if len(parts) > FOLD:
-            whole = written(_joined(reduce(DataFrame.unionByName, parts), [*key, variable], join).select(columns), "states")
+            whole = written(_joined(dealt(reduce(DataFrame.unionByName, parts), size, *key, variable), [*key, variable], join).select(columns), "states")
             discard(*parts[:-1])
             parts = [whole]  # holds delta's rows, too
     raise ValueError(f"no fixpoint after {rounds} rounds")

@@ -45,3 +45,24 @@ def discard(*tables: DataFrame) -> None:
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint where the counted rows are within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+#: Rows up to which Spark may send a side of a join to all tasks, by way of the driver, and join small tasks, by their bytes.
+SENT_ROWS = 20_000
+#: Rows of wide tables (a row may hold some arrays) that one task joins or gathers, about.
+WIDE_ROWS = 100_000
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df dealt over tasks by so many counted rows, if these are not few: Spark goes by bytes of files and exchanges, and packed
+    numbers and repeated arrays are many times as large in memory."""
+    if rows <= SENT_ROWS:
+        return df
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // WIDE_ROWS)), *by)
+
+
+def joined(left: DataFrame, right: DataFrame, rows: int, on: list[str], how: str = "inner") -> DataFrame:
+    """The join of two tables on columns, both dealt over tasks and neither sent whole, if so many counted rows are not few."""
+    if rows <= SENT_ROWS:
+        return left.join(right, on, how)
+    return dealt(left, rows, *on).join(dealt(right, rows, *on).hint("merge"), on, how)

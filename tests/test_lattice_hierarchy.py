@@ -133,3 +133,26 @@ def test_summaries_say_what_survives(spark):
     got = {(r.function, r["index"]): r.mask for r in summary_table(made, taint.resolved(made)).collect()}
     command, page = models.KINDS["command"], models.KINDS["html"]
     assert got == {("both", 0): models.ALL - command, ("both", 1): models.ALL - page, ("outer", 0): models.ALL - page, ("outer", 1): models.ALL - command - page}
+
+
+def test_tables_of_rounds_are_not_sent_whole(spark, monkeypatch):
+    """Beyond few rows no side of a round's joins goes by way of the driver; bits along a chain and around its end's cycle."""
+    from pyspark.sql import functions as F
+
+    from flowfacts.operators import lattice, tables
+
+    plans = []
+
+    def noted(df, name, by=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return tables.written(df, name, by)
+
+    for module in (lattice, tables):
+        monkeypatch.setattr(module, "SENT_ROWS", 0, raising=False)
+    monkeypatch.setattr(lattice, "written", noted)
+    links = [("p", f"e{n}", 0, n, n + 1) for n in range(4)] + [("p", "back", 0, 4, 2)]
+    rows = spark.createDataFrame(links, "k string, equation string, place int, operand long, variable long")
+    seeds = spark.createDataFrame([("p", 0, 1), ("p", 3, 2)], "k string, variable long, bits long")
+    found = lattice.solve(seeds, rows.select("k", "equation", "variable"), rows, {"bits": F.col("states")[F.lit(0)]["bits"]}, {"bits": "bit_or"}, ["k"])
+    assert {r.variable: r.bits for r in found.collect()} == {0: 1, 1: 1, 2: 3, 3: 3, 4: 3}
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
