@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import discard, if_small, written
+from .tables import SENT_ROWS, dealt, discard, joined, written
 
 
 #: Rounds after which a fixpoint's tables are folded into one.
@@ -29,9 +29,12 @@ def least_fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], name
     columns = seed.columns
     parts = [written(seed.distinct(), name)]
     new = parts[0]
+    known = new.count()
     for _ in range(rounds):
-        new = written(step(new).select(*columns).distinct().join(_union(parts), columns, "left_anti"), name)
-        if new.isEmpty():
+        new = written(joined(dealt(step(new).select(*columns), known, *columns).distinct(), _union(parts), known, columns, "left_anti"), name)
+        count = new.count()
+        known += count
+        if not count:
             discard(new)
             return _union(parts)
         parts.append(new)
@@ -85,25 +88,45 @@ def closure(edges: DataFrame) -> DataFrame:
         reached *= 2
 
 
+def met(edges: DataFrame, new: DataFrame, count: int, size: int, waiting: DataFrame | None, sums: list[Column]) -> DataFrame:
+    """(above, needed, met, sums) of what waits in a wave, a written table: edges (above, below, needed: the edges of above; size rows)
+    to the nodes of the wave before (below, others; count rows), joined with what was met in earlier waves (the same columns)."""
+    pushed = edges.join(new, "below") if count <= SENT_ROWS else joined(edges, new, size, ["below"])
+    found = pushed.groupBy("above").agg(F.max("needed").alias("needed"), F.count("*").alias("met"), *sums)
+    if waiting is not None:
+        others = found.columns[2:]
+        found = found.unionByName(waiting).groupBy("above").agg(F.max("needed").alias("needed"), *[F.sum(c).alias(c) for c in others])
+    return written(found, "waves")
+
+
+def needing(edges: DataFrame, size: int) -> DataFrame:
+    """Edges (above, below) with the number of above's edges, a written table."""
+    return written(joined(edges, edges.groupBy("above").agg(F.count("*").alias("needed")), size, ["above"]), "waves")
+
+
 def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level) of an acyclic graph: 0 without outgoing edges (src depends on dst), else 1 + the highest level below.
 
-    Nodes leave in waves: a node whose dependencies all have left gets the next level. Each round reads only the edges
-    between nodes that are left.
+    Nodes leave in waves: a node whose dependencies all have left gets the next level. A wave takes the edges to the nodes that
+    left in the wave before, each edge in one wave only; only nodes that wait for others as well are written again.
     """
-    edges = written(edges.select("src", "dst").distinct(), "waves")
-    rest = written(nodes.select("node").distinct(), "waves")
-    levels = None
-    level = 0
-    while not rest.isEmpty():
-        waiting = edges.select(F.col("src").alias("node")).distinct()
-        ready = written(rest.join(waiting, "node", "left_anti").withColumn("level", F.lit(level).cast("long")), "waves")
-        count = ready.count()
+    nodes = written(nodes.select("node").distinct(), "waves")
+    edges = written(edges.select(F.col("src").alias("above"), F.col("dst").alias("below")).distinct(), "waves")
+    total, size = nodes.count(), edges.count()
+    own = needing(joined(edges, nodes.withColumnRenamed("node", "above"), max(total, size), ["above"], "left_semi"), size)
+    discard(edges)
+    first = joined(nodes, own.select(F.col("above").alias("node")), max(total, size), ["node"], "left_anti")
+    levels, waiting, level = [written(first.withColumn("level", F.lit(0).cast("long")), "waves")], None, 0
+    count = found = levels[0].count()
+    while found < total:
         if not count:
             raise ValueError("the graph has a cycle")
-        levels = ready if levels is None else levels.unionAll(ready)
-        gone = if_small(ready.select("node"), count)
-        rest = written(rest.join(gone, "node", "left_anti"), "waves")
-        edges = written(edges.join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"), "waves")
         level += 1
-    return levels if levels is not None else rest.withColumn("level", F.lit(0).cast("long"))
+        state = met(own, levels[-1].select(F.col("node").alias("below")), count, size, waiting, [])
+        discard(*[waiting] if waiting is not None else [])
+        levels.append(written(state.where("met = needed").select(F.col("above").alias("node"), F.lit(level).cast("long").alias("level")), "waves"))
+        count = levels[-1].count()
+        found += count
+        waiting = state.where("met < needed")
+        waiting._flowfacts_path = state._flowfacts_path
+    return _union(levels)

@@ -127,3 +127,26 @@ def test_facts_of_some_kinds_are_those_of_all():
         for kinds in (("file",), ("prefix",), taint.FLOW_KINDS, taint.CALL_KINDS, tuple(KINDS)):
             made = [f for f in file_facts("p.m", False, text, models.prefixes(), False, kinds=kinds) if f["kind"] in kinds]
             assert made == [f for f in whole if f["kind"] in kinds], kinds
+
+
+def test_waves_push_each_edge_once_and_send_no_table_whole(spark, monkeypatch):
+    from flowfacts.operators import tables
+
+    plans = []
+
+    def noted(df, name, by=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return tables.written(df, name, by)
+
+    for module in (fixpoint, tables):
+        monkeypatch.setattr(module, "SENT_ROWS", 0, raising=False)
+    monkeypatch.setattr(fixpoint, "written", noted)
+    edges = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, 2), (3, 0), (9, 0)], "src long, dst long")
+    nodes = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 5)], "node long")
+    assert got(fixpoint.longest_levels(nodes, edges)) == [(0, 0), (1, 1), (2, 2), (3, 3), (5, 0)]
+    assert not any("Broadcast" in p for p in plans)
+    try:
+        fixpoint.longest_levels(nodes, spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long"))
+        raise AssertionError("a cycle has levels")
+    except ValueError:
+        pass
