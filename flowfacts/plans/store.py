@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from flowfacts.frontend import models as library
 from flowfacts.frontend.tables import SCHEMA, named
 from flowfacts.frontend.tables import facts as facts_of
+from flowfacts.operators.fixpoint import met, needing
 from flowfacts.operators.graph import strong_components
-from flowfacts.operators.tables import discard, written
+from flowfacts.operators.tables import SENT_ROWS, discard, joined, written
 
 from .project import module_graph
 
@@ -27,7 +28,7 @@ VERSION = "1"
 
 def _mixed(digests: Column) -> list[Column]:
     """Four sums over 15-digit parts of digests: the same for the same digests in any order, and kept small by partial sums."""
-    return [F.sum(F.conv(F.substring(digests, 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    return [F.sum(F.conv(F.substring(digests, 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)") for k in range(4)]
 
 
 def _digest_of(parts: list[str]) -> Column:
@@ -39,30 +40,35 @@ def component_keys(modules: DataFrame, edges: DataFrame, named: bool = True) ->
     one another have one key, which changes when anything they reach changes. Edges to what is no module are left out. named:
     whether a module's name is part of its key; if not, own must tell modules apart.
 
-    A wave gives keys to all components whose imports have theirs; its joins read what is not done yet. Waves grow with the
-    depth of imports between components.
+    A wave gives keys to all components whose imports have theirs. It takes the edges to components of the wave before, each edge
+    in one wave only, and keeps sums for components that wait for others as well. Waves grow with the depth of imports between
+    components.
     """
     modules = written(modules.groupBy("module").agg(F.min("own").alias("own")), "modules")
     names = modules.select("module")
-    edges = edges.select("src", "dst").distinct().join(names.toDF("src"), "src", "left_semi").join(names.toDF("dst"), "dst", "left_semi")
-    edges = written(edges, "imports")
-    of = written(strong_components(names.toDF("node"), edges).withColumnRenamed("node", "module"), "components")
-    own = written(modules.join(of, "module").withColumn("d", F.sha2(F.concat_ws("/", F.col("module").cast("string"), "own"), 256) if named else F.col("own")).groupBy("component").agg(*[c.alias(f"o{k}") for k, c in enumerate(_mixed(F.col("d")))]), "component-digests")
+    total = modules.count()
+    edges = written(edges.select("src", "dst").distinct(), "imports")
+    size = max(total, edges.count())
+    inside = written(joined(joined(edges, names.toDF("src"), size, ["src"], "left_semi"), names.toDF("dst"), size, ["dst"], "left_semi").select("src", "dst"), "imports")
+    of = written(strong_components(names.toDF("node"), inside).withColumnRenamed("node", "module"), "components")
+    digest = F.sha2(F.concat_ws("/", F.col("module").cast("string"), "own"), 256) if named else F.col("own")
+    own = written(joined(modules, of, size, ["module"]).withColumn("d", digest).groupBy("component").agg(*[c.alias(f"o{k}") for k, c in enumerate(_mixed(F.col("d")))]), "component-digests")
     side = of.select(F.col("module").alias("src"), F.col("component").alias("above")), of.select(F.col("module").alias("dst"), F.col("component").alias("below"))
-    between = written(edges.join(side[0], "src").join(side[1], "dst").where("above <> below").select("above", "below").distinct(), "between")
-    done = [written(own.join(between.select(F.col("above").alias("component")), "component", "left_anti").select("component", _digest_of([f"o{k}" for k in range(4)]).alias("key")), "keys")]
-    waiting = written(between.select(F.col("above").alias("component")).distinct(), "waiting")
-    while not waiting.isEmpty():
-        known = reduce(DataFrame.unionByName, done).withColumnRenamed("component", "below")
-        ready = between.join(waiting.withColumnRenamed("component", "above"), "above", "left_semi").join(known, "below", "left").groupBy(F.col("above").alias("component")).agg(
-            F.bool_and(F.col("key").isNotNull()).alias("ready"), *[c.alias(f"b{k}") for k, c in enumerate(_mixed(F.col("key")))]).where("ready")
-        new = written(ready.join(own, "component").select("component", _digest_of([f"{x}{k}" for x in "ob" for k in range(4)]).alias("key")), "keys")
-        done.append(new)
-        left = written(waiting.join(new, "component", "left_anti"), "waiting")
-        discard(waiting)
-        waiting = left
-    found = written(of.join(reduce(DataFrame.unionByName, done), "component").select("module", "component", "key"), "module-keys")
-    discard(modules, edges, of, own, between, waiting, *done)
+    crossing = written(joined(joined(inside, side[0], size, ["src"]), side[1], size, ["dst"]).where("above <> below").select("above", "below").distinct(), "between")
+    between = needing(crossing, size)
+    done = [written(joined(own, between.select(F.col("above").alias("component")), size, ["component"], "left_anti").select("component", _digest_of([f"o{k}" for k in range(4)]).alias("key")), "keys")]
+    waiting, states, count = None, [], done[0].count()
+    while count:
+        state = met(between, done[-1].withColumnRenamed("component", "below"), count, size, waiting, [c.alias(f"b{k}") for k, c in enumerate(_mixed(F.col("key")))])
+        discard(*states)
+        states, waiting = [state], state.where("met < needed")
+        ready = written(state.where("met = needed").withColumnRenamed("above", "component"), "ready")
+        count = ready.count()
+        both = ready.join(own, "component") if count <= SENT_ROWS else joined(ready, own, size, ["component"])
+        done.append(written(both.select("component", _digest_of([f"{x}{k}" for x in "ob" for k in range(4)]).alias("key")), "keys"))
+        discard(ready)
+    found = written(joined(of, reduce(DataFrame.unionByName, done), size, ["component"]).select("module", "component", "key"), "module-keys")
+    discard(modules, edges, inside, of, own, crossing, between, *states, *done)
     return found
 
 

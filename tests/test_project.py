@@ -351,3 +351,16 @@ def test_module_keys_over_tasks_by_the_number_of_pairs(spark, monkeypatch):
     assert {r.module: r.key for r in made.collect()} == {n: hashlib.sha256("".join(own[m] + "\0" for m in [n, *below(n)]).encode()).hexdigest() for n in own}
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert made.rdd.getNumPartitions() >= 12 and "Broadcast" not in plan
+
+
+def test_component_keys_push_each_component_once(spark, monkeypatch):
+    """A wave takes what the wave before made, and not all that is known; what waits for two keeps what it met."""
+    from flowfacts.plans import store
+
+    pushed = []
+    whole = store.met
+    monkeypatch.setattr(store, "met", lambda edges, new, count, *rest: (pushed.append(count), whole(edges, new, count, *rest))[1])
+    own = spark.createDataFrame([(m, m) for m in "abcd"], "module string, own string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("a", "d")], "src string, dst string")
+    keys = {r.module: r.key for r in component_keys(own, edges).collect()}
+    assert len(set(keys.values())) == 4 and set(keys) == set("abcd") and pushed == [1, 1, 1, 1]
