@@ -1,14 +1,15 @@
 """The training-data pipeline: five stages over ``documents``, each one of the operators in flowfacts.llm.
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the columns of
-``documents``; a driver may write each result as Parquet and read it again as the next stage's docs.
+``documents``; a driver may write each result as Parquet and read it again as the next stage's docs. Stages whose Python work is
+done when the result is written leave the session with small Arrow batches; ``run`` sets it back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowfacts.llm.common import materialize
+from flowfacts.llm.common import materialize, small_batches
 from flowfacts.llm.jaccard_join import keep_one_of_each_group
 from flowfacts.llm.line_dedup import dedup_lines
 from flowfacts.llm.packing import pack
@@ -17,9 +18,20 @@ from flowfacts.llm.toxicity import drop_toxic
 
 TOKENIZER = "word_bpe_49k.json"
 
+#: Rows of an Arrow batch, at most: its texts are held on both sides of the pipe to Python.
+BATCH_ROWS = 1000
+
+
+def _few_rows(spark: SparkSession) -> None:
+    """From now on Arrow batches are small. Spark looks this up when a result is written, which is after a stage has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from ``labels``, does not call toxic."""
+    _few_rows(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -35,6 +47,7 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
+    _few_rows(spark)
     return redact_documents(docs)
 
 
@@ -52,6 +65,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table; what a stage keeps is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with small_batches(spark, BATCH_ROWS):
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)

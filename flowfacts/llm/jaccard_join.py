@@ -94,7 +94,9 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     start, stop = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
     with np.errstate(over="ignore"):
         power, back = _powers(len(raw))
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[low] * power)])
+        prefix = np.zeros(len(raw) + 1, np.uint64)
+        np.multiply(_TABLE[low], power, out=prefix[1:])
+        np.cumsum(prefix[1:], out=prefix[1:])
         word = mix((prefix[stop] - prefix[start]) * back[start] + (stop - start).astype(np.uint64))
         first = np.searchsorted(start, np.concatenate([[0], ends[:-1]]))
         last = np.concatenate([first[1:], [len(start)]])

@@ -123,6 +123,12 @@ def _slot(feature: str) -> int:
 _remembered_slot = lru_cache(1 << 16)(_slot)
 
 
+def forget() -> None:
+    """Empty what is remembered of shapes and slots: a worker serves other stages after this one."""
+    _remembered_shape.cache_clear()
+    _remembered_slot.cache_clear()
+
+
 def features(words: list[str]) -> list[list[int]]:
     """Feature slots of every token: its own, its neighbours' shapes and cues, and shape pairs."""
     own = [shape(w) for w in words]
@@ -425,5 +431,6 @@ def redact_documents(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]
                     kept = part.column(chars).to_pylist()
                     columns[chars] = pa.array([k if a is b or a == b else len(a) for k, a, b in zip(kept, out, texts)], part.schema.field(chars).type)
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+        forget()
 
     return documents.mapInArrow(released(run), documents.schema)

@@ -14,7 +14,7 @@ The model is fitted on at most ``TRAINING_ROWS`` labelled rows, those with the s
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import free_name, release, released
+from .common import free_name, release, released, small_batches
 
 #: The documented bound of the labelled sample that the classifier is fitted on.
 TRAINING_ROWS = 6000
@@ -33,8 +33,8 @@ SPAN = 4
 ROUNDS, EPOCHS, RATE = 4, 6, 0.05
 #: Weight decay of embeddings and layer, relative to the step size.
 DECAY = 0.05
-#: Words whose n-grams are worked out at once.
-AT_ONCE = 20_000
+#: Words whose n-grams are worked out at once; some two kilobytes of arrays a word.
+AT_ONCE = 4000
 #: Words whose scores a worker remembers; beyond, the memory is emptied and filled anew.
 REMEMBERED = 200_000
 _EDGE = "\"'()[]{}<>.,;:!?…«»“”‘’*_-|"
@@ -84,10 +84,17 @@ class _Trainer:
     """
 
     def __init__(self, words: list[str], texts: list[np.ndarray], labels: np.ndarray, least: int = 5, seed: int = 1):
-        parts = [subwords(words[k : k + AT_ONCE]) for k in range(0, len(words), AT_ONCE)]
-        sub = np.concatenate([p[0].astype(np.int32) for p in parts])
-        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
-        del parts
+        parts, sizes = [], []
+        for k in range(0, len(words), AT_ONCE):
+            part, edge = subwords(words[k : k + AT_ONCE])
+            parts.append(part.astype(np.int32))
+            sizes.append(np.diff(edge))
+        at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        sub = np.empty(at[-1], np.int32)
+        for k in range(len(parts)):  # each goes once it is copied
+            part, parts[k] = parts[k], None
+            sub[at[k * AT_ONCE] : at[k * AT_ONCE] + len(part)] = part
+        del part, parts
         seen = np.zeros((2, BUCKETS), np.int64)
         for t, y in zip(texts, labels):
             t = np.unique(t)
@@ -96,17 +103,17 @@ class _Trainer:
         self.used = np.nonzero(seen.sum(0) >= min(least, max(1, len(texts) // 50)))[0]
         place = np.full(BUCKETS, -1, np.int32)
         place[self.used] = np.arange(len(self.used))
-        # n-grams without a vector go; words are taken in portions, so that no second copy of all is held
-        subs, shares, sizes = [], [], []
+        # n-grams without a vector go; words are taken in portions and moved to the front, so that no second copy is held
+        sizes, held = [], 0
         for k in range(0, len(words), AT_ONCE):
             edge = at[k : k + AT_ONCE + 1]
             kept, size = place[sub[edge[0] : edge[-1]]], np.diff(edge)
-            owner = np.repeat(np.arange(len(size)), size)[kept >= 0]
-            subs.append(kept[kept >= 0])
-            shares.append((1.0 / size).astype(np.float32)[owner])
-            sizes.append(np.bincount(owner, minlength=len(size)))
-        del sub
-        self.sub, self.share = np.concatenate(subs), np.concatenate(shares)
+            sizes.append(np.bincount(np.repeat(np.arange(len(size)), size)[kept >= 0], minlength=len(size)))
+            kept = kept[kept >= 0]
+            sub[held : held + len(kept)] = kept
+            held += len(kept)
+        sub.resize(held, refcheck=False)
+        self.sub, self.share = sub, (1.0 / np.diff(at)).astype(np.float32)
         self.at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         r = np.random.RandomState(seed)
         self.random = r
@@ -127,7 +134,7 @@ class _Trainer:
         for k in range(0, len(out), AT_ONCE):
             at = self.at[k : k + AT_ONCE + 1]
             inside = slice(at[0], at[-1])
-            out[k : k + AT_ONCE] = np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), gram[self.sub[inside]] * self.share[inside], len(at) - 1)
+            out[k : k + AT_ONCE] = np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), gram[self.sub[inside]] * np.repeat(self.share[k : k + AT_ONCE], np.diff(at)), len(at) - 1)
         return out
 
     def row(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,18 +143,28 @@ class _Trainer:
         size = self.at[words + 1] - self.at[words]
         index = np.arange(size.sum()) + np.repeat(self.at[words] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
         grams, back = np.unique(self.sub[index], return_inverse=True)
-        return grams, (np.bincount(back, self.share[index] * np.repeat(times, size), len(grams)) / len(text)).astype(np.float32)
+        return grams, (np.bincount(back, np.repeat(self.share[words], size) * np.repeat(times, size), len(grams)) / len(text)).astype(np.float32)
 
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, rounds: int, rate: float, size: int = 250) -> None:
-        rows = [self.row(t) for t in texts]
+        # rows of a portion are joined at once: the many small arrays of all would take twice as much
+        grams, values, sizes = [], [], []
+        for at in range(0, len(texts), 500):
+            part = [self.row(t) for t in texts[at : at + 500]]
+            grams.append(np.concatenate([g.astype(np.int32) for g, _ in part]))
+            values.append(np.concatenate([v for _, v in part]))
+            sizes += [len(g) for g, _ in part]
+        all_grams, all_values, sizes = np.concatenate(grams), np.concatenate(values), np.array(sizes)
+        del grams, values
+        begin = np.cumsum(sizes) - sizes
         weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())).astype(np.float32) * len(labels)
         for _ in range(rounds):
-            order = self.random.permutation(len(rows))
+            order = self.random.permutation(len(texts))
             for at in range(0, len(order), size):
                 part = order[at : at + size]
-                grams = np.concatenate([rows[i][0] for i in part])
-                value = np.concatenate([rows[i][1] for i in part])
-                owner = np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part])
+                size_of = sizes[part]
+                index = np.arange(size_of.sum()) + np.repeat(begin[part] - (np.cumsum(size_of) - size_of), size_of)
+                grams, value = all_grams[index], all_values[index]
+                owner = np.repeat(np.arange(len(part)), size_of)
                 if not len(grams):
                     continue
                 table, layer, bias = self.params
@@ -181,25 +198,29 @@ def _windows(n: int, span: int) -> list[tuple[int, int]]:
     return [(0, n)] if n <= span else [(a, a + span) for a in range(0, n - span, span // 2)] + [(n - span, n)]
 
 
-def train(texts: list[str], labels: np.ndarray, span: int = SPAN, consume: bool = False) -> Model:
-    """Fit on labelled texts (0 or 1). Without both labels the model scores the share of ones everywhere. With consume, the
-    list of texts is emptied once they are read."""
-    labels = np.asarray(labels, np.int64)
-    prior = float(labels.mean()) if len(labels) else 0.0
+def train(texts: Iterable[str], labels: Sequence[int] | np.ndarray, span: int = SPAN) -> Model:
+    """Fit on labelled texts (0 or 1). Without both labels the model scores the share of ones everywhere. Each text is dropped
+    once its words are numbered, and labels are read after the texts, so that both may come from one stream."""
     number: dict[str, int] = {}
-    memory: dict[str, int] = {}
+    memory: dict[str, int] = {}  # of words that are not in normal form; that of the others is themselves
 
     def code(word: str) -> int:
-        if word not in memory:
-            memory[word] = number.setdefault(word.lower().strip(_EDGE), len(number))
-        return memory[word]
+        got = number.get(word)
+        if got is None:
+            got = memory.get(word)
+        if got is None:
+            normal = word.lower().strip(_EDGE)
+            got = number.setdefault(normal, len(number))
+            if normal != word:
+                memory[word] = got
+        return got
 
     coded = [np.fromiter(map(code, t.split()), np.int32) for t in texts]
+    labels = np.asarray(labels, np.int64)
+    prior = float(labels.mean()) if len(labels) else 0.0
     labels = labels[[i for i, c in enumerate(coded) if len(c)]]
     coded = [c for c in coded if len(c)]
     memory.clear()
-    if consume:
-        texts.clear()
     if len(set(labels.tolist())) < 2:
         p = min(max(prior, 1e-3), 1 - 1e-3)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))), p)
@@ -293,14 +314,22 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> M
     got = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sorted(((d, t or "", y) for batch in batches for d, t, y in zip(*(c.to_pylist() for c in batch.columns))))
-        texts, labels = [t for _, t, _ in held], np.array([y for _, _, y in held], np.int64)
-        held.clear()
-        model = train(texts, labels, consume=True)
+        labels: list[int] = []
+
+        def texts() -> Iterator[str]:
+            for batch in batches:
+                for text, label in zip(*(c.to_pylist() for c in batch.columns)):
+                    labels.append(label)
+                    yield text or ""
+
+        model = train(texts(), labels)
         yield pa.RecordBatch.from_pydict({"odds": pa.array([model.odds.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([float(model.bias)]), "prior": pa.array([float(model.prior)])})
 
-    # one task on an executor fits the model: its input is bounded by `rows`, and the driver gets the model alone
-    fitted = got.select("doc_id", "text", "toxic").repartition(1).mapInArrow(released(run), "odds binary, bias double, prior double").first()
+    # one task on an executor fits the model: its input is bounded by `rows`, comes in order and is held as word numbers only;
+    # the driver gets the model alone
+    dealt = got.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "toxic")
+    with small_batches(documents.sparkSession, 500):
+        fitted = dealt.mapInArrow(released(run), "odds binary, bias double, prior double").first()
     if fitted is None:
         return train([], np.zeros(0, np.int64))
     return Model(np.frombuffer(fitted["odds"], np.float32), fitted["bias"], fitted["prior"])
@@ -314,8 +343,8 @@ def with_scores(documents: DataFrame, model: Model, column: str = "text", name:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 score = scorer([x or "" for x in part.column(place).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
 

@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, round trips and held-out labels, with edge cases."""
 
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -831,3 +832,38 @@ def test_op8_reads_words_of_letters_and_signs_without_normalizer():
     words.tokenizer = Watched()
     plain = ["Größe nimmt zu, thlyewor*** ärend$$$ neu. ÉTÉ"]
     assert words.encode(plain) == tokenizer_ids(plain) and learned == []
+
+
+def test_op10_training_reads_a_stream_and_holds_no_texts():
+    """Labels come with the texts; of 80 MB of texts, all of them long words, only the words' numbers are held."""
+    words = [f"{c}" * 1000 for c in "abcdefgh"]
+    made = [" ".join(words[(k + i) % (4 + 4 * (k % 2))] for i in range(200)) for k in range(2)]
+    seen = []
+
+    def stream():
+        for k in range(400):
+            seen.append(k % 2)
+            yield made[k % 2] + f" w{k % 7}"
+
+    tracemalloc.start()
+    streamed = train(stream(), seen)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = train([made[k % 2] + f" w{k % 7}" for k in range(400)], [k % 2 for k in range(400)])
+    assert streamed.prior == 0.5 and (streamed.odds == whole.odds).all() and streamed.bias == whole.bias
+    assert peak < 40e6
+
+
+def test_pipeline_stages_send_small_batches_and_run_sets_them_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for stage in ("toxicity", "pii"):
+            spark.conf.set(name, "10000")
+            df = dict(corpus_pipeline.STAGES)[stage](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+            assert int(spark.conf.get(name)) <= 1000
+        spark.conf.set(name, "10000")
+        assert corpus_pipeline.run(spark, SF).count() > 0
+        assert spark.conf.get(name) == "10000"
+    finally:
+        spark.conf.set(name, before)
