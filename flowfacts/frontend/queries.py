@@ -261,14 +261,11 @@ def stale_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowfacts.plans.store import component_keys
     from flowfacts.sources import facts as projected
 
-    # both states of the project side by side, so that one run gives the keys of both: even numbers before, odd ones after
-    part, edges = spark.read.parquet(f"{sf_dir}/part.parquet"), projected.module_edges(spark, sf_dir)
-    both = part.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("after"))
-    name = F.when((F.col("p_size") == 7) & (F.col("after") == 1), "new").otherwise(F.col("p_name"))
-    own = both.select((F.col("p_partkey") * 2 + F.col("after")).alias("module"), F.sha2(F.concat_ws("/", F.col("p_partkey").cast("string"), name), 256).alias("own"))
-    twice = edges.select(F.explode(F.array(*[F.struct((F.col("src") * 2 + k).alias("src"), (F.col("dst") * 2 + k).alias("dst")) for k in (0, 1)])).alias("e")).select("e.*")
-    keys = component_keys(own, twice, named=False).select(F.expr("module DIV 2").alias("module"), F.expr("component DIV 2").alias("component"), "key", (F.col("module") % 2).alias("after"))
-    return keys.where("after = 1").join(keys.where("after = 0").select("module", "key"), ["module", "key"], "left_anti").select("module", "component")
+    # both states of the project are columns of one graph, so that one run gives the keys of both
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_partkey").alias("module")).agg(F.min("p_name").alias("name"), F.max(F.coalesce(F.col("p_size") == 7, F.lit(False))).alias("edits"))
+    texts = F.concat_ws("/", F.col("module").cast("string"), "name"), F.concat_ws("/", F.col("module").cast("string"), "name", F.when(F.col("edits"), "new"))
+    own = part.select("module", F.sha2(texts[0], 256).alias("own"), F.sha2(texts[1], 256).alias("edited"))
+    return component_keys(own, projected.module_edges(spark, sf_dir), named=False).where("key <> edited_key").select("module", "component")
 
 
 @query

@@ -31,7 +31,7 @@ def least_fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], name
     new = parts[0]
     known = new.count()
     for _ in range(rounds):
-        new = written(joined(dealt(step(new).select(*columns), known, *columns).distinct(), _union(parts), known, columns, "left_anti"), name)
+        new = written(joined(dealt(step(new).select(*columns), known, *columns, narrow=True).distinct(), _union(parts), known, columns, "left_anti", narrow=True), name)
         count = new.count()
         known += count
         if not count:
@@ -88,20 +88,21 @@ def closure(edges: DataFrame) -> DataFrame:
         reached *= 2
 
 
-def met(edges: DataFrame, new: DataFrame, count: int, size: int, waiting: DataFrame | None, sums: list[Column]) -> DataFrame:
-    """(above, needed, met, sums) of what waits in a wave, a written table: edges (above, below, needed: the edges of above; size rows)
-    to the nodes of the wave before (below, others; count rows), joined with what was met in earlier waves (the same columns)."""
-    pushed = edges.join(new, "below") if count <= SENT_ROWS else joined(edges, new, size, ["below"])
-    found = pushed.groupBy("above").agg(F.max("needed").alias("needed"), F.count("*").alias("met"), *sums)
-    if waiting is not None:
-        others = found.columns[2:]
-        found = found.unionByName(waiting).groupBy("above").agg(F.max("needed").alias("needed"), *[F.sum(c).alias(c) for c in others])
-    return written(found, "waves")
+def met(edges: DataFrame, new: DataFrame, count: int, size: int, waiting: DataFrame | None, parts: list[Column], carried: list[str] = []) -> DataFrame:
+    """(above, carried, needed, met, sums of parts) of what waits in a wave, a written table: edges (above, below, needed: the edges
+    of above, carried: other columns of above; size rows) to the nodes of the wave before (below, others that parts read; count
+    rows), joined with what was met in earlier waves (the same columns)."""
+    pushed = edges.join(F.broadcast(new), "below") if count <= SENT_ROWS else joined(edges, new, size, ["below"], narrow=True)
+    by = ["above", *carried]
+    found = pushed.select(*by, "needed", F.lit(1).cast("long").alias("met"), *parts)
+    others = found.columns[len(by) + 1:]
+    found = found if waiting is None else found.unionByName(waiting)
+    return written(found.groupBy(*by).agg(F.max("needed").alias("needed"), *[F.sum(c).alias(c) for c in others]), "waves")
 
 
 def needing(edges: DataFrame, size: int) -> DataFrame:
     """Edges (above, below) with the number of above's edges, a written table."""
-    return written(joined(edges, edges.groupBy("above").agg(F.count("*").alias("needed")), size, ["above"]), "waves")
+    return written(joined(edges, edges.groupBy("above").agg(F.count("*").alias("needed")), size, ["above"], narrow=True), "waves")
 
 
 def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,9 +114,9 @@ def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = written(nodes.select("node").distinct(), "waves")
     edges = written(edges.select(F.col("src").alias("above"), F.col("dst").alias("below")).distinct(), "waves")
     total, size = nodes.count(), edges.count()
-    own = needing(joined(edges, nodes.withColumnRenamed("node", "above"), max(total, size), ["above"], "left_semi"), size)
+    own = needing(joined(edges, nodes.withColumnRenamed("node", "above"), max(total, size), ["above"], "left_semi", narrow=True), size)
     discard(edges)
-    first = joined(nodes, own.select(F.col("above").alias("node")), max(total, size), ["node"], "left_anti")
+    first = joined(nodes, own.select(F.col("above").alias("node")), max(total, size), ["node"], "left_anti", narrow=True)
     levels, waiting, level = [written(first.withColumn("level", F.lit(0).cast("long")), "waves")], None, 0
     count = found = levels[0].count()
     while found < total:

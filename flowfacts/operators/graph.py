@@ -33,29 +33,29 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         trimmed = left + 1
         while left and left < trimmed:
             trimmed = left
-            kept = written(joined(joined(edges, edges.select(F.col("dst").alias("src")), left, ["src"], "left_semi"), edges.select(F.col("src").alias("dst")), left, ["dst"], "left_semi").select("src", "dst"), "edges")
+            kept = written(joined(joined(edges, edges.select(F.col("dst").alias("src")), left, ["src"], "left_semi", narrow=True), edges.select(F.col("src").alias("dst")), left, ["dst"], "left_semi", narrow=True).select("src", "dst"), "edges")
             discard(edges)
             edges, left = kept, kept.count()
         if not left:
             break
         colours = written(edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node")), "colours")
         while True:
-            better = joined(edges, colours.withColumnRenamed("node", "src"), left, ["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
-            moved = written(joined(colours, better, left, ["node"], "left").select("node", F.least("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") < F.col("colour")).alias("moved")), "colours")
+            better = joined(edges, colours.withColumnRenamed("node", "src"), left, ["src"], narrow=True).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
+            moved = written(joined(colours, better, left, ["node"], "left", narrow=True).select("node", F.least("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") < F.col("colour")).alias("moved")), "colours")
             changed = not moved.where("moved").isEmpty()
             discard(colours)
             colours = moved.select("node", "colour")
             colours._flowfacts_path = moved._flowfacts_path
             if not changed:
                 break
-        inside = written(joined(joined(edges, colours.toDF("src", "a"), left, ["src"]), colours.toDF("dst", "b"), left, ["dst"]).where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("a").alias("colour")), "inside")
-        whole = written(least_fixpoint(colours.where("node = colour").select("colour", F.col("node")), lambda new: joined(new.withColumnRenamed("node", "src"), inside, left, ["colour", "src"]).withColumnRenamed("dst", "node"), "component").select("node", F.col("colour").alias("component")), "component")
+        inside = written(joined(joined(edges, colours.toDF("src", "a"), left, ["src"], narrow=True), colours.toDF("dst", "b"), left, ["dst"], narrow=True).where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("a").alias("colour")), "inside")
+        whole = written(least_fixpoint(colours.where("node = colour").select("colour", F.col("node")), lambda new: joined(inside, new.withColumnRenamed("node", "src"), left, ["colour", "src"], narrow=True).withColumnRenamed("dst", "node"), "component").select("node", F.col("colour").alias("component")), "component")
         found.append(whole)
-        rest = written(joined(joined(edges, whole.select(F.col("node").alias("src")), left, ["src"], "left_anti"), whole.select(F.col("node").alias("dst")), left, ["dst"], "left_anti").select("src", "dst"), "edges")
+        rest = written(joined(joined(edges, whole.select(F.col("node").alias("src")), left, ["src"], "left_anti", narrow=True), whole.select(F.col("node").alias("dst")), left, ["dst"], "left_anti", narrow=True).select("src", "dst"), "edges")
         discard(edges, colours, inside)
         edges, left = rest, rest.count()
     mutual = reduce(DataFrame.unionAll, found) if found else nodes.select("node", F.col("node").alias("component")).where("false")
-    return joined(nodes.select("node"), mutual, nodes.count(), ["node"], "left").select("node", F.coalesce("component", "node").alias("component"))
+    return joined(nodes.select("node"), mutual, nodes.count(), ["node"], "left", narrow=True).select("node", F.coalesce("component", "node").alias("component"))
 
 
 def schedule(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -63,10 +63,10 @@ def schedule(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parts = written(strong_components(nodes, edges), "parts")
     size = parts.count()
     crossing = (
-        joined(joined(edges, parts.select(F.col("node").alias("src"), F.col("component").alias("a")), size, ["src"]), parts.select(F.col("node").alias("dst"), F.col("component").alias("b")), size, ["dst"])
+        joined(joined(edges, parts.select(F.col("node").alias("src"), F.col("component").alias("a")), size, ["src"], narrow=True), parts.select(F.col("node").alias("dst"), F.col("component").alias("b")), size, ["dst"], narrow=True)
         .where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     levels = longest_levels(parts.select(F.col("component").alias("node")), crossing)
-    return joined(parts, levels.withColumnRenamed("node", "component"), size, ["component"])
+    return joined(parts, levels.withColumnRenamed("node", "component"), size, ["component"], narrow=True)
 
 
 def reachable(succ: dict[int, list[int]], start: int, avoiding: int | None = None) -> set[int]:

@@ -51,18 +51,33 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
 SENT_ROWS = 20_000
 #: Rows of wide tables (a row may hold some arrays) that one task joins or gathers, about.
 WIDE_ROWS = 100_000
+#: Rows of narrow tables (a row is a few numbers or digests) for which a further task is worth its start, about.
+TASK_ROWS = 20_000
 
 
-def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+def _tasks(df: DataFrame, rows: int, narrow: bool) -> int:
+    """Tasks for so many rows: all shuffle partitions at least, of narrow tables one for TASK_ROWS up to these; so rounds over
+    tables that shrink do not start all partitions for little."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(least, -(-rows // TASK_ROWS)) if narrow else least, -(-rows // WIDE_ROWS))
+
+
+def dealt(df: DataFrame, rows: int, *by: str, narrow: bool = False) -> DataFrame:
     """df dealt over tasks by so many counted rows, if these are not few: Spark goes by bytes of files and exchanges, and packed
     numbers and repeated arrays are many times as large in memory."""
     if rows <= SENT_ROWS:
         return df
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // WIDE_ROWS)), *by)
+    return df.repartition(_tasks(df, rows, narrow), *by)
 
 
-def joined(left: DataFrame, right: DataFrame, rows: int, on: list[str], how: str = "inner") -> DataFrame:
-    """The join of two tables on columns, both dealt over tasks and neither sent whole, if so many counted rows are not few."""
+def joined(left: DataFrame, right: DataFrame, rows: int, on: list[str], how: str = "inner", narrow: bool = False) -> DataFrame:
+    """The join of two tables on columns, both dealt over tasks and neither sent whole, if so many counted rows are not few.
+    narrow: both are narrow, and right has no key twice if its other columns are read. Spark raises the tasks of a join of two
+    exchanges to all shuffle partitions; so a narrow right is grouped by its keys behind its exchange, where this changes nothing."""
     if rows <= SENT_ROWS:
         return left.join(right, on, how)
-    return dealt(left, rows, *on).join(dealt(right, rows, *on).hint("merge"), on, how)
+    near = dealt(right.select(*on) if how in ("left_semi", "left_anti") else right, rows, *on, narrow=narrow)
+    if _tasks(right, rows, narrow) < _tasks(right, rows, False):
+        others = [c for c in near.columns if c not in on]
+        near = near.groupBy(*on).agg(*[F.first(c).alias(c) for c in others]) if others else near.distinct()
+    return dealt(left, rows, *on, narrow=narrow).join(near.hint("merge"), on, how)

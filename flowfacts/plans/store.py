@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from flowfacts.frontend import models as library
 from flowfacts.frontend.tables import SCHEMA, named
 from flowfacts.frontend.tables import facts as facts_of
-from flowfacts.operators.fixpoint import met, needing
+from flowfacts.operators.fixpoint import met
 from flowfacts.operators.graph import strong_components
-from flowfacts.operators.tables import SENT_ROWS, discard, joined, written
+from flowfacts.operators.tables import discard, joined, written
 
 from .project import module_graph
 
@@ -26,49 +26,52 @@ from .project import module_graph
 VERSION = "1"
 
 
-def _mixed(digests: Column) -> list[Column]:
-    """Four sums over 15-digit parts of digests: the same for the same digests in any order, and kept small by partial sums."""
-    return [F.sum(F.conv(F.substring(digests, 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)") for k in range(4)]
+def _parts(digests: Column) -> list[Column]:
+    """Four numbers of 15 digits each of digests: their sums are the same for the same digests in any order."""
+    return [F.conv(F.substring(digests, 15 * k + 1, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
 
 
-def _digest_of(parts: list[str]) -> Column:
-    return F.sha2(F.concat_ws("/", *[F.coalesce(F.col(p).cast("string"), F.lit("-")) for p in parts]), 256)
+def _text(parts: list[Column]) -> Column:
+    return F.concat_ws("/", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])
 
 
 def component_keys(modules: DataFrame, edges: DataFrame, named: bool = True) -> DataFrame:
     """(module, component, key) of modules (module, own: digest) and import edges (src, dst), a written table: modules that reach
     one another have one key, which changes when anything they reach changes. Edges to what is no module are left out. named:
-    whether a module's name is part of its key; if not, own must tell modules apart.
+    whether a module's name is part of its key; if not, own must tell modules apart. More columns of modules are digests of other
+    states of the same graph: a column x gives x_key, by the same components and waves.
 
     A wave gives keys to all components whose imports have theirs. It takes the edges to components of the wave before, each edge
     in one wave only, and keeps sums for components that wait for others as well. Waves grow with the depth of imports between
-    components.
+    components; a wave writes one table, and edges carry the digests of the component that imports.
     """
-    modules = written(modules.groupBy("module").agg(F.min("own").alias("own")), "modules")
+    states = [c for c in modules.columns if c != "module"]
+    key = {c: "key" if c == "own" else f"{c}_key" for c in states}
+    modules = written(modules.groupBy("module").agg(*[F.min(c).alias(c) for c in states]), "modules")
     names = modules.select("module")
     total = modules.count()
     edges = written(edges.select("src", "dst").distinct(), "imports")
     size = max(total, edges.count())
-    inside = written(joined(joined(edges, names.toDF("src"), size, ["src"], "left_semi"), names.toDF("dst"), size, ["dst"], "left_semi").select("src", "dst"), "imports")
+    inside = written(joined(joined(edges, names.toDF("src"), size, ["src"], "left_semi", narrow=True), names.toDF("dst"), size, ["dst"], "left_semi", narrow=True).select("src", "dst"), "imports")
     of = written(strong_components(names.toDF("node"), inside).withColumnRenamed("node", "module"), "components")
-    digest = F.sha2(F.concat_ws("/", F.col("module").cast("string"), "own"), 256) if named else F.col("own")
-    own = written(joined(modules, of, size, ["module"]).withColumn("d", digest).groupBy("component").agg(*[c.alias(f"o{k}") for k, c in enumerate(_mixed(F.col("d")))]), "component-digests")
     side = of.select(F.col("module").alias("src"), F.col("component").alias("above")), of.select(F.col("module").alias("dst"), F.col("component").alias("below"))
-    crossing = written(joined(joined(inside, side[0], size, ["src"]), side[1], size, ["dst"]).where("above <> below").select("above", "below").distinct(), "between")
-    between = needing(crossing, size)
-    done = [written(joined(own, between.select(F.col("above").alias("component")), size, ["component"], "left_anti").select("component", _digest_of([f"o{k}" for k in range(4)]).alias("key")), "keys")]
-    waiting, states, count = None, [], done[0].count()
+    crossing = written(joined(joined(inside, side[0], size, ["src"], narrow=True), side[1], size, ["dst"], narrow=True).where("above <> below").select("above", "below").distinct(), "between")
+    digests = {c: F.sha2(F.concat_ws("/", F.col("module").cast("string"), c), 256) if named else F.col(c) for c in states}
+    own = joined(modules, of, size, ["module"], narrow=True).select("component", F.lit(0).alias("needed"), *[d.alias(c) for c, d in digests.items()])
+    imports = crossing.select(F.col("above").alias("component"), F.lit(1).alias("needed"), *[F.lit(None).cast("string").alias(c) for c in states])
+    own = written(own.unionAll(imports).groupBy("component").agg(F.sum("needed").alias("needed"), *[_text([F.sum(p) for p in _parts(F.col(c))]).alias(c) for c in states]), "component-digests")
+    between = written(joined(crossing, own.withColumnRenamed("component", "above"), size, ["above"], narrow=True), "between")
+    parts = [p.alias(f"{c}{k}") for c in states for k, p in enumerate(_parts(F.col(key[c])))]
+    done, waiting, waves = [own.where("needed = 0").select("component", *[F.sha2(c, 256).alias(key[c]) for c in states])], None, []
+    count = done[0].count()
     while count:
-        state = met(between, done[-1].withColumnRenamed("component", "below"), count, size, waiting, [c.alias(f"b{k}") for k, c in enumerate(_mixed(F.col("key")))])
-        discard(*states)
-        states, waiting = [state], state.where("met < needed")
-        ready = written(state.where("met = needed").withColumnRenamed("above", "component"), "ready")
+        waves.append(met(between, done[-1].withColumnRenamed("component", "below"), count, size, waiting, parts, states))
+        waiting = waves[-1].where("met < needed")
+        ready = waves[-1].where("met = needed")
+        done.append(ready.select(F.col("above").alias("component"), *[F.sha2(F.concat_ws("/", c, _text([F.col(f"{c}{k}") for k in range(4)])), 256).alias(key[c]) for c in states]))
         count = ready.count()
-        both = ready.join(own, "component") if count <= SENT_ROWS else joined(ready, own, size, ["component"])
-        done.append(written(both.select("component", _digest_of([f"{x}{k}" for x in "ob" for k in range(4)]).alias("key")), "keys"))
-        discard(ready)
-    found = written(joined(of, reduce(DataFrame.unionByName, done), size, ["component"]).select("module", "component", "key"), "module-keys")
-    discard(modules, edges, inside, of, own, crossing, between, *states, *done)
+    found = written(joined(of, reduce(DataFrame.unionByName, done), size, ["component"], narrow=True).select("module", "component", *key.values()), "module-keys")
+    discard(modules, edges, inside, of, own, crossing, between, *waves)
     return found
 
 

@@ -364,3 +364,37 @@ def test_component_keys_push_each_component_once(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("a", "d")], "src string, dst string")
     keys = {r.module: r.key for r in component_keys(own, edges).collect()}
     assert len(set(keys.values())) == 4 and set(keys) == set("abcd") and pushed == [1, 1, 1, 1]
+
+
+def test_component_keys_of_two_states_in_one_run_of_waves(spark, monkeypatch):
+    """Another state is a column of the same graph: its keys are those of a run for it alone, by as many waves, each written once."""
+    from flowfacts.operators import fixpoint
+    from flowfacts.plans import store
+
+    made = []
+    for module in (store, fixpoint):
+        monkeypatch.setattr(module, "written", lambda df, name, *rest, whole=module.written: (made.append(name), whole(df, name, *rest))[1])
+    own = spark.createDataFrame([(m, m, "new" if m in "cf" else m) for m in "abcdefg"], "module string, own string, edited string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("a", "d"), ("e", "d"), ("f", "f"), ("g", "x")], "src string, dst string")
+    both = {r.module: r for r in component_keys(own, edges).collect()}
+    assert {m for m in both if both[m].key != both[m].edited_key} == set("abcf")
+    assert made.count("waves") == 3 and "ready" not in made and made.count("keys") == 0
+    for column, key in (("own", "key"), ("edited", "edited_key")):
+        alone = {r.module: (r.component, r.key) for r in component_keys(own.select("module", own[column].alias("own")), edges).collect()}
+        assert alone == {m: (r.component, r[key]) for m, r in both.items()}
+
+
+def test_rounds_start_tasks_by_their_rows(spark):
+    """With many shuffle partitions, joins of some ten thousand rows start few tasks; nothing is sent whole."""
+    from flowfacts.operators.tables import joined
+
+    rows = spark.range(60_000).selectExpr("id AS src", "id DIV 2 AS dst")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for how, right in (("left_semi", rows.select(rows.dst.alias("src"))), ("inner", rows.select("src", (rows.dst + 1).alias("x"))), ("left", rows.groupBy("src").agg({"dst": "max"}))):
+            made = joined(rows, right, 60_000, ["src"], how, narrow=True)
+            assert made.rdd.getNumPartitions() <= 3 and made.count() == (30_000 if how == "left_semi" else 60_000)
+            assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
